@@ -29,9 +29,19 @@ def ts_to_ns(ts) -> Column:
     return F.unix_micros(col_(ts).cast("timestamp")) * F.lit(1000)
 
 
+def floor_div(c, divisor: int) -> Column:
+    """Exact integer floor division of a BIGINT column (no double rounding:
+    ns values exceed 2^53)."""
+    name = c if isinstance(c, str) else None
+    if name is None:
+        raise TypeError("floor_div takes a column name")
+    d = int(divisor)
+    return F.expr(f"(`{name}` - pmod(`{name}`, {d}L)) div {d}L")
+
+
 def ns_to_ts(ns) -> Column:
     """BIGINT ns -> timestamp (µs precision, for display and calendar maths)."""
-    return F.timestamp_micros(F.floor(col_(ns) / F.lit(1000)).cast("long"))
+    return F.timestamp_micros(floor_div(ns, 1000))
 
 
 def seconds_ns(seconds: int) -> Column:
@@ -46,8 +56,8 @@ def slot_key(ts) -> Column:
 
 def hour_start_ns(ns) -> Column:
     """Start of the UTC hour holding ``ns`` (ns)."""
-    hour = F.lit(3600 * NS_PER_SECOND)
-    return F.floor(col_(ns) / hour).cast("long") * hour
+    hour = 3600 * NS_PER_SECOND
+    return floor_div(ns, hour) * F.lit(hour)
 
 
 # --- keys and text ---------------------------------------------------------

@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilspark.config import NS_PER_SECOND, Threshold
+from vigilspark.functions.columns import floor_div
 
 DEFAULT_BUCKET_SECONDS = 3600
 DEFAULT_CHUNK_ROWS = 200_000
@@ -77,8 +78,7 @@ def candidates(hits: DataFrame, k: int, window_ns: int, keys=("pattern_key", "le
     """
     keys = list(keys)
     bucket_ns = int(bucket_seconds) * NS_PER_SECOND
-    base = hits.select(*keys, "timestamp_ns", "seq",
-                       F.floor(F.col("timestamp_ns") / F.lit(bucket_ns)).cast("long").alias("bucket"))
+    base = hits.select(*keys, "timestamp_ns", "seq", floor_div("timestamp_ns", bucket_ns).alias("bucket"))
 
     # 1. per-key offsets of every bucket (small table: keys x buckets)
     sizes = base.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("cnt"))
@@ -141,7 +141,7 @@ def threshold_fires(hits: DataFrame, threshold: Threshold, keys=("pattern_key",
 
     cand = candidates(hits, k, threshold.window_ns, keys, bucket_seconds, resets)
     # chunks never split an equal-timestamp run: chunk of the run's first row
-    cand = cand.withColumn("chunk", F.floor((F.col("last_g") - 0) / F.lit(int(chunk_rows))).cast("long"))
+    cand = cand.withColumn("chunk", floor_div("last_g", int(chunk_rows)))
 
     # 3. transition table, one row per (key, chunk)
     trans = (cand.groupBy(*keys, "chunk")
@@ -209,8 +209,7 @@ def window_hit_count(hits: DataFrame, window_seconds: int, keys=("pattern_key",)
     keys = list(keys)
     w_ns = int(window_seconds) * NS_PER_SECOND
     b_ns = int(bucket_seconds or max(4 * int(window_seconds), 3600)) * NS_PER_SECOND
-    base = hits.select(*keys, "timestamp_ns", "seq",
-                       F.floor(F.col("timestamp_ns") / F.lit(b_ns)).cast("long").alias("bucket"))
+    base = hits.select(*keys, "timestamp_ns", "seq", floor_div("timestamp_ns", b_ns).alias("bucket"))
     own = base.withColumn("ctx", F.lit(False))
     ctx = (base.filter(F.col("timestamp_ns") >= (F.col("bucket") + 1) * F.lit(b_ns) - F.lit(w_ns))
            .withColumn("bucket", F.col("bucket") + 1).withColumn("ctx", F.lit(True)))
