@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from vigilspark.config import AlertRules, CorrelationGroup, Threshold
 from vigilspark.functions.columns import alert_line, pattern_key
 from vigilspark.operators.match import keyword_hits
+from vigilspark.session import materialize
 from vigilspark.operators.threshold import (
     DEFAULT_BUCKET_SECONDS,
     DEFAULT_CHUNK_ROWS,
@@ -37,7 +38,7 @@ def _case(keyword_col: Column, mapping: dict, default=None) -> Column:
     return expr.otherwise(F.lit(default))
 
 
-def tiered_hits(entries: DataFrame, rules: AlertRules, keep=("timestamp_ns", "seq", "source")) -> DataFrame:
+def tiered_hits(entries: DataFrame, rules: AlertRules, keep=("timestamp_ns", "seq", "source")):
     """F2/F3 + T1 + P5: one row per (entry, keyword) with level, note, pattern key
     and the id of its threshold group."""
     tiers = rules.tiers()
@@ -74,31 +75,42 @@ def _fold_groups(hits: DataFrame, gid: dict, bucket_seconds: int, chunk_rows: in
     return reduce(DataFrame.unionByName, parts)
 
 
-def flagged_rows(fires: DataFrame, entries: DataFrame) -> DataFrame:
-    """Shape fired hits as flattened flag rows (entry columns + flag columns)."""
-    e = entries.select("seq", "timestamp_ns", "source", "raw", "priority")
-    out = fires.join(e, ["seq", "timestamp_ns"])
+def flagged_rows(fires: DataFrame, payload: DataFrame) -> DataFrame:
+    """Shape fired hits as flattened flag rows (entry columns + flag columns).
+
+    ``payload`` is the materialized hit table (it carries source, raw and
+    priority), so fetching the text of fired rows never rescans the source.
+    """
+    on = ["seq", "timestamp_ns"] + (["pattern_key"] if "pattern_key" in payload.columns else [])
+    p = payload.select(*on, "source", "raw", "priority")
+    out = fires.join(p, on)
     return out.select(
         "timestamp_ns", "source", "raw", "priority", "level",
         F.col("timestamp_ns").alias("flagged_at"),
         "pattern_key", F.col("hit_count").cast("int").alias("hit_count"), "note")
 
 
+PAYLOAD = ("timestamp_ns", "seq", "source", "raw", "priority")
+
+
 def alert_pipeline(entries: DataFrame, rules: AlertRules, prior_flags: DataFrame | None = None,
                    resets: DataFrame | None = None, levels=None,
                    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
                    chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Keyword match -> exclusion -> tier -> dedup -> threshold -> flags.
 
-    ``flagged_at`` is the entry's own timestamp, so reruns are deterministic.
-    ``levels`` restricts the tiers evaluated (e.g. ``["TRIAGE"]``).
+    The source is scanned and matched once: the hits (with their payload)
+    are materialized and every threshold group and the final payload join
+    read them.  ``flagged_at`` is the entry's own timestamp, so reruns are
+    deterministic.  ``levels`` restricts the tiers evaluated.
     """
-    hits, gid = tiered_hits(entries, rules)
+    hits, gid = tiered_hits(entries, rules, keep=PAYLOAD)
     if levels is not None:
         hits = hits.filter(F.col("level").isin(list(levels)))
-    hits = dedup(hits, prior_flags)
-    fires = _fold_groups(hits, gid, bucket_seconds, chunk_rows, resets)
-    return flagged_rows(fires, entries)
+    hits = materialize(dedup(hits, prior_flags))
+    fires = _fold_groups(hits.select("pattern_key", "level", "note", "tgroup", "timestamp_ns", "seq"),
+                         gid, bucket_seconds, chunk_rows, resets)
+    return flagged_rows(fires, hits)
 
 
 def correlation_alerts(entries: DataFrame, rules: AlertRules, group: CorrelationGroup,
@@ -107,16 +119,15 @@ def correlation_alerts(entries: DataFrame, rules: AlertRules, group: Correlation
                        chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Hits of ``group.keyword`` from any of ``group.sources`` share one
     pattern key (the group name) and run the CORRELATION threshold."""
-    hits = keyword_hits(entries.filter(F.col("source").isin(list(group.sources))), rules,
-                        keep=["timestamp_ns", "seq", "source"])
+    hits = keyword_hits(entries.filter(F.col("source").isin(list(group.sources))), rules, keep=list(PAYLOAD))
     hits = (hits.filter(F.col("keyword") == group.keyword)
-            .select("timestamp_ns", "seq", F.lit(group.name).alias("pattern_key"),
-                    F.lit("CORRELATION").alias("level")))
-    hits = dedup(hits, prior_flags)
-    fires = threshold_fires(hits, group.threshold, ("pattern_key", "level"), bucket_seconds, chunk_rows)
+            .select(*PAYLOAD, F.lit(group.name).alias("pattern_key"), F.lit("CORRELATION").alias("level")))
+    hits = materialize(dedup(hits, prior_flags))
+    fires = threshold_fires(hits.select("pattern_key", "level", "timestamp_ns", "seq"), group.threshold,
+                            ("pattern_key", "level"), bucket_seconds, chunk_rows)
     fires = fires.withColumn(
         "note", F.lit(f"Keyword '{group.keyword}' correlated across {', '.join(group.sources)}"))
-    return flagged_rows(fires, entries)
+    return flagged_rows(fires, hits)
 
 
 def single_threshold_alerts(entries: DataFrame, rules: AlertRules, keyword: str, threshold: Threshold,
@@ -125,13 +136,13 @@ def single_threshold_alerts(entries: DataFrame, rules: AlertRules, keyword: str,
                             bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
                             chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Run one keyword through one threshold, per source (pattern key source:keyword)."""
-    hits = keyword_hits(entries, rules, keep=["timestamp_ns", "seq", "source"])
+    hits = keyword_hits(entries, rules, keep=list(PAYLOAD))
     hits = (hits.filter(F.col("keyword") == keyword)
-            .select("timestamp_ns", "seq", pattern_key("source", "keyword").alias("pattern_key"),
-                    F.lit(level).alias("level")))
-    hits = dedup(hits, prior_flags)
-    fires = threshold_fires(hits, threshold, ("pattern_key", "level"), bucket_seconds, chunk_rows, resets)
-    return flagged_rows(fires.withColumn("note", F.lit(rules.tier_of(keyword)[2])), entries)
+            .select(*PAYLOAD, pattern_key("source", "keyword").alias("pattern_key"), F.lit(level).alias("level")))
+    hits = materialize(dedup(hits, prior_flags))
+    fires = threshold_fires(hits.select("pattern_key", "level", "timestamp_ns", "seq"), threshold,
+                            ("pattern_key", "level"), bucket_seconds, chunk_rows, resets)
+    return flagged_rows(fires.withColumn("note", F.lit(rules.tier_of(keyword)[2])), hits)
 
 
 def with_alert_line(flags: DataFrame) -> DataFrame:

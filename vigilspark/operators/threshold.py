@@ -50,6 +50,7 @@ from pyspark.sql import types as T
 
 from vigilspark.config import NS_PER_SECOND, Threshold
 from vigilspark.functions.columns import floor_div
+from vigilspark.session import materialize
 
 DEFAULT_BUCKET_SECONDS = 3600
 DEFAULT_CHUNK_ROWS = 200_000
@@ -94,6 +95,8 @@ def candidates(hits: DataFrame, k: int, window_ns: int, keys=("pattern_key", "le
                    (F.col("off") + F.count(F.lit(1)).over(w_peers) - 1).alias("last_g"),
                    F.row_number().over(w_rows).alias("rn"),
                    F.lag("timestamp_ns", k - 1).over(w_rows).alias("t_back")))
+    # three consumers below (inner rows, heads, tails): compute the window once
+    pos = materialize(pos)
 
     # 2. the first k-1 hits of a bucket look back into earlier buckets
     inner = pos.filter(F.col("rn") >= k).select(*keys, "g", "last_g", "timestamp_ns", "seq", "t_back")

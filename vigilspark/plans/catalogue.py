@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vigilspark.config import AlertRules, NS_PER_DAY
 from vigilspark.functions.columns import floor_div
+from vigilspark.session import materialize
 from vigilspark.operators import alerts, baseline, boot, flags, match, report, retention, rollup, threshold
 from vigilspark.operators.rules import rule_coverage
 from vigilspark.plans import params as P
@@ -215,16 +216,18 @@ def _daily_resets(hits: DataFrame) -> DataFrame:
 
 
 def q_pattern_reset(spark, sf_dir):
+    """Standard threshold for ``error`` with every key reset at the start of
+    each UTC day it has hits on."""
     e = _entries(spark, sf_dir)
     rules = P.RULES
-    hits = match.keyword_hits(e, rules, keep=["timestamp_ns", "seq", "source"])
-    hits = hits.filter(F.col("keyword") == "error").select(
-        "timestamp_ns", "seq", F.concat_ws(":", "source", "keyword").alias("pattern_key"),
-        F.lit("PATTERN_WATCH").alias("level"))
-    resets = _daily_resets(hits)
-    fires = threshold.threshold_fires(hits, rules.thresholds["PATTERN_WATCH"], ("pattern_key", "level"),
-                                      resets=resets)
-    return alerts.flagged_rows(fires.withColumn("note", F.lit(rules.tier_of("error")[2])), e)
+    hits = match.keyword_hits(e, rules, keep=list(alerts.PAYLOAD))
+    hits = materialize(hits.filter(F.col("keyword") == "error").select(
+        *alerts.PAYLOAD, F.concat_ws(":", "source", "keyword").alias("pattern_key"),
+        F.lit("PATTERN_WATCH").alias("level")))
+    keyed = hits.select("pattern_key", "level", "timestamp_ns", "seq")
+    fires = threshold.threshold_fires(keyed, rules.thresholds["PATTERN_WATCH"], ("pattern_key", "level"),
+                                      resets=_daily_resets(keyed))
+    return alerts.flagged_rows(fires.withColumn("note", F.lit(rules.tier_of("error")[2])), hits)
 
 
 def q_aggregate_rollup(spark, sf_dir):

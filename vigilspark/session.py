@@ -70,3 +70,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="vigil-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def materialize(df):
+    """Write an intermediate result that several branches of a plan consume
+    to the shared checkpoint folder and read it back.
+
+    This cuts the lineage (an executor lost later does not trigger a
+    recomputation from the source) and makes each consumer read the stored
+    rows instead of re-running the scan, keyword match and shuffle.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
