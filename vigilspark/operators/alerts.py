@@ -21,6 +21,7 @@ from vigilspark.session import materialize
 from vigilspark.operators.threshold import (
     DEFAULT_BUCKET_SECONDS,
     DEFAULT_CHUNK_ROWS,
+    grouped_threshold_fires,
     threshold_fires,
 )
 
@@ -66,13 +67,10 @@ def dedup(hits: DataFrame, prior_flags: DataFrame | None) -> DataFrame:
 def _fold_groups(hits: DataFrame, gid: dict, bucket_seconds: int, chunk_rows: int,
                  resets: DataFrame | None) -> DataFrame:
     # note is a function of the pattern key, so carrying it as a key column
-    # does not change the grouping
-    keys = ("pattern_key", "level", "note")
-    parts = []
-    for th, i in gid.items():
-        sub = hits.filter(F.col("tgroup") == i)
-        parts.append(threshold_fires(sub, th, keys, bucket_seconds, chunk_rows, resets))
-    return reduce(DataFrame.unionByName, parts)
+    # does not change the grouping; all thresholds share one positioning pass
+    groups = {i: th for th, i in gid.items()}
+    return grouped_threshold_fires(hits, groups, ("pattern_key", "level", "note"),
+                                   bucket_seconds, chunk_rows, resets).drop("tgroup")
 
 
 def flagged_rows(fires: DataFrame, payload: DataFrame) -> DataFrame:

@@ -68,18 +68,32 @@ def immediate_fires(hits: DataFrame, keys=("pattern_key", "level")) -> DataFrame
             .withColumn("hit_count", F.lit(1)))
 
 
-def candidates(hits: DataFrame, k: int, window_ns: int, keys=("pattern_key", "level"),
+def _by_group(groups: dict, fn, default=None) -> Column:
+    """CASE tgroup WHEN id THEN fn(threshold) ... (a literal per group)."""
+    expr = None
+    for gid, th in groups.items():
+        cond = F.col("tgroup") == F.lit(gid)
+        val = F.lit(fn(th))
+        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+    return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
+
+
+def candidates(hits: DataFrame, groups: dict, keys=("pattern_key", "level"),
                bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
                resets: DataFrame | None = None) -> DataFrame:
-    """Steps 1–2: position ``g``, equal-timestamp run end ``last_g`` and the
-    candidate rows (``t - t[g-k+1] <= W``) of every key.
+    """Steps 1–2 for all windowed threshold groups at once.
 
+    ``hits`` carries ``tgroup`` (a key of ``groups``, constant per key).
+    Returns the candidate rows with ``g``, ``last_g``, ``k`` and ``t_back``.
     ``resets`` (keys + ``at_ns``) cut the sequence: a candidate must not have
     a reset in ``(t[g-k+1], t]``.
     """
     keys = list(keys)
+    ks = sorted({int(th.required) for th in groups.values()})
+    kmax = max(ks)
     bucket_ns = int(bucket_seconds) * NS_PER_SECOND
-    base = hits.select(*keys, "timestamp_ns", "seq", floor_div("timestamp_ns", bucket_ns).alias("bucket"))
+    base = hits.select(*keys, "tgroup", "timestamp_ns", "seq",
+                       floor_div("timestamp_ns", bucket_ns).alias("bucket"))
 
     # 1. per-key offsets of every bucket (small table: keys x buckets)
     sizes = base.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("cnt"))
@@ -89,24 +103,33 @@ def candidates(hits: DataFrame, k: int, window_ns: int, keys=("pattern_key", "le
     w_rows = Window.partitionBy(*keys, "bucket").orderBy("timestamp_ns", "seq")
     w_peers = (Window.partitionBy(*keys, "bucket").orderBy("timestamp_ns")
                .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    k_col = _by_group(groups, lambda th: int(th.required)).cast("int")
+    lag_t = None
+    for k in ks:   # one lag column per distinct k, all in the same window pass
+        lag_k = F.lag("timestamp_ns", k - 1).over(w_rows)
+        cond = F.col("tgroup").isin([g for g, th in groups.items() if int(th.required) == k])
+        lag_t = F.when(cond, lag_k) if lag_t is None else lag_t.when(cond, lag_k)
     pos = (base.join(offsets, keys + ["bucket"])
-           .select(*keys, "bucket", "timestamp_ns", "seq", "cnt",
+           .select(*keys, "tgroup", "bucket", "timestamp_ns", "seq", "cnt",
+                   k_col.alias("k"),
                    (F.col("off") + F.row_number().over(w_rows) - 1).alias("g"),
                    (F.col("off") + F.count(F.lit(1)).over(w_peers) - 1).alias("last_g"),
                    F.row_number().over(w_rows).alias("rn"),
-                   F.lag("timestamp_ns", k - 1).over(w_rows).alias("t_back")))
+                   lag_t.alias("t_back")))
     # three consumers below (inner rows, heads, tails): compute the window once
     pos = materialize(pos)
 
     # 2. the first k-1 hits of a bucket look back into earlier buckets
-    inner = pos.filter(F.col("rn") >= k).select(*keys, "g", "last_g", "timestamp_ns", "seq", "t_back")
-    heads = (pos.filter((F.col("rn") < k) & (F.col("g") >= k - 1))
-             .select(*keys, "g", "last_g", "timestamp_ns", "seq", (F.col("g") - (k - 1)).alias("g_back")))
-    tails = (pos.filter(F.col("rn") > F.col("cnt") - (k - 1))
+    cols = [*keys, "tgroup", "k", "g", "last_g", "timestamp_ns", "seq"]
+    inner = pos.filter(F.col("rn") >= F.col("k")).select(*cols, "t_back")
+    heads = (pos.filter((F.col("rn") < F.col("k")) & (F.col("g") >= F.col("k") - 1))
+             .select(*cols, (F.col("g") - (F.col("k") - 1)).alias("g_back")))
+    tails = (pos.filter(F.col("rn") > F.col("cnt") - (kmax - 1))
              .select(*keys, F.col("g").alias("g_back"), F.col("timestamp_ns").alias("t_back")))
     head_rows = heads.join(tails, keys + ["g_back"]).drop("g_back")
     rows = inner.unionByName(head_rows)
-    cand = rows.filter(F.col("timestamp_ns") - F.col("t_back") <= F.lit(int(window_ns)))
+    w_col = _by_group(groups, lambda th: int(th.window_ns)).cast("long")
+    cand = rows.filter(F.col("timestamp_ns") - F.col("t_back") <= w_col)
     if resets is not None:
         rkeys = [c for c in keys if c in resets.columns]
         r = resets.select(*rkeys, F.col("at_ns"))
@@ -116,44 +139,68 @@ def candidates(hits: DataFrame, k: int, window_ns: int, keys=("pattern_key", "le
     return cand
 
 
-def _transition_expr(k: int) -> Column:
+def _transition_expr() -> Column:
     """Exit 'allowed' position for each of the k entry states of a chunk."""
-    init = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda e: F.col("start") + e.cast("long"))
+    k = F.col("k")
+    init = F.transform(F.sequence(F.lit(0), k - 1), lambda e: F.col("start") + e.cast("long"))
     return F.aggregate(
         F.col("cands"), init,
-        lambda acc, x: F.transform(acc, lambda a: F.when(x["g"] >= a, x["last_g"] + F.lit(k)).otherwise(a)))
+        lambda acc, x: F.transform(acc, lambda a: F.when(x["g"] >= a, x["last_g"] + k).otherwise(a)))
 
 
 def threshold_fires(hits: DataFrame, threshold: Threshold, keys=("pattern_key", "level"),
                     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
                     chunk_rows: int = DEFAULT_CHUNK_ROWS,
                     resets: DataFrame | None = None) -> DataFrame:
-    """Fired hits: ``keys + (timestamp_ns, seq, hit_count)``.
+    """Fired hits ``keys + (timestamp_ns, seq, hit_count)`` for one threshold.
 
     ``hits`` needs ``keys``, ``timestamp_ns`` and a unique order key ``seq``;
     hits already flagged must be removed before (see ``alerts.dedup``).
     """
+    return grouped_threshold_fires(hits.withColumn("tgroup", F.lit(0)), {0: threshold}, keys,
+                                   bucket_seconds, chunk_rows, resets).drop("tgroup")
+
+
+def grouped_threshold_fires(hits: DataFrame, groups: dict, keys=("pattern_key", "level"),
+                            bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+                            chunk_rows: int = DEFAULT_CHUNK_ROWS,
+                            resets: DataFrame | None = None) -> DataFrame:
+    """Fired hits for several thresholds at once: ``groups`` maps the value of
+    the ``tgroup`` column to its :class:`Threshold`.  Windowed groups share
+    one positioning pass; immediate groups are a plain dedup aggregate."""
     keys = list(keys)
-    k = int(threshold.required)
-    if threshold.window_seconds == 0 or k <= 1:
-        if threshold.window_seconds != 0 and threshold.samples < 1:
-            return immediate_fires(hits, keys).limit(0)
-        return immediate_fires(hits, keys)
-    if threshold.samples < k:
-        return immediate_fires(hits, keys).limit(0)
-
-    cand = candidates(hits, k, threshold.window_ns, keys, bucket_seconds, resets)
-    # chunks never split an equal-timestamp run: chunk of the run's first row
+    immediate = {g: th for g, th in groups.items()
+                 if th.window_seconds == 0 or (int(th.required) <= 1 and th.samples >= 1)}
+    windowed = {g: th for g, th in groups.items()
+                if g not in immediate and th.samples >= th.required}
+    out_cols = [*keys, "tgroup", "timestamp_ns", "seq", "hit_count"]
+    parts = []
+    if immediate:
+        parts.append(immediate_fires(hits.filter(F.col("tgroup").isin(list(immediate))), keys + ["tgroup"])
+                     .select(*out_cols))
+    if windowed:
+        parts.append(_windowed_fires(hits.filter(F.col("tgroup").isin(list(windowed))), windowed, keys,
+                                     bucket_seconds, chunk_rows, resets).select(*out_cols))
+    if not parts:
+        return immediate_fires(hits, keys + ["tgroup"]).select(*out_cols).limit(0)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _windowed_fires(hits, groups, keys, bucket_seconds, chunk_rows, resets):
+    cand = candidates(hits, groups, keys, bucket_seconds, resets)
+    # chunks never split an equal-timestamp run: all of a run share last_g
     cand = cand.withColumn("chunk", floor_div("last_g", int(chunk_rows)))
+    gkeys = keys + ["tgroup", "k"]
 
     # 3. transition table, one row per (key, chunk)
-    trans = (cand.groupBy(*keys, "chunk")
+    trans = (cand.groupBy(*gkeys, "chunk")
              .agg(F.min("g").alias("start"),
                   F.array_sort(F.collect_list(F.struct("g", "last_g"))).alias("cands"))
-             .select(*keys, "chunk", "start", _transition_expr(k).alias("exit_allowed")))
+             .select(*gkeys, "chunk", "start", _transition_expr().alias("exit_allowed")))
 
     # 4. chain the transitions along each key
-    key_fields = _key_fields(hits, keys)
+    key_fields = _key_fields(hits, keys) + [T.StructField("tgroup", hits.schema["tgroup"].dataType),
+                                            T.StructField("k", T.IntegerType())]
     entry_schema = T.StructType(key_fields + [
         T.StructField("chunk", T.LongType()),
         T.StructField("entry_allowed", T.LongType()),
@@ -169,11 +216,11 @@ def threshold_fires(hits: DataFrame, threshold: Threshold, keys=("pattern_key",
             e = max(0, allowed - int(starts[i]))
             entry[i] = starts[i] + e
             allowed = int(exits[i][e])
-        out = pdf[keys + ["chunk"]].copy()
+        out = pdf[gkeys + ["chunk"]].copy()
         out["entry_allowed"] = entry
         return out
 
-    entries = trans.groupBy(*keys).applyInPandas(chain, entry_schema)
+    entries = trans.groupBy(*gkeys).applyInPandas(chain, entry_schema)
 
     # 5. fold every chunk from its entry state, in parallel
     fired_schema = T.StructType(key_fields + [
@@ -183,6 +230,7 @@ def threshold_fires(hits: DataFrame, threshold: Threshold, keys=("pattern_key",
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("g")
+        k = int(pdf["k"].iloc[0])
         allowed = int(pdf["entry_allowed"].iloc[0])
         g = pdf["g"].to_numpy()
         last = pdf["last_g"].to_numpy()
@@ -191,13 +239,14 @@ def threshold_fires(hits: DataFrame, threshold: Threshold, keys=("pattern_key",
             if g[i] >= allowed:
                 keep[i] = True
                 allowed = int(last[i]) + k
-        return pdf.loc[keep, keys + ["timestamp_ns", "seq"]]
+        return pdf.loc[keep, gkeys + ["timestamp_ns", "seq"]]
 
-    fired = (cand.select(*keys, "chunk", "g", "last_g", "timestamp_ns", "seq")
-             .join(entries, keys + ["chunk"])
-             .groupBy(*keys, "chunk")
+    fired = (cand.select(*gkeys, "chunk", "g", "last_g", "timestamp_ns", "seq")
+             .join(entries, gkeys + ["chunk"])
+             .groupBy(*gkeys, "chunk")
              .applyInPandas(fold, fired_schema))
-    return fired.withColumn("hit_count", F.lit(min(k, int(threshold.samples))))
+    n_col = _by_group(groups, lambda th: int(th.samples)).cast("int")
+    return fired.withColumn("hit_count", F.least(F.col("k"), n_col))
 
 
 def window_hit_count(hits: DataFrame, window_seconds: int, keys=("pattern_key",),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -74,11 +75,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def materialize(df):
     """Write an intermediate result that several branches of a plan consume
-    to the shared checkpoint folder and read it back.
+    as a parquet table under the shared checkpoint folder and read it back.
 
-    This cuts the lineage (an executor lost later does not trigger a
-    recomputation from the source) and makes each consumer read the stored
-    rows instead of re-running the scan, keyword match and shuffle.
+    One job writes it (an eager ``checkpoint()`` would compute the data twice);
+    consumers then read only the columns they need, AQE sees real sizes,
+    and an executor lost later never triggers a recomputation from the
+    source because the lineage starts at the stored table.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/vigil-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
