@@ -158,3 +158,20 @@ def test_property_matches_python_fold(spark, raw, k, extra_n, w, chunk, bucket):
         got = [(a, b, c, d) for a, b, c, d in got]
     assert [(a, b, c) for a, b, c, _ in got] == [(a, b, c) for a, b, c, _ in expect]
     assert [d for *_, d in got] == [d for *_, d in expect]
+
+
+def test_adaptive_buckets_split_a_hot_key(spark, monkeypatch):
+    import vigilspark.operators.threshold as TH
+    rnd = random.Random(3)
+    t = BASE_NS
+    rows = []
+    for i in range(2000):
+        t += rnd.choice([1, 3, 40, 700]) * SEC
+        rows.append(("hot", t, i))
+    rows += [("cold", BASE_NS + i * 977 * SEC, 5000 + i) for i in range(50)]
+    monkeypatch.setattr(TH, "TARGET_BUCKET_ROWS", 100)
+    w = spark.range(1).select(TH.bucket_width(hits_df(spark, rows), ["pattern_key", "level"]).alias("w")).first().w
+    span = rows[1999][1] - rows[0][1]
+    assert abs(w - span / 2000 * 100) <= 1
+    got = fires(spark, rows, Threshold(3, 5, 600), chunk_rows=50)
+    assert got == python_fold(rows, 3, 5, 600)

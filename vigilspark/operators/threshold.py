@@ -52,8 +52,11 @@ from vigilspark.config import NS_PER_SECOND, Threshold
 from vigilspark.functions.columns import floor_div
 from vigilspark.session import materialize
 
-DEFAULT_BUCKET_SECONDS = 3600
+DEFAULT_BUCKET_SECONDS = None      # None: adaptive width (see bucket_width)
 DEFAULT_CHUNK_ROWS = 200_000
+TARGET_BUCKET_ROWS = 1_000_000
+MIN_BUCKET_NS = NS_PER_SECOND
+MAX_BUCKET_NS = 86_400 * NS_PER_SECOND
 
 
 def _key_fields(df: DataFrame, keys) -> list:
@@ -78,6 +81,26 @@ def _by_group(groups: dict, fn, default=None) -> Column:
     return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
 
 
+def bucket_width(hits: DataFrame, keys, target_rows: int | None = None) -> Column:
+    """Time-bucket width (ns) as a scalar subquery.
+
+    Only keys with more than ``target_rows`` hits need splitting; the width is
+    chosen so that the densest of them averages ``target_rows`` hits per
+    bucket, clamped to [1 s, 1 day].  One value for all keys: no join, and
+    the (key, bucket) partitioning spreads a hot key over many tasks.
+    """
+    target_rows = int(target_rows or TARGET_BUCKET_ROWS)
+    per_key = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+                                      (F.max("timestamp_ns") - F.min("timestamp_ns")).alias("span"))
+    width = (F.col("span").cast("double") / F.col("n") * F.lit(float(target_rows)))
+    w = (per_key.filter(F.col("n") > F.lit(int(target_rows)))
+         .agg(F.min(width).alias("w"))
+         .select(F.greatest(F.lit(MIN_BUCKET_NS),
+                            F.least(F.lit(MAX_BUCKET_NS), F.coalesce(F.col("w"), F.lit(float(MAX_BUCKET_NS)))
+                                    .cast("long"))).alias("w")))
+    return w.scalar()
+
+
 def candidates(hits: DataFrame, groups: dict, keys=("pattern_key", "level"),
                bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
                resets: DataFrame | None = None) -> DataFrame:
@@ -91,9 +114,15 @@ def candidates(hits: DataFrame, groups: dict, keys=("pattern_key", "level"),
     keys = list(keys)
     ks = sorted({int(th.required) for th in groups.values()})
     kmax = max(ks)
-    bucket_ns = int(bucket_seconds) * NS_PER_SECOND
-    base = hits.select(*keys, "tgroup", "timestamp_ns", "seq",
-                       floor_div("timestamp_ns", bucket_ns).alias("bucket"))
+    if bucket_seconds:
+        bucket = floor_div("timestamp_ns", int(bucket_seconds) * NS_PER_SECOND)
+    else:
+        w = bucket_width(hits, keys)
+        t = F.col("timestamp_ns")
+        # (t - pmod(t, w)) is an exact multiple of w: rounding the double
+        # quotient recovers the integer floor exactly
+        bucket = F.round((t - F.pmod(t, w)) / w).cast("long")
+    base = hits.select(*keys, "tgroup", "timestamp_ns", "seq", bucket.alias("bucket"))
 
     # 1. per-key offsets of every bucket (small table: keys x buckets)
     sizes = base.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("cnt"))
