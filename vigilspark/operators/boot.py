@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilspark.config import AlertRules, MAX_BOOT_WINDOW_SECONDS, MAX_TRACKED_BOOTS
 from vigilspark.operators.match import keyword_hits
+from vigilspark.session import materialize
 
 
 def in_boot_window(entries: DataFrame, window_seconds: int = MAX_BOOT_WINDOW_SECONDS) -> DataFrame:
@@ -39,12 +40,17 @@ def newest_boots(stats: DataFrame, keep: int = MAX_TRACKED_BOOTS) -> DataFrame:
 
 def retained_boot_stats(stats: DataFrame, keep: int = MAX_TRACKED_BOOTS) -> DataFrame:
     """R5 applied: boot stats of the newest ``keep`` boots only (semi-join on a
-    list of at most ``keep`` ids)."""
+    list of at most ``keep`` ids, broadcast: its size is bounded by ``keep``).
+
+    The stats (boots x keywords, small) are materialized first so the source
+    is scanned once for both the ranking and the result."""
+    stats = materialize(stats)
     return stats.join(F.broadcast(newest_boots(stats, keep).select("boot_id")), "boot_id", "left_semi")
 
 
 def boot_summary(stats: DataFrame) -> DataFrame:
     """Keywords of the newest boot, by hits descending then first hit."""
+    stats = materialize(stats)
     boots = stats.groupBy("boot_id").agg(F.min("first_seen_ns").alias("boot_first_ns"))
     newest = boots.agg(F.max_by("boot_id", "boot_first_ns").alias("boot_id"))
     return (stats.filter(F.col("boot_id") == newest.scalar())

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilspark.config import MAX_ENTRIES, NS_PER_SECOND, ROLLING_WINDOW_HOURS
+from vigilspark.functions.columns import floor_div
+from vigilspark.session import broadcast_if_small
 
 
 def rolling_window(entries: DataFrame, as_of_ns: int, hours: int = ROLLING_WINDOW_HOURS) -> DataFrame:
@@ -50,10 +52,23 @@ def pause_frame(spark: SparkSession, intervals) -> DataFrame:
 
 
 def pause_filtered(entries: DataFrame, pauses: DataFrame) -> DataFrame:
-    """drop entries arriving inside a pause interval (never replayed).
+    """drop entries arriving inside a pause interval ``[start_ns, end_ns)``.
 
-    The pause table is a handful of operator actions, so it is broadcast and
-    the range condition runs map-side next to the scan.
+    Range join made an equi-join: every pause interval is listed under each
+    UTC day it touches, entries carry their day, and the anti join matches on
+    the day with the range test as an extra condition — a hash join (AQE
+    broadcasts the pause side when it is small), never a nested loop.
     """
-    cond = (entries["timestamp_ns"] >= pauses["start_ns"]) & (entries["timestamp_ns"] < pauses["end_ns"])
-    return entries.join(F.broadcast(pauses), cond, "left_anti")
+    day = 86_400 * NS_PER_SECOND
+    p = pauses.select(
+        "start_ns", "end_ns",
+        F.explode(F.sequence(floor_div("start_ns", day), floor_div_end("end_ns", day))).alias("day"))
+    p = broadcast_if_small(p)
+    e = entries.withColumn("_day", floor_div("timestamp_ns", day))
+    cond = ((e["_day"] == p["day"]) & (e["timestamp_ns"] >= p["start_ns"]) & (e["timestamp_ns"] < p["end_ns"]))
+    return e.join(p, cond, "left_anti").drop("_day")
+
+
+def floor_div_end(c: str, d: int):
+    """Day of the last instant of a half-open interval ending at ``c``."""
+    return F.expr(f"((`{c}` - 1) - pmod(`{c}` - 1, {int(d)}L)) div {int(d)}L")

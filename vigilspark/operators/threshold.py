@@ -290,13 +290,18 @@ def window_hit_count(hits: DataFrame, window_seconds: int, keys=("pattern_key",)
     keys = list(keys)
     w_ns = int(window_seconds) * NS_PER_SECOND
     b_ns = int(bucket_seconds or max(4 * int(window_seconds), 3600)) * NS_PER_SECOND
-    base = hits.select(*keys, "timestamp_ns", "seq", floor_div("timestamp_ns", b_ns).alias("bucket"))
-    own = base.withColumn("ctx", F.lit(False))
-    ctx = (base.filter(F.col("timestamp_ns") >= (F.col("bucket") + 1) * F.lit(b_ns) - F.lit(w_ns))
-           .withColumn("bucket", F.col("bucket") + 1).withColumn("ctx", F.lit(True)))
+    bucket = floor_div("timestamp_ns", b_ns)
+    near_next = F.col("timestamp_ns") >= (bucket + 1) * F.lit(b_ns) - F.lit(w_ns)
+    # one scan: each hit lists its own bucket and, when within W of the next
+    # bucket's start, a context copy for that bucket
+    copies = F.array_compact(F.array(
+        F.struct(bucket.alias("bucket"), F.lit(False).alias("ctx")),
+        F.when(near_next, F.struct((bucket + 1).alias("bucket"), F.lit(True).alias("ctx")))))
+    rows = (hits.select(*keys, "timestamp_ns", "seq", F.explode(copies).alias("c"))
+            .select(*keys, "timestamp_ns", "seq", "c.bucket", "c.ctx"))
     w = (Window.partitionBy(*keys, "bucket").orderBy("timestamp_ns")
          .rangeBetween(-w_ns, Window.currentRow))
-    return (own.unionByName(ctx)
+    return (rows
             .withColumn("hits_in_window", F.count(F.lit(1)).over(w))
             .filter(~F.col("ctx"))
             .drop("ctx", "bucket"))

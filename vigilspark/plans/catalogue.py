@@ -17,7 +17,7 @@ from vigilspark.operators import alerts, baseline, boot, flags, match, report, r
 from vigilspark.operators.rules import rule_coverage
 from vigilspark.plans import params as P
 from vigilspark.sources import journal
-from vigilspark.sources.tables import document_lines, events_as_entries, read_table
+from vigilspark.sources.tables import document_lines, events_as_entries, load_entries, read_table
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +112,8 @@ def q_slot_baseline(spark, sf_dir):
 
 
 def q_baseline_merge(spark, sf_dir):
-    h = baseline.hourly_counts(_entries(spark, sf_dir))
-    first = baseline.slot_baseline(h.filter(F.col("hour_ns") < P.MERGE_SPLIT_NS))
-    second = baseline.slot_baseline(h.filter(F.col("hour_ns") >= P.MERGE_SPLIT_NS))
+    first = baseline.slot_baseline(baseline.hourly_counts(load_entries(spark, sf_dir, until_ns=P.MERGE_SPLIT_NS)))
+    second = baseline.slot_baseline(baseline.hourly_counts(load_entries(spark, sf_dir, since_ns=P.MERGE_SPLIT_NS)))
     m = baseline.merge_baselines(first, second)
     return m.select("source", "slot_key", "count", _r6("mean"), _r6("m2"))
 
@@ -127,14 +126,14 @@ def q_anomaly_online(spark, sf_dir):
 
 
 def q_anomaly_scored(spark, sf_dir):
-    e = _entries(spark, sf_dir)
-    h = baseline.hourly_counts(e)
-    train = h.filter(F.col("hour_ns") < P.TRAIN_END_NS)
-    b = baseline.slot_baseline(train)
+    """Train on the weeks before TRAIN_END, score the hours after it."""
+    train_e = load_entries(spark, sf_dir, until_ns=P.TRAIN_END_NS)
+    test_e = load_entries(spark, sf_dir, since_ns=P.TRAIN_END_NS)
+    b = baseline.slot_baseline(baseline.hourly_counts(train_e))
     conf = baseline.confidence_report(
-        baseline.seed_days(e.filter(F.col("timestamp_ns") < P.TRAIN_END_NS), P.TRAIN_END_NS),
-        baseline.direct_observation_days(_observation_log(e.filter(F.col("timestamp_ns") < P.TRAIN_END_NS))))
-    s = baseline.anomaly_scored(h.filter(F.col("hour_ns") >= P.TRAIN_END_NS), b, conf,
+        baseline.seed_days(train_e, P.TRAIN_END_NS),
+        baseline.direct_observation_days(_observation_log(train_e)))
+    s = baseline.anomaly_scored(baseline.hourly_counts(test_e), b, conf,
                                 P.ANOMALY_MIN_SAMPLES, P.ANOMALY_SENSITIVITY)
     return s.select("source", "hour_ns", "slot_key", "n", F.coalesce("samples", F.lit(0)).alias("samples"),
                     _r6("mean"), _r6("stddev"), "anomalous")
@@ -158,8 +157,7 @@ def q_confidence_report(spark, sf_dir):
 
 def q_status_report(spark, sf_dir):
     e = _entries(spark, sf_dir)
-    buf = retention.rolling_window(e, P.AS_OF_NS, P.RETENTION_HOURS)
-    return report.status_report(buf, _confidence(e), _pipeline(e))
+    return report.status_report(_buffer_entries(spark, sf_dir), _confidence(e), _pipeline(e))
 
 
 # --- alerts -------------------------------------------------------------------
@@ -254,13 +252,17 @@ def q_boot_summary(spark, sf_dir):
 
 # --- buffer / retention -----------------------------------------------------------
 
+def _buffer_entries(spark, sf_dir):
+    cutoff = P.AS_OF_NS - P.RETENTION_HOURS * 3600 * 10**9
+    return retention.rolling_window(load_entries(spark, sf_dir, since_ns=cutoff), P.AS_OF_NS, P.RETENTION_HOURS)
+
+
 def q_rolling_window(spark, sf_dir):
-    return retention.rolling_window(_entries(spark, sf_dir), P.AS_OF_NS, P.RETENTION_HOURS)
+    return _buffer_entries(spark, sf_dir)
 
 
 def q_capped_buffer(spark, sf_dir):
-    return retention.capped_buffer(
-        retention.rolling_window(_entries(spark, sf_dir), P.AS_OF_NS, P.RETENTION_HOURS), P.BUFFER_CAP)
+    return retention.capped_buffer(_buffer_entries(spark, sf_dir), P.BUFFER_CAP)
 
 
 def q_incremental_batch(spark, sf_dir):

@@ -87,3 +87,20 @@ def materialize(df):
     path = f"{base}/vigil-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df, max_rows: int = MAX_BROADCAST_ROWS):
+    """Broadcast ``df`` only after checking its size.
+
+    For side tables built from configuration (pause intervals, resets):
+    their row count is measured (a cheap action on a small table) and the
+    broadcast hint is added only below ``max_rows``; larger tables are left
+    to AQE's runtime size check and a shuffle join.
+    """
+    from pyspark.sql import functions as F
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df

@@ -36,8 +36,33 @@ def events_as_entries(events: DataFrame) -> DataFrame:
     )
 
 
-def load_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_as_entries(read_table(spark, sf_dir, "events"))
+def load_entries(spark: SparkSession, sf_dir: str, since_ns: int | None = None,
+                 until_ns: int | None = None) -> DataFrame:
+    """Entries of ``events``, optionally restricted to ``[since_ns, until_ns)``.
+
+    The bounds are also stated on the raw ``ts`` column so that the parquet
+    scan prunes row groups (a predicate on the derived ns column cannot be
+    pushed); the exact ns filter is kept on top.
+    """
+    events = read_table(spark, sf_dir, "events")
+    if since_ns is not None:
+        events = events.filter(F.col("ts") >= _ntz_literal(since_ns))
+    if until_ns is not None:
+        events = events.filter(F.col("ts") < _ntz_literal(until_ns))
+    out = events_as_entries(events)
+    if since_ns is not None:
+        out = out.filter(F.col("timestamp_ns") >= F.lit(int(since_ns)))
+    if until_ns is not None:
+        out = out.filter(F.col("timestamp_ns") < F.lit(int(until_ns)))
+    return out
+
+
+def _ntz_literal(ns: int):
+    """UTC wall-clock literal (µs) of a ns instant, as TIMESTAMP_NTZ."""
+    import datetime as dt
+    us = int(ns) // 1000
+    d = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us)
+    return F.lit(d.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
