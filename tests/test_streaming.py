@@ -71,3 +71,38 @@ def test_stream_hourly_and_rollup_equal_batch(spark, tmpdir_path):
     br = aggregate_rollup(batch_e, P.RULES, P.AGG_ANCHOR_NS)
     assert roll.exceptAll(br.select(*roll.columns)).count() == 0
     assert br.count() - roll.count() <= 1
+
+
+def test_stream_alert_pipeline_into_flag_sink_equals_batch(spark, tmpdir_path):
+    from vigilspark.operators.alerts import alert_pipeline
+    from vigilspark.sources.store import read_flags
+    from vigilspark.streaming.stream import flag_sink, stream_alert_pipeline
+    flat = _split_events(spark, tmpdir_path)
+    sink = os.path.join(tmpdir_path, "flags")
+    for run in range(2):      # the second run replays everything: the sink must not duplicate
+        e = entries_stream(spark, flat, max_files_per_trigger=1)
+        q = (stream_alert_pipeline(e, P.RULES).writeStream.outputMode("append")
+             .foreachBatch(flag_sink(sink))
+             .option("checkpointLocation", os.path.join(tmpdir_path, f"ck_sink{run}"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    got = read_flags(spark, sink)
+    batch = alert_pipeline(events_as_entries(spark.read.parquet(f"{SF}/events.parquet")), P.RULES)
+    assert got.count() == batch.count() == 3060
+    assert got.exceptAll(batch.select(*got.columns)).count() == 0
+
+
+def test_stream_journal_source(spark, tmpdir_path):
+    import json
+    from vigilspark.sources.journal import read_journal_stream
+    src = os.path.join(tmpdir_path, "journal")
+    os.makedirs(src)
+    rec = {"__REALTIME_TIMESTAMP": "1704067200000000", "_SYSTEMD_UNIT": "a.service", "MESSAGE": "error x"}
+    with open(os.path.join(src, "0.json"), "w") as f:
+        f.write("\n".join([json.dumps(rec), "", "{cut", json.dumps({**rec, "__REALTIME_TIMESTAMP": "bad"})]) + "\n")
+    out = _run(read_journal_stream(spark, src), "t_journal", os.path.join(tmpdir_path, "ckj"))
+    rows = out.orderBy("timestamp_ns").collect()
+    assert len(rows) == 2                      # blank and cut JSON rejected
+    assert rows[0].timestamp_ns == 1704067200000000000
+    assert rows[1].timestamp_ns > 1704067200000000000   # bad timestamp -> ingest time
+    assert {r.raw for r in rows} == {"a.service: error x"}

@@ -39,65 +39,92 @@ def entries_stream(spark: SparkSession, events_dir: str, max_files_per_trigger:
     return events_as_entries(reader.load(events_dir))
 
 
-def stream_threshold(hits: DataFrame, threshold: Threshold, keys=("pattern_key", "level"),
-                     watermark: str = "1 hour") -> DataFrame:
-    """T2/T3 over a stream: fired hits ``keys + (timestamp_ns, seq, hit_count)``."""
+def _fold_rows(rows, k: int, n: int, w_ns: int, hist: list, last_fired):
+    """The original tracker's per-key logic over rows sorted by (t, seq):
+    yields (row index, hit_count) of fired rows and returns the new state."""
+    fired = []
+    for i, t in rows:
+        if last_fired is not None and t == last_fired:
+            continue                          # T5: already flagged
+        if w_ns == 0:
+            fired.append((i, 1))
+            last_fired = t
+            continue
+        cutoff = t - w_ns
+        while hist and hist[0] < cutoff:
+            hist.pop(0)
+        hist.append(t)
+        hist = hist[-n:] if n > 0 else []
+        in_window = sum(1 for h in hist if h >= cutoff)
+        if n > 0 and in_window >= k:
+            fired.append((i, in_window))
+            last_fired = t
+            hist = []
+    return fired, hist, last_fired
+
+
+def stream_threshold(hits: DataFrame, threshold: Threshold | None = None, keys=("pattern_key", "level"),
+                     watermark: str = "1 hour", payload=()) -> DataFrame:
+    """T2/T3 over a stream: fired hits ``keys + (timestamp_ns, seq, hit_count)``
+    plus the ``payload`` columns of the fired rows.
+
+    With ``threshold=None`` the hits carry their own ``k``, ``n`` and ``w_ns``
+    columns (constant per key), so one stateful operator serves every tier.
+    """
     keys = list(keys)
-    k, n, w_ns = int(threshold.required), int(threshold.samples), threshold.window_ns
-    immediate = threshold.window_seconds == 0
+    payload = [c for c in payload if c not in keys and c not in ("timestamp_ns", "seq")]
     key_fields = [hits.schema[c] for c in keys]
     out_schema = T.StructType(key_fields + [
         T.StructField("timestamp_ns", T.LongType()),
         T.StructField("seq", T.LongType()),
         T.StructField("hit_count", T.IntegerType()),
-    ])
+    ] + [hits.schema[c] for c in payload])
+    if threshold is not None:
+        hits = (hits.withColumn("k", F.lit(int(threshold.required)))
+                .withColumn("n", F.lit(int(threshold.samples)))
+                .withColumn("w_ns", F.lit(int(threshold.window_ns))))
 
     def fold(key, batches: Iterator[pd.DataFrame], state):
         if state.hasTimedOut:
             state.remove()
             return
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["timestamp_ns", "seq"])
-        if state.exists:
-            hist, last_fired = state.get
-            hist = list(hist or [])
-        else:
-            hist, last_fired = [], None
-        fired = []
-        for t, s in zip(pdf["timestamp_ns"].tolist(), pdf["seq"].tolist()):
-            if last_fired is not None and t == last_fired:
-                continue                      # T5 within the stream
-            if immediate:
-                fired.append((t, s, 1))
-                last_fired = t
-                continue
-            cutoff = t - w_ns
-            while hist and hist[0] < cutoff:
-                hist.pop(0)
-            hist.append(t)
-            if n > 0:
-                hist = hist[-n:]
-            else:
-                hist = []
-            in_window = sum(1 for h in hist if h >= cutoff)
-            if n > 0 and in_window >= k:
-                fired.append((t, s, in_window))
-                last_fired = t
-                hist = []
+        pdf = pdf.reset_index(drop=True)
+        k, n, w_ns = int(pdf["k"].iloc[0]), int(pdf["n"].iloc[0]), int(pdf["w_ns"].iloc[0])
+        hist, last_fired = (list(state.get[0] or []), state.get[1]) if state.exists else ([], None)
+        fired, hist, last_fired = _fold_rows(enumerate(pdf["timestamp_ns"].tolist()), k, n, w_ns,
+                                             hist, last_fired)
         state.update((hist, last_fired))
-        newest = int(pdf["timestamp_ns"].max())
-        state.setTimeoutTimestamp(newest // 1000 // 1000 + max(w_ns // NS_PER_SECOND, 1) * 1000)
+        newest_ms = int(pdf["timestamp_ns"].max()) // 1_000_000
+        state.setTimeoutTimestamp(newest_ms + max(w_ns // 1_000_000, 1000))
         if fired:
-            rows = {c: [key[i]] * len(fired) for i, c in enumerate(keys)}
-            rows["timestamp_ns"] = [f[0] for f in fired]
-            rows["seq"] = [f[1] for f in fired]
-            rows["hit_count"] = [f[2] for f in fired]
-            yield pd.DataFrame(rows)
+            idx = [i for i, _ in fired]
+            out = pdf.loc[idx, keys + ["timestamp_ns", "seq"] + payload].copy()
+            out["hit_count"] = [c for _, c in fired]
+            yield out[[f.name for f in out_schema.fields]]
 
     src = hits.withColumn("_ts", ns_to_ts("timestamp_ns")).withWatermark("_ts", watermark)
     return (src.groupBy(*keys)
             .applyInPandasWithState(fold, out_schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
+def stream_alert_pipeline(entries: DataFrame, rules: AlertRules, watermark: str = "1 hour") -> DataFrame:
+    """T9 over a stream: keyword match, exclusions, tiers and every threshold
+    in one stateful operator keyed by (pattern_key, level).  ``flagged_at`` is
+    the entry's timestamp, as in batch, so batch and stream agree."""
+    from vigilspark.operators.alerts import PAYLOAD, _case, tiered_hits
+    hits, _ = tiered_hits(entries, rules, keep=PAYLOAD)
+    tiers = rules.tiers()
+    kw = F.col("keyword")
+    hits = (hits.withColumn("k", _case(kw, {t[0]: int(t[2].required) for t in tiers}).cast("int"))
+            .withColumn("n", _case(kw, {t[0]: int(t[2].samples) for t in tiers}).cast("int"))
+            .withColumn("w_ns", _case(kw, {t[0]: int(t[2].window_ns) for t in tiers}).cast("long")))
+    fired = stream_threshold(hits, None, ("pattern_key", "level", "note"), watermark,
+                             payload=["source", "raw", "priority"])
+    return fired.select("timestamp_ns", "source", "raw", "priority", "level",
+                        F.col("timestamp_ns").alias("flagged_at"), "pattern_key", "hit_count", "note")
+
+
 def stream_hourly_counts(entries: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """A1 over a stream: one row per (source, hour) once the hour is closed."""
     ts = ns_to_ts("timestamp_ns")
