@@ -45,8 +45,13 @@ def journal_entries(parsed: DataFrame, ingest_ns: Column | None = None, keep=())
     if ingest_ns is not None:
         ts = F.coalesce(ts, ingest_ns)
     unit = F.coalesce(F.col("_SYSTEMD_UNIT"), F.col("SYSLOG_IDENTIFIER"), F.lit("unknown"))
+    # order key for equal timestamps when the source has none: a hash of the
+    # record (identical records are identical entries)
+    fields = [f.name for f in JOURNAL_RECORD.fields if f.name != "_corrupt_record"]
+    seq = [] if "seq" in keep else [F.xxhash64(*fields).alias("seq")]
     return parsed.select(
         *keep,
+        *seq,
         ts.alias("timestamp_ns"),
         F.lit("journalctl").alias("source"),
         F.concat(unit, F.lit(": "), F.coalesce(F.col("MESSAGE"), F.lit(""))).alias("raw"),
