@@ -38,7 +38,8 @@ def journal_fixture(events: DataFrame) -> DataFrame:
     """Journal JSON lines built from ``events`` with some rows broken on
     purpose: blank line (k 0), cut JSON (k 1), non-numeric timestamp (k 2),
     missing unit (k 3), missing message (k 4), non-integer priority (k 5)."""
-    e = events_as_entries(events).join(events.select(F.col("event_id").alias("seq"), "props"), "seq")
+    # one projection of events: the entry columns plus the props they came from
+    e = events_as_entries(events, keep=["props"])
     k = F.col("props")
     us = floor_div("timestamp_ns", 1000).cast("string")
     js = F.to_json(F.struct(

@@ -63,11 +63,23 @@ def journal_entries(parsed: DataFrame, ingest_ns: Column | None = None, keep=())
 
 def split_rejects(parsed: DataFrame, drop_bad_timestamp: bool = True):
     """(good, rejects).  With ``drop_bad_timestamp=False`` (live stream)
-    bad timestamps stay good and get the ingest time later."""
+    bad timestamps stay good and get the ingest time later.
+
+    The split is a conditional ``explode`` rather than a ``filter``: a filter
+    would be pushed below the parsing projection with ``from_json`` inlined
+    into its condition, parsing every line several times.
+    """
     bad = F.col("reject_reason").isNotNull()
     if not drop_bad_timestamp:
         bad = bad & (F.col("reject_reason") != "bad_timestamp")
-    return parsed.filter(~bad), parsed.filter(bad)
+    cols = parsed.columns
+
+    def keep(cond):
+        row = F.struct(*[F.col(c) for c in cols])
+        return (parsed.select(F.explode(F.array_compact(F.array(F.when(cond, row)))).alias("_r"))
+                .select(*[F.col(f"_r.{c}").alias(c) for c in cols]))
+
+    return keep(~bad), keep(bad)
 
 
 def reject_counts(parsed: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def events_as_entries(events: DataFrame) -> DataFrame:
+def events_as_entries(events: DataFrame, keep=()) -> DataFrame:
     """Map ``events`` rows onto log entries.
 
     timestamp_ns = µs of ``ts`` (UTC) x 1000, seq = event_id,
@@ -24,6 +24,7 @@ def events_as_entries(events: DataFrame) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     us = F.unix_micros(ts)
     return events.select(
+        *keep,
         (us * F.lit(1000)).alias("timestamp_ns"),
         F.col("event_id").alias("seq"),
         F.concat(F.lit("svc_"), (F.col("user_id") % 8).cast("string")).alias("source"),
