@@ -25,16 +25,18 @@ def keyword_hits(entries: DataFrame, rules: AlertRules, keep=None) -> DataFrame:
     dropped here and re-joined later by ``seq`` for the few rows that fire.
     """
     keep = list(keep) if keep is not None else entries.columns
-    words = matched_keywords(lower_raw("raw"), rules.active_keywords, rules.exclusions)
-    return (entries
-            .select(*keep, F.explode(words).alias("keyword")))
+    # lower(raw) once per line, then every keyword tests the same value
+    low = entries.select(*keep, lower_raw("raw").alias("_low"))
+    words = matched_keywords(F.col("_low"), rules.active_keywords, rules.exclusions)
+    return low.select(*keep, F.explode(words).alias("keyword"))
 
 
 def aggregate_hits(entries: DataFrame, rules: AlertRules, keep=None) -> DataFrame:
     """matches of the aggregate (quarantined) keywords, no exclusions."""
     keep = list(keep) if keep is not None else entries.columns
-    words = matched_keywords(lower_raw("raw"), list(rules.aggregate))
-    return entries.select(*keep, F.explode(words).alias("keyword"))
+    low = entries.select(*keep, lower_raw("raw").alias("_low"))
+    words = matched_keywords(F.col("_low"), list(rules.aggregate))
+    return low.select(*keep, F.explode(words).alias("keyword"))
 
 
 def keyword_stats(hits: DataFrame, key: str = "source") -> DataFrame:
