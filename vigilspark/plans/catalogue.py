@@ -16,7 +16,7 @@ from vigilspark.session import materialize
 from vigilspark.operators import alerts, baseline, boot, flags, match, report, retention, rollup, threshold
 from vigilspark.operators.rules import rule_coverage
 from vigilspark.plans import params as P
-from vigilspark.sources import journal
+from vigilspark.sources import journal, store
 from vigilspark.sources.tables import document_lines, events_as_entries, load_entries, read_table
 
 
@@ -295,6 +295,29 @@ def q_flag_clear(spark, sf_dir):
     return flags.flag_clear(_pipeline(_entries(spark, sf_dir)), level="TRIAGE")
 
 
+def _scratch(spark, name: str) -> str:
+    import uuid
+    from vigilspark.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_flag_store_roundtrip(spark, sf_dir):
+    """S5 + F7: pipeline flags appended to the date-partitioned store, read
+    back for one level since a date (partition pruning + pushed filter)."""
+    path = _scratch(spark, "flags")
+    store.write_flags(_pipeline(_entries(spark, sf_dir)), path)
+    return store.read_flags(spark, path, since_ns=P.FLAG_SINCE_NS, level="PATTERN_WATCH")
+
+
+def q_buffer_snapshot_load(spark, sf_dir):
+    """The 48 h buffer written as JSON lines and loaded again one day
+    later: rows that expired in between are discarded on load."""
+    path = _scratch(spark, "buffer")
+    store.write_buffer(_buffer_entries(spark, sf_dir), path)
+    good, _ = store.read_buffer(spark, path, P.AS_OF_NS + P.SNAPSHOT_LOAD_DELAY_NS, P.RETENTION_HOURS)
+    return good
+
+
 # --- rules --------------------------------------------------------------------------
 
 def q_rule_coverage(spark, sf_dir):
@@ -338,4 +361,6 @@ QUERIES = {
     "flag_archive_split": q_flag_archive_split,
     "flag_clear": q_flag_clear,
     "rule_coverage": q_rule_coverage,
+    "flag_store_roundtrip": q_flag_store_roundtrip,
+    "buffer_snapshot_load": q_buffer_snapshot_load,
 }

@@ -460,6 +460,17 @@ def sql_rule_coverage():
 FROM r""")
 
 
+def sql_flag_store_roundtrip():
+    return pipeline_sql(body=f"SELECT * FROM flags WHERE level = 'PATTERN_WATCH' AND flagged_at >= {P.FLAG_SINCE_NS}")
+
+
+def sql_buffer_snapshot_load():
+    cutoff = P.AS_OF_NS - P.RETENTION_HOURS * HOUR_NS
+    load_cutoff = P.AS_OF_NS + P.SNAPSHOT_LOAD_DELAY_NS - P.RETENTION_HOURS * HOUR_NS
+    return _with([ENTRIES], f"""SELECT timestamp_ns, source, raw, priority FROM entries
+WHERE timestamp_ns >= {cutoff} AND timestamp_ns >= {load_cutoff}""")
+
+
 SQL = {name[4:]: fn for name, fn in list(globals().items()) if name.startswith("sql_") and callable(fn)}
 
 

@@ -34,4 +34,5 @@ PAUSES = [
 ]
 DOC_KEYWORDS = ["the", "tion", "eau"]
 HIT_WINDOW_SECONDS = 3600
+SNAPSHOT_LOAD_DELAY_NS = 24 * 3600 * NS_PER_SECOND
 EXTRA_THRESHOLD = Threshold(3, 5, 3600)

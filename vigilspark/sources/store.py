@@ -47,12 +47,28 @@ def write_flags(flags: DataFrame, path: str, mode: str = "append") -> None:
         .partitionBy("flagged_date").parquet(path)
 
 
-def read_flags(spark: SparkSession, path: str) -> DataFrame:
-    """Flags of a stored table; an absent table is empty, not an error."""
+def read_flags(spark: SparkSession, path: str, since_ns: int | None = None,
+               level: str | None = None) -> DataFrame:
+    """Flags of a stored table; an absent table is empty, not an error.
+
+    ``since_ns`` also filters the ``flagged_date`` partition column, so whole
+    day folders before it are never listed or read (partition pruning);
+    ``level`` is pushed into the parquet scan.
+    """
     if not _exists(spark, path):
         return spark.createDataFrame([], FLAT_FLAGS)
-    return spark.read.schema(_plus(FLAT_FLAGS, "flagged_date", T.DateType())).parquet(path) \
-        .drop("flagged_date")
+    df = spark.read.schema(_plus(FLAT_FLAGS, "flagged_date", T.DateType())).parquet(path)
+    if since_ns is not None:
+        day = F.lit(_utc_date(since_ns)).cast("date")
+        df = df.filter((F.col("flagged_date") >= day) & (F.col("flagged_at") >= F.lit(int(since_ns))))
+    if level is not None:
+        df = df.filter(F.col("level") == F.lit(level))
+    return df.drop("flagged_date")
+
+
+def _utc_date(ns: int) -> str:
+    import datetime as dt
+    return (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=int(ns) // 1000)).date().isoformat()
 
 
 def write_flags_jsonl(flags: DataFrame, path: str, mode: str = "append") -> None:
