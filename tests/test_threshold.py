@@ -175,3 +175,14 @@ def test_adaptive_buckets_split_a_hot_key(spark, monkeypatch):
     assert abs(w - span / 2000 * 100) <= 1
     got = fires(spark, rows, Threshold(3, 5, 600), chunk_rows=50)
     assert got == python_fold(rows, 3, 5, 600)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 3000)), min_size=1, max_size=150),
+       st.sampled_from([1, 30, 600]), st.sampled_from([None, 7, 100]))
+def test_window_hit_count_matches_brute_force(spark, raw, w, bucket):
+    rows = [(key, BASE_NS + t * SEC, i) for i, (key, t) in enumerate(raw)]
+    df = hits_df(spark, rows).drop("level")
+    got = {r.seq: r.hits_in_window for r in window_hit_count(df, w, ("pattern_key",), bucket).collect()}
+    expect = {s: sum(1 for k2, t2, _ in rows if k2 == k and t - w * SEC <= t2 <= t) for k, t, s in rows}
+    assert got == expect

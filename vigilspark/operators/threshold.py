@@ -282,26 +282,43 @@ def window_hit_count(hits: DataFrame, window_seconds: int, keys=("pattern_key",)
                      bucket_seconds: int | None = None) -> DataFrame:
     """Hits of the same key in ``[t - W, t]`` (RANGE frame, no reset).
 
-    Hits are cut into time buckets at least ``4 W`` wide; each hit is also
-    sent, as context, to the next bucket when it lies within ``W`` of its
-    start, so every frame is complete inside one bucket and a hot key spreads
-    over many tasks.  At most a quarter of the rows is sent twice.
+    Computed on global positions so that no key meets in one task:
+    ``count = #hits with time <= t  -  #hits with time < t - W``.  Every hit
+    also emits a probe row at ``t - W``; hits and probes are cut into
+    (key, time bucket) partitions of adaptive width, per-bucket hit counts
+    are prefix-summed on the small bucket table, and a running count inside
+    each bucket completes both terms (probes sort before hits at equal time,
+    so the lower bound is inclusive).  The two halves meet again in an
+    equi-join on (key, seq).
     """
     keys = list(keys)
     w_ns = int(window_seconds) * NS_PER_SECOND
-    b_ns = int(bucket_seconds or max(4 * int(window_seconds), 3600)) * NS_PER_SECOND
-    bucket = floor_div("timestamp_ns", b_ns)
-    near_next = F.col("timestamp_ns") >= (bucket + 1) * F.lit(b_ns) - F.lit(w_ns)
-    # one scan: each hit lists its own bucket and, when within W of the next
-    # bucket's start, a context copy for that bucket
-    copies = F.array_compact(F.array(
-        F.struct(bucket.alias("bucket"), F.lit(False).alias("ctx")),
-        F.when(near_next, F.struct((bucket + 1).alias("bucket"), F.lit(True).alias("ctx")))))
-    rows = (hits.select(*keys, "timestamp_ns", "seq", F.explode(copies).alias("c"))
-            .select(*keys, "timestamp_ns", "seq", "c.bucket", "c.ctx"))
-    w = (Window.partitionBy(*keys, "bucket").orderBy("timestamp_ns")
-         .rangeBetween(-w_ns, Window.currentRow))
-    return (rows
-            .withColumn("hits_in_window", F.count(F.lit(1)).over(w))
-            .filter(~F.col("ctx"))
-            .drop("ctx", "bucket"))
+    x = F.col("x")
+    if bucket_seconds:
+        b_ns = int(bucket_seconds) * NS_PER_SECOND
+        bucket = F.round((x - F.pmod(x, F.lit(b_ns))) / F.lit(b_ns)).cast("long")
+    else:
+        wid = bucket_width(hits, keys)
+        bucket = F.round((x - F.pmod(x, wid)) / wid).cast("long")
+    probe_flags = F.array(F.lit(False), F.lit(True))
+    rows = (hits.select(*keys, "timestamp_ns", "seq", F.explode(probe_flags).alias("probe"))
+            .withColumn("x", F.when(F.col("probe"), F.col("timestamp_ns") - F.lit(w_ns))
+                        .otherwise(F.col("timestamp_ns")))
+            .withColumn("bucket", bucket))
+    is_hit = F.when(F.col("probe"), F.lit(0)).otherwise(F.lit(1))
+    sizes = rows.groupBy(*keys, "bucket").agg(F.sum(is_hit).alias("cnt"))
+    wb = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "bucket", F.coalesce(F.sum("cnt").over(wb), F.lit(0)).cast("long").alias("off"))
+    w_upto = (Window.partitionBy(*keys, "bucket").orderBy("x")
+              .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    w_before = (Window.partitionBy(*keys, "bucket").orderBy("x", F.col("probe").desc(), "seq")
+                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = materialize(
+        rows.join(offsets, keys + ["bucket"])
+        .select(*keys, "timestamp_ns", "seq", "probe",
+                (F.col("off") + F.sum(is_hit).over(w_upto)).alias("upto"),
+                (F.col("off") + F.sum(is_hit).over(w_before)).alias("before")))
+    own = counted.filter(~F.col("probe")).select(*keys, "timestamp_ns", "seq", "upto")
+    lower = counted.filter(F.col("probe")).select(*keys, "seq", "before")
+    return (own.join(lower, keys + ["seq"])
+            .select(*keys, "timestamp_ns", "seq", (F.col("upto") - F.col("before")).cast("long").alias("hits_in_window")))
