@@ -318,6 +318,24 @@ def q_buffer_snapshot_load(spark, sf_dir):
     return good
 
 
+def q_history_seed(spark, sf_dir):
+    """The journal export of ``events`` seeded into the four state
+    tables (written to the checkpoint folder); the stored meta row plus the
+    sizes of the stored baseline and keyword tables."""
+    from vigilspark.plans.jobs import journal_export, seed_job
+    src = _scratch(spark, "journal")
+    journal_export(read_table(spark, sf_dir, "events")).write.text(src)
+    out = _scratch(spark, "seed")
+    meta = seed_job(spark, src, out, P.RULES, P.AS_OF_NS, boot_window_seconds=P.BOOT_WINDOW_SECONDS)
+    state = store.load_baseline(spark, out)
+    return meta.select(
+        "first_seen_ns", _r6("seed_days"), _r6("direct_days"), _r6("confidence"), "confidence_pct",
+        "monitoring_active",
+        state["baseline"].agg(F.count(F.lit(1))).scalar().alias("baseline_rows"),
+        state["baseline"].agg(F.sum("count")).scalar().alias("hour_samples"),
+        state["keyword_stats"].agg(F.count(F.lit(1))).scalar().alias("keyword_rows"))
+
+
 # --- rules --------------------------------------------------------------------------
 
 def q_rule_coverage(spark, sf_dir):
@@ -363,4 +381,5 @@ QUERIES = {
     "rule_coverage": q_rule_coverage,
     "flag_store_roundtrip": q_flag_store_roundtrip,
     "buffer_snapshot_load": q_buffer_snapshot_load,
+    "history_seed": q_history_seed,
 }

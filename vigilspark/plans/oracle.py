@@ -471,6 +471,31 @@ def sql_buffer_snapshot_load():
 WHERE timestamp_ns >= {cutoff} AND timestamp_ns >= {load_cutoff}""")
 
 
+def sql_history_seed():
+    """Journal rows that survive parsing, as the seed job sees them."""
+    ctes = _journal_ctes() + [
+        """good AS (
+  SELECT TRY_CAST(value->>'__REALTIME_TIMESTAMP' AS BIGINT) * 1000 AS timestamp_ns,
+         'journalctl' AS source,
+         coalesce(value->>'_SYSTEMD_UNIT', value->>'SYSLOG_IDENTIFIER', 'unknown') || ': ' || coalesce(value->>'MESSAGE', '') AS raw
+  FROM parsed WHERE reject_reason IS NULL)""",
+        _kw_values(P.RULES),
+        _hits(src="good", cols="e.timestamp_ns, e.source"),
+        f"""hh AS (SELECT timestamp_ns - (timestamp_ns % {HOUR_NS}) AS hour_ns, count(*) AS n FROM good GROUP BY 1)""",
+        f"""slots AS (SELECT DISTINCT CAST(isodow(make_timestamp(hour_ns // 1000)) - 1 AS VARCHAR) || '_' ||
+           lpad(CAST(hour(make_timestamp(hour_ns // 1000)) AS VARCHAR), 2, '0') AS slot_key FROM hh)""",
+        f"""m AS (SELECT ({P.AS_OF_NS} - min(timestamp_ns)) / {float(NS_PER_DAY)} AS seed_days FROM good)"""]
+    return _with(ctes, """SELECT (SELECT CAST(coalesce(min(timestamp_ns), 0) AS BIGINT) FROM hits) AS first_seen_ns,
+       round(seed_days, 6) AS seed_days, 0.0 AS direct_days,
+       round(least(seed_days / 14.0, 1.0) * 0.4, 6) AS confidence,
+       CAST(floor(least(seed_days / 14.0, 1.0) * 0.4 * 100) AS INTEGER) AS confidence_pct,
+       least(seed_days / 14.0, 1.0) * 0.4 >= 0.1 AS monitoring_active,
+       (SELECT count(*) FROM slots) AS baseline_rows,
+       (SELECT count(*) FROM hh) AS hour_samples,
+       (SELECT count(DISTINCT keyword) FROM hits) AS keyword_rows
+FROM m""")
+
+
 SQL = {name[4:]: fn for name, fn in list(globals().items()) if name.startswith("sql_") and callable(fn)}
 
 
