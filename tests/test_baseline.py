@@ -120,18 +120,18 @@ def test_scan_lines_and_exclusions(spark):
     e = entries_df(spark, [(BASE_NS, "journalctl", "kernel: buffer overrun detected in driver"),
                            (BASE_NS, "journalctl", "systemd: started session 42"),
                            (BASE_NS, "journalctl", "kernel: i/o error on disk, filesystem corrupted"),
-                           (BASE_NS, "journalctl", "gtk: error in sctk_adwaita frame")])
-    rules = AlertRules(exclusions={"error": "sctk_adwaita"})
+                           (BASE_NS, "journalctl", "ui: error in theme_probe frame")])
+    rules = AlertRules(exclusions={"error": "theme_probe"})
     got = sorted((r.seq, r.keyword) for r in M.keyword_hits(e, rules).collect())
     assert got == [(0, "buffer overrun"), (2, "corrupted"), (2, "error"), (2, "i/o error")]
 
 
 def test_aggregate_keywords_ignore_exclusions(spark):
-    e = entries_df(spark, [(BASE_NS, "x", "Failed to force redraw for corner radius change.")])
-    rules = AlertRules(aggregate={"Failed to force redraw for corner radius change.": 1800},
-                       exclusions={"failed": "failed to force redraw for corner radius change."})
+    e = entries_df(spark, [(BASE_NS, "x", "Spam Line From A Buggy Daemon")])
+    rules = AlertRules(watched=["spam"], aggregate={"Spam Line From A Buggy Daemon": 1800},
+                       exclusions={"spam": "spam line from a buggy daemon"})
     assert [r.keyword for r in M.aggregate_hits(e, rules).collect()] == [
-        "failed to force redraw for corner radius change."]
+        "spam line from a buggy daemon"]
     assert [r.keyword for r in M.keyword_hits(e, rules).collect()] == []
 
 

@@ -1,5 +1,5 @@
-"""Threshold fold (T2/T3/T5/T7/T8): the original tool's alert tests as
-DataFrame tests, plus a property test against a plain Python fold."""
+"""Threshold fold (T2/T3/T5/T7/T8): the original tool's alert scenarios as
+DataFrame tests, plus property tests against a plain Python fold."""
 
 import random
 from collections import defaultdict, deque
@@ -26,7 +26,8 @@ def fires(spark, rows, th, **kw):
 
 
 def python_fold(rows, k, n, w_s):
-    """The original tracker's per-key deque logic, literally."""
+    """Plain per-key reference fold of the semantics (bounded history,
+    inclusive window, reset and dedup on fire), one hit at a time."""
     by_key = defaultdict(list)
     for key, t, s in rows:
         by_key[key].append((t, s))
