@@ -93,6 +93,9 @@ def test_flag_persistence_and_dedup(spark, tmpdir_path):
     n = store.archive_flags(spark, live, arch, live2, BASE_NS + 10 * DAY, 7)
     assert n == 8 and store.read_flags(spark, live2).count() == 1
     assert store.read_flags(spark, arch).count() == 8
+    # a rerun (e.g. after a failure before the live rewrite) archives nothing twice
+    assert store.archive_flags(spark, live, arch, live2 + "_rerun", BASE_NS + 10 * DAY, 7) == 0
+    assert store.read_flags(spark, arch).count() == 8
     live3 = os.path.join(tmpdir_path, "flags_v3")
     assert store.clear_flags(spark, live2, live3, "TRIAGE") == 1
     assert store.read_flags(spark, live3).count() == 0

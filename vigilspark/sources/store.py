@@ -97,16 +97,19 @@ def archive_flags(spark: SparkSession, live_path: str, archive_path: str, new_li
     """M3: move flags older than ``as_of - days`` to the archive.
 
     The archive is appended first, then the remaining flags are written as a
-    new live version; if the job dies in between, rerunning it appends the
-    same rows again, so readers de-duplicate the archive on
-    (timestamp_ns, pattern_key, level).  Returns the number archived.
+    new live version.  The append skips flags the archive already holds
+    (anti-join on timestamp, key and level), so rerunning the job after a
+    failure between the two writes archives nothing twice.  Returns the
+    number of flags moved to the archive by this run.
     """
     cutoff = int(as_of_ns) - int(days) * NS_PER_DAY
     flags = read_flags(spark, live_path)
     old = flags.filter(F.col("flagged_at") < F.lit(cutoff))
-    n = old.count()
+    have = read_flags(spark, archive_path).select("timestamp_ns", "pattern_key", "level")
+    fresh = old.join(have, ["timestamp_ns", "pattern_key", "level"], "left_anti")
+    n = fresh.count()
     if n:
-        write_flags(old, archive_path, "append")
+        write_flags(fresh, archive_path, "append")
     write_flags(flags.filter(F.col("flagged_at") >= F.lit(cutoff)), new_live_path, "overwrite")
     return n
 
