@@ -106,3 +106,23 @@ def test_stream_journal_source(spark, tmpdir_path):
     assert rows[0].timestamp_ns == 1704067200000000000
     assert rows[1].timestamp_ns > 1704067200000000000   # bad timestamp -> ingest time
     assert {r.raw for r in rows} == {"a.service: error x"}
+
+
+def test_stream_skips_hits_flagged_in_an_earlier_run(spark, tmpdir_path):
+    from vigilspark.operators.alerts import alert_pipeline
+    from vigilspark.sources.store import dedup_keys, read_flags, write_flags
+    from vigilspark.streaming.stream import stream_alert_pipeline
+    flat = _split_events(spark, tmpdir_path)
+    batch_e = events_as_entries(spark.read.parquet(f"{SF}/events.parquet"))
+    sink = os.path.join(tmpdir_path, "flags")
+    first = alert_pipeline(batch_e, P.RULES)
+    write_flags(first, sink)
+    e = entries_stream(spark, flat, max_files_per_trigger=1)
+    again = _run(stream_alert_pipeline(e, P.RULES, prior_flags=dedup_keys(spark, sink)), "t_again",
+                 os.path.join(tmpdir_path, "ck_again"))
+    seen = {(r.timestamp_ns, r.pattern_key) for r in read_flags(spark, sink).collect()}
+    new = {(r.timestamp_ns, r.pattern_key) for r in again.collect()}
+    assert not (seen & new)
+    # the same as the batch pipeline given the same prior flags
+    expect = alert_pipeline(batch_e, P.RULES, prior_flags=dedup_keys(spark, sink))
+    assert new == {(r.timestamp_ns, r.pattern_key) for r in expect.collect()}

@@ -63,7 +63,8 @@ def monitor_job(spark: SparkSession, journal_dir: str, state_dir: str, rules: Al
     entries = journal.read_journal_stream(spark, journal_dir)
     flags_path = os.path.join(state_dir, "flags")
     queries = []
-    q = (stream.stream_alert_pipeline(entries, rules).writeStream.outputMode("append")
+    prior = store.dedup_keys(spark, flags_path)
+    q = (stream.stream_alert_pipeline(entries, rules, prior_flags=prior).writeStream.outputMode("append")
          .foreachBatch(stream.flag_sink(flags_path))
          .option("checkpointLocation", os.path.join(state_dir, "_ck_flags"))
          .trigger(**trigger).start())

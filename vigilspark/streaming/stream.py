@@ -108,12 +108,18 @@ def stream_threshold(hits: DataFrame, threshold: Threshold | None = None, keys=(
             .applyInPandasWithState(fold, out_schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
-def stream_alert_pipeline(entries: DataFrame, rules: AlertRules, watermark: str = "1 hour") -> DataFrame:
+def stream_alert_pipeline(entries: DataFrame, rules: AlertRules, watermark: str = "1 hour",
+                          prior_flags: DataFrame | None = None) -> DataFrame:
     """T9 over a stream: keyword match, exclusions, tiers and every threshold
     in one stateful operator keyed by (pattern_key, level).  ``flagged_at`` is
-    the entry's timestamp, as in batch, so batch and stream agree."""
-    from vigilspark.operators.alerts import PAYLOAD, _case, tiered_hits
+    the entry's timestamp, as in batch, so batch and stream agree.
+
+    ``prior_flags`` (a static table, e.g. the flag store read at start) is
+    anti-joined before counting: a hit flagged in an earlier run is skipped,
+    not counted again (T5 across restarts)."""
+    from vigilspark.operators.alerts import PAYLOAD, _case, dedup, tiered_hits
     hits, _ = tiered_hits(entries, rules, keep=PAYLOAD)
+    hits = dedup(hits, prior_flags)
     tiers = rules.tiers()
     kw = F.col("keyword")
     hits = (hits.withColumn("k", _case(kw, {t[0]: int(t[2].required) for t in tiers}).cast("int"))
