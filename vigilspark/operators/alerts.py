@@ -9,7 +9,6 @@ their entries by ``seq`` — the raw text travels only for rows that fire.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
