@@ -115,13 +115,22 @@ def correlation_alerts(entries: DataFrame, rules: AlertRules, group: Correlation
                        bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
                        chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Hits of ``group.keyword`` from any of ``group.sources`` share one
-    pattern key (the group name) and run the CORRELATION threshold."""
+    pattern key (the group name) and run the CORRELATION threshold.
+
+    With ``group.min_distinct_sources = 2`` the retained hits must also come
+    from at least two sources (see :mod:`vigilspark.operators.correlation`)."""
+    from vigilspark.operators.correlation import distinct_source_fires
     hits = keyword_hits(entries.filter(F.col("source").isin(list(group.sources))), rules, keep=list(PAYLOAD))
     hits = (hits.filter(F.col("keyword") == group.keyword)
             .select(*PAYLOAD, F.lit(group.name).alias("pattern_key"), F.lit("CORRELATION").alias("level")))
     hits = materialize(dedup(hits, prior_flags))
-    fires = threshold_fires(hits.select("pattern_key", "level", "timestamp_ns", "seq"), group.threshold,
-                            ("pattern_key", "level"), bucket_seconds, chunk_rows)
+    if group.min_distinct_sources > 1:
+        fires = distinct_source_fires(hits.select("pattern_key", "level", "timestamp_ns", "seq", "source"),
+                                      group.threshold, group.min_distinct_sources, ("pattern_key", "level"),
+                                      "source", bucket_seconds, chunk_rows)
+    else:
+        fires = threshold_fires(hits.select("pattern_key", "level", "timestamp_ns", "seq"), group.threshold,
+                                ("pattern_key", "level"), bucket_seconds, chunk_rows)
     fires = fires.withColumn(
         "note", F.lit(f"Keyword '{group.keyword}' correlated across {', '.join(group.sources)}"))
     return flagged_rows(fires, hits)

@@ -190,6 +190,14 @@ def q_correlation_alerts(spark, sf_dir):
     return alerts.correlation_alerts(e, P.RULES, P.RULES.correlation[0])
 
 
+def q_correlation_span_alerts(spark, sf_dir):
+    """T6 with the documented intent: the retained hits must come from at
+    least two of the group's sources."""
+    import dataclasses
+    g = dataclasses.replace(P.RULES.correlation[0], min_distinct_sources=2)
+    return alerts.correlation_alerts(_entries(spark, sf_dir), P.RULES, g)
+
+
 def q_alert_pipeline(spark, sf_dir):
     return _pipeline(_entries(spark, sf_dir))
 
@@ -362,6 +370,7 @@ QUERIES = {
     "pattern_watch_alerts": q_pattern_watch_alerts,
     "noisy_alerts": q_noisy_alerts,
     "correlation_alerts": q_correlation_alerts,
+    "correlation_span_alerts": q_correlation_span_alerts,
     "alert_pipeline": q_alert_pipeline,
     "error_alerts_1h": q_error_alerts_1h,
     "window_hit_count": q_window_hit_count,

@@ -332,6 +332,45 @@ def sql_correlation_alerts():
     return _with(ctes + c, _flag_select(name))
 
 
+def sql_correlation_span_alerts():
+    g = P.RULES.correlation[0]
+    k, n, w = int(g.threshold.required), int(g.threshold.samples), int(g.threshold.window_seconds) * NS_PER_SECOND
+    srcs = ", ".join(_q(s) for s in g.sources)
+    note = f"Keyword '{g.keyword}' correlated across {', '.join(g.sources)}"
+    ctes = [ENTRIES, _kw_values(P.RULES), _hits(cols="e.timestamp_ns, e.seq, e.source"),
+            f"""ch AS (SELECT timestamp_ns, seq, source, {_q(g.name)} AS pattern_key, 'CORRELATION' AS level
+  FROM hits WHERE keyword = {_q(g.keyword)} AND source IN ({srcs}))""",
+            f"""hp AS (
+  SELECT *,
+    row_number() OVER (PARTITION BY pattern_key ORDER BY timestamp_ns, seq) - 1 AS g,
+    count(*) OVER (PARTITION BY pattern_key ORDER BY timestamp_ns RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS last_g,
+    coalesce(count(*) OVER (PARTITION BY pattern_key ORDER BY timestamp_ns
+             RANGE BETWEEN UNBOUNDED PRECEDING AND CAST({w + 1} AS BIGINT) PRECEDING), 0) AS lo_w
+  FROM ch)""",
+            """hr AS (
+  SELECT *, max(CASE WHEN prev_src IS DISTINCT FROM source THEN g END)
+              OVER (PARTITION BY pattern_key ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_start
+  FROM (SELECT *, lag(source) OVER (PARTITION BY pattern_key ORDER BY g) AS prev_src FROM hp) x)""",
+            f"""cs AS (
+  SELECT *, greatest(lo_w, g - {n - 1}) AS a,
+         CASE WHEN run_start > 0 THEN least(g - {k - 1}, run_start - 1) END AS b
+  FROM hr)""",
+            "cc AS (SELECT * FROM cs WHERE b IS NOT NULL AND a <= b)",
+            """fr(pk, g, rin) AS (
+  SELECT pattern_key, min(g), CAST(-1 AS BIGINT) FROM cc GROUP BY pattern_key
+  UNION ALL
+  SELECT x.pk, x.g, x.rin FROM (
+    SELECT f.pk, min(c2.g) AS g, any_value(cf.last_g + 1) AS rin
+    FROM fr f JOIN cc cf ON cf.pattern_key = f.pk AND cf.g = f.g
+              JOIN cc c2 ON c2.pattern_key = f.pk AND c2.b >= cf.last_g + 1
+    GROUP BY f.pk) x WHERE x.g IS NOT NULL)""",
+            f"""fires_span AS (
+  SELECT c.pattern_key, c.level, {_q(note)} AS note, c.timestamp_ns, c.seq,
+         c.g - greatest(f.rin, c.a) + 1 AS hit_count
+  FROM cc c JOIN fr f ON c.pattern_key = f.pk AND c.g = f.g)"""]
+    return _with(ctes, _flag_select("fires_span"))
+
+
 def sql_alert_pipeline():
     return pipeline_sql()
 
