@@ -105,7 +105,11 @@ def archive_flags(spark: SparkSession, live_path: str, archive_path: str, new_li
     cutoff = int(as_of_ns) - int(days) * NS_PER_DAY
     flags = read_flags(spark, live_path)
     old = flags.filter(F.col("flagged_at") < F.lit(cutoff))
-    have = read_flags(spark, archive_path).select("timestamp_ns", "pattern_key", "level")
+    earliest = old.agg(F.min("flagged_at")).first()[0]
+    # the archive can only hold copies of these flags from their earliest
+    # date on: prune the anti-join's read to those partitions
+    have = read_flags(spark, archive_path, since_ns=earliest if earliest is not None else cutoff) \
+        .select("timestamp_ns", "pattern_key", "level")
     fresh = old.join(have, ["timestamp_ns", "pattern_key", "level"], "left_anti")
     n = fresh.count()
     if n:

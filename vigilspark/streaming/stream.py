@@ -177,7 +177,12 @@ def flag_sink(path: str):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = read_flags(spark, path).select("timestamp_ns", "pattern_key", "level")
+        earliest = batch.agg(F.min("flagged_at")).first()[0]
+        if earliest is None:
+            return
+        # only flags at or after the batch's earliest flag can collide with
+        # it: read just those date partitions, not the whole growing table
+        seen = read_flags(spark, path, since_ns=earliest).select("timestamp_ns", "pattern_key", "level")
         fresh = batch.join(seen, ["timestamp_ns", "pattern_key", "level"], "left_anti")
         write_flags(fresh, path, "append")
 
