@@ -68,6 +68,9 @@ def _fold_groups(hits: DataFrame, gid: dict, bucket_seconds: int, chunk_rows: in
     # note is a function of the pattern key, so carrying it as a key column
     # does not change the grouping; all thresholds share one positioning pass
     groups = {i: th for th, i in gid.items()}
+    if not groups:
+        return hits.select("pattern_key", "level", "note", "timestamp_ns", "seq",
+                           F.lit(0).alias("hit_count")).limit(0)
     return grouped_threshold_fires(hits, groups, ("pattern_key", "level", "note"),
                                    bucket_seconds, chunk_rows, resets).drop("tgroup")
 
@@ -91,7 +94,7 @@ PAYLOAD = ("timestamp_ns", "seq", "source", "raw", "priority")
 
 
 def alert_pipeline(entries: DataFrame, rules: AlertRules, prior_flags: DataFrame | None = None,
-                   resets: DataFrame | None = None, levels=None,
+                   resets: DataFrame | None = None, levels=None, keywords=None,
                    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
                    chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Keyword match -> exclusion -> tier -> dedup -> threshold -> flags.
@@ -99,11 +102,19 @@ def alert_pipeline(entries: DataFrame, rules: AlertRules, prior_flags: DataFrame
     The source is scanned and matched once: the hits (with their payload)
     are materialized and every threshold group and the final payload join
     read them.  ``flagged_at`` is the entry's own timestamp, so reruns are
-    deterministic.  ``levels`` restricts the tiers evaluated.
+    deterministic.  ``levels`` / ``keywords`` restrict the tiers / keywords
+    evaluated (pattern keys are per keyword, so this changes nothing else).
     """
     hits, gid = tiered_hits(entries, rules, keep=PAYLOAD)
     if levels is not None:
         hits = hits.filter(F.col("level").isin(list(levels)))
+    if keywords is not None:
+        hits = hits.filter(F.col("keyword").isin(list(keywords)))
+    if levels is not None or keywords is not None:
+        # only the thresholds of the selected tiers and keywords are evaluated
+        used = {th for kw, level, th, _ in rules.tiers()
+                if (levels is None or level in set(levels)) and (keywords is None or kw in set(keywords))}
+        gid = {th: i for th, i in gid.items() if th in used}
     hits = materialize(dedup(hits, prior_flags))
     fires = _fold_groups(hits.select("pattern_key", "level", "note", "tgroup", "timestamp_ns", "seq"),
                          gid, bucket_seconds, chunk_rows, resets)

@@ -163,8 +163,8 @@ def q_status_report(spark, sf_dir):
 
 # --- alerts -------------------------------------------------------------------
 
-def _pipeline(e: DataFrame, levels=None) -> DataFrame:
-    return alerts.alert_pipeline(e, P.RULES, levels=levels)
+def _pipeline(e: DataFrame, levels=None, keywords=None) -> DataFrame:
+    return alerts.alert_pipeline(e, P.RULES, levels=levels, keywords=keywords)
 
 
 def q_triage_alerts(spark, sf_dir):
@@ -176,13 +176,11 @@ def q_pattern_watch_alerts(spark, sf_dir):
     rules = P.RULES
     standard = [k for k in rules.active_keywords
                 if k not in rules.critical_keywords and k not in rules.noisy]
-    out = _pipeline(e, levels=["PATTERN_WATCH"])
-    return out.filter(F.substring_index("pattern_key", ":", -1).isin(standard))
+    return _pipeline(e, levels=["PATTERN_WATCH"], keywords=standard)
 
 
 def q_noisy_alerts(spark, sf_dir):
-    out = _pipeline(_entries(spark, sf_dir), levels=["PATTERN_WATCH"])
-    return out.filter(F.substring_index("pattern_key", ":", -1).isin(list(P.RULES.noisy)))
+    return _pipeline(_entries(spark, sf_dir), levels=["PATTERN_WATCH"], keywords=list(P.RULES.noisy))
 
 
 def q_correlation_alerts(spark, sf_dir):

@@ -127,9 +127,12 @@ def clear_flags(spark: SparkSession, live_path: str, new_live_path: str, level:
     return before - read_flags(spark, new_live_path).count()
 
 
-def dedup_keys(spark: SparkSession, *paths: str) -> DataFrame:
-    """T5 memory: (timestamp_ns, pattern_key) of live and archived flags."""
-    parts = [read_flags(spark, p).select("timestamp_ns", "pattern_key") for p in paths]
+def dedup_keys(spark: SparkSession, *paths: str, since_ns: int | None = None) -> DataFrame:
+    """T5 memory: (timestamp_ns, pattern_key) of live and archived flags.
+
+    ``since_ns`` (the earliest entry about to be processed) prunes the read
+    to the date partitions that can still collide."""
+    parts = [read_flags(spark, p, since_ns=since_ns).select("timestamp_ns", "pattern_key") for p in paths]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
