@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vigilspark.config import AlertRules
 from vigilspark.functions.columns import lower_raw
 from vigilspark.schemas import RULE_ROW
+from vigilspark.session import broadcast_if_small
 
 
 def rule_keywords(rules: AlertRules) -> list:
@@ -88,6 +89,6 @@ def rule_coverage(spark: SparkSession, entries: DataFrame, rules: AlertRules) ->
     stack = F.explode(F.array(*[F.struct(F.lit(kw).alias("keyword"), F.col(f"c{i}").alias("matched_lines"))
                                 for i, kw in enumerate(names)]))
     counts = wide.select(stack.alias("s")).select("s.keyword", "s.matched_lines")
-    return (F.broadcast(rdf).join(counts, "keyword")
+    return (broadcast_if_small(rdf).join(counts, "keyword")
             .select("keyword", "level", "matched_lines",
                     F.col("level").isNotNull().alias("reachable")))
