@@ -62,15 +62,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` is read from the session; only when it is unset
     (tests, local benches) a scratch folder is created and registered.
     """
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="vigil-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(conf_dir)
-    return sc._jsc.sc().getCheckpointDir().get()
+    try:
+        sc = spark.sparkContext
+        current = sc._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            return current.get()
+        conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
+        if not conf_dir:
+            conf_dir = tempfile.mkdtemp(prefix="vigil-ckpt-", dir="/tmp")
+        sc.setCheckpointDir(conf_dir)
+        return sc._jsc.sc().getCheckpointDir().get()
+    except Exception:  # noqa: BLE001 - sessions without a JVM gateway
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        return conf_dir or tempfile.mkdtemp(prefix="vigil-ckpt-", dir="/tmp")
 
 
 def materialize(df):

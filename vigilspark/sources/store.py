@@ -228,10 +228,17 @@ def import_baseline_document(spark: SparkSession, path: str) -> dict:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).exists(p)
+    except Exception:  # noqa: BLE001 - sessions without a JVM gateway
+        try:
+            spark.read.format("binaryFile").load(path).limit(1).count()
+            return True
+        except Exception:  # noqa: BLE001
+            return False
 
 
 def text_log(spark: SparkSession, path: str) -> DataFrame:
