@@ -525,7 +525,7 @@ def sql_history_seed():
            lpad(CAST(hour(make_timestamp(hour_ns // 1000)) AS VARCHAR), 2, '0') AS slot_key FROM hh)""",
         f"""m AS (SELECT ({P.AS_OF_NS} - min(timestamp_ns)) / {float(NS_PER_DAY)} AS seed_days FROM good)"""]
     return _with(ctes, """SELECT (SELECT CAST(coalesce(min(timestamp_ns), 0) AS BIGINT) FROM hits) AS first_seen_ns,
-       round(seed_days, 6) AS seed_days, 0.0 AS direct_days,
+       round(seed_days, 6) AS seed_days, CAST(0.0 AS DOUBLE) AS direct_days,
        round(least(seed_days / 14.0, 1.0) * 0.4, 6) AS confidence,
        CAST(floor(least(seed_days / 14.0, 1.0) * 0.4 * 100) AS INTEGER) AS confidence_pct,
        least(seed_days / 14.0, 1.0) * 0.4 >= 0.1 AS monitoring_active,
