@@ -34,9 +34,16 @@ def test_every_query_has_oracle():
     assert set(E.queries()) == set(E.oracle_sql())
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF).toPandas()
-    ddf = con.execute(E.oracle_sql()[name]).df()
+    df = E.queries()[name](spark, SF)
+    rel = con.sql(E.oracle_sql()[name])
+    spark_types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    sdf = df.toPandas()
+    ddf = rel.df()
     assert sorted(sdf.columns) == sorted(ddf.columns)
     assert norm(sdf) == norm(ddf)
