@@ -90,6 +90,10 @@ def bucket_width(hits: DataFrame, keys, target_rows: int | None = None) -> Colum
     the (key, bucket) partitioning spreads a hot key over many tasks.
     """
     target_rows = int(target_rows or TARGET_BUCKET_ROWS)
+    # no key can exceed the target when the whole table does not: skip the
+    # per-key aggregation (an early-stopping count instead of a shuffle)
+    if hits.limit(target_rows + 1).count() <= target_rows:
+        return F.lit(MAX_BUCKET_NS)
     per_key = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
                                       (F.max("timestamp_ns") - F.min("timestamp_ns")).alias("span"))
     width = (F.col("span").cast("double") / F.col("n") * F.lit(float(target_rows)))
