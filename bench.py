@@ -2,7 +2,7 @@
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS
 (default 8), BENCH_QUERIES (comma list, default: the headline set),
-BENCH_REPEAT (default 2: one cold run, then warm runs; the best warm run
+BENCH_REPEAT (default 3: one cold run, then warm runs; the best warm run
 is reported).
 """
 
@@ -36,7 +36,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = [q for q in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if q]
-    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
     spark = get_session(f"local[{cpus}]", shuffle_partitions=max(8, cpus))
     times = {}
     for name in names:
