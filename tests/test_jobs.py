@@ -44,7 +44,8 @@ def test_monitor_job(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "journal")
     _export(spark, src)
     state = os.path.join(tmpdir_path, "state")
-    for q in monitor_job(spark, src, state, RULES, P.AGG_ANCHOR_NS, trigger={"availableNow": True}):
+    for q in monitor_job(spark, src, state, RULES, P.AGG_ANCHOR_NS, trigger={"availableNow": True},
+                         boot_window_seconds=3600):
         q.awaitTermination()
     flags = store.read_flags(spark, os.path.join(state, "flags"))
     levels = {r.level for r in flags.select("level").distinct().collect()}
@@ -52,3 +53,5 @@ def test_monitor_job(spark, tmpdir_path):
     assert flags.filter("level = 'TRIAGE'").count() > 0
     assert spark.read.parquet(os.path.join(state, "hourly")).count() > 0
     assert store.read_flags(spark, os.path.join(state, "flags_aggregate")).count() > 0
+    from vigilspark.streaming.stream import latest_boot_stats
+    assert latest_boot_stats(spark, os.path.join(state, "boot_stats")).count() > 0

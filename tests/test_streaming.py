@@ -126,3 +126,20 @@ def test_stream_skips_hits_flagged_in_an_earlier_run(spark, tmpdir_path):
     # the same as the batch pipeline given the same prior flags
     expect = alert_pipeline(batch_e, P.RULES, prior_flags=dedup_keys(spark, sink))
     assert new == {(r.timestamp_ns, r.pattern_key) for r in expect.collect()}
+
+
+def test_stream_boot_stats_equal_batch(spark, tmpdir_path):
+    from vigilspark.operators.boot import boot_window_stats
+    from vigilspark.streaming.stream import boot_stats_sink, latest_boot_stats, stream_boot_window_stats
+    flat = _split_events(spark, tmpdir_path)
+    e = entries_stream(spark, flat, max_files_per_trigger=1)
+    sink = os.path.join(tmpdir_path, "boot_stats")
+    q = (stream_boot_window_stats(e, P.RULES, 3600).writeStream.outputMode("update")
+         .foreachBatch(boot_stats_sink(sink))
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ck_boot"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = latest_boot_stats(spark, sink)
+    batch = boot_window_stats(events_as_entries(spark.read.parquet(f"{SF}/events.parquet")), P.RULES, 3600)
+    assert got.count() == batch.count() == 107
+    assert got.exceptAll(batch.select(*got.columns)).count() == 0

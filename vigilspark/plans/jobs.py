@@ -3,8 +3,8 @@
 ``seed_job``: journal export -> entries -> hourly baseline, keyword stats,
 boot-window stats and confidence -> the state tables, written as one new
 version folder.  ``monitor_job``: journal folder stream -> flags (sink),
-hourly counts and aggregate rollups, three queries off one source
-definition, each with its own checkpoint.
+hourly counts, boot-window stats and aggregate rollups, four queries off
+one source definition, each with its own checkpoint.
 """
 
 from __future__ import annotations
@@ -53,7 +53,8 @@ def seed_job(spark: SparkSession, journal_path: str, out_path: str, rules: Alert
 
 
 def monitor_job(spark: SparkSession, journal_dir: str, state_dir: str, rules: AlertRules,
-                anchor_ns: int, trigger: dict | None = None):
+                anchor_ns: int, trigger: dict | None = None,
+                boot_window_seconds: int = MAX_BOOT_WINDOW_SECONDS):
     """Start the live queries; returns the list of StreamingQuery handles.
 
     ``trigger`` defaults to a 10-second processing-time tick (the original
@@ -74,6 +75,11 @@ def monitor_job(spark: SparkSession, journal_dir: str, state_dir: str, rules: Al
          .option("checkpointLocation", os.path.join(state_dir, "_ck_hourly"))
          .trigger(**trigger).start())
     queries.append(q)
+    q = (stream.stream_boot_window_stats(entries, rules, boot_window_seconds).writeStream
+         .outputMode("update").foreachBatch(stream.boot_stats_sink(os.path.join(state_dir, "boot_stats")))
+         .option("checkpointLocation", os.path.join(state_dir, "_ck_boot"))
+         .trigger(**trigger).start())
+    queries.append(q)
     if rules.aggregate:
         q = (stream.stream_rollup(entries, rules, anchor_ns).writeStream.outputMode("append")
              .foreachBatch(stream.flag_sink(flags_path + "_aggregate"))

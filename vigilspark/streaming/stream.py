@@ -187,3 +187,66 @@ def flag_sink(path: str):
         write_flags(fresh, path, "append")
 
     return write
+
+
+def stream_boot_window_stats(entries: DataFrame, rules: AlertRules, window_seconds: int) -> DataFrame:
+    """A7 on the live path: keyword hits inside the boot window, counted per
+    (boot, keyword) as a streaming aggregation (state = one row per pair;
+    run it in ``update`` mode and merge with :func:`boot_stats_sink`)."""
+    from vigilspark.operators.boot import in_boot_window
+    from vigilspark.operators.match import keyword_hits
+    hits = keyword_hits(in_boot_window(entries, window_seconds), rules, keep=["boot_id", "timestamp_ns"])
+    return (hits.groupBy("boot_id", "keyword")
+            .agg(F.count(F.lit(1)).alias("hits"),
+                 F.min("timestamp_ns").alias("first_seen_ns"),
+                 F.max("timestamp_ns").alias("last_seen_ns")))
+
+
+def boot_stats_sink(path: str):
+    """``foreachBatch`` writer for update-mode boot stats: each micro-batch's
+    updated rows replace the stored rows of the same (boot, keyword); the
+    table is rewritten into a new version folder per batch (``path/v<id>``)
+    and never over the folder being read."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        versions = _versions(spark, path)
+        out = f"{path.rstrip('/')}/v{batch_id:012d}"
+        if versions:
+            old = spark.read.parquet(versions[-1])
+            merged = old.join(batch.select("boot_id", "keyword"), ["boot_id", "keyword"], "left_anti") \
+                .unionByName(batch.select(*old.columns))
+        else:
+            merged = batch
+        merged.write.mode("overwrite").parquet(out)
+
+    return write
+
+
+def _versions(spark: SparkSession, path: str) -> list:
+    """Complete version folders (with ``_SUCCESS``) under ``path``, oldest
+    first, listed through Hadoop's FileSystem so shared storage works."""
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(conf)
+        if not fs.exists(root):
+            return []
+        out = []
+        for st in fs.listStatus(root):
+            name = st.getPath().getName()
+            if st.isDirectory() and name.startswith("v") and fs.exists(
+                    jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                out.append(st.getPath().toString())
+        return sorted(out)
+    except Exception:  # noqa: BLE001 - sessions without a JVM gateway: local paths
+        import os
+        if not os.path.isdir(path):
+            return []
+        return sorted(os.path.join(path, d) for d in os.listdir(path)
+                      if d.startswith("v") and os.path.exists(os.path.join(path, d, "_SUCCESS")))
+
+
+def latest_boot_stats(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version written by :func:`boot_stats_sink`."""
+    return spark.read.parquet(_versions(spark, path)[-1])
