@@ -12,7 +12,8 @@ Semantics (per pattern key, hits in (timestamp_ns, seq) order):
 
 Distributed plan (no key is ever gathered into one task):
 
-1. *Global position.*  Hits are cut into (key, time bucket) groups.  Bucket
+1. *Global position.*  Hits are cut into (key, time bucket) groups; the
+   bucket width adapts to the densest key (:func:`bucket_width`).  Bucket
    sizes are summed into per-key offsets on the small bucket table, and
    ``row_number`` inside each bucket gives every hit its position ``g`` in
    the key's sequence.  A hot key is spread over as many tasks as it has
