@@ -23,7 +23,7 @@ HEADLINE = [
     "alert_pipeline", "pattern_watch_alerts", "correlation_alerts", "triage_alerts",
     "keyword_stats", "slot_baseline", "anomaly_online", "anomaly_scored",
     "aggregate_rollup", "boot_window_stats", "window_hit_count", "pattern_reset",
-    "capped_buffer", "journal_parse", "line_keyword_hits", "flag_counts",
+    "capped_buffer", "journal_parse", "journal_alerts", "line_keyword_hits", "flag_counts",
 ]
 
 

@@ -62,6 +62,15 @@ def q_journal_parse(spark, sf_dir):
     return journal.journal_entries(good, keep=["seq"])
 
 
+def q_journal_alerts(spark, sf_dir):
+    """The alert pipeline over the parsed journal export.  As in the original
+    tool every journal row has source 'journalctl', so each keyword is a
+    single hot pattern key holding all its hits."""
+    lines = journal_fixture(read_table(spark, sf_dir, "events"))
+    good, _ = journal.split_rejects(journal.parse_lines(lines))
+    return alerts.alert_pipeline(journal.journal_entries(good, keep=["seq"]), P.RULES)
+
+
 def q_reject_split(spark, sf_dir):
     lines = journal_fixture(read_table(spark, sf_dir, "events"))
     return journal.reject_counts(journal.parse_lines(lines))
@@ -352,6 +361,7 @@ QUERIES = {
     "log_entries": q_log_entries,
     "journal_parse": q_journal_parse,
     "reject_split": q_reject_split,
+    "journal_alerts": q_journal_alerts,
     "keyword_hits": q_keyword_hits,
     "keyword_stats": q_keyword_stats,
     "keyword_first_seen": q_keyword_first_seen,

@@ -98,18 +98,19 @@ def _part_id(part: str, alias: str | None = None) -> str:
     return " || '|' || ".join(f"CAST({alias + '.' if alias else ''}{p} AS VARCHAR)" for p in extra)
 
 
-def _flag_select(fires: str, extra: str = "") -> str:
+def _flag_select(fires: str, extra: str = "", entries: str = "entries") -> str:
     return f"""SELECT e.timestamp_ns, e.source, e.raw, e.priority, f.level, e.timestamp_ns AS flagged_at,
        f.pattern_key, CAST(f.hit_count AS INTEGER) AS hit_count, f.note{extra}
-FROM {fires} f JOIN entries e ON e.seq = f.seq AND e.timestamp_ns = f.timestamp_ns"""
+FROM {fires} f JOIN {entries} e ON e.seq = f.seq AND e.timestamp_ns = f.timestamp_ns"""
 
 
-def _pipeline_ctes(rules: AlertRules, levels=None) -> tuple:
+def _pipeline_ctes(rules: AlertRules, levels=None, base=None, entries: str = "entries") -> tuple:
     tiers_sql, gid = _tiers(rules)
     where = ""
     if levels is not None:
         where = "WHERE t.level IN (" + ", ".join(_q(x) for x in levels) + ")"
-    ctes = [ENTRIES, _kw_values(rules), _hits(cols="e.timestamp_ns, e.seq, e.source"), tiers_sql,
+    base = [ENTRIES] if base is None else list(base)
+    ctes = base + [_kw_values(rules), _hits(src=entries, cols="e.timestamp_ns, e.seq, e.source"), tiers_sql,
             f"""thits AS (
   SELECT h.timestamp_ns, h.seq, h.source || ':' || h.keyword AS pattern_key, t.level, t.note, t.tgroup
   FROM hits h JOIN tiers t ON h.keyword = t.keyword {where})"""]
@@ -122,7 +123,7 @@ def _pipeline_ctes(rules: AlertRules, levels=None) -> tuple:
     union = " UNION ALL ".join(f"SELECT pattern_key, level, note, timestamp_ns, seq, hit_count FROM {n}"
                                for n in fire_names)
     ctes.append(f"fires AS ({union})")
-    ctes.append(f"flags AS ({_flag_select('fires')})")
+    ctes.append(f"flags AS ({_flag_select('fires', entries=entries)})")
     return ctes
 
 
@@ -180,6 +181,19 @@ FROM parsed WHERE reject_reason IS NULL"""
     return _with(_journal_ctes(), body)
 
 
+def sql_journal_alerts():
+    """The alert pipeline over the parsed journal export: every row has
+    source 'journalctl', so each keyword is one (hot) pattern key."""
+    jentries = """jentries AS (
+  SELECT seq, TRY_CAST(value->>'__REALTIME_TIMESTAMP' AS BIGINT) * 1000 AS timestamp_ns,
+         'journalctl' AS source,
+         coalesce(value->>'_SYSTEMD_UNIT', value->>'SYSLOG_IDENTIFIER', 'unknown') || ': ' || coalesce(value->>'MESSAGE', '') AS raw,
+         TRY_CAST(value->>'PRIORITY' AS INTEGER) AS priority
+  FROM parsed WHERE reject_reason IS NULL)"""
+    return _with(_pipeline_ctes(P.RULES, base=_journal_ctes() + [jentries], entries="jentries"),
+                 "SELECT * FROM flags")
+
+
 def sql_reject_split():
     return _with(_journal_ctes(),
                  "SELECT coalesce(reject_reason, 'loaded') AS outcome, count(*) AS n FROM parsed GROUP BY 1")
