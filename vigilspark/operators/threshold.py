@@ -60,6 +60,15 @@ MIN_BUCKET_NS = NS_PER_SECOND
 MAX_BUCKET_NS = 86_400 * NS_PER_SECOND
 
 
+MAX_TRANSITION_STEPS = 20_000_000
+
+
+def chunk_size(chunk_rows: int, k: int) -> int:
+    """Candidates per chunk: ``chunk_rows``, shrunk so that the k-state
+    transition of one chunk stays below MAX_TRANSITION_STEPS steps."""
+    return max(1, min(int(chunk_rows), max(1000, MAX_TRANSITION_STEPS // max(1, int(k)))))
+
+
 def _key_fields(df: DataFrame, keys) -> list:
     return [df.schema[k] for k in keys]
 
@@ -222,8 +231,11 @@ def grouped_threshold_fires(hits: DataFrame, groups: dict, keys=("pattern_key",
 
 def _windowed_fires(hits, groups, keys, bucket_seconds, chunk_rows, resets):
     cand = candidates(hits, groups, keys, bucket_seconds, resets)
-    # chunks never split an equal-timestamp run: all of a run share last_g
-    cand = cand.withColumn("chunk", floor_div("last_g", int(chunk_rows)))
+    # chunks never split an equal-timestamp run: all of a run share last_g.
+    # A chunk's transition costs k x chunk steps, so large k get smaller chunks.
+    size = _by_group(groups, lambda th: chunk_size(int(chunk_rows), int(th.required))).cast("long")
+    lg = F.col("last_g")
+    cand = cand.withColumn("chunk", F.round((lg - F.pmod(lg, size)) / size).cast("long"))
     gkeys = keys + ["tgroup", "k"]
 
     # 3. transition table, one row per (key, chunk)
