@@ -9,7 +9,7 @@ holds for ``events``.
 
 from __future__ import annotations
 
-from vigilspark.config import NS_PER_DAY, NS_PER_SECOND, AlertRules, Threshold
+from vigilspark.config import MAX_ENTRIES, NS_PER_DAY, NS_PER_SECOND, AlertRules, Threshold
 from vigilspark.plans import params as P
 
 HOUR_NS = 3600 * NS_PER_SECOND
@@ -308,7 +308,7 @@ def sql_confidence_report():
 def sql_status_report():
     cutoff = P.AS_OF_NS - P.RETENTION_HOURS * HOUR_NS
     ctes = _pipeline_ctes(P.RULES) + [_confidence_sql("", P.AS_OF_NS)]
-    return _with(ctes, f"""SELECT (SELECT count(*) FROM entries WHERE timestamp_ns >= {cutoff}) AS buffer_rows,
+    return _with(ctes, f"""SELECT (SELECT least(count(*), {MAX_ENTRIES}) FROM entries WHERE timestamp_ns >= {cutoff}) AS buffer_rows,
        (SELECT CAST(floor(confidence * 100) AS INTEGER) FROM conf) AS confidence_pct,
        (SELECT confidence >= 0.1 FROM conf) AS monitoring_active,
        (SELECT count(*) FROM flags) AS flagged_count""")
