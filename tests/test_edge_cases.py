@@ -49,3 +49,24 @@ def test_keyword_with_quote_and_no_exclusions(spark):
     e = entries_df(spark, [(BASE_NS, "s", "can't open disk's journal")])
     rules = AlertRules(watched=["can't open"])
     assert [r.keyword for r in keyword_hits(e, rules).collect()] == ["can't open"]
+
+
+def test_results_do_not_depend_on_the_session_time_zone(spark):
+    from vigilspark.plans.catalogue import QUERIES
+    names = ["log_entries", "hourly_counts", "slot_baseline", "anomaly_online", "boot_window_stats",
+             "aggregate_rollup", "rolling_window", "alert_pipeline", "flag_store_roundtrip", "journal_parse"]
+    sf = "/root/testdata/sf0.001"
+
+    def run_all():
+        return {n: sorted(map(tuple, QUERIES[n](spark, sf).collect())) for n in names}
+
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    base = run_all()
+    try:
+        for tz in ["America/Los_Angeles", "Asia/Kolkata"]:
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            other = run_all()
+            for n in names:
+                assert other[n] == base[n], (tz, n)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

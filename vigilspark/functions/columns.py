@@ -49,11 +49,33 @@ def seconds_ns(seconds: int) -> Column:
 
 
 def slot_key(ts) -> Column:
-    """``<weekday>_<hour>`` with Monday = 0 and a two-digit UTC hour."""
+    """P4 from a timestamp column (uses the session zone, which
+    :func:`vigilspark.session.get_session` pins to UTC)."""
     t = col_(ts)
     return F.concat(F.weekday(t).cast("string"), F.lit("_"), F.lpad(F.hour(t).cast("string"), 2, "0"))
 
 
+def slot_key_ns(ns: str) -> Column:
+    """``<weekday>_<hour>`` with Monday = 0 and a two-digit UTC hour,
+    by integer arithmetic on ns (independent of the session time zone;
+    1970-01-01 was a Thursday, weekday 3)."""
+    day = floor_div(ns, 86_400 * NS_PER_SECOND)
+    hour = F.pmod(floor_div(ns, 3600 * NS_PER_SECOND), F.lit(24))
+    return F.concat(F.pmod(day + F.lit(3), F.lit(7)).cast("string"), F.lit("_"),
+                    F.lpad(hour.cast("string"), 2, "0"))
+
+
+def utc_date_ns(ns: str) -> Column:
+    """UTC calendar date of a ns instant (session-zone independent)."""
+    return F.date_from_unix_date(floor_div(ns, 86_400 * NS_PER_SECOND).cast("int"))
+
+
+def ntz_micros(c: str) -> Column:
+    """µs since the epoch of a TIMESTAMP_NTZ wall-clock value read as UTC,
+    without any session-zone conversion."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{c}`)")
+
+
 def hour_start_ns(ns) -> Column:
     """Start of the UTC hour holding ``ns`` (ns)."""
     hour = 3600 * NS_PER_SECOND

@@ -17,8 +17,7 @@ from vigilspark.functions.columns import (
     confidence_pct,
     hour_start_ns,
     monitoring_active,
-    ns_to_ts,
-    slot_key,
+    slot_key_ns,
 )
 
 
@@ -27,7 +26,7 @@ def hourly_counts(entries: DataFrame) -> DataFrame:
     return (entries
             .groupBy("source", hour_start_ns("timestamp_ns").alias("hour_ns"))
             .agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("slot_key", slot_key(ns_to_ts("hour_ns"))))
+            .withColumn("slot_key", slot_key_ns("hour_ns")))
 
 
 def slot_baseline(hourly: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.config import NS_PER_DAY
+from vigilspark.functions.columns import utc_date_ns
 
 
 def flag_query(flags: DataFrame, level: str | None = None, since_ns: int | None = None) -> DataFrame:
@@ -65,4 +66,4 @@ def flatten_entry(nested: DataFrame) -> DataFrame:
 
 
 def with_flag_date(flags: DataFrame) -> DataFrame:
-    return flags.withColumn("flagged_date", F.to_date(F.timestamp_micros(F.floor(F.col("flagged_at") / 1000).cast("long"))))
+    return flags.withColumn("flagged_date", utc_date_ns("flagged_at"))

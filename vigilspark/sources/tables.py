@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilspark.functions.columns import ts_to_ns
+from vigilspark.functions.columns import floor_div, ntz_micros, ts_to_ns
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,22 +19,31 @@ def events_as_entries(events: DataFrame, keep=()) -> DataFrame:
     source = 'svc_' || user_id % 8, raw = event_type || ': ' || props,
     priority error 3 / purchase 5 / else 6, boot_id = 'boot_' || UTC date,
     monotonic_us = µs since that day's midnight.
-    Only projected columns are read from the parquet scan.
+    ``ts`` (TIMESTAMP_NTZ) is read as a UTC wall clock and all calendar
+    fields come from integer arithmetic, so the session time zone does not
+    matter.  Only projected columns are read from the parquet scan.
     """
-    ts = F.col("ts").cast("timestamp")
-    us = F.unix_micros(ts)
-    return events.select(
+    if events.schema["ts"].dataType.typeName() == "timestamp_ntz":
+        us = ntz_micros("ts")
+    else:
+        us = F.unix_micros(F.col("ts"))
+    day_us = 86_400 * 1_000_000
+    base = events.select(
         *keep,
-        (us * F.lit(1000)).alias("timestamp_ns"),
+        us.alias("_us"),
         F.col("event_id").alias("seq"),
         F.concat(F.lit("svc_"), (F.col("user_id") % 8).cast("string")).alias("source"),
         F.concat(F.col("event_type"), F.lit(": "), F.col("props")).alias("raw"),
         F.when(F.col("event_type") == "error", 3)
          .when(F.col("event_type") == "purchase", 5)
-         .otherwise(6).cast("int").alias("priority"),
-        F.concat(F.lit("boot_"), F.date_format(ts, "yyyy-MM-dd")).alias("boot_id"),
-        (us - F.unix_micros(F.date_trunc("DAY", ts))).alias("monotonic_us"),
-    )
+         .otherwise(6).cast("int").alias("priority"))
+    day = floor_div("_us", day_us)
+    return base.select(
+        *keep,
+        (F.col("_us") * F.lit(1000)).alias("timestamp_ns"),
+        "seq", "source", "raw", "priority",
+        F.concat(F.lit("boot_"), F.date_format(F.date_from_unix_date(day.cast("int")), "yyyy-MM-dd")).alias("boot_id"),
+        (F.col("_us") - day * F.lit(day_us)).alias("monotonic_us"))
 
 
 def load_entries(spark: SparkSession, sf_dir: str, since_ns: int | None = None,

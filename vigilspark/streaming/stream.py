@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from vigilspark.config import AlertRules, NS_PER_SECOND, Threshold
-from vigilspark.functions.columns import ns_to_ts, slot_key
+from vigilspark.functions.columns import ns_to_ts, slot_key_ns
 from vigilspark.operators.match import aggregate_hits
 from vigilspark.sources.tables import events_as_entries
 
@@ -137,8 +137,8 @@ def stream_hourly_counts(entries: DataFrame, watermark: str = "1 hour") -> DataF
     out = (entries.withColumn("_ts", ts).withWatermark("_ts", watermark)
            .groupBy("source", F.window("_ts", "1 hour").alias("w"))
            .agg(F.count(F.lit(1)).alias("n")))
-    return out.select("source", (F.unix_micros(F.col("w.start")) * F.lit(1000)).alias("hour_ns"), "n",
-                      slot_key(F.col("w.start")).alias("slot_key"))
+    return (out.select("source", (F.unix_micros(F.col("w.start")) * F.lit(1000)).alias("hour_ns"), "n")
+            .withColumn("slot_key", slot_key_ns("hour_ns")))
 
 
 def stream_rollup(entries: DataFrame, rules: AlertRules, anchor_ns: int, watermark: str = "1 hour") -> DataFrame:
