@@ -97,8 +97,13 @@ def test_flag_persistence_and_dedup(spark, tmpdir_path):
     assert store.archive_flags(spark, live, arch, live2 + "_rerun", BASE_NS + 10 * DAY, 7) == 0
     assert store.read_flags(spark, arch).count() == 8
     live3 = os.path.join(tmpdir_path, "flags_v3")
-    assert store.clear_flags(spark, live2, live3, "TRIAGE") == 1
+    memory = os.path.join(tmpdir_path, "cleared")
+    assert store.clear_flags(spark, live2, live3, "TRIAGE", memory_path=memory) == 1
     assert store.read_flags(spark, live3).count() == 0
+    # cleared flags stay in the dedup memory: rerunning flags nothing old again
+    keys = store.dedup_keys(spark, live3, arch, memory)
+    rerun = {(r.timestamp_ns, r.pattern_key) for r in alert_pipeline(e, rules, prior_flags=keys).collect()}
+    assert not (rerun & first)
 
 
 def test_flag_jsonl_interchange_skips_malformed(spark, tmpdir_path):

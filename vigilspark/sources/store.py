@@ -118,10 +118,19 @@ def archive_flags(spark: SparkSession, live_path: str, archive_path: str, new_li
     return n
 
 
-def clear_flags(spark: SparkSession, live_path: str, new_live_path: str, level: str | None = None) -> int:
-    """M2: write the flags that remain as a new version; return the count removed."""
+def clear_flags(spark: SparkSession, live_path: str, new_live_path: str, level: str | None = None,
+                memory_path: str | None = None) -> int:
+    """M2: write the flags that remain as a new version; return the count removed.
+
+    Clearing does not clear the dedup memory: with ``memory_path`` the
+    removed flags are appended there (flag layout, so ``dedup_keys`` can read
+    it next to the live table and the archive) and are never flagged again.
+    """
     flags = read_flags(spark, live_path)
+    removed = flags.filter(F.col("level") == F.lit(level)) if level else flags
     keep = flags.filter(F.col("level") != F.lit(level)) if level else flags.limit(0)
+    if memory_path is not None:
+        write_flags(removed, memory_path, "append")
     before = flags.count()
     write_flags(keep, new_live_path, "overwrite")
     return before - read_flags(spark, new_live_path).count()
