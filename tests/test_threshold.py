@@ -138,6 +138,17 @@ def test_resets_cut_the_window(spark):
     assert [r.seq for r in got] == [4]
 
 
+def test_reset_without_level_applies_to_all_levels(spark):
+    rows = [("k", BASE_NS + i * SEC, i) for i in range(5)]
+    resets = spark.createDataFrame([("k", None, BASE_NS + 2 * SEC)],
+                                   "pattern_key string, level string, at_ns long")
+    got = threshold_fires(hits_df(spark, rows), Threshold(3, 5, 600), resets=resets).collect()
+    assert [r.seq for r in got] == [4]
+    other = spark.createDataFrame([("k", "TRIAGE", BASE_NS + 2 * SEC)], "pattern_key string, level string, at_ns long")
+    got = threshold_fires(hits_df(spark, rows), Threshold(3, 5, 600), resets=other).collect()
+    assert [r.seq for r in got] == [2]          # a reset of another level does not cut
+
+
 def test_window_hit_count(spark):
     rows = [("k", BASE_NS + i * 1000 * SEC, i) for i in range(6)]
     df = hits_df(spark, rows).drop("level")

@@ -174,9 +174,12 @@ def candidates(hits: DataFrame, groups: dict, keys=("pattern_key", "level"),
     w_col = _by_group(groups, lambda th: int(th.window_ns)).cast("long")
     cand = rows.filter(F.col("timestamp_ns") - F.col("t_back") <= w_col)
     if resets is not None:
+        # a reset names a pattern key and optionally a level (null = all levels);
+        # the pattern key stays an equi-join key, the level a wildcard test
         rkeys = [c for c in keys if c in resets.columns]
         r = resets.select(*rkeys, F.col("at_ns"))
-        cond = reduce(lambda a, b: a & b, [cand[c] == r[c] for c in rkeys],
+        tests = [(cand[c] == r[c]) if c != "level" else (r[c].isNull() | (cand[c] == r[c])) for c in rkeys]
+        cond = reduce(lambda a, b: a & b, tests,
                       (r["at_ns"] > cand["t_back"]) & (r["at_ns"] <= cand["timestamp_ns"]))
         cand = cand.join(r, cond, "left_anti")
     return cand
