@@ -9,6 +9,8 @@ their entries by ``seq`` — the raw text travels only for rows that fire.
 
 from __future__ import annotations
 
+from functools import reduce
+
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from vigilspark.operators.threshold import (
     DEFAULT_BUCKET_SECONDS,
     DEFAULT_CHUNK_ROWS,
     grouped_threshold_fires,
+    is_immediate,
     threshold_fires,
 )
 
@@ -116,9 +119,29 @@ def alert_pipeline(entries: DataFrame, rules: AlertRules, prior_flags: DataFrame
                 if (levels is None or level in set(levels)) and (keywords is None or kw in set(keywords))}
         gid = {th: i for th, i in gid.items() if th in used}
     hits = materialize(dedup(hits, prior_flags))
-    fires = _fold_groups(hits.select("pattern_key", "level", "note", "tgroup", "timestamp_ns", "seq"),
-                         gid, bucket_seconds, chunk_rows, resets)
-    return flagged_rows(fires, hits)
+    immediate = {th: i for th, i in gid.items() if is_immediate(th)}
+    windowed = {th: i for th, i in gid.items() if th not in immediate}
+    parts = []
+    if immediate:
+        parts.append(_immediate_flags(hits.filter(F.col("tgroup").isin(list(immediate.values())))))
+    if windowed:
+        fires = _fold_groups(hits.select("pattern_key", "level", "note", "tgroup", "timestamp_ns", "seq"),
+                             windowed, bucket_seconds, chunk_rows, resets)
+        parts.append(flagged_rows(fires, hits))
+    if not parts:
+        return flagged_rows(_fold_groups(hits, {}, bucket_seconds, chunk_rows, resets), hits)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _immediate_flags(hits: DataFrame) -> DataFrame:
+    """T3 with the payload carried through the dedup aggregate: every hit
+    fires once per (timestamp, pattern key), the lowest ``seq`` wins.  Most
+    hits of an immediate tier fire, so this avoids a hits-sized join."""
+    first = F.min(F.struct("seq", "source", "raw", "priority")).alias("m")
+    return (hits.groupBy("pattern_key", "level", "note", "timestamp_ns").agg(first)
+            .select("timestamp_ns", "m.source", "m.raw", "m.priority", "level",
+                    F.col("timestamp_ns").alias("flagged_at"), "pattern_key",
+                    F.lit(1).alias("hit_count"), "note"))
 
 
 def correlation_alerts(entries: DataFrame, rules: AlertRules, group: CorrelationGroup,

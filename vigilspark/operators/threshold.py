@@ -69,6 +69,11 @@ def chunk_size(chunk_rows: int, k: int) -> int:
     return max(1, min(int(chunk_rows), max(1000, MAX_TRANSITION_STEPS // max(1, int(k)))))
 
 
+def is_immediate(th: Threshold) -> bool:
+    """Every (deduplicated) hit fires: no window, or k = 1 with a history."""
+    return th.window_seconds == 0 or (int(th.required) <= 1 and th.samples >= 1)
+
+
 def _key_fields(df: DataFrame, keys) -> list:
     return [df.schema[k] for k in keys]
 
@@ -215,8 +220,7 @@ def grouped_threshold_fires(hits: DataFrame, groups: dict, keys=("pattern_key",
     the ``tgroup`` column to its :class:`Threshold`.  Windowed groups share
     one positioning pass; immediate groups are a plain dedup aggregate."""
     keys = list(keys)
-    immediate = {g: th for g, th in groups.items()
-                 if th.window_seconds == 0 or (int(th.required) <= 1 and th.samples >= 1)}
+    immediate = {g: th for g, th in groups.items() if is_immediate(th)}
     windowed = {g: th for g, th in groups.items()
                 if g not in immediate and th.samples >= th.required}
     out_cols = [*keys, "tgroup", "timestamp_ns", "seq", "hit_count"]
