@@ -57,40 +57,51 @@ def ensure_utc(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """The shared folder named in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (tests, local benches) a scratch folder is created and registered.
+    Driver and executors must all see it.  Only a ``local[...]`` session,
+    where they are one process, gets a scratch folder when it is unset; any
+    other master without the setting is an error.
     """
-    try:
-        sc = spark.sparkContext
-        current = sc._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
-        if not conf_dir:
-            conf_dir = tempfile.mkdtemp(prefix="vigil-ckpt-", dir="/tmp")
-        sc.setCheckpointDir(conf_dir)
-        return sc._jsc.sc().getCheckpointDir().get()
-    except Exception:  # noqa: BLE001 - sessions without a JVM gateway
-        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-        return conf_dir or tempfile.mkdtemp(prefix="vigil-ckpt-", dir="/tmp")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    found = tempfile.mkdtemp(prefix="vigil-ckpt-")
+    spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def store(df, path: str | None = None):
+    """Write ``df`` once as parquet under the shared folder and read it back.
+
+    Consumers read only the columns they need, AQE sees real sizes, and an
+    executor lost later never triggers a recomputation from the source,
+    because the lineage starts at the stored table.
+    """
+    spark = df.sparkSession
+    path = path or f"{checkpoint_dir(spark)}/vigil-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialize(df):
-    """Write an intermediate result that several branches of a plan consume
-    as a parquet table under the shared checkpoint folder and read it back.
+    """``store`` under a fresh name."""
+    return store(df)
 
-    One job writes it (an eager ``checkpoint()`` would compute the data twice);
-    consumers then read only the columns they need, AQE sees real sizes,
-    and an executor lost later never triggers a recomputation from the
-    source because the lineage starts at the stored table.
-    """
+
+def discard(df) -> None:
+    """Delete a table written by ``store`` once nothing reads it any more."""
     spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/vigil-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    jvm = spark._jvm
+    base = checkpoint_dir(spark)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/vigil-" in folder and folder.split(":", 1)[-1].lstrip("/").startswith(base.split(":", 1)[-1].lstrip("/")):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 MAX_BROADCAST_ROWS = 1_000_000
