@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilspark.llm import decontamination, langid, packing, simhash, toxicity
+from vigilspark.llm import classlm, decontamination, langid, packing, simhash, token_store, toxicity, urlfilter
+from vigilspark.session import checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +40,29 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written to a token store and read back from it."""
+    path = f"{checkpoint_dir(spark)}/vigil-{uuid.uuid4().hex}"
+    token_store.write_store(table(spark, sf_dir, "documents"), path, end_id=2)
+    return token_store.read_store(spark, path)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based bigram score of every document, learned from the folds that are not held out."""
+    return classlm.score(table(spark, sf_dir, "documents"), folds=7, held_out=2)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_token_store": op2_token_store,
+    "op3_class_lm": op3_class_lm,
     "op4_simhash": op4_simhash,
+    "op6_url_filter": op6_url_filter,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
