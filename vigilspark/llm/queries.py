@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilspark.llm import classlm, decontamination, langid, packing, simhash, token_store, toxicity, urlfilter
+from vigilspark.llm import attribution, classlm, decontamination, embedding_join, langid, packing, simhash, token_store, toxicity, urlfilter
 from vigilspark.session import checkpoint_dir
 
 
@@ -57,12 +57,24 @@ def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.score(table(spark, sf_dir, "documents"), folds=7, held_out=2)
 
 
+def op5_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of every vector at cosine 0.98 or more."""
+    return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"), min_cosine=0.98)
+
+
+def op7_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every sentence of every document."""
+    return attribution.count_sections(table(spark, sf_dir, "documents"), rule="majority")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_store": op2_token_store,
     "op3_class_lm": op3_class_lm,
     "op4_simhash": op4_simhash,
+    "op5_embedding_join": op5_embedding_join,
     "op6_url_filter": op6_url_filter,
+    "op7_token_attribution": op7_token_attribution,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
