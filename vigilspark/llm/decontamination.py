@@ -255,4 +255,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that hold no benchmark item, all columns kept."""
     bad = store(contaminated_texts(docs, benchmark, text_col).select(F.col("text_key").alias("__bad")).distinct())
-    return docs.join(bad, F.xxhash64(text_col) == F.col("__bad"), "left_anti")
+    return docs.join(bad, F.xxhash64(docs[text_col]) == bad["__bad"], "left_anti")

@@ -61,8 +61,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             continue
         at = np.arange(len(h))
         # a space may only be the first or the last character, and not the only one
-        ok = inside[np.maximum(at + n - 1, at + 1)] - inside[at + 1] == 0
-        ok &= ~(space[:len(h)] & space[n - 1:n - 1 + len(h)])
+        ok = ~space if n == 1 else inside[at + n - 1] - inside[at + 1] == 0
         first = at[ok]
         who.append(number[first])
         order.append(np.full(len(first), n, dtype=np.int8))

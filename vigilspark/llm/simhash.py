@@ -209,5 +209,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = docs.where(F.col(id_col).isNotNull())
     groups = near_duplicates(named, id_col, text_col, words, max_bits)
     gone = store(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    kept = named.join(gone, F.col(id_col) == F.col("__gone"), "left_anti").dropDuplicates([id_col])
+    kept = named.join(gone, named[id_col] == gone["__gone"], "left_anti").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
