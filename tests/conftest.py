@@ -41,3 +41,24 @@ def entries_df(spark, rows):
         seq = r[4] if len(r) > 4 else i
         out.append((int(ts), src, raw, pr, int(seq)))
     return spark.createDataFrame(out, "timestamp_ns long, source string, raw string, priority int, seq long")
+
+
+def fires_by_definition(hits, k, n, window_s, sources=1):
+    """hits: (time, order, source) of one key -> [(time, order, hits counted)].
+
+    From the definition: a hit counts the hits since the last fire that are
+    among the last n and not older than the window; it fires if they number k
+    and come from enough sources; times that fired are skipped.
+    """
+    fired, since = [], 0
+    ordered = sorted(hits)
+    for i, (t, order, _) in enumerate(ordered):
+        if any(t == f[0] for f in fired[-1:]):
+            since = i + 1
+            continue
+        counted = [h for h in ordered[max(since, i - n + 1):i + 1] if h[0] >= t - window_s * SEC]
+        enough = len(counted) >= k and len({h[2] for h in counted}) >= sources
+        if window_s == 0 or (n >= 1 and enough):
+            fired.append((t, order, 1 if window_s == 0 else len(counted)))
+            since = i + 1
+    return fired

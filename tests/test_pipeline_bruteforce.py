@@ -1,9 +1,8 @@
-"""The full alert pipeline against a brute-force simulation of the original
-per-entry loop (keyword scan -> exclusion -> tier -> tracker with dedup),
+"""The full alert pipeline against a brute-force version written from the definition
+(keyword scan, exclusion, tier, threshold with dedup),
 over the driver's smallest events table."""
 
-from collections import defaultdict, deque
-
+from tests.conftest import fires_by_definition
 from vigilspark.operators.alerts import alert_pipeline
 from vigilspark.plans import params as P
 from vigilspark.sources.tables import load_entries
@@ -12,34 +11,16 @@ SF = "/root/testdata/sf0.001"
 
 
 def simulate(rows, rules):
-    windows = {}
-    flagged_keys = set()
+    """Flags by the definition: the hits of every (source, keyword), then the fires of each."""
     out = []
-    for t, seq, source, raw, prio in sorted(rows, key=lambda r: (r[0], r[1])):
-        low = raw.lower()
-        for kw in rules.active_keywords:
-            excl = rules.exclusions.get(kw)
-            if kw not in low or (excl is not None and excl in low):
-                continue
-            level, th, note = rules.tier_of(kw)
-            key = f"{source}:{kw}"
-            if (t, key) in flagged_keys:
-                continue
-            d = windows.setdefault((key, level), deque(maxlen=th.samples))
-            if th.window_seconds == 0:
-                d.append(t)
-                fired, count = True, len(d)
-            else:
-                cut = t - th.window_seconds * 10**9
-                while d and d[0] < cut:
-                    d.popleft()
-                d.append(t)
-                count = sum(1 for h in d if h >= cut)
-                fired = count >= th.required
-            if fired:
-                out.append((t, source, raw, prio, level, key, count, note))
-                flagged_keys.add((t, key))
-                d.clear()
+    for kw in rules.active_keywords:
+        level, th, note = rules.tier_of(kw)
+        no = rules.exclusions.get(kw)
+        matched = [r for r in rows if kw in r[3].lower() and not (no is not None and no in r[3].lower())]
+        for source in {r[2] for r in matched}:
+            own = {(r[0], r[1]): r for r in matched if r[2] == source}
+            for t, seq, count in fires_by_definition([(t, seq, "") for t, seq in own], th.required, th.samples, th.window_seconds):
+                out.append((t, source, own[t, seq][3], own[t, seq][4], level, f"{source}:{kw}", count, note))
     return sorted(out)
 
 
@@ -53,9 +34,9 @@ def test_pipeline_equals_original_loop(spark):
     assert got == expect
 
 
-def test_hot_keys_split_into_many_buckets_and_chunks(spark):
+def test_hot_keys_split_into_many_blocks(spark):
     """Journal rows share one source, so each keyword is one hot pattern key;
-    forcing tiny buckets and chunks (many partitions per key) must not
+    forcing tiny blocks (many per key) must not
     change a single flag."""
     from vigilspark.plans.catalogue import journal_fixture
     from vigilspark.sources import journal
@@ -64,5 +45,5 @@ def test_hot_keys_split_into_many_buckets_and_chunks(spark):
     e = journal.journal_entries(good, keep=["seq"])
     cols = ["timestamp_ns", "pattern_key", "level", "hit_count"]
     whole = {tuple(r) for r in alert_pipeline(e, P.RULES).select(*cols).collect()}
-    split = {tuple(r) for r in alert_pipeline(e, P.RULES, bucket_seconds=900, chunk_rows=37).select(*cols).collect()}
+    split = {tuple(r) for r in alert_pipeline(e, P.RULES, block_rows=37).select(*cols).collect()}
     assert len(whole) > 3000 and whole == split

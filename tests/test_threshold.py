@@ -2,14 +2,16 @@
 DataFrame tests, plus property tests against a plain Python fold."""
 
 import random
-from collections import defaultdict, deque
+
+import pytest
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tests.conftest import BASE_NS, SEC
+from tests.conftest import BASE_NS, SEC, fires_by_definition
 from vigilspark.config import Threshold
+from vigilspark.operators import threshold as TH
 from vigilspark.operators.threshold import threshold_fires, window_hit_count
 
 
@@ -26,34 +28,9 @@ def fires(spark, rows, th, **kw):
 
 
 def python_fold(rows, k, n, w_s):
-    """Plain per-key reference fold of the semantics (bounded history,
-    inclusive window, reset and dedup on fire), one hit at a time."""
-    by_key = defaultdict(list)
-    for key, t, s in rows:
-        by_key[key].append((t, s))
-    out = []
-    for key, hs in by_key.items():
-        hs.sort()
-        d = deque(maxlen=n)
-        flagged = set()
-        for t, s in hs:
-            if t in flagged:
-                continue
-            if w_s == 0:
-                d.append(t)
-                out.append((key, t, s, len(d)))
-                flagged.add(t)
-                d.clear()
-                continue
-            cut = t - w_s * SEC
-            while d and d[0] < cut:
-                d.popleft()
-            d.append(t)
-            if sum(1 for h in d if h >= cut) >= k:
-                out.append((key, t, s, sum(1 for h in d if h >= cut)))
-                flagged.add(t)
-                d.clear()
-    return sorted(out)
+    """Fires of every key by the definition (see conftest)."""
+    return sorted((key, t, s, c) for key in {r[0] for r in rows}
+                  for t, s, c in fires_by_definition([(t, s, "") for key2, t, s in rows if key2 == key], k, n, w_s))
 
 
 def test_triage_fires_immediately(spark):
@@ -123,7 +100,7 @@ def test_hot_key_many_chunks_matches_python(spark):
     for i in range(200):
         rows.append(("cold", BASE_NS + rnd.randint(0, 10**6) * SEC, 10_000 + i))
     expect = python_fold(rows, 3, 5, 600)
-    got = fires(spark, rows, Threshold(3, 5, 600), bucket_seconds=900, chunk_rows=97)
+    got = fires(spark, rows, Threshold(3, 5, 600), block_rows=97)
     assert got == expect
 
 
@@ -152,7 +129,7 @@ def test_reset_without_level_applies_to_all_levels(spark):
 def test_window_hit_count(spark):
     rows = [("k", BASE_NS + i * 1000 * SEC, i) for i in range(6)]
     df = hits_df(spark, rows).drop("level")
-    got = window_hit_count(df, 2500, ("pattern_key",), bucket_seconds=3000).orderBy("seq").collect()
+    got = window_hit_count(df, 2500, ("pattern_key",)).orderBy("seq").collect()
     assert [r.hits_in_window for r in got] == [1, 2, 3, 3, 3, 3]
 
 
@@ -160,33 +137,54 @@ def test_window_hit_count(spark):
 @given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 4000), st.integers(0, 3)),
                 min_size=1, max_size=120),
        st.integers(1, 4), st.integers(0, 3), st.sampled_from([0, 5, 60, 600]),
-       st.sampled_from([7, 10_000]), st.sampled_from([30, 3600]))
-def test_property_matches_python_fold(spark, raw, k, extra_n, w, chunk, bucket):
+       st.sampled_from([7, 10_000]))
+def test_property_matches_python_fold(spark, raw, k, extra_n, w, block):
     rows = [(key, BASE_NS + t * SEC // 4, i) for i, (key, t, _) in enumerate(raw)]
     n = k + extra_n
     expect = python_fold(rows, k, n, w)
-    got = fires(spark, rows, Threshold(k, n, w), bucket_seconds=bucket, chunk_rows=chunk)
+    got = fires(spark, rows, Threshold(k, n, w), block_rows=block)
     if w != 0:
         got = [(a, b, c, d) for a, b, c, d in got]
     assert [(a, b, c) for a, b, c, _ in got] == [(a, b, c) for a, b, c, _ in expect]
     assert [d for *_, d in got] == [d for *_, d in expect]
 
 
-def test_adaptive_buckets_split_a_hot_key(spark, monkeypatch):
-    import vigilspark.operators.threshold as TH
+@pytest.mark.parametrize("k,n", [(1, 3), (3, 5), (7, 7)])
+def test_bursts_ties_and_sparse_keys_split_by_row_count(spark, monkeypatch, k, n):
     rnd = random.Random(3)
-    t = BASE_NS
-    rows = []
-    for i in range(2000):
-        t += rnd.choice([1, 3, 40, 700]) * SEC
-        rows.append(("hot", t, i))
-    rows += [("cold", BASE_NS + i * 977 * SEC, 5000 + i) for i in range(50)]
-    monkeypatch.setattr(TH, "TARGET_BUCKET_ROWS", 100)
-    w = spark.range(1).select(TH.bucket_width(hits_df(spark, rows), ["pattern_key", "level"]).alias("w")).first().w
-    span = rows[1999][1] - rows[0][1]
-    assert abs(w - span / 2000 * 100) <= 1
-    got = fires(spark, rows, Threshold(3, 5, 600), chunk_rows=50)
-    assert got == python_fold(rows, 3, 5, 600)
+    rows = [("hot", BASE_NS, 0)] + [("hot", BASE_NS + 10**9 * SEC + rnd.randrange(400) * SEC, i) for i in range(1, 900)]
+    rows += [("tie", BASE_NS + 5 * SEC, 2000 + i) for i in range(400)] + [("tie", BASE_NS + 6 * SEC, 2400 + i) for i in range(3)]
+    rows += [(f"cold{i}", BASE_NS + j * 30 * SEC, 5000 + 10 * i + j) for i in range(40) for j in range(4)]
+    block = TH._Block
+
+    class Watched(block):
+        def __init__(self, pdf, block_rows, reach):
+            assert len(pdf) <= block_rows + reach
+            super().__init__(pdf, block_rows, reach)
+
+    monkeypatch.setattr(TH, "_Block", Watched)
+    monkeypatch.setattr(TH, "FAN", 3)
+    assert fires(spark, rows, Threshold(k, n, 600), block_rows=16) == python_fold(rows, k, n, 600)
+
+
+def test_identical_records_fire_once(spark):
+    rows = [("k", BASE_NS + s * SEC, s) for s in (0, 1, 2, 2)]
+    df = hits_df(spark, rows).withColumn("rid", F.monotonically_increasing_id())
+    got = threshold_fires(df, Threshold(3, 5, 600)).collect()
+    assert len(got) == 1 and got[0].seq == 2
+
+
+def test_many_resets_of_one_key(spark):
+    rnd = random.Random(11)
+    rows = [("k", BASE_NS + rnd.randrange(2000) * SEC, i) for i in range(400)]
+    marks = sorted({BASE_NS + rnd.randrange(2000) * SEC for _ in range(60)})
+    resets = spark.createDataFrame([("k", None, m) for m in marks], "pattern_key string, level string, at_ns long")
+    want = []
+    for a, b in zip([0, *marks], [*marks, 10**30]):
+        part = [(t, s, "") for _, t, s in rows if a <= t < b]
+        want += [(t, s) for t, s, _ in fires_by_definition(part, 3, 5, 300)]
+    got = threshold_fires(hits_df(spark, rows), Threshold(3, 5, 300), resets=resets, block_rows=64).collect()
+    assert sorted((r.timestamp_ns, r.seq) for r in got) == sorted(want)
 
 
 @settings(max_examples=10, deadline=None)
@@ -195,6 +193,6 @@ def test_adaptive_buckets_split_a_hot_key(spark, monkeypatch):
 def test_window_hit_count_matches_brute_force(spark, raw, w, bucket):
     rows = [(key, BASE_NS + t * SEC, i) for i, (key, t) in enumerate(raw)]
     df = hits_df(spark, rows).drop("level")
-    got = {r.seq: r.hits_in_window for r in window_hit_count(df, w, ("pattern_key",), bucket).collect()}
+    got = {r.seq: r.hits_in_window for r in window_hit_count(df, w, ("pattern_key",)).collect()}
     expect = {s: sum(1 for k2, t2, _ in rows if k2 == k and t - w * SEC <= t2 <= t) for k, t, s in rows}
     assert got == expect

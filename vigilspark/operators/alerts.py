@@ -3,8 +3,9 @@
 The rules are a small driver-side configuration, so tiers, notes and
 thresholds become literal expressions.  Hits are split by threshold (a few
 distinct (k, n, W) triples), each group runs the distributed fold of
-:mod:`vigilspark.operators.threshold`, and the fired rows are joined back to
-their entries by ``seq`` — the raw text travels only for rows that fire.
+:mod:`vigilspark.operators.threshold`.  The hits are written once with their
+text; the fold reads only keys and times, and the fired rows are joined back
+to the written hits by row id.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from vigilspark.functions.columns import alert_line, pattern_key
 from vigilspark.operators.match import keyword_hits
 from vigilspark.session import materialize
 from vigilspark.operators.threshold import (
-    DEFAULT_BUCKET_SECONDS,
-    DEFAULT_CHUNK_ROWS,
     grouped_threshold_fires,
     is_immediate,
     threshold_fires,
@@ -66,27 +65,29 @@ def dedup(hits: DataFrame, prior_flags: DataFrame | None) -> DataFrame:
     return hits.join(seen, ["timestamp_ns", "pattern_key"], "left_anti")
 
 
-def _fold_groups(hits: DataFrame, gid: dict, bucket_seconds: int, chunk_rows: int,
-                 resets: DataFrame | None) -> DataFrame:
+def _fold_groups(hits: DataFrame, gid: dict, resets: DataFrame | None, block_rows: int | None) -> DataFrame:
     # note is a function of the pattern key, so carrying it as a key column
     # does not change the grouping; all thresholds share one positioning pass
     groups = {i: th for th, i in gid.items()}
     if not groups:
-        return hits.select("pattern_key", "level", "note", "timestamp_ns", "seq",
+        return hits.select("pattern_key", "level", "note", "timestamp_ns", "seq", "rid",
                            F.lit(0).alias("hit_count")).limit(0)
-    return grouped_threshold_fires(hits, groups, ("pattern_key", "level", "note"),
-                                   bucket_seconds, chunk_rows, resets).drop("tgroup")
+    return grouped_threshold_fires(hits, groups, ("pattern_key", "level", "note"), resets, block_rows).drop("tgroup")
+
+
+def stored_hits(hits: DataFrame) -> DataFrame:
+    """The hits written once, each with a ``rid`` of its own: equal records may share timestamp and ``seq``."""
+    return materialize(hits.withColumn("rid", F.monotonically_increasing_id()))
 
 
 def flagged_rows(fires: DataFrame, payload: DataFrame) -> DataFrame:
     """Shape fired hits as flattened flag rows (entry columns + flag columns).
 
-    ``payload`` is the materialized hit table (it carries source, raw and
-    priority), so fetching the text of fired rows never rescans the source.
+    ``payload`` is the stored hit table (it carries source, raw and priority),
+    so fetching the text of fired rows never rescans the source; a fire names
+    its row by ``rid``, so it is one flag even among identical records.
     """
-    on = ["seq", "timestamp_ns"] + (["pattern_key"] if "pattern_key" in payload.columns else [])
-    p = payload.select(*on, "source", "raw", "priority")
-    out = fires.join(p, on)
+    out = fires.join(payload.select("rid", "source", "raw", "priority"), "rid")
     return out.select(
         "timestamp_ns", "source", "raw", "priority", "level",
         F.col("timestamp_ns").alias("flagged_at"),
@@ -98,8 +99,7 @@ PAYLOAD = ("timestamp_ns", "seq", "source", "raw", "priority")
 
 def alert_pipeline(entries: DataFrame, rules: AlertRules, prior_flags: DataFrame | None = None,
                    resets: DataFrame | None = None, levels=None, keywords=None,
-                   bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-                   chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                   block_rows: int | None = None) -> DataFrame:
     """Keyword match -> exclusion -> tier -> dedup -> threshold -> flags.
 
     The source is scanned and matched once: the hits (with their payload)
@@ -118,18 +118,18 @@ def alert_pipeline(entries: DataFrame, rules: AlertRules, prior_flags: DataFrame
         used = {th for kw, level, th, _ in rules.tiers()
                 if (levels is None or level in set(levels)) and (keywords is None or kw in set(keywords))}
         gid = {th: i for th, i in gid.items() if th in used}
-    hits = materialize(dedup(hits, prior_flags))
+    hits = stored_hits(dedup(hits, prior_flags))
     immediate = {th: i for th, i in gid.items() if is_immediate(th)}
     windowed = {th: i for th, i in gid.items() if th not in immediate}
     parts = []
     if immediate:
         parts.append(_immediate_flags(hits.filter(F.col("tgroup").isin(list(immediate.values())))))
     if windowed:
-        fires = _fold_groups(hits.select("pattern_key", "level", "note", "tgroup", "timestamp_ns", "seq"),
-                             windowed, bucket_seconds, chunk_rows, resets)
+        fires = _fold_groups(hits.select("pattern_key", "level", "note", "tgroup", "timestamp_ns", "seq", "rid"),
+                             windowed, resets, block_rows)
         parts.append(flagged_rows(fires, hits))
     if not parts:
-        return flagged_rows(_fold_groups(hits, {}, bucket_seconds, chunk_rows, resets), hits)
+        return flagged_rows(_fold_groups(hits, {}, resets, block_rows), hits)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -146,25 +146,24 @@ def _immediate_flags(hits: DataFrame) -> DataFrame:
 
 def correlation_alerts(entries: DataFrame, rules: AlertRules, group: CorrelationGroup,
                        prior_flags: DataFrame | None = None,
-                       bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-                       chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                       block_rows: int | None = None) -> DataFrame:
     """Hits of ``group.keyword`` from any of ``group.sources`` share one
     pattern key (the group name) and run the CORRELATION threshold.
 
-    With ``group.min_distinct_sources = 2`` the retained hits must also come
-    from at least two sources (see :mod:`vigilspark.operators.correlation`)."""
+    With ``group.min_distinct_sources`` above 1 the retained hits must also come
+    from that many sources (see :mod:`vigilspark.operators.correlation`)."""
     from vigilspark.operators.correlation import distinct_source_fires
     hits = keyword_hits(entries.filter(F.col("source").isin(list(group.sources))), rules, keep=list(PAYLOAD))
     hits = (hits.filter(F.col("keyword") == group.keyword)
             .select(*PAYLOAD, F.lit(group.name).alias("pattern_key"), F.lit("CORRELATION").alias("level")))
-    hits = materialize(dedup(hits, prior_flags))
+    hits = stored_hits(dedup(hits, prior_flags))
     if group.min_distinct_sources > 1:
-        fires = distinct_source_fires(hits.select("pattern_key", "level", "timestamp_ns", "seq", "source"),
+        fires = distinct_source_fires(hits.select("pattern_key", "level", "timestamp_ns", "seq", "rid", "source"),
                                       group.threshold, group.min_distinct_sources, ("pattern_key", "level"),
-                                      "source", bucket_seconds, chunk_rows)
+                                      "source", block_rows)
     else:
-        fires = threshold_fires(hits.select("pattern_key", "level", "timestamp_ns", "seq"), group.threshold,
-                                ("pattern_key", "level"), bucket_seconds, chunk_rows)
+        fires = threshold_fires(hits.select("pattern_key", "level", "timestamp_ns", "seq", "rid"), group.threshold,
+                                ("pattern_key", "level"), block_rows=block_rows)
     fires = fires.withColumn(
         "note", F.lit(f"Keyword '{group.keyword}' correlated across {', '.join(group.sources)}"))
     return flagged_rows(fires, hits)
@@ -173,15 +172,14 @@ def correlation_alerts(entries: DataFrame, rules: AlertRules, group: Correlation
 def single_threshold_alerts(entries: DataFrame, rules: AlertRules, keyword: str, threshold: Threshold,
                             level: str = "PATTERN_WATCH", prior_flags: DataFrame | None = None,
                             resets: DataFrame | None = None,
-                            bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-                            chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                            block_rows: int | None = None) -> DataFrame:
     """Run one keyword through one threshold, per source (pattern key source:keyword)."""
     hits = keyword_hits(entries, rules, keep=list(PAYLOAD))
     hits = (hits.filter(F.col("keyword") == keyword)
             .select(*PAYLOAD, pattern_key("source", "keyword").alias("pattern_key"), F.lit(level).alias("level")))
-    hits = materialize(dedup(hits, prior_flags))
-    fires = threshold_fires(hits.select("pattern_key", "level", "timestamp_ns", "seq"), threshold,
-                            ("pattern_key", "level"), bucket_seconds, chunk_rows, resets)
+    hits = stored_hits(dedup(hits, prior_flags))
+    fires = threshold_fires(hits.select("pattern_key", "level", "timestamp_ns", "seq", "rid"), threshold,
+                            ("pattern_key", "level"), resets, block_rows)
     return flagged_rows(fires.withColumn("note", F.lit(rules.tier_of(keyword)[2])), hits)
 
 

@@ -1,174 +1,34 @@
-"""T6 option: correlation that must span several sources.
+"""Correlation that must span several sources.
 
-The reference correlation (a shared pattern key + the CORRELATION
-threshold) is :func:`vigilspark.operators.alerts.correlation_alerts`.  This
-module adds the documented intent "related errors in several subsystems
-close in time": a hit fires only when the retained hits (since the last
-fire, within ``W``, at most ``n``) number at least ``k`` *and* come from at
-least ``min_sources = 2`` sources; ``hit_count`` is the number retained,
-so it may exceed ``k``.
-
-Distributed form (same building blocks as the plain fold, no key is ever
-gathered into one task).  With positions ``g`` in the key's (time, seq)
-order and ``r`` = first position counted after the last fire:
-
-* ``a_j = max(first position within W of t_j, j - n + 1)`` — the oldest hit
-  the history may hold at j (the first term from the T7 probe machinery);
-* ``q_j`` = last position before j whose source differs from j's (runs of
-  equal sources, found with ``lag`` inside (key, bucket) partitions plus a
-  running max carried across buckets on the small bucket table);
-* ``b_j = min(j - k + 1, q_j)``; hit j fires iff ``r <= b_j`` and
-  ``a_j <= b_j``; after a fire ``r = last_g + 1`` (end of its
-  equal-timestamp run + 1, the dedup rule).
-
-``r`` only matters within ``n`` positions of a chunk's first candidate, so
-each chunk's transition is computed for ``n + 1`` entry states JVM-side,
-chained along the key, and every chunk is folded once from its entry state.
+The plain correlation (a shared pattern key and the CORRELATION threshold) is
+:func:`vigilspark.operators.alerts.correlation_alerts`.  Here a hit fires only
+when the retained hits also come from at least ``min_sources`` sources, any
+number of them; ``hit_count`` is the number retained and may exceed ``required``.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from vigilspark.config import NS_PER_SECOND, Threshold
-from vigilspark.functions.columns import floor_div
-from vigilspark.operators.threshold import (
-    DEFAULT_CHUNK_ROWS,
-    bucket_width,
-    threshold_fires,
-    window_hit_count,
-)
-from vigilspark.session import materialize
 
-
-def _transitions(n: int) -> Column:
-    """Exit ``r`` for each of the n+1 entry states of a chunk."""
-    init = F.transform(F.sequence(F.lit(0), F.lit(int(n))), lambda e: F.col("start") - e.cast("long"))
-    return F.aggregate(
-        F.col("cands"), init,
-        lambda acc, x: F.transform(acc, lambda r: F.when(x["b"] >= r, x["last_g"] + 1).otherwise(r)))
+from vigilspark.config import Threshold
+from vigilspark.operators.threshold import threshold_fires, windowed_fires
 
 
 def distinct_source_fires(hits: DataFrame, threshold: Threshold, min_sources: int = 2,
                           keys=("pattern_key", "level"), source_col: str = "source",
-                          bucket_seconds: int | None = None,
-                          chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                          block_rows: int | None = None) -> DataFrame:
     """Fired hits ``keys + (timestamp_ns, seq, hit_count)``.
 
-    ``hits`` needs ``keys``, ``timestamp_ns``, a unique ``seq`` and
-    ``source_col``.  ``min_sources <= 1`` is the plain threshold.
+    ``hits`` needs ``keys``, ``timestamp_ns``, ``seq`` and ``source_col``.
+    ``min_sources <= 1`` is the plain threshold.
     """
-    keys = list(keys)
     if min_sources <= 1:
-        return threshold_fires(hits, threshold, keys, bucket_seconds, chunk_rows)
-    if min_sources > 2:
-        raise NotImplementedError("min_sources above 2 is not supported")
+        return threshold_fires(hits, threshold, keys, block_rows=block_rows)
     if threshold.window_seconds <= 0:
         raise ValueError("a source-spanning correlation needs a time window")
-    k, n = int(threshold.required), int(threshold.samples)
-    out_cols = [*keys, "timestamp_ns", "seq", "hit_count"]
-    base = hits.select(*keys, "timestamp_ns", "seq", F.col(source_col).alias("src"))
-    if n < k:
-        return base.withColumn("hit_count", F.lit(0)).select(*out_cols).limit(0)
-
-    # 1. global positions in adaptive (key, bucket) partitions
-    if bucket_seconds:
-        bucket = floor_div("timestamp_ns", int(bucket_seconds) * NS_PER_SECOND)
-    else:
-        w = bucket_width(base, keys)
-        t = F.col("timestamp_ns")
-        bucket = F.round((t - F.pmod(t, w)) / w).cast("long")
-    base = base.withColumn("bucket", bucket)
-    sizes = base.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("cnt"))
-    wb_prev = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("off", F.coalesce(F.sum("cnt").over(wb_prev), F.lit(0)).cast("long"))
-    w_rows = Window.partitionBy(*keys, "bucket").orderBy("timestamp_ns", "seq")
-    w_peers = (Window.partitionBy(*keys, "bucket").orderBy("timestamp_ns")
-               .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    pos = materialize(
-        base.join(offsets, keys + ["bucket"])
-        .select(*keys, "bucket", "timestamp_ns", "seq", "src", "cnt",
-                (F.col("off") + F.row_number().over(w_rows) - 1).alias("g"),
-                (F.col("off") + F.count(F.lit(1)).over(w_peers) - 1).alias("last_g"),
-                F.row_number().over(w_rows).alias("rn"),
-                F.lag("src").over(w_rows).alias("prev_src")))
-
-    # 2. source runs: a run starts where the source differs from the hit before
-    last_src = (pos.filter(F.col("rn") == F.col("cnt"))
-                .select(*keys, "bucket", F.col("src").alias("last_src")))
-    prev_last = last_src.select(*keys, "bucket", F.lag("last_src").over(
-        Window.partitionBy(*keys).orderBy("bucket")).alias("prev_bucket_src"))
-    flagged = pos.join(prev_last, keys + ["bucket"], "left").withColumn(
-        "run_start_here",
-        F.when(F.col("rn") == 1, F.col("prev_bucket_src").isNull() | (F.col("prev_bucket_src") != F.col("src")))
-         .otherwise(F.col("prev_src") != F.col("src")))
-    start_g = F.when(F.col("run_start_here"), F.col("g"))
-    carry = (flagged.groupBy(*keys, "bucket").agg(F.max(start_g).alias("bmax"))
-             .select(*keys, "bucket", F.max("bmax").over(wb_prev).alias("carry")))
-    w_upto = w_rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    runs = (flagged.withColumn("local_start", F.max(start_g).over(w_upto))
-            .join(carry, keys + ["bucket"], "left")
-            .select(*keys, "timestamp_ns", "seq", "g", "last_g",
-                    F.coalesce("local_start", "carry").alias("run_start")))
-
-    # 3. oldest hit the history may hold: within W (T7 machinery) and last n
-    in_w = window_hit_count(hits.select(*keys, "timestamp_ns", "seq"), threshold.window_seconds, keys,
-                            bucket_seconds)
-    rows = runs.join(in_w.select(*keys, "seq", "hits_in_window"), keys + ["seq"])
-    a = F.greatest(F.col("last_g") + 1 - F.col("hits_in_window"), F.col("g") - (n - 1))
-    q = F.when(F.col("run_start") > 0, F.col("run_start") - 1)
-    # no other source before j: b is null (least() would skip the null)
-    b = F.when(q.isNotNull(), F.least(F.col("g") - (k - 1), q))
-    cand = (rows.select(*keys, "timestamp_ns", "seq", "g", "last_g", a.alias("a"), b.alias("b"))
-            .filter(F.col("b").isNotNull() & (F.col("a") <= F.col("b")))
-            .withColumn("chunk", floor_div("last_g", int(chunk_rows))))
-
-    # 4. chunk transitions (n+1 entry states), chained along each key
-    trans = (cand.groupBy(*keys, "chunk")
-             .agg(F.min("g").alias("start"),
-                  F.array_sort(F.collect_list(F.struct("g", "last_g", "b"))).alias("cands"))
-             .select(*keys, "chunk", "start", _transitions(n).alias("exit_r")))
-    key_fields = [hits.schema[c] for c in keys]
-    entry_schema = T.StructType(key_fields + [T.StructField("chunk", T.LongType()),
-                                              T.StructField("entry_r", T.LongType())])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        r = None
-        entry = np.empty(len(pdf), dtype=np.int64)
-        for i, (s, exits) in enumerate(zip(pdf["start"].tolist(), pdf["exit_r"].tolist())):
-            e = n if r is None else min(n, max(0, s - r))
-            entry[i] = s - e
-            r = int(exits[e])
-        out = pdf[keys + ["chunk"]].copy()
-        out["entry_r"] = entry
-        return out
-
-    entries = trans.groupBy(*keys).applyInPandas(chain, entry_schema)
-    fired_schema = T.StructType(key_fields + [T.StructField("timestamp_ns", T.LongType()),
-                                              T.StructField("seq", T.LongType()),
-                                              T.StructField("hit_count", T.IntegerType())])
-
-    # 5. fold each chunk from its entry state
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("g")
-        r = int(pdf["entry_r"].iloc[0])
-        keep, counts = [], []
-        for i, (g, last, lo, hi) in enumerate(zip(pdf["g"].tolist(), pdf["last_g"].tolist(),
-                                                   pdf["a"].tolist(), pdf["b"].tolist())):
-            if hi >= r:
-                keep.append(i)
-                counts.append(g - max(r, lo) + 1)
-                r = last + 1
-        out = pdf.iloc[keep][keys + ["timestamp_ns", "seq"]].copy()
-        out["hit_count"] = np.array(counts, dtype=np.int32)
-        return out
-
-    return (cand.join(entries, keys + ["chunk"])
-            .groupBy(*keys, "chunk")
-            .applyInPandas(fold, fired_schema)
-            .select(*out_cols))
+    marked = hits.withColumn("tgroup", F.lit(0))
+    if threshold.samples < max(threshold.required, min_sources):
+        return threshold_fires(hits, Threshold(2, 1, 1), keys)  # too few are retained: never fires
+    return windowed_fires(marked, {0: threshold}, keys, block_rows=block_rows, min_sources=min_sources,
+                          source_col=source_col).drop("tgroup")

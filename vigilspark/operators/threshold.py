@@ -1,42 +1,34 @@
-"""T2/T3: "k hits within W seconds, reset on fire" as a distributed Spark job.
-
-Semantics (per pattern key, hits in (timestamp_ns, seq) order):
-
-* a hit fires when at least ``k`` hits since the last fire lie in
-  ``[t - W, t]`` (inclusive lower bound); the window is then cleared;
-* a hit whose (timestamp_ns, pattern_key) already fired is ignored before it
-  is counted (dedup), so the rest of an equal-timestamp run after a fire is
-  skipped;
-* ``W == 0`` fires on every hit (hit_count 1); ``samples < k`` with a window
-  never fires; ``hit_count`` is ``k`` for every windowed fire.
-
-Distributed plan (no key is ever gathered into one task):
-
-1. *Global position.*  Hits are cut into (key, time bucket) groups; the
-   bucket width adapts to the densest key (:func:`bucket_width`).  Bucket
-   sizes are summed into per-key offsets on the small bucket table, and
-   ``row_number`` inside each bucket gives every hit its position ``g`` in
-   the key's sequence.  A hot key is spread over as many tasks as it has
-   buckets.
-2. *Candidates.*  Hit ``g`` can fire only if hit ``g-k+1`` lies within
-   ``W``: ``lag(t, k-1)`` inside the bucket; the first ``k-1`` hits of a bucket
-   look up the last ``k-1`` hits of earlier buckets with a join of two small
-   tables.  Non-candidates never fire and are dropped here.
-3. *Chunk transitions.*  The fold's only state is the first position
-   allowed to fire.  After a fire at ``p`` it is ``last(p) + k`` where
-   ``last(p)`` is the end of p's equal-timestamp run, so on entering a chunk
-   it is one of only ``k`` values relative to the chunk's first candidate.
-   For each chunk of at most ``chunk_rows`` candidates the exit state is
-   computed for all ``k`` entry states at once, JVM-side, with
-   ``aggregate`` over the sorted chunk.
-4. *Stitching.*  The per-chunk transition tables (one small row per chunk)
-   are chained in key order, which gives every chunk its entry state.
-5. *Fires.*  Each chunk is folded once more, in parallel, from its known
-   entry state; only the fired rows leave the task.
-
-Everything before step 4 is declarative; steps 4 and 5 are Arrow-batched
-``applyInPandas`` calls whose groups are bounded by the number of chunks of a
-key and by ``chunk_rows``.
+"""T2/T3/T6/T7/T8: "k hits within W seconds, reset on fire" as a distributed Spark job.
+
+Semantics, per key, hits in (timestamp_ns, seq) order:
+
+* a hit fires when the hits counted since the last fire and still retained
+  (not older than ``W``, the lower bound included, and among the last
+  ``samples``) number at least ``required``, and come from at least
+  ``min_sources`` sources; the count then starts anew;
+* a hit whose (timestamp_ns, key) already fired is ignored before it is
+  counted, so a fire skips the rest of its run of equal timestamps;
+* ``W == 0`` fires on every hit; ``samples < required`` with a window never.
+
+With positions g in that order, let r be the first position counted since the
+last fire.  Hit g fires iff max(r, a) <= b, where a is the oldest position
+that it may count (by time, by samples, by the last reset) and b the newest
+from which ``required`` hits and ``min_sources`` sources lie up to g.  Neither
+depends on r, so everything but r is local:
+
+1. Hits are sorted by (key, timestamp, seq) over range partitions, which
+   split a hot key, a burst and a run of equal timestamps alike by row count;
+   a row's position is its number there plus the sizes of the partitions before.
+2. Positions are cut into blocks of ``block_rows``; each block also sees the
+   few rows before it that its hits can reach back to.  A block finds its
+   candidates (a <= b) and what every possible r on entering it becomes on
+   leaving it: r matters only within ``samples`` positions, so that is a short table.
+3. The tables compose; they are folded in groups of ``FAN`` blocks, those
+   groups again, and the states handed down the same tree, so that no key's
+   blocks meet in one task.
+4. Each block jumps from fire to fire from its entry state.
+
+Keys are told by their 64-bit hash.
 """
 
 from __future__ import annotations
@@ -45,28 +37,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vigilspark.config import NS_PER_SECOND, Threshold
-from vigilspark.functions.columns import floor_div
-from vigilspark.session import materialize
+from vigilspark.session import store
 
-DEFAULT_BUCKET_SECONDS = None      # None: adaptive width (see bucket_width)
-DEFAULT_CHUNK_ROWS = 200_000
-TARGET_BUCKET_ROWS = 1_000_000
-MIN_BUCKET_NS = NS_PER_SECOND
-MAX_BUCKET_NS = 86_400 * NS_PER_SECOND
-
-
-MAX_TRANSITION_STEPS = 20_000_000
-
-
-def chunk_size(chunk_rows: int, k: int) -> int:
-    """Candidates per chunk: ``chunk_rows``, shrunk so that the k-state
-    transition of one chunk stays below MAX_TRANSITION_STEPS steps."""
-    return max(1, min(int(chunk_rows), max(1000, MAX_TRANSITION_STEPS // max(1, int(k)))))
+BLOCK_ROWS = 200_000
+FAN = 256
 
 
 def is_immediate(th: Threshold) -> bool:
@@ -74,275 +52,299 @@ def is_immediate(th: Threshold) -> bool:
     return th.window_seconds == 0 or (int(th.required) <= 1 and th.samples >= 1)
 
 
-def _key_fields(df: DataFrame, keys) -> list:
-    return [df.schema[k] for k in keys]
+def _ids(hits: DataFrame) -> list[str]:
+    """Columns that name a hit: ``seq``, and ``rid`` where equal records share their ``seq``."""
+    return [c for c in ("seq", "rid") if c in hits.columns]
 
 
 def immediate_fires(hits: DataFrame, keys=("pattern_key", "level")) -> DataFrame:
     """Every hit fires; equal (timestamp_ns, key) hits fire once (lowest seq)."""
-    keys = list(keys)
-    return (hits.groupBy(*keys, "timestamp_ns")
-            .agg(F.min("seq").alias("seq"))
-            .withColumn("hit_count", F.lit(1)))
+    ids = _ids(hits)
+    return (hits.groupBy(*keys, "timestamp_ns").agg(F.min(F.struct(*ids)).alias("_first"))
+            .select(*keys, "timestamp_ns", *[F.col(f"_first.{c}").alias(c) for c in ids], F.lit(1).alias("hit_count")))
+
+
+# ------------------------------------------------------------------ positions
+
+def _part_offsets(placed: DataFrame, at: str, size: Column) -> DataFrame:
+    """(_part, _before): what the partitions before each one hold; one row for each task of a write."""
+    total, rows = 0, []
+    part = F.shiftright(at, 33).alias("_part")
+    for r in placed.groupBy(part).agg(size.alias("n")).orderBy("_part").collect():
+        rows.append((r["_part"], total))
+        total += r["n"]
+    return F.broadcast(placed.sparkSession.createDataFrame(rows, "_part long, _before long"))
 
 
-def _by_group(groups: dict, fn, default=None) -> Column:
-    """CASE tgroup WHEN id THEN fn(threshold) ... (a literal per group)."""
-    expr = None
-    for gid, th in groups.items():
-        cond = F.col("tgroup") == F.lit(gid)
-        val = F.lit(fn(th))
-        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
+def positioned(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``g``: their number in ``order``, counted over range partitions."""
+    placed = store(rows.repartitionByRange(*order).sortWithinPartitions(*order)
+                   .withColumn("_at", F.monotonically_increasing_id()))
+    before = _part_offsets(placed, "_at", F.count("*"))
+    number = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return placed.join(before, F.shiftright("_at", 33) == F.col("_part")).withColumn("g", number).drop("_at", "_part", "_before")
 
 
-def bucket_width(hits: DataFrame, keys, target_rows: int | None = None) -> Column:
-    """Time-bucket width (ns) as a scalar subquery.
+# --------------------------------------------------------------------- blocks
 
-    Only keys with more than ``target_rows`` hits need splitting; the width is
-    chosen so that the densest of them averages ``target_rows`` hits per
-    bucket, clamped to [1 s, 1 day].  One value for all keys: no join, and
-    the (key, bucket) partitioning spreads a hot key over many tasks.
+class _Block:
+    """Rows of a block in order, those before it included; finds candidates and walks fires.
+
+    A state is what r is on entering: ``lo - e`` for e = 0 .. reach (further back
+    makes no difference), or reach + 1: a fire lies in the run of equal timestamps
+    that the block's first rows may go on with.
     """
-    target_rows = int(target_rows or TARGET_BUCKET_ROWS)
-    # no key can exceed the target when the whole table does not: skip the
-    # per-key aggregation (an early-stopping count instead of a shuffle)
-    if hits.limit(target_rows + 1).count() <= target_rows:
-        return F.lit(MAX_BUCKET_NS)
-    per_key = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                      (F.max("timestamp_ns") - F.min("timestamp_ns")).alias("span"))
-    width = (F.col("span").cast("double") / F.col("n") * F.lit(float(target_rows)))
-    w = (per_key.filter(F.col("n") > F.lit(int(target_rows)))
-         .agg(F.min(width).alias("w"))
-         .select(F.greatest(F.lit(MIN_BUCKET_NS),
-                            F.least(F.lit(MAX_BUCKET_NS), F.coalesce(F.col("w"), F.lit(float(MAX_BUCKET_NS)))
-                                    .cast("long"))).alias("w")))
-    return w.scalar()
-
-
-def candidates(hits: DataFrame, groups: dict, keys=("pattern_key", "level"),
-               bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-               resets: DataFrame | None = None) -> DataFrame:
-    """Steps 1–2 for all windowed threshold groups at once.
-
-    ``hits`` carries ``tgroup`` (a key of ``groups``, constant per key).
-    Returns the candidate rows with ``g``, ``last_g``, ``k`` and ``t_back``.
-    ``resets`` (keys + ``at_ns``) cut the sequence: a candidate must not have
-    a reset in ``(t[g-k+1], t]``.
+
+    def __init__(self, pdf: pd.DataFrame, block_rows: int, reach: int):
+        pdf = pdf.sort_values("g", kind="stable")
+        g, kh, t = (pdf[c].to_numpy() for c in ("g", "kh", "t"))
+        k, n, m, low = (pdf[c].to_numpy() for c in ("k", "n", "m", "low"))
+        own = g // block_rows == pdf["block"].to_numpy()
+        first = int(own.argmax())
+        self.reach, self.lo, self.hi = reach, int(g[first]), int(g[-1])
+        new_key = np.concatenate([[True], kh[1:] != kh[:-1]])
+        new_time = new_key | np.concatenate([[True], t[1:] != t[:-1]])
+        segment = np.cumsum(new_key)
+        # a: first row of the segment not older than ``low``; times as ranks, so that (segment, time) is one number
+        times = np.unique(t)
+        combined = segment * len(times) + np.searchsorted(times, t)
+        oldest = g[np.searchsorted(combined, segment * len(times) + np.searchsorted(times, low), side="left")]
+        a = np.maximum(oldest, g - n + 1)
+        b = g - k + 1
+        if (m > 1).any():
+            b = np.where(m > 1, np.minimum(b, _distinct_back(g, pdf["src"].to_numpy(), m)), b)
+        run = np.cumsum(new_time)
+        starts = np.flatnonzero(new_time)
+        run_end = np.append(starts[1:], len(g))[run - 1] - 1
+        cand = own & (a <= b)
+        self.g, self.a, self.b, self.segment = g[cand], a[cand], b[cand], segment[cand]
+        # r after a fire; a run that reaches the block's end may go on behind it
+        self.after = g[run_end][cand] + 1
+        self.last_segment, self.fresh = int(segment[-1]), bool(new_key[first])
+        self.first_segment = int(segment[first])
+        same_run = run[first:] == run[first - 1] if first else np.zeros(len(g), dtype=bool)
+        self.skip_to = int(g[first + same_run.sum() - 1]) + 1 if same_run.any() else self.lo
+        self.whole_run = bool(same_run.all()) if first else False
+        self.next_segment = np.searchsorted(self.segment, self.segment, side="right")
+        self.jump = np.minimum(np.searchsorted(self.b, self.after), self.next_segment).tolist()
+
+    def start(self, state: int) -> tuple[int, int]:
+        """(r on entering, number of the first candidate that can fire)."""
+        if self.fresh:
+            r = self.lo
+        else:
+            r = self.skip_to if state > self.reach else self.lo - state
+        at = int(np.searchsorted(self.b, r))
+        return r, min(at, int(np.searchsorted(self.segment, self.first_segment, side="right")))
+
+    def leave(self, state: int, last: int | None) -> int:
+        """State on leaving, ``last`` the last fire's number, if any, in the last row's segment."""
+        if last is not None:
+            r = int(self.after[last])
+        elif self.first_segment != self.last_segment or self.fresh:
+            return self.reach  # nothing fired in this segment: its count began at its first row
+        elif state > self.reach and self.whole_run:
+            return state
+        else:
+            r = self.start(state)[0]
+        return self.reach + 1 if r > self.hi else min(self.reach, self.hi + 1 - r)
+
+    def table(self) -> list[int]:
+        """State on leaving for every state on entering."""
+        size, n = self.reach + 2, len(self.g)
+        end = [None] * (n + 1)  # last fire in the last segment, from a fire on
+        for i in range(n - 1, -1, -1):
+            nxt = self.jump[i]
+            end[i] = end[nxt] if nxt < n else (i if self.segment[i] == self.last_segment else None)
+        out = []
+        for state in range(size):
+            at = self.start(state)[1]
+            out.append(self.leave(state, end[at] if at < n else None))
+        return out
+
+    def fires(self, state: int) -> tuple[list[int], list[int]]:
+        """(positions, hits counted) of the fires from an entry state."""
+        where, counts, n = [], [], len(self.g)
+        r, at = self.start(state)
+        while at < n:
+            where.append(int(self.g[at]))
+            counts.append(int(self.g[at] - max(r, self.a[at]) + 1))
+            nxt = self.jump[at]
+            r = int(self.after[at]) if nxt < n and self.segment[nxt] == self.segment[at] else 0
+            at = nxt
+        return where, counts
+
+
+def _distinct_back(g: np.ndarray, src: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """For each row the newest position from which m sources lie up to the row; -1 if there is none."""
+    most = int(m.max())
+    top = np.full((most, len(g)), -1, dtype=np.int64)  # last positions of sources, newest first
+    for code in np.unique(src):
+        seen = np.maximum.accumulate(np.where(src == code, g, -1))
+        for level in range(most):
+            top[level], seen = np.maximum(top[level], seen), np.minimum(top[level], seen)
+    return top[np.maximum(m, 1) - 1, np.arange(len(g))]
+
+
+# ----------------------------------------------------------------- state tree
+
+def _run(tables: list[bytes], state: int) -> list[int]:
+    """States on entering each of the tables in turn, and on leaving the last."""
+    states = [state]
+    for t in tables:
+        states.append(int(np.frombuffer(t, dtype=np.int32)[states[-1]]))
+    return states
+
+
+def _entry_states(tables: DataFrame) -> DataFrame:
+    """(node, state) on entering every node of ``tables`` (node, table), in order of node."""
+    def compose(key, pdf):
+        whole = None
+        for t in pdf.sort_values("node")["table"]:
+            t = np.frombuffer(t, dtype=np.int32)
+            whole = t if whole is None else t[whole]
+        return pd.DataFrame({"node": [key[0]], "table": [whole.tobytes()]})
+
+    def hand_down(key, pdf):
+        pdf = pdf.sort_values("node")
+        return pd.DataFrame({"node": pdf["node"], "state": _run(list(pdf["table"]), int(pdf["state"].iloc[0]))[:-1]})
+
+    parent = F.expr(f"node div {FAN}")
+    levels = [tables]
+    while levels[-1].limit(FAN + 1).count() > FAN:
+        levels.append(store(levels[-1].groupBy(parent.alias("up")).applyInPandas(compose, "node long, table binary")))
+    states = None
+    for level in reversed(levels):
+        if states is None:  # the first block is the start of a key: any state will do
+            rows = level.withColumn("state", F.lit(0)).withColumn("up", F.lit(0).cast("long"))
+        else:
+            rows = level.withColumn("up", parent).join(states.toDF("up", "state"), "up")
+        states = rows.groupBy("up").applyInPandas(hand_down, "node long, state int")
+    return states
+
+
+# ------------------------------------------------------------------ operators
+
+def _last_resets(rows: DataFrame, resets: DataFrame, keys: list[str]) -> DataFrame:
+    """(kh, t, reset): the last reset of the key in (t - w, t]; a reset without level is one of every level.
+
+    Resets meet only the hits of their own and the next stretch of W.
     """
-    keys = list(keys)
-    ks = sorted({int(th.required) for th in groups.values()})
-    kmax = max(ks)
-    if bucket_seconds:
-        bucket = floor_div("timestamp_ns", int(bucket_seconds) * NS_PER_SECOND)
-    else:
-        w = bucket_width(hits, keys)
-        t = F.col("timestamp_ns")
-        # (t - pmod(t, w)) is an exact multiple of w: rounding the double
-        # quotient recovers the integer floor exactly
-        bucket = F.round((t - F.pmod(t, w)) / w).cast("long")
-    base = hits.select(*keys, "tgroup", "timestamp_ns", "seq", bucket.alias("bucket"))
-
-    # 1. per-key offsets of every bucket (small table: keys x buckets)
-    sizes = base.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("cnt"))
-    wb = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("off", F.coalesce(F.sum("cnt").over(wb), F.lit(0)).cast("long"))
-
-    w_rows = Window.partitionBy(*keys, "bucket").orderBy("timestamp_ns", "seq")
-    w_peers = (Window.partitionBy(*keys, "bucket").orderBy("timestamp_ns")
-               .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    k_col = _by_group(groups, lambda th: int(th.required)).cast("int")
-    lag_t = None
-    for k in ks:   # one lag column per distinct k, all in the same window pass
-        lag_k = F.lag("timestamp_ns", k - 1).over(w_rows)
-        cond = F.col("tgroup").isin([g for g, th in groups.items() if int(th.required) == k])
-        lag_t = F.when(cond, lag_k) if lag_t is None else lag_t.when(cond, lag_k)
-    pos = (base.join(offsets, keys + ["bucket"])
-           .select(*keys, "tgroup", "bucket", "timestamp_ns", "seq", "cnt",
-                   k_col.alias("k"),
-                   (F.col("off") + F.row_number().over(w_rows) - 1).alias("g"),
-                   (F.col("off") + F.count(F.lit(1)).over(w_peers) - 1).alias("last_g"),
-                   F.row_number().over(w_rows).alias("rn"),
-                   lag_t.alias("t_back")))
-    # three consumers below (inner rows, heads, tails): compute the window once
-    pos = materialize(pos)
-
-    # 2. the first k-1 hits of a bucket look back into earlier buckets
-    cols = [*keys, "tgroup", "k", "g", "last_g", "timestamp_ns", "seq"]
-    inner = pos.filter(F.col("rn") >= F.col("k")).select(*cols, "t_back")
-    heads = (pos.filter((F.col("rn") < F.col("k")) & (F.col("g") >= F.col("k") - 1))
-             .select(*cols, (F.col("g") - (F.col("k") - 1)).alias("g_back")))
-    tails = (pos.filter(F.col("rn") > F.col("cnt") - (kmax - 1))
-             .select(*keys, F.col("g").alias("g_back"), F.col("timestamp_ns").alias("t_back")))
-    head_rows = heads.join(tails, keys + ["g_back"]).drop("g_back")
-    rows = inner.unionByName(head_rows)
-    w_col = _by_group(groups, lambda th: int(th.window_ns)).cast("long")
-    cand = rows.filter(F.col("timestamp_ns") - F.col("t_back") <= w_col)
-    if resets is not None:
-        # a reset names a pattern key and optionally a level (null = all levels);
-        # the pattern key stays an equi-join key, the level a wildcard test
-        rkeys = [c for c in keys if c in resets.columns]
-        r = resets.select(*rkeys, F.col("at_ns"))
-        tests = [(cand[c] == r[c]) if c != "level" else (r[c].isNull() | (cand[c] == r[c])) for c in rkeys]
-        cond = reduce(lambda a, b: a & b, tests,
-                      (r["at_ns"] > cand["t_back"]) & (r["at_ns"] <= cand["timestamp_ns"]))
-        cand = cand.join(r, cond, "left_anti")
-    return cand
-
-
-def _transition_expr() -> Column:
-    """Exit 'allowed' position for each of the k entry states of a chunk."""
-    k = F.col("k")
-    init = F.transform(F.sequence(F.lit(0), k - 1), lambda e: F.col("start") + e.cast("long"))
-    return F.aggregate(
-        F.col("cands"), init,
-        lambda acc, x: F.transform(acc, lambda a: F.when(x["g"] >= a, x["last_g"] + k).otherwise(a)))
+    cut = [c for c in keys if c in resets.columns]
+    known = rows.select("kh", "w", *keys).distinct()
+    tests = [(known[c] == resets[c]) if c != "level" else (resets[c].isNull() | (known[c] == resets[c])) for c in cut]
+    marks = known.join(resets, reduce(lambda a, b: a & b, tests)).select(known["kh"], known["w"], "at_ns").distinct()
+    marks = marks.select("kh", "at_ns", F.explode(F.array(F.expr("(at_ns - pmod(at_ns, w)) div w"),
+                                                          F.expr("(at_ns - pmod(at_ns, w)) div w + 1"))).alias("stretch"))
+    times = rows.select("kh", F.col("timestamp_ns").alias("t"), "w").distinct().withColumn("stretch", F.expr("(t - pmod(t, w)) div w"))
+    return times.join(marks, ["kh", "stretch"]).where("at_ns <= t").groupBy("kh", "t").agg(F.max("at_ns").alias("reset"))
 
 
-def threshold_fires(hits: DataFrame, threshold: Threshold, keys=("pattern_key", "level"),
-                    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-                    chunk_rows: int = DEFAULT_CHUNK_ROWS,
-                    resets: DataFrame | None = None) -> DataFrame:
-    """Fired hits ``keys + (timestamp_ns, seq, hit_count)`` for one threshold.
+def windowed_fires(hits: DataFrame, groups: dict, keys=("pattern_key", "level"), resets: DataFrame | None = None,
+                   block_rows: int | None = None, min_sources: int = 1, source_col: str | None = None) -> DataFrame:
+    """Fires of windowed thresholds: ``keys + tgroup, timestamp_ns, seq, hit_count``.
 
-    ``hits`` needs ``keys``, ``timestamp_ns`` and a unique order key ``seq``;
-    hits already flagged must be removed before (see ``alerts.dedup``).
+    ``hits`` carries ``tgroup``, a key of ``groups`` that is constant per key.
     """
-    return grouped_threshold_fires(hits.withColumn("tgroup", F.lit(0)), {0: threshold}, keys,
-                                   bucket_seconds, chunk_rows, resets).drop("tgroup")
+    keys, ids, block_rows = list(keys), _ids(hits), int(block_rows or BLOCK_ROWS)
+    # beyond ``required`` the samples only matter to a count of sources
+    held = {g: (int(th.required), int(th.samples) if min_sources > 1 else int(th.required), int(th.window_ns)) for g, th in groups.items()}
+    reach = max(n for _, n, _ in held.values())
+
+    def by_group(i, kind):
+        return reduce(lambda e, g: e.when(F.col("tgroup") == g, F.lit(held[g][i])), held, F.when(F.lit(False), 0)).cast(kind)
+
+    rows = hits.select(*keys, "tgroup", "timestamp_ns", *ids, *([source_col] if source_col else [])) \
+        .withColumn("kh", F.xxhash64(*keys, "tgroup"))
+    rows = positioned(rows, ["kh", "timestamp_ns", *ids])
+    slim = rows.select("g", "kh", *keys, "timestamp_ns", F.col("timestamp_ns").alias("t"), by_group(0, "long").alias("k"),
+                       by_group(1, "long").alias("n"), F.lit(int(min_sources)).cast("long").alias("m"), by_group(2, "long").alias("w"),
+                       (F.xxhash64(source_col) if source_col else F.lit(0).cast("long")).alias("src"))
+    low = F.col("t") - F.col("w")
+    if resets is not None:
+        slim = slim.join(_last_resets(slim, resets, keys), ["kh", "t"], "left")
+        low = F.greatest(low, "reset")
+    columns = ["block", "g", "kh", "t", "k", "n", "m", "low", "src"]
+    blocks = slim.withColumn("low", low).withColumn(
+        "block", F.explode(F.expr(f"sequence(g div {block_rows}, (g + {reach}) div {block_rows})"))).select(*columns)
+    # a block of rows that only reach into it has none of its own
+    kept = store(blocks)
+
+    def own_rows(pdf):
+        return bool((pdf["g"] // block_rows == pdf["block"]).any())
+
+    def tabulate(key, pdf):
+        if not own_rows(pdf):
+            return pd.DataFrame({"node": pd.Series([], dtype="int64"), "table": pd.Series([], dtype="object")})
+        return pd.DataFrame({"node": [key[0]], "table": [np.array(_Block(pdf, block_rows, reach).table(), dtype=np.int32).tobytes()]})
+
+    states = _entry_states(store(kept.groupBy("block").applyInPandas(tabulate, "node long, table binary")))
+
+    def walk(key, pdf):
+        where, counts = _Block(pdf, block_rows, reach).fires(int(pdf["state"].iloc[0])) if own_rows(pdf) else ([], [])
+        return pd.DataFrame({"g": pd.Series(where, dtype="int64"), "hit_count": pd.Series(counts, dtype="int32")})
+
+    fired = kept.join(states.withColumnRenamed("node", "block"), "block").groupBy("block").applyInPandas(walk, "g long, hit_count int")
+    return rows.join(fired, "g").select(*keys, "tgroup", "timestamp_ns", *ids, "hit_count")
 
 
 def grouped_threshold_fires(hits: DataFrame, groups: dict, keys=("pattern_key", "level"),
-                            bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-                            chunk_rows: int = DEFAULT_CHUNK_ROWS,
-                            resets: DataFrame | None = None) -> DataFrame:
+                            resets: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
     """Fired hits for several thresholds at once: ``groups`` maps the value of
     the ``tgroup`` column to its :class:`Threshold`.  Windowed groups share
     one positioning pass; immediate groups are a plain dedup aggregate."""
     keys = list(keys)
-    immediate = {g: th for g, th in groups.items() if is_immediate(th)}
-    windowed = {g: th for g, th in groups.items()
-                if g not in immediate and th.samples >= th.required}
-    out_cols = [*keys, "tgroup", "timestamp_ns", "seq", "hit_count"]
+    immediate = [g for g, th in groups.items() if is_immediate(th)]
+    windowed = {g: th for g, th in groups.items() if g not in immediate and th.samples >= th.required}
+    columns = [*keys, "tgroup", "timestamp_ns", *_ids(hits), "hit_count"]
     parts = []
     if immediate:
-        parts.append(immediate_fires(hits.filter(F.col("tgroup").isin(list(immediate))), keys + ["tgroup"])
-                     .select(*out_cols))
+        parts.append(immediate_fires(hits.filter(F.col("tgroup").isin(immediate)), keys + ["tgroup"]).select(*columns))
     if windowed:
-        parts.append(_windowed_fires(hits.filter(F.col("tgroup").isin(list(windowed))), windowed, keys,
-                                     bucket_seconds, chunk_rows, resets).select(*out_cols))
+        parts.append(windowed_fires(hits.filter(F.col("tgroup").isin(list(windowed))), windowed, keys, resets, block_rows).select(*columns))
     if not parts:
-        return immediate_fires(hits, keys + ["tgroup"]).select(*out_cols).limit(0)
+        return immediate_fires(hits, keys + ["tgroup"]).select(*columns).limit(0)
     return reduce(DataFrame.unionByName, parts)
 
 
-def _windowed_fires(hits, groups, keys, bucket_seconds, chunk_rows, resets):
-    cand = candidates(hits, groups, keys, bucket_seconds, resets)
-    # chunks never split an equal-timestamp run: all of a run share last_g.
-    # A chunk's transition costs k x chunk steps, so large k get smaller chunks.
-    size = _by_group(groups, lambda th: chunk_size(int(chunk_rows), int(th.required))).cast("long")
-    lg = F.col("last_g")
-    cand = cand.withColumn("chunk", F.round((lg - F.pmod(lg, size)) / size).cast("long"))
-    gkeys = keys + ["tgroup", "k"]
-
-    # 3. transition table, one row per (key, chunk)
-    trans = (cand.groupBy(*gkeys, "chunk")
-             .agg(F.min("g").alias("start"),
-                  F.array_sort(F.collect_list(F.struct("g", "last_g"))).alias("cands"))
-             .select(*gkeys, "chunk", "start", _transition_expr().alias("exit_allowed")))
-
-    # 4. chain the transitions along each key
-    key_fields = _key_fields(hits, keys) + [T.StructField("tgroup", hits.schema["tgroup"].dataType),
-                                            T.StructField("k", T.IntegerType())]
-    entry_schema = T.StructType(key_fields + [
-        T.StructField("chunk", T.LongType()),
-        T.StructField("entry_allowed", T.LongType()),
-    ])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        allowed = -1
-        entry = np.empty(len(pdf), dtype=np.int64)
-        starts = pdf["start"].to_numpy()
-        exits = pdf["exit_allowed"].to_numpy()
-        for i in range(len(pdf)):
-            e = max(0, allowed - int(starts[i]))
-            entry[i] = starts[i] + e
-            allowed = int(exits[i][e])
-        out = pdf[gkeys + ["chunk"]].copy()
-        out["entry_allowed"] = entry
-        return out
+def threshold_fires(hits: DataFrame, threshold: Threshold, keys=("pattern_key", "level"),
+                    resets: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
+    """Fired hits ``keys + (timestamp_ns, seq, hit_count)`` for one threshold.
 
-    entries = trans.groupBy(*gkeys).applyInPandas(chain, entry_schema)
-
-    # 5. fold every chunk from its entry state, in parallel
-    fired_schema = T.StructType(key_fields + [
-        T.StructField("timestamp_ns", T.LongType()),
-        T.StructField("seq", T.LongType()),
-    ])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("g")
-        k = int(pdf["k"].iloc[0])
-        allowed = int(pdf["entry_allowed"].iloc[0])
-        g = pdf["g"].to_numpy()
-        last = pdf["last_g"].to_numpy()
-        keep = np.zeros(len(pdf), dtype=bool)
-        for i in range(len(pdf)):
-            if g[i] >= allowed:
-                keep[i] = True
-                allowed = int(last[i]) + k
-        return pdf.loc[keep, gkeys + ["timestamp_ns", "seq"]]
-
-    fired = (cand.select(*gkeys, "chunk", "g", "last_g", "timestamp_ns", "seq")
-             .join(entries, gkeys + ["chunk"])
-             .groupBy(*gkeys, "chunk")
-             .applyInPandas(fold, fired_schema))
-    n_col = _by_group(groups, lambda th: int(th.samples)).cast("int")
-    return fired.withColumn("hit_count", F.least(F.col("k"), n_col))
-
-
-def window_hit_count(hits: DataFrame, window_seconds: int, keys=("pattern_key",),
-                     bucket_seconds: int | None = None) -> DataFrame:
-    """Hits of the same key in ``[t - W, t]`` (RANGE frame, no reset).
-
-    Computed on global positions so that no key meets in one task:
-    ``count = #hits with time <= t  -  #hits with time < t - W``.  Every hit
-    also emits a probe row at ``t - W``; hits and probes are cut into
-    (key, time bucket) partitions of adaptive width, per-bucket hit counts
-    are prefix-summed on the small bucket table, and a running count inside
-    each bucket completes both terms (probes sort before hits at equal time,
-    so the lower bound is inclusive).  The two halves meet again in an
-    equi-join on (key, seq).
+    ``hits`` needs ``keys``, ``timestamp_ns`` and the order key ``seq`` (and
+    ``rid`` where that isn't unique); hits already flagged must be removed
+    before (see ``alerts.dedup``).
     """
-    keys = list(keys)
-    w_ns = int(window_seconds) * NS_PER_SECOND
-    x = F.col("x")
-    if bucket_seconds:
-        b_ns = int(bucket_seconds) * NS_PER_SECOND
-        bucket = F.round((x - F.pmod(x, F.lit(b_ns))) / F.lit(b_ns)).cast("long")
-    else:
-        wid = bucket_width(hits, keys)
-        bucket = F.round((x - F.pmod(x, wid)) / wid).cast("long")
-    probe_flags = F.array(F.lit(False), F.lit(True))
-    rows = (hits.select(*keys, "timestamp_ns", "seq", F.explode(probe_flags).alias("probe"))
-            .withColumn("x", F.when(F.col("probe"), F.col("timestamp_ns") - F.lit(w_ns))
-                        .otherwise(F.col("timestamp_ns")))
-            .withColumn("bucket", bucket))
-    is_hit = F.when(F.col("probe"), F.lit(0)).otherwise(F.lit(1))
-    sizes = rows.groupBy(*keys, "bucket").agg(F.sum(is_hit).alias("cnt"))
-    wb = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "bucket", F.coalesce(F.sum("cnt").over(wb), F.lit(0)).cast("long").alias("off"))
-    w_upto = (Window.partitionBy(*keys, "bucket").orderBy("x")
-              .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    w_before = (Window.partitionBy(*keys, "bucket").orderBy("x", F.col("probe").desc(), "seq")
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = materialize(
-        rows.join(offsets, keys + ["bucket"])
-        .select(*keys, "timestamp_ns", "seq", "probe",
-                (F.col("off") + F.sum(is_hit).over(w_upto)).alias("upto"),
-                (F.col("off") + F.sum(is_hit).over(w_before)).alias("before")))
-    own = counted.filter(~F.col("probe")).select(*keys, "timestamp_ns", "seq", "upto")
-    lower = counted.filter(F.col("probe")).select(*keys, "seq", "before")
-    return (own.join(lower, keys + ["seq"])
-            .select(*keys, "timestamp_ns", "seq", (F.col("upto") - F.col("before")).cast("long").alias("hits_in_window")))
+    return grouped_threshold_fires(hits.withColumn("tgroup", F.lit(0)), {0: threshold}, keys, resets, block_rows).drop("tgroup")
+
+
+def window_hit_count(hits: DataFrame, window_seconds: int, keys=("pattern_key",)) -> DataFrame:
+    """Hits of the same key in ``[t - W, t]`` (no reset), for every hit.
+
+    Hits are counted by (key, t); each such row also sends a probe to t - W.
+    A running count over all of them in order, by range partitions, gives at
+    the row and at its probe how many hits lie up to there.
+    """
+    keys, w_ns = list(keys), int(window_seconds) * NS_PER_SECOND
+    at = hits.groupBy(*keys, "timestamp_ns").agg(F.count("*").alias("n"))
+    probe = F.struct((F.col("timestamp_ns") - w_ns).alias("x"), F.lit(0).alias("hit"), F.lit(0).cast("long").alias("n"))
+    own = F.struct(F.col("timestamp_ns").alias("x"), F.lit(1).alias("hit"), F.col("n").alias("n"))
+    rows = at.select(*keys, "timestamp_ns", F.explode(F.array(probe, own)).alias("p")).select(*keys, "timestamp_ns", "p.*")
+    order = [*keys, "x", "hit", "timestamp_ns"]
+    schema = rows.withColumn("upto", F.lit(0).cast("long")).withColumn("_at", F.lit(0).cast("long")).schema
+
+    def running(batches):
+        total = 0
+        for pdf in batches:
+            upto = total + pdf["n"].cumsum()
+            total = int(upto.iloc[-1]) if len(upto) else total
+            yield pdf.assign(upto=upto)
+
+    placed = store(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+                   .select(*keys, "timestamp_ns", "x", "hit", "n", "_at")
+                   .mapInPandas(running, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name != "upto") + ", upto long"))
+    before = _part_offsets(placed, "_at", F.sum("n"))
+    upto = F.when(F.col("hit") == 1, 1).otherwise(-1) * (F.col("upto") + F.col("_before"))
+    counted = placed.join(before, F.shiftright("_at", 33) == F.col("_part")).groupBy(*keys, "timestamp_ns").agg(F.sum(upto).alias("hits_in_window"))
+    return hits.select(*keys, "timestamp_ns", "seq").join(counted, [*keys, "timestamp_ns"]).select(
+        *keys, "timestamp_ns", "seq", "hits_in_window")
