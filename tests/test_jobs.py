@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from vigilspark.config import AlertRules
 from vigilspark.plans import params as P
-from vigilspark.plans.jobs import journal_export, monitor_job, seed_job
+from vigilspark.plans.jobs import close_job, journal_export, monitor_job, seed_job
 from vigilspark.sources import store
+from vigilspark.streaming.stream import boot_state, hourly_state, keyword_state
 
 SF = "/root/testdata/sf0.01"
 RULES = AlertRules(watched=["error", "purchase", "signup", "view"], critical=["purchase"],
@@ -29,15 +30,16 @@ def test_seed_job_and_merge(spark, tmpdir_path):
     assert state["baseline"].count() <= 168
     assert state["keyword_stats"].filter("keyword = 'purchase'").count() == 1
     assert state["boot_stats"].select("boot_id").distinct().count() == 10
-    # a second seeding over the same export doubles the sample counts
+    # seeding the same export again changes nothing
     v2 = os.path.join(tmpdir_path, "v2")
-    seed_job(spark, src, v2, RULES, P.AS_OF_NS, previous=v1)
-    s1 = store.load_baseline(spark, v1)["baseline"].agg(F.sum("count")).first()[0]
-    s2 = store.load_baseline(spark, v2)["baseline"].agg(F.sum("count")).first()[0]
-    assert s2 == 2 * s1
-    k1 = store.load_baseline(spark, v1)["keyword_stats"].agg(F.sum("hits")).first()[0]
-    k2 = store.load_baseline(spark, v2)["keyword_stats"].agg(F.sum("hits")).first()[0]
-    assert k2 == 2 * k1
+    again = seed_job(spark, src, v2, RULES, P.AS_OF_NS, boot_window_seconds=3600, previous=v1).collect()[0]
+    assert again == meta
+    for name, df in store.load_baseline(spark, v2).items():
+        assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, store.load_baseline(spark, v1)[name].collect()), key=str)
+    # observed time adds up and raises the confidence
+    log = spark.createDataFrame([(0, 7 * 86400 * 10**9), (0, 7 * 86400 * 10**9)], "start_ns long, end_ns long")
+    v3 = os.path.join(tmpdir_path, "v3")
+    assert seed_job(spark, src, v3, RULES, P.AS_OF_NS, previous=v2, observed=log).collect()[0].confidence_pct == 100
 
 
 def test_monitor_job(spark, tmpdir_path):
@@ -51,7 +53,17 @@ def test_monitor_job(spark, tmpdir_path):
     levels = {r.level for r in flags.select("level").distinct().collect()}
     assert levels == {"TRIAGE", "PATTERN_WATCH"}
     assert flags.filter("level = 'TRIAGE'").count() > 0
-    assert spark.read.parquet(os.path.join(state, "hourly")).count() > 0
-    assert store.read_flags(spark, os.path.join(state, "flags_aggregate")).count() > 0
-    from vigilspark.streaming.stream import latest_boot_stats
-    assert latest_boot_stats(spark, os.path.join(state, "boot_stats")).count() > 0
+    done = close_job(spark, state, P.AS_OF_NS, retention_days=7)
+    live = store.read_flags(spark, done["live"])
+    old = store.read_flags(spark, os.path.join(state, "archive"))
+    assert old.count() == done["archived"] > 0
+    assert "AGGREGATE" in {r.level for r in live.unionByName(old).select("level").distinct().collect()}
+    hours = hourly_state(spark, state)
+    assert hours.agg(F.sum("n")).first()[0] == keyword_free_lines(spark, src)
+    assert keyword_state(spark, state).count() > 0 and boot_state(spark, state).count() > 0
+
+
+def keyword_free_lines(spark, src):
+    """Lines that the live stream takes: all but blank and cut ones."""
+    from vigilspark.sources import journal
+    return journal.split_rejects(journal.parse_lines(spark.read.text(src)), drop_bad_timestamp=False)[0].count()

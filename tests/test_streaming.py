@@ -1,17 +1,29 @@
 """Batch = stream: the streaming forms over a folder of time-ordered files."""
 
+import json
 import os
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SEC, fires_by_definition
+
 from vigilspark.config import AlertRules, Threshold
 from vigilspark.operators.alerts import single_threshold_alerts
 from vigilspark.operators.baseline import hourly_counts
-from vigilspark.operators.match import keyword_hits
+from vigilspark.operators.boot import boot_window_stats
+from vigilspark.operators.match import keyword_hits, keyword_stats
+from vigilspark.operators.retention import pause_filtered, pause_frame
 from vigilspark.operators.rollup import aggregate_rollup
 from vigilspark.plans import params as P
 from vigilspark.sources.tables import events_as_entries
-from vigilspark.streaming.stream import entries_stream, stream_hourly_counts, stream_rollup, stream_threshold
+from vigilspark.plans.jobs import monitor_job
+from vigilspark.sources.journal import read_journal_stream
+from vigilspark.sources.store import read_flags
+from vigilspark.streaming.stream import (
+    boot_state, closed_rollups, entries_stream, fires_in, flag_sink, hourly_state, keyword_state, observation_log, state_sink,
+    stream_alert_pipeline, stream_threshold)
 
 SF = "/root/testdata/sf0.01"
 
@@ -55,22 +67,99 @@ def test_stream_threshold_equals_batch(spark, tmpdir_path):
     assert len(b) == 88 and g == b
 
 
-def test_stream_hourly_and_rollup_equal_batch(spark, tmpdir_path):
-    flat = _split_events(spark, tmpdir_path)
-    e = entries_stream(spark, flat, max_files_per_trigger=1)
-    hourly = _run(stream_hourly_counts(e), "t_hourly", os.path.join(tmpdir_path, "ck2"))
-    batch_e = events_as_entries(spark.read.parquet(f"{SF}/events.parquet"))
-    bh = hourly_counts(batch_e)
-    # the last open hour is emitted only when the watermark passes it
-    assert hourly.count() <= bh.count() and hourly.exceptAll(bh.select(*hourly.columns)).count() == 0
-    missing = bh.select(*hourly.columns).exceptAll(hourly)
-    last_hour = bh.agg(F.max("hour_ns")).first()[0]
-    assert missing.filter(F.col("hour_ns") < last_hour - 3600 * 10**9).count() == 0
-    e2 = entries_stream(spark, flat, max_files_per_trigger=1)
-    roll = _run(stream_rollup(e2, P.RULES, P.AGG_ANCHOR_NS), "t_roll", os.path.join(tmpdir_path, "ck3"))
-    br = aggregate_rollup(batch_e, P.RULES, P.AGG_ANCHOR_NS)
-    assert roll.exceptAll(br.select(*roll.columns)).count() == 0
-    assert br.count() - roll.count() <= 1
+def _sums(spark, entries, state, ckpt, pauses=None):
+    q = (entries.writeStream.foreachBatch(state_sink(state, P.RULES, P.AGG_ANCHOR_NS, 3600, pauses))
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def same(got, want):
+    want = want.select(*got.columns)
+    return got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_state_sums_equal_batch(spark, tmpdir_path):
+    flat, state = _split_events(spark, tmpdir_path), os.path.join(tmpdir_path, "state")
+    batch = events_as_entries(spark.read.parquet(f"{SF}/events.parquet"))
+    for run in range(2):  # the second run replays every batch under its own number
+        _sums(spark, entries_stream(spark, flat, 1), state, os.path.join(tmpdir_path, f"ck{run}"))
+        assert same(hourly_state(spark, state), hourly_counts(batch))
+        assert same(keyword_state(spark, state), keyword_stats(keyword_hits(batch, P.RULES, keep=["source", "timestamp_ns"])))
+        assert same(boot_state(spark, state), boot_window_stats(batch, P.RULES, 3600))
+        assert same(closed_rollups(spark, state, 2**62), aggregate_rollup(batch, P.RULES, P.AGG_ANCHOR_NS))
+    assert observation_log(spark, state).count() == 3
+    half = closed_rollups(spark, state, P.MERGE_SPLIT_NS)
+    assert 0 < half.count() < closed_rollups(spark, state, 2**62).count()
+    assert half.where(F.col("flagged_at") > P.MERGE_SPLIT_NS).count() == 0
+
+
+def test_pauses_leave_boot_stats_alone(spark, tmpdir_path):
+    flat, state = _split_events(spark, tmpdir_path), os.path.join(tmpdir_path, "state")
+    batch = events_as_entries(spark.read.parquet(f"{SF}/events.parquet"))
+    pauses = pause_frame(spark, P.PAUSES)
+    _sums(spark, entries_stream(spark, flat, 1), state, os.path.join(tmpdir_path, "ck"), pauses)
+    assert same(hourly_state(spark, state), hourly_counts(pause_filtered(batch, pauses)))
+    assert same(boot_state(spark, state), boot_window_stats(batch, P.RULES, 3600))
+
+
+def _journal(path, times, name):
+    os.makedirs(path, exist_ok=True)
+    with open(os.path.join(path, name), "w") as f:
+        for t in times:
+            stamp = str(t * 1_000_000) if isinstance(t, int) else t
+            f.write(json.dumps({"__REALTIME_TIMESTAMP": stamp, "_SYSTEMD_UNIT": "a", "MESSAGE": "error x"}) + "\n")
+
+
+def test_a_bad_timestamp_loses_nothing_and_stops_nothing(spark, tmpdir_path):
+    src, state, sink = (os.path.join(tmpdir_path, x) for x in ("journal", "state", "flags"))
+    start = 1_704_067_200
+    rules = AlertRules(watched=["error"], critical=[], thresholds={"PATTERN_WATCH": Threshold(3, 5, 600)})
+    for hour in range(6):
+        _journal(src, [start + 3600 * hour + i for i in range(3)] + (["bad"] if hour == 0 else []), f"{hour}.json")
+    _journal(src, [start + 7, start + 8, start + 9], "9late.json")
+    entries = read_journal_stream(spark, src, 1)
+    _sums(spark, entries, state, os.path.join(tmpdir_path, "ck"))
+    hours = {r.hour_ns: r.n for r in hourly_state(spark, state).collect()}
+    assert sum(hours.values()) == 6 * 3 + 1 + 3 and hours[start * 10**9] == 6
+    q = (stream_alert_pipeline(entries, rules).writeStream.foreachBatch(flag_sink(sink))
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ck2")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert read_flags(spark, sink).count() == 7  # one each hour, and one of the late file
+
+
+def test_a_replayed_batch_adds_no_flag(spark, tmpdir_path):
+    """The sink wrote, the driver died before the batch was committed, and the job starts again."""
+    src, state = os.path.join(tmpdir_path, "journal"), os.path.join(tmpdir_path, "state")
+    start = 1_704_067_200
+    rules = AlertRules(watched=["error"], critical=[], thresholds={"PATTERN_WATCH": Threshold(3, 5, 600)})
+    _journal(src, [start, start + 1], "0.json")
+    run = lambda: [q.awaitTermination() for q in monitor_job(spark, src, state, rules, 0, {"availableNow": True})]
+    run()
+    _journal(src, [start + 2, start + 3], "1.json")
+    run()
+    commits = os.path.join(state, "_ck_flags", "commits")
+    for name in ("1", ".1.crc"):
+        if os.path.exists(os.path.join(commits, name)):
+            os.remove(os.path.join(commits, name))
+    run()
+    got = read_flags(spark, os.path.join(state, "flags")).collect()
+    assert [r.timestamp_ns for r in got] == [(start + 2) * 10**9]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fires_in_batches_equal_one_pass(seed):
+    rng = np.random.default_rng(seed)
+    k = int(rng.integers(1, 5))
+    n, w = k + int(rng.integers(0, 3)), int(rng.choice([0, 3, 20])) * SEC
+    times = np.sort(rng.integers(0, 200, 120)) * SEC
+    held = fired = np.zeros(0, dtype=np.int64)
+    got, at = [], 0
+    for part in np.split(times, [7, 8, 60]):
+        new, held, fired = fires_in(part, held, fired, k, n, w)
+        got += [(int(part[i]), c) for i, c in new]
+    assert got == [(t, c) for t, _, c in fires_by_definition([(int(t), i, "") for i, t in enumerate(times)], k, n, w // SEC)]
+    late, held, fired = fires_in(times[:5], held, fired, k, n, w)
+    assert not {int(times[i]) for i, _ in late} & {t for t, _ in got}  # what fired before doesn't fire again
 
 
 def test_stream_alert_pipeline_into_flag_sink_equals_batch(spark, tmpdir_path):
@@ -126,20 +215,3 @@ def test_stream_skips_hits_flagged_in_an_earlier_run(spark, tmpdir_path):
     # the same as the batch pipeline given the same prior flags
     expect = alert_pipeline(batch_e, P.RULES, prior_flags=dedup_keys(spark, sink))
     assert new == {(r.timestamp_ns, r.pattern_key) for r in expect.collect()}
-
-
-def test_stream_boot_stats_equal_batch(spark, tmpdir_path):
-    from vigilspark.operators.boot import boot_window_stats
-    from vigilspark.streaming.stream import boot_stats_sink, latest_boot_stats, stream_boot_window_stats
-    flat = _split_events(spark, tmpdir_path)
-    e = entries_stream(spark, flat, max_files_per_trigger=1)
-    sink = os.path.join(tmpdir_path, "boot_stats")
-    q = (stream_boot_window_stats(e, P.RULES, 3600).writeStream.outputMode("update")
-         .foreachBatch(boot_stats_sink(sink))
-         .option("checkpointLocation", os.path.join(tmpdir_path, "ck_boot"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    got = latest_boot_stats(spark, sink)
-    batch = boot_window_stats(events_as_entries(spark.read.parquet(f"{SF}/events.parquet")), P.RULES, 3600)
-    assert got.count() == batch.count() == 107
-    assert got.exceptAll(batch.select(*got.columns)).count() == 0

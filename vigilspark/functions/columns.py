@@ -44,17 +44,6 @@ def ns_to_ts(ns) -> Column:
     return F.timestamp_micros(floor_div(ns, 1000))
 
 
-def seconds_ns(seconds: int) -> Column:
-    return F.lit(int(seconds) * NS_PER_SECOND).cast("long")
-
-
-def slot_key(ts) -> Column:
-    """P4 from a timestamp column (uses the session zone, which
-    :func:`vigilspark.session.get_session` pins to UTC)."""
-    t = col_(ts)
-    return F.concat(F.weekday(t).cast("string"), F.lit("_"), F.lpad(F.hour(t).cast("string"), 2, "0"))
-
-
 def slot_key_ns(ns: str) -> Column:
     """``<weekday>_<hour>`` with Monday = 0 and a two-digit UTC hour,
     by integer arithmetic on ns (independent of the session time zone;

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from vigilspark.config import AlertRules, MAX_BOOT_WINDOW_SECONDS, MAX_TRACKED_BOOTS
 from vigilspark.operators.match import keyword_hits
-from vigilspark.session import materialize
 
 
 def in_boot_window(entries: DataFrame, window_seconds: int = MAX_BOOT_WINDOW_SECONDS) -> DataFrame:
@@ -32,26 +31,30 @@ def boot_window_stats(entries: DataFrame, rules: AlertRules,
                  F.max("timestamp_ns").alias("last_seen_ns")))
 
 
-def newest_boots(stats: DataFrame, keep: int = MAX_TRACKED_BOOTS) -> DataFrame:
-    """The ``keep`` boots first recorded most recently (top-k, no window)."""
-    boots = stats.groupBy("boot_id").agg(F.min("first_seen_ns").alias("boot_first_ns"))
-    return boots.orderBy(F.col("boot_first_ns").desc(), F.col("boot_id").desc()).limit(int(keep))
+def _by_boot(stats: DataFrame) -> DataFrame:
+    """One row per boot: when it was first recorded, and its keywords (as many as there are rules)."""
+    columns = [c for c in stats.columns if c != "boot_id"]
+    return stats.groupBy("boot_id").agg(F.min("first_seen_ns").alias("boot_first_ns"), F.collect_list(F.struct(*columns)).alias("_kw"))
 
 
-def retained_boot_stats(stats: DataFrame, keep: int = MAX_TRACKED_BOOTS) -> DataFrame:
-    """R5 applied: boot stats of the newest ``keep`` boots only (semi-join on a
-    list of at most ``keep`` ids, broadcast: its size is bounded by ``keep``).
+def _spread(boots: DataFrame, columns: list) -> DataFrame:
+    return boots.select("boot_id", F.explode("_kw").alias("_k")).select(
+        *[F.col("boot_id") if c == "boot_id" else F.col(f"_k.{c}").alias(c) for c in columns])
+
+
+def merge_boot_stats(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored and new boot stats as one: hits add up, first and last hits widen."""
+    return old.unionByName(new.select(*old.columns)).groupBy("boot_id", "keyword").agg(
+        F.sum("hits").alias("hits"), F.min("first_seen_ns").alias("first_seen_ns"), F.max("last_seen_ns").alias("last_seen_ns"))
 
-    The stats (boots x keywords, small) are materialized first so the source
-    is scanned once for both the ranking and the result."""
-    stats = materialize(stats)
-    return stats.join(F.broadcast(newest_boots(stats, keep).select("boot_id")), "boot_id", "left_semi")
+
+def retained_boot_stats(stats: DataFrame, keep: int = MAX_TRACKED_BOOTS) -> DataFrame:
+    """Boot stats of the ``keep`` boots first recorded most recently (a top-k over boots)."""
+    newest = _by_boot(stats).orderBy(F.col("boot_first_ns").desc(), F.col("boot_id").desc()).limit(int(keep))
+    return _spread(newest, stats.columns)
 
 
 def boot_summary(stats: DataFrame) -> DataFrame:
     """Keywords of the newest boot, by hits descending then first hit."""
-    stats = materialize(stats)
-    boots = stats.groupBy("boot_id").agg(F.min("first_seen_ns").alias("boot_first_ns"))
-    newest = boots.agg(F.max_by("boot_id", "boot_first_ns").alias("boot_id"))
-    return (stats.filter(F.col("boot_id") == newest.scalar())
-            .orderBy(F.col("hits").desc(), F.col("first_seen_ns").asc(), F.col("keyword")))
+    newest = _by_boot(stats).agg(F.max_by(F.struct("boot_id", "_kw"), F.struct("boot_first_ns", "boot_id")).alias("b")).select("b.*")
+    return _spread(newest, stats.columns).orderBy(F.col("hits").desc(), F.col("first_seen_ns").asc(), F.col("keyword"))

@@ -5,12 +5,11 @@ Every "now" is an explicit ``as_of`` argument; nothing reads the clock.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilspark.config import MAX_ENTRIES, NS_PER_SECOND, ROLLING_WINDOW_HOURS
 from vigilspark.functions.columns import floor_div
-from vigilspark.session import broadcast_if_small
 
 
 def rolling_window(entries: DataFrame, as_of_ns: int, hours: int = ROLLING_WINDOW_HOURS) -> DataFrame:
@@ -22,18 +21,28 @@ def rolling_window(entries: DataFrame, as_of_ns: int, hours: int = ROLLING_WINDO
     return entries.filter(F.col("timestamp_ns") >= F.lit(cutoff))
 
 
+#: Arrival numbers are counted in ranges of this many bits.
+RANGE_BITS = 16
+
+
 def capped_buffer(entries: DataFrame, cap: int = MAX_ENTRIES, order_col: str = "seq") -> DataFrame:
     """R2: the newest ``cap`` entries by arrival.
 
-    ``orderBy(desc).limit(cap)`` plans as a distributed top-k
-    (TakeOrderedAndProject): each task keeps only its own top ``cap``.
+    Entries are counted by range of arrival numbers (at most one row per
+    range and task is shuffled).  Ranges newer than the one that holds the
+    cap-th newest entry are kept whole; only that one is sorted.  Equal
+    arrival numbers at the edge are kept in no fixed order.
     """
-    return entries.orderBy(F.col(order_col).desc()).limit(int(cap))
-
-
-def buffer_size(entries: DataFrame) -> DataFrame:
-    """Number of rows in the buffer (one-row DataFrame)."""
-    return entries.agg(F.count(F.lit(1)).alias("buffer_rows"))
+    cap = int(cap)
+    part = F.expr(f"shiftright(`{order_col}`, {RANGE_BITS})")
+    ranges = entries.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    newer = F.coalesce(F.sum("n").over(Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = ranges.withColumn("newer", newer).where((F.col("newer") < cap) & (F.col("newer") + F.col("n") >= cap)).first()
+    if edge is None:  # fewer rows than the cap
+        return entries if cap > 0 else entries.limit(0)
+    whole = entries.where(part > F.lit(edge["part"]))
+    cut = entries.where(part == F.lit(edge["part"])).orderBy(F.col(order_col).desc()).limit(cap - edge["newer"])
+    return whole.unionByName(cut)
 
 
 def incremental_batch(entries: DataFrame, high_water_mark, order_col: str = "seq") -> DataFrame:
@@ -63,7 +72,6 @@ def pause_filtered(entries: DataFrame, pauses: DataFrame) -> DataFrame:
     p = pauses.select(
         "start_ns", "end_ns",
         F.explode(F.sequence(floor_div("start_ns", day), floor_div_end("end_ns", day))).alias("day"))
-    p = broadcast_if_small(p)
     e = entries.withColumn("_day", floor_div("timestamp_ns", day))
     cond = ((e["_day"] == p["day"]) & (e["timestamp_ns"] >= p["start_ns"]) & (e["timestamp_ns"] < p["end_ns"]))
     return e.join(p, cond, "left_anti").drop("_day")

@@ -17,27 +17,31 @@ from vigilspark.operators.alerts import _case
 from vigilspark.operators.match import aggregate_hits
 
 
-def aggregate_rollup(entries: DataFrame, rules: AlertRules, anchor_ns: int) -> DataFrame:
+def rollup_counts(entries: DataFrame, rules: AlertRules, anchor_ns: int) -> DataFrame:
+    """(keyword, interval_s, end_ns, n): matching lines per interval; counts of parts of the input add up."""
     hits = aggregate_hits(entries, rules, keep=["timestamp_ns"])
-    interval_ns = _case(F.col("keyword"), {k: v * NS_PER_SECOND for k, v in rules.aggregate.items()}).cast("long")
     interval_s = _case(F.col("keyword"), dict(rules.aggregate)).cast("long")
-    rel = hits.select("keyword", interval_s.alias("interval_s"), interval_ns.alias("interval_ns"),
+    rel = hits.select("keyword", interval_s.alias("interval_s"), (interval_s * NS_PER_SECOND).alias("interval_ns"),
                       (F.col("timestamp_ns") - F.lit(int(anchor_ns))).alias("rel_ns"))
     # exact floor division on BIGINT ns (intervals differ per keyword)
-    bucketed = rel.select(
-        "keyword", "interval_s", "interval_ns",
-        (F.expr("(rel_ns - pmod(rel_ns, interval_ns)) div interval_ns") + 1).alias("bucket_end"))
-    counts = (bucketed.groupBy("keyword", "interval_s", "interval_ns", "bucket_end")
-              .agg(F.count(F.lit(1)).alias("n")))
-    end_ns = F.lit(int(anchor_ns)) + F.col("bucket_end") * F.col("interval_ns")
+    end = F.expr("((rel_ns - pmod(rel_ns, interval_ns)) div interval_ns + 1) * interval_ns") + F.lit(int(anchor_ns))
+    return rel.groupBy("keyword", "interval_s", end.alias("end_ns")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def rollup_flags(counts: DataFrame) -> DataFrame:
+    """One AGGREGATE flag per counted interval."""
     return counts.select(
-        end_ns.alias("timestamp_ns"),
+        F.col("end_ns").alias("timestamp_ns"),
         F.lit("aggregate").alias("source"),
         F.col("keyword").alias("raw"),
         F.lit(None).cast("int").alias("priority"),
         F.lit("AGGREGATE").alias("level"),
-        end_ns.alias("flagged_at"),
+        F.col("end_ns").alias("flagged_at"),
         F.concat(F.lit("aggregate:"), F.col("keyword")).alias("pattern_key"),
         F.col("n").cast("int").alias("hit_count"),
         F.format_string("%d hits aggregated over the last %ds (quarantined keyword)",
                         F.col("n"), F.col("interval_s")).alias("note"))
+
+
+def aggregate_rollup(entries: DataFrame, rules: AlertRules, anchor_ns: int) -> DataFrame:
+    return rollup_flags(rollup_counts(entries, rules, anchor_ns))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from vigilspark.config import AlertRules
 from vigilspark.functions.columns import lower_raw
 from vigilspark.schemas import RULE_ROW
-from vigilspark.session import broadcast_if_small
 
 
 def rule_keywords(rules: AlertRules) -> list:
@@ -73,8 +72,7 @@ def rule_violations(rules_df: DataFrame) -> DataFrame:
 def rule_coverage(spark: SparkSession, entries: DataFrame, rules: AlertRules) -> DataFrame:
     """Rules against the data: matching lines per rule keyword (exclusions
     applied to tiered keywords), whether the rule is reachable, and its
-    tier.  One pass over the entries with one conditional count per rule;
-    the rule table is broadcast."""
+    tier.  One pass over the entries with one conditional count per rule."""
     rdf = rules_frame(spark, rules)
     names = rule_keywords(rules)
     low = lower_raw("raw")
@@ -89,6 +87,6 @@ def rule_coverage(spark: SparkSession, entries: DataFrame, rules: AlertRules) ->
     stack = F.explode(F.array(*[F.struct(F.lit(kw).alias("keyword"), F.col(f"c{i}").alias("matched_lines"))
                                 for i, kw in enumerate(names)]))
     counts = wide.select(stack.alias("s")).select("s.keyword", "s.matched_lines")
-    return (broadcast_if_small(rdf).join(counts, "keyword")
+    return (rdf.join(counts, "keyword")
             .select("keyword", "level", "matched_lines",
                     F.col("level").isNotNull().alias("reachable")))

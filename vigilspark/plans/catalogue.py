@@ -7,14 +7,16 @@ matching DuckDB SQL lives in :mod:`vigilspark.plans.oracle`.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilspark.config import AlertRules, NS_PER_DAY
+from vigilspark.config import AlertRules, NS_PER_DAY, NS_PER_SECOND
 from vigilspark.functions.columns import floor_div
-from vigilspark.session import materialize
 from vigilspark.operators import alerts, baseline, boot, flags, match, report, retention, rollup, threshold
 from vigilspark.operators.rules import rule_coverage
+from vigilspark.session import checkpoint_dir, materialize
 from vigilspark.plans import params as P
 from vigilspark.sources import journal, store
 from vigilspark.sources.tables import document_lines, events_as_entries, load_entries, read_table
@@ -235,10 +237,10 @@ def q_pattern_reset(spark, sf_dir):
     e = _entries(spark, sf_dir)
     rules = P.RULES
     hits = match.keyword_hits(e, rules, keep=list(alerts.PAYLOAD))
-    hits = materialize(hits.filter(F.col("keyword") == "error").select(
+    hits = alerts.stored_hits(hits.filter(F.col("keyword") == "error").select(
         *alerts.PAYLOAD, F.concat_ws(":", "source", "keyword").alias("pattern_key"),
         F.lit("PATTERN_WATCH").alias("level")))
-    keyed = hits.select("pattern_key", "level", "timestamp_ns", "seq")
+    keyed = hits.select("pattern_key", "level", "timestamp_ns", "seq", "rid")
     fires = threshold.threshold_fires(keyed, rules.thresholds["PATTERN_WATCH"], ("pattern_key", "level"),
                                       resets=_daily_resets(keyed))
     return alerts.flagged_rows(fires.withColumn("note", F.lit(rules.tier_of("error")[2])), hits)
@@ -311,9 +313,7 @@ def q_flag_clear(spark, sf_dir):
 
 
 def _scratch(spark, name: str) -> str:
-    import uuid
-    from vigilspark.session import checkpoint_dir
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def q_flag_store_roundtrip(spark, sf_dir):
@@ -351,6 +351,87 @@ def q_history_seed(spark, sf_dir):
         state["keyword_stats"].agg(F.count(F.lit(1))).scalar().alias("keyword_rows"))
 
 
+def q_correlation_three_sources(spark, sf_dir):
+    """T6 over more than two sources: the retained hits must come from all three."""
+    return alerts.correlation_alerts(_entries(spark, sf_dir), P.RULES, P.THREE_SOURCES)
+
+
+def q_dedup_rerun(spark, sf_dir):
+    """T5: the whole input once more after its first half was flagged, with every
+    fifth entry repeated at the same time."""
+    e = _entries(spark, sf_dir)
+    again = e.unionByName(e.where("seq % 5 = 0").withColumn("seq", F.col("seq") + 1_000_000_000))
+    prior = materialize(_pipeline(again.where(F.col("timestamp_ns") < P.MERGE_SPLIT_NS)))
+    return alerts.alert_pipeline(again, P.RULES, prior_flags=prior)
+
+
+def q_mixed_source_alerts(spark, sf_dir):
+    """S4 + T9: the journal and the lines of ``documents`` as text files, whose
+    lines all bear their file's time, in one alert pipeline."""
+    lines = journal_fixture(read_table(spark, sf_dir, "events"))
+    good, _ = journal.split_rejects(journal.parse_lines(lines))
+    text = document_lines(read_table(spark, sf_dir, "documents")).select(
+        (F.lit(P.AGG_ANCHOR_NS) + F.expr("doc_id div 3") * NS_PER_SECOND).alias("timestamp_ns"),
+        (F.col("doc_id") * 1048576 + F.col("line_no")).alias("seq"), F.concat("source", F.lit(".log")).alias("source"), "raw")
+    return alerts.alert_pipeline(store.union_sources(journal.journal_entries(good, keep=["seq"]), text), P.MIXED_RULES)
+
+
+def _flag_table(spark, sf_dir) -> str:
+    """A stored flag table of the pipeline's flags."""
+    path = _scratch(spark, "flags")
+    store.write_flags(_pipeline(_entries(spark, sf_dir)), path)
+    return path
+
+
+def q_flag_table_counts(spark, sf_dir):
+    """A10: alerts and AGGREGATE summaries in one stored table, counted by level."""
+    path = _flag_table(spark, sf_dir)
+    store.write_flags(rollup.aggregate_rollup(_entries(spark, sf_dir), P.RULES, P.AGG_ANCHOR_NS), path)
+    return flags.flag_counts(flags.flag_listing(store.read_flags(spark, path)))
+
+
+def q_archive_move(spark, sf_dir):
+    """M3 over a stored table: what is live and what is archived afterwards, and how many flags moved."""
+    live, archive, after = _flag_table(spark, sf_dir), _scratch(spark, "archive"), _scratch(spark, "flags")
+    moved = store.archive_flags(spark, live, archive, after, P.AS_OF_NS, P.ARCHIVE_DAYS)
+    both = store.read_flags(spark, archive).withColumn("destination", F.lit("archive")).unionByName(
+        store.read_flags(spark, after).withColumn("destination", F.lit("live")))
+    return both.withColumn("moved", F.lit(moved).cast("long"))
+
+
+def q_clear_rewrite(spark, sf_dir):
+    """M2 over a stored table: the flags that remain, and how many were removed."""
+    live, after = _flag_table(spark, sf_dir), _scratch(spark, "flags")
+    removed = store.clear_flags(spark, live, after, level="TRIAGE")
+    return store.read_flags(spark, after).withColumn("removed", F.lit(removed).cast("long"))
+
+
+def q_seed_in_two_parts(spark, sf_dir):
+    """The journal seeded up to a day, then from there on; the contents of all state tables."""
+    from vigilspark.plans.jobs import journal_export, seed_job
+    events, version = read_table(spark, sf_dir, "events"), None
+    whole = _scratch(spark, "journal")
+    until = F.timestamp_micros(F.lit(P.MERGE_SPLIT_NS // 1000)).cast("timestamp_ntz")
+    journal_export(events.where(F.col("ts") < until)).write.text(whole)
+    for part in range(2):
+        if part:  # the second export holds everything, the part seen before included
+            whole = _scratch(spark, "journal")
+            journal_export(events).write.text(whole)
+        out = _scratch(spark, "seed")
+        seed_job(spark, whole, out, P.RULES, P.AS_OF_NS, boot_window_seconds=P.BOOT_WINDOW_SECONDS, previous=version)
+        version = out
+    state = store.load_baseline(spark, version)
+    long0, none = F.lit(0).cast("long"), F.lit(0.0)
+    return (state["baseline"].select(F.lit("baseline").alias("kind"), F.col("slot_key").alias("a"), F.col("source").alias("b"),
+                                     F.col("count").alias("n"), F.round("mean", 6).alias("x"), long0.alias("t"))
+            .unionByName(state["keyword_stats"].select(F.lit("keyword").alias("kind"), F.col("source").alias("a"), F.col("keyword").alias("b"),
+                                                       F.col("hits").alias("n"), none.alias("x"), F.col("last_seen_ns").alias("t")))
+            .unionByName(state["boot_stats"].select(F.lit("boot").alias("kind"), F.col("boot_id").alias("a"), F.col("keyword").alias("b"),
+                                                    F.col("hits").alias("n"), none.alias("x"), F.col("first_seen_ns").alias("t")))
+            .unionByName(state["meta"].select(F.lit("meta").alias("kind"), F.lit("").alias("a"), F.lit("").alias("b"), long0.alias("n"),
+                                              F.round("seed_days", 6).alias("x"), F.col("first_seen_ns").alias("t"))))
+
+
 # --- rules --------------------------------------------------------------------------
 
 def q_rule_coverage(spark, sf_dir):
@@ -399,4 +480,11 @@ QUERIES = {
     "flag_store_roundtrip": q_flag_store_roundtrip,
     "buffer_snapshot_load": q_buffer_snapshot_load,
     "history_seed": q_history_seed,
+    "correlation_three_sources": q_correlation_three_sources,
+    "dedup_rerun": q_dedup_rerun,
+    "mixed_source_alerts": q_mixed_source_alerts,
+    "flag_table_counts": q_flag_table_counts,
+    "archive_move": q_archive_move,
+    "clear_rewrite": q_clear_rewrite,
+    "seed_in_two_parts": q_seed_in_two_parts,
 }

@@ -1,10 +1,11 @@
 """End-to-end jobs: history seeding (batch) and live monitoring (streaming).
 
-``seed_job``: journal export -> entries -> hourly baseline, keyword stats,
+``seed_job``: journal export -> entries -> hourly counts, keyword stats,
 boot-window stats and confidence -> the state tables, written as one new
-version folder.  ``monitor_job``: journal folder stream -> flags (sink),
-hourly counts, boot-window stats and aggregate rollups, four queries off
-one source definition, each with its own checkpoint.
+version folder; with an earlier version it goes on from there.
+``monitor_job``: journal folder stream -> flags, and the sums that the same
+tables are made of.  ``close_job`` turns closed rollups into flags and moves
+old flags to the archive.
 """
 
 from __future__ import annotations
@@ -14,83 +15,109 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilspark.config import AlertRules, MAX_BOOT_WINDOW_SECONDS, MAX_TRACKED_BOOTS
+from vigilspark.config import AlertRules, DEFAULT_RETENTION_DAYS, MAX_BOOT_WINDOW_SECONDS, MAX_TRACKED_BOOTS, NS_PER_DAY
+from vigilspark.functions.columns import confidence, confidence_pct, monitoring_active, slot_key_ns
 from vigilspark.operators import baseline, boot, match
+from vigilspark.session import materialize
 from vigilspark.sources import journal, store
 from vigilspark.streaming import stream
 
+#: Micro-batches read at most so many new files.
+FILES_PER_TRIGGER = 64
+
 
 def seed_job(spark: SparkSession, journal_path: str, out_path: str, rules: AlertRules, as_of_ns: int,
              boot_window_seconds: int = MAX_BOOT_WINDOW_SECONDS, boots_kept: int = MAX_TRACKED_BOOTS,
-             previous: str | None = None) -> DataFrame:
+             previous: str | None = None, observed: DataFrame | None = None) -> DataFrame:
     """Seed (or continue) the baseline from a journal export.
 
-    With ``previous`` (an earlier version folder) the new statistics are
-    merged into the stored ones (Chan merge for buckets, sum/max for keyword
-    stats).  Returns the one-row confidence report.
+    With ``previous`` (an earlier version folder) only entries after its last
+    one are added, so that seeding an export in parts equals seeding it
+    whole and seeding it again changes nothing.  ``observed`` (start_ns, end_ns)
+    adds to the time of direct observation.  Returns the one-row meta table.
     """
-    parsed = journal.parse_lines(spark.read.text(journal_path))
-    good, _ = journal.split_rejects(parsed)
+    good, _ = journal.split_rejects(journal.parse_lines(spark.read.text(journal_path)))
     entries = journal.journal_entries(good)
-    hourly = baseline.hourly_counts(entries)
-    base = baseline.slot_baseline(hourly)
+    old = store.load_baseline(spark, previous) if previous else None
+    since = old["meta"].select("newest_ns").first()[0] if old else None
+    if since is not None:
+        entries = entries.where(F.col("timestamp_ns") > F.lit(int(since)))
+    entries = materialize(entries)  # parsed once for the aggregates below
+    hourly = entries.groupBy("source", F.expr("timestamp_ns - pmod(timestamp_ns, 3600000000000L)").alias("hour_ns")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("timestamp_ns").alias("earliest_ns"), F.max("timestamp_ns").alias("newest_ns"))
     hits = match.keyword_hits(entries, rules, keep=["source", "timestamp_ns"])
-    kw = match.keyword_stats(hits)
-    boots = boot.retained_boot_stats(boot.boot_window_stats(entries, rules, boot_window_seconds), boots_kept)
-    if previous:
-        old = store.load_baseline(spark, previous)
-        base = baseline.merge_baselines(old["baseline"], base)
-        kw = match.merge_keyword_stats(old["keyword_stats"], kw)
-    seed = baseline.seed_days(entries, as_of_ns)
-    direct = baseline.direct_observation_days(
-        spark.createDataFrame([], "start_ns long, end_ns long"))
-    conf = baseline.confidence_report(seed, direct)
-    meta = conf.select(
-        match.first_seen(hits).scalar().alias("first_seen_ns"),
-        "seed_days", "direct_days", "confidence", "confidence_pct", "monitoring_active")
-    store.save_baseline(out_path, base, kw, boots, meta)
+    kw = hits.groupBy("source", "keyword").agg(F.count(F.lit(1)).alias("hits"), F.max("timestamp_ns").alias("last_seen_ns"),
+                                               F.min("timestamp_ns").alias("first_seen_ns"))
+    boots = boot.boot_window_stats(entries, rules, boot_window_seconds)
+    observed_ns = observed.agg(F.coalesce(F.sum(F.col("end_ns") - F.col("start_ns")), F.lit(0)).cast("long").alias("v")).first()[0] \
+        if observed is not None else 0
+    if old:
+        hourly = hourly.unionByName(old["hourly"]).groupBy("source", "hour_ns").agg(
+            F.sum("n").alias("n"), F.min("earliest_ns").alias("earliest_ns"), F.max("newest_ns").alias("newest_ns"))
+        kw = kw.unionByName(old["keyword_first"]).groupBy("source", "keyword").agg(
+            F.sum("hits").alias("hits"), F.max("last_seen_ns").alias("last_seen_ns"), F.min("first_seen_ns").alias("first_seen_ns"))
+        boots = boot.merge_boot_stats(old["boot_stats"], boots)
+        observed_ns += old["meta"].select("observed_ns").first()[0]
+    hourly, kw = materialize(hourly), materialize(kw)  # small: sources by hours, sources by keywords
+    base = baseline.slot_baseline(hourly.select("source", "hour_ns", "n").withColumn("slot_key", slot_key_ns("hour_ns")))
+    ends = hourly.agg(F.min("earliest_ns").alias("earliest_ns"), F.max("newest_ns").alias("newest_ns"))
+    days = ends.select("earliest_ns", "newest_ns", F.lit(int(observed_ns)).cast("long").alias("observed_ns"),
+                       F.coalesce((F.lit(int(as_of_ns)) - F.col("earliest_ns")) / F.lit(float(NS_PER_DAY)), F.lit(0.0)).alias("seed_days"),
+                       (F.lit(int(observed_ns)) / F.lit(float(NS_PER_DAY))).alias("direct_days"))
+    meta = days.withColumn("confidence", confidence("seed_days", "direct_days")).select(
+        kw.agg(F.coalesce(F.min("first_seen_ns"), F.lit(0)).alias("v")).scalar().alias("first_seen_ns"),
+        "seed_days", "direct_days", "confidence", confidence_pct("confidence").alias("confidence_pct"),
+        monitoring_active("confidence").alias("monitoring_active"), "earliest_ns", "newest_ns", "observed_ns")
+    store.save_baseline(out_path, base, kw, boot.retained_boot_stats(boots, boots_kept), meta, hourly)
     return spark.read.parquet(os.path.join(out_path, "meta"))
 
 
-def monitor_job(spark: SparkSession, journal_dir: str, state_dir: str, rules: AlertRules,
-                anchor_ns: int, trigger: dict | None = None,
-                boot_window_seconds: int = MAX_BOOT_WINDOW_SECONDS):
+def monitor_job(spark: SparkSession, journal_dir: str, state_dir: str, rules: AlertRules, anchor_ns: int,
+                trigger: dict | None = None, boot_window_seconds: int = MAX_BOOT_WINDOW_SECONDS,
+                pauses: DataFrame | None = None, files_per_trigger: int = FILES_PER_TRIGGER):
     """Start the live queries; returns the list of StreamingQuery handles.
 
     ``trigger`` defaults to a 10-second processing-time tick (the original
-    tool's status tick); tests pass ``{"availableNow": True}``.
+    tool's status tick); tests pass ``{"availableNow": True}``.  What counts
+    as flagged before is fixed when the checkpoint is made: flags written
+    since then are remembered by the stream's own state, so a replayed
+    micro-batch counts the same hits again.
     """
+    from vigilspark.operators.retention import pause_filtered
     trigger = trigger or {"processingTime": "10 seconds"}
-    entries = journal.read_journal_stream(spark, journal_dir)
     flags_path = os.path.join(state_dir, "flags")
-    queries = []
-    prior = store.dedup_keys(spark, flags_path)
-    q = (stream.stream_alert_pipeline(entries, rules, prior_flags=prior).writeStream.outputMode("append")
-         .foreachBatch(stream.flag_sink(flags_path))
-         .option("checkpointLocation", os.path.join(state_dir, "_ck_flags"))
-         .trigger(**trigger).start())
-    queries.append(q)
-    q = (stream.stream_hourly_counts(entries).writeStream.outputMode("append").format("parquet")
-         .option("path", os.path.join(state_dir, "hourly"))
-         .option("checkpointLocation", os.path.join(state_dir, "_ck_hourly"))
-         .trigger(**trigger).start())
-    queries.append(q)
-    q = (stream.stream_boot_window_stats(entries, rules, boot_window_seconds).writeStream
-         .outputMode("update").foreachBatch(stream.boot_stats_sink(os.path.join(state_dir, "boot_stats")))
-         .option("checkpointLocation", os.path.join(state_dir, "_ck_boot"))
-         .trigger(**trigger).start())
-    queries.append(q)
-    if rules.aggregate:
-        q = (stream.stream_rollup(entries, rules, anchor_ns).writeStream.outputMode("append")
-             .foreachBatch(stream.flag_sink(flags_path + "_aggregate"))
-             .option("checkpointLocation", os.path.join(state_dir, "_ck_rollup"))
-             .trigger(**trigger).start())
-        queries.append(q)
-    return queries
+    prior_path = os.path.join(state_dir, "_prior_flags")
+    if not store._exists(spark, prior_path):
+        store.dedup_keys(spark, flags_path, os.path.join(state_dir, "archive"), os.path.join(state_dir, "cleared")) \
+            .write.parquet(prior_path)
+    prior = spark.read.schema("timestamp_ns long, pattern_key string").parquet(prior_path)
+    entries = journal.read_journal_stream(spark, journal_dir, files_per_trigger)
+    heard = entries if pauses is None else pause_filtered(entries, pauses)
+    alerts = (stream.stream_alert_pipeline(heard, rules, prior_flags=prior).writeStream.outputMode("append")
+              .foreachBatch(stream.flag_sink(flags_path))
+              .option("checkpointLocation", os.path.join(state_dir, "_ck_flags")).trigger(**trigger).start())
+    sums = (entries.writeStream.outputMode("append")
+            .foreachBatch(stream.state_sink(state_dir, rules, anchor_ns, boot_window_seconds, pauses))
+            .option("checkpointLocation", os.path.join(state_dir, "_ck_state")).trigger(**trigger).start())
+    return [alerts, sums]
+
+
+def close_job(spark: SparkSession, state_dir: str, as_of_ns: int, retention_days: int = DEFAULT_RETENTION_DAYS) -> dict:
+    """The periodic pass: rollups that ended become flags of the same table
+    (once each), and flags older than ``retention_days`` move to the archive.
+
+    The live table is replaced by its new version's folder name in the result;
+    nothing is overwritten."""
+    live, archive = os.path.join(state_dir, "flags"), os.path.join(state_dir, "archive")
+    known = store.dedup_keys(spark, live, archive, os.path.join(state_dir, "cleared"))
+    fresh = stream.closed_rollups(spark, state_dir, as_of_ns).join(known, ["timestamp_ns", "pattern_key"], "left_anti")
+    store.write_flags(fresh, live, "append")
+    new_live = os.path.join(state_dir, f"flags_{int(as_of_ns)}")
+    return {"live": new_live, "archived": store.archive_flags(spark, live, archive, new_live, as_of_ns, retention_days)}
 
 
 def journal_export(events: DataFrame) -> DataFrame:
     """Journal JSON lines derived from the driver's ``events`` table (used to
-    exercise the jobs on real data)."""
+    exercise the jobs on real data), blank and broken lines included."""
     from vigilspark.plans.catalogue import journal_fixture
-    return journal_fixture(events).select("value").filter(F.col("value") != "")
+    return journal_fixture(events).select("value")

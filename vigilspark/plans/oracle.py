@@ -2,14 +2,13 @@
 
 Tables ``events``, ``documents`` ... are views over the driver's parquet
 files.  The SQL is generated from the same parameters as the Spark plans;
-it is written independently (plain window functions, a recursive CTE for
-the threshold fold) and assumes distinct timestamps per pattern key, which
-holds for ``events``.
+it is written independently (plain window functions, recursive CTEs for
+the threshold folds).
 """
 
 from __future__ import annotations
 
-from vigilspark.config import MAX_ENTRIES, NS_PER_DAY, NS_PER_SECOND, AlertRules, Threshold
+from vigilspark.config import MAX_ENTRIES, MAX_TRACKED_BOOTS, NS_PER_DAY, NS_PER_SECOND, AlertRules, Threshold
 from vigilspark.plans import params as P
 
 HOUR_NS = 3600 * NS_PER_SECOND
@@ -71,7 +70,8 @@ def _fold_ctes(src: str, th: Threshold, tag: str, part: str = "pattern_key, leve
     w = int(th.window_seconds) * NS_PER_SECOND
     return [
         f"""h_{tag} AS (
-  SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY timestamp_ns, seq) - 1 AS g
+  SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY timestamp_ns, seq) - 1 AS g,
+         count(*) OVER (PARTITION BY {part} ORDER BY timestamp_ns) - 1 AS last_g
   FROM {src})""",
         f"""c_{tag} AS (
   SELECT * FROM (
@@ -81,8 +81,10 @@ def _fold_ctes(src: str, th: Threshold, tag: str, part: str = "pattern_key, leve
   SELECT pattern_key, level, {_part_id(part)}, min(g) FROM c_{tag} GROUP BY pattern_key, level, {_part_id(part)}
   UNION ALL
   SELECT c.pattern_key, c.level, r.part_id, min(c.g)
-  FROM r_{tag} r JOIN c_{tag} c
-    ON c.pattern_key = r.pk AND c.level = r.lv AND {_part_id(part, 'c')} = r.part_id AND c.g >= r.g + {k}
+  FROM r_{tag} r JOIN c_{tag} f
+    ON f.pattern_key = r.pk AND f.level = r.lv AND {_part_id(part, 'f')} = r.part_id AND f.g = r.g
+  JOIN c_{tag} c
+    ON c.pattern_key = r.pk AND c.level = r.lv AND {_part_id(part, 'c')} = r.part_id AND c.g >= f.last_g + {k}
   GROUP BY c.pattern_key, c.level, r.part_id)""",
         f"""fires_{tag} AS (
   SELECT c.pattern_key, c.level, c.note, c.timestamp_ns, c.seq, {min(k, int(th.samples))} AS hit_count
@@ -104,11 +106,15 @@ def _flag_select(fires: str, extra: str = "", entries: str = "entries") -> str:
 FROM {fires} f JOIN {entries} e ON e.seq = f.seq AND e.timestamp_ns = f.timestamp_ns"""
 
 
-def _pipeline_ctes(rules: AlertRules, levels=None, base=None, entries: str = "entries") -> tuple:
+def _pipeline_ctes(rules: AlertRules, levels=None, base=None, entries: str = "entries", prior: str | None = None) -> tuple:
     tiers_sql, gid = _tiers(rules)
-    where = ""
+    tests = []
     if levels is not None:
-        where = "WHERE t.level IN (" + ", ".join(_q(x) for x in levels) + ")"
+        tests.append("t.level IN (" + ", ".join(_q(x) for x in levels) + ")")
+    if prior is not None:
+        tests.append(f"""NOT EXISTS (SELECT 1 FROM {prior} p
+      WHERE p.timestamp_ns = h.timestamp_ns AND p.pattern_key = h.source || ':' || h.keyword)""")
+    where = "WHERE " + " AND ".join(tests) if tests else ""
     base = [ENTRIES] if base is None else list(base)
     ctes = base + [_kw_values(rules), _hits(src=entries, cols="e.timestamp_ns, e.seq, e.source"), tiers_sql,
             f"""thits AS (
@@ -346,45 +352,36 @@ def sql_correlation_alerts():
     return _with(ctes + c, _flag_select(name))
 
 
-def sql_correlation_span_alerts():
-    g = P.RULES.correlation[0]
+def _span_sql(g, sources: int) -> str:
+    """The fold as it is told: hit by hit, from the first hit counted since the last fire."""
     k, n, w = int(g.threshold.required), int(g.threshold.samples), int(g.threshold.window_seconds) * NS_PER_SECOND
     srcs = ", ".join(_q(s) for s in g.sources)
     note = f"Keyword '{g.keyword}' correlated across {', '.join(g.sources)}"
     ctes = [ENTRIES, _kw_values(P.RULES), _hits(cols="e.timestamp_ns, e.seq, e.source"),
-            f"""ch AS (SELECT timestamp_ns, seq, source, {_q(g.name)} AS pattern_key, 'CORRELATION' AS level
+            f"""ch AS (SELECT timestamp_ns, seq, source, row_number() OVER (ORDER BY timestamp_ns, seq) AS g
   FROM hits WHERE keyword = {_q(g.keyword)} AND source IN ({srcs}))""",
-            f"""hp AS (
-  SELECT *,
-    row_number() OVER (PARTITION BY pattern_key ORDER BY timestamp_ns, seq) - 1 AS g,
-    count(*) OVER (PARTITION BY pattern_key ORDER BY timestamp_ns RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS last_g,
-    coalesce(count(*) OVER (PARTITION BY pattern_key ORDER BY timestamp_ns
-             RANGE BETWEEN UNBOUNDED PRECEDING AND CAST({w + 1} AS BIGINT) PRECEDING), 0) AS lo_w
-  FROM ch)""",
-            """hr AS (
-  SELECT *, max(CASE WHEN prev_src IS DISTINCT FROM source THEN g END)
-              OVER (PARTITION BY pattern_key ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_start
-  FROM (SELECT *, lag(source) OVER (PARTITION BY pattern_key ORDER BY g) AS prev_src FROM hp) x)""",
-            f"""cs AS (
-  SELECT *, greatest(lo_w, g - {n - 1}) AS a,
-         CASE WHEN run_start > 0 THEN least(g - {k - 1}, run_start - 1) END AS b
-  FROM hr)""",
-            "cc AS (SELECT * FROM cs WHERE b IS NOT NULL AND a <= b)",
-            """fr(pk, g, rin) AS (
-  SELECT pattern_key, min(g), CAST(-1 AS BIGINT) FROM cc GROUP BY pattern_key
+            f"""fold(g, since, fired, counted) AS (
+  SELECT CAST(0 AS BIGINT), CAST(1 AS BIGINT), false, CAST(0 AS BIGINT)
   UNION ALL
-  SELECT x.pk, x.g, x.rin FROM (
-    SELECT f.pk, min(c2.g) AS g, any_value(cf.last_g + 1) AS rin
-    FROM fr f JOIN cc cf ON cf.pattern_key = f.pk AND cf.g = f.g
-              JOIN cc c2 ON c2.pattern_key = f.pk AND c2.b >= cf.last_g + 1
-    GROUP BY f.pk) x WHERE x.g IS NOT NULL)""",
+  SELECT x.g, CASE WHEN x.n >= {k} AND x.s >= {sources} THEN x.g + 1 ELSE x.since END, x.n >= {k} AND x.s >= {sources}, x.n
+  FROM (SELECT now.g, f.since, count(h.g) AS n, count(DISTINCT h.source) AS s
+        FROM fold f JOIN ch now ON now.g = f.g + 1
+        JOIN ch h ON h.g BETWEEN greatest(f.since, now.g - {n - 1}) AND now.g AND h.timestamp_ns >= now.timestamp_ns - {w}
+        GROUP BY now.g, f.since) x)""",
             f"""fires_span AS (
-  SELECT c.pattern_key, c.level, {_q(note)} AS note, c.timestamp_ns, c.seq,
-         c.g - greatest(f.rin, c.a) + 1 AS hit_count
-  FROM cc c JOIN fr f ON c.pattern_key = f.pk AND c.g = f.g)"""]
+  SELECT {_q(g.name)} AS pattern_key, 'CORRELATION' AS level, {_q(note)} AS note, c.timestamp_ns, c.seq, f.counted AS hit_count
+  FROM fold f JOIN ch c ON c.g = f.g WHERE f.fired)"""]
     return _with(ctes, _flag_select("fires_span"))
 
 
+def sql_correlation_span_alerts():
+    return _span_sql(P.RULES.correlation[0], 2)
+
+
+def sql_correlation_three_sources():
+    return _span_sql(P.THREE_SOURCES, 3)
+
+
 def sql_alert_pipeline():
     return pipeline_sql()
 
@@ -549,6 +546,70 @@ def sql_history_seed():
 FROM m""")
 
 
+REPEATED = """again AS (
+  SELECT * FROM entries UNION ALL
+  SELECT timestamp_ns, seq + 1000000000 AS seq, source, raw, priority, boot_id, monotonic_us FROM entries WHERE seq % 5 = 0)"""
+
+
+def sql_dedup_rerun():
+    first = _with(_pipeline_ctes(P.RULES, base=[ENTRIES, REPEATED, f"half AS (SELECT * FROM again WHERE timestamp_ns < {P.MERGE_SPLIT_NS})"],
+                                 entries="half"), "SELECT timestamp_ns, pattern_key FROM flags")
+    return _with(_pipeline_ctes(P.RULES, base=[ENTRIES, REPEATED, f"prior AS ({first})"], entries="again", prior="prior"), "SELECT * FROM flags")
+
+
+def sql_mixed_source_alerts():
+    mixed = f"""mixed AS (
+  SELECT seq, TRY_CAST(value->>'__REALTIME_TIMESTAMP' AS BIGINT) * 1000 AS timestamp_ns, 'journalctl' AS source,
+         coalesce(value->>'_SYSTEMD_UNIT', value->>'SYSLOG_IDENTIFIER', 'unknown') || ': ' || coalesce(value->>'MESSAGE', '') AS raw,
+         TRY_CAST(value->>'PRIORITY' AS INTEGER) AS priority
+  FROM parsed WHERE reject_reason IS NULL
+  UNION ALL
+  SELECT doc_id * 1048576 + line_no - 1 AS seq, {P.AGG_ANCHOR_NS} + doc_id // 3 * {NS_PER_SECOND} AS timestamp_ns, source || '.log' AS source,
+         line AS raw, CAST(NULL AS INTEGER) AS priority
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+        FROM documents) d)"""
+    return _with(_pipeline_ctes(P.MIXED_RULES, base=_journal_ctes() + [mixed], entries="mixed"), "SELECT * FROM flags")
+
+
+def sql_flag_table_counts():
+    rollups = sql_aggregate_rollup()
+    return pipeline_sql(body=f"""SELECT level, count(*) AS n FROM (
+  SELECT level FROM flags UNION ALL SELECT level FROM ({rollups}) r) x GROUP BY ROLLUP (level)""")
+
+
+def sql_archive_move():
+    cutoff = P.AS_OF_NS - P.ARCHIVE_DAYS * NS_PER_DAY
+    return pipeline_sql(body=f"""SELECT *, CASE WHEN flagged_at < {cutoff} THEN 'archive' ELSE 'live' END AS destination,
+  (SELECT count(*) FROM flags WHERE flagged_at < {cutoff}) AS moved FROM flags""")
+
+
+def sql_clear_rewrite():
+    return pipeline_sql(body="""SELECT *, (SELECT count(*) FROM flags WHERE level = 'TRIAGE') AS removed
+FROM flags WHERE level <> 'TRIAGE'""")
+
+
+def sql_seed_in_two_parts():
+    w_us = P.BOOT_WINDOW_SECONDS * 1_000_000
+    ctes = _journal_ctes() + [
+        """good AS (
+  SELECT TRY_CAST(value->>'__REALTIME_TIMESTAMP' AS BIGINT) * 1000 AS timestamp_ns, 'journalctl' AS source,
+         coalesce(value->>'_SYSTEMD_UNIT', value->>'SYSLOG_IDENTIFIER', 'unknown') || ': ' || coalesce(value->>'MESSAGE', '') AS raw,
+         value->>'_BOOT_ID' AS boot_id, TRY_CAST(value->>'__MONOTONIC_TIMESTAMP' AS BIGINT) AS monotonic_us
+  FROM parsed WHERE reject_reason IS NULL)""",
+        _kw_values(P.RULES), _hits(src="good", cols="e.timestamp_ns, e.source, e.boot_id, e.monotonic_us"),
+        f"""hh AS (SELECT timestamp_ns - (timestamp_ns % {HOUR_NS}) AS hour_ns, count(*) AS n FROM good GROUP BY 1)""",
+        """slots AS (SELECT CAST(isodow(make_timestamp(hour_ns // 1000)) - 1 AS VARCHAR) || '_' ||
+           lpad(CAST(hour(make_timestamp(hour_ns // 1000)) AS VARCHAR), 2, '0') AS slot_key, n FROM hh)""",
+        f"""bs AS (SELECT boot_id, keyword, count(*) AS hits, min(timestamp_ns) AS f, max(timestamp_ns) AS l FROM hits
+  WHERE boot_id <> '' AND monotonic_us < {w_us} GROUP BY 1, 2)""",
+        f"""nb AS (SELECT boot_id FROM (SELECT boot_id, min(f) AS f FROM bs GROUP BY 1) x ORDER BY f DESC, boot_id DESC LIMIT {MAX_TRACKED_BOOTS})"""]
+    return _with(ctes, f"""SELECT 'baseline' AS kind, slot_key AS a, 'journalctl' AS b, count(*) AS n, round(avg(n), 6) AS x, CAST(0 AS BIGINT) AS t FROM slots GROUP BY slot_key
+UNION ALL SELECT 'keyword', source, keyword, count(*), 0.0, max(timestamp_ns) FROM hits GROUP BY source, keyword
+UNION ALL SELECT 'boot', boot_id, keyword, hits, 0.0, f FROM bs WHERE boot_id IN (SELECT boot_id FROM nb)
+UNION ALL SELECT 'meta', '', '', CAST(0 AS BIGINT), round(({P.AS_OF_NS} - min(timestamp_ns)) / {float(NS_PER_DAY)}, 6),
+                 (SELECT min(timestamp_ns) FROM hits) FROM good""")
+
+
 SQL = {name[4:]: fn for name, fn in list(globals().items()) if name.startswith("sql_") and callable(fn)}
 
 

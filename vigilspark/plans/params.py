@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from vigilspark.config import NS_PER_SECOND, Threshold, fixture_rules
+from vigilspark.config import AlertRules, CorrelationGroup, NS_PER_SECOND, Threshold, fixture_rules
 
 
 def utc_ns(text: str) -> int:
@@ -36,3 +36,7 @@ DOC_KEYWORDS = ["the", "tion", "eau"]
 HIT_WINDOW_SECONDS = 3600
 SNAPSHOT_LOAD_DELAY_NS = 24 * 3600 * NS_PER_SECOND
 EXTRA_THRESHOLD = Threshold(3, 5, 3600)
+THREE_SOURCES = CorrelationGroup("wide", "error", ("svc_0", "svc_1", "svc_2"), Threshold(3, 6, 14400), 3)
+# journal and text files together: text lines share the time of their file
+MIXED_RULES = AlertRules(watched=["error", "purchase", "license"], critical=["purchase"],
+                         thresholds={"PATTERN_WATCH": Threshold(3, 5, 600), "CORRELATION": Threshold(2, 3, 300), "TRIAGE": Threshold(1, 1, 0)})

@@ -1,8 +1,8 @@
 """Spark session defaults for the engine.
 
 All slot arithmetic is UTC, AQE re-plans joins and partition counts at
-runtime, and streaming state lives in RocksDB.  On a cluster the caller's
-session already carries these; ``get_session`` only fills in what is unset.
+runtime, and streaming state lives in RocksDB.  ``get_session`` sets these
+only where the submitted configuration doesn't.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 _DEFAULTS = {
@@ -34,17 +35,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         ensure_utc(active)
         return active
     builder = SparkSession.builder.appName(app_name)
+    wanted = dict(_DEFAULTS)
     if master:
-        builder = builder.master(master)
-    for key, value in _DEFAULTS.items():
-        builder = builder.config(key, value)
+        wanted["spark.master"] = master
+        wanted["spark.driver.memory"] = os.environ.get("VIGIL_DRIVER_MEM", "16g")
     if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("VIGIL_DRIVER_MEM", "16g"))
-    # Local runs only: a scratch checkpoint folder.  Cluster sessions name a
-    # shared folder in spark.checkpoint.dir and never reach this builder.
-    builder = builder.config("spark.checkpoint.dir",
-                             tempfile.mkdtemp(prefix="vigil-ckpt-", dir="/tmp"))
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    submitted = SparkConf()  # spark-submit's own settings, which stay
+    for key, value in wanted.items():
+        if not submitted.contains(key):
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_utc(spark)
@@ -102,20 +102,3 @@ def discard(df) -> None:
         if "/vigil-" in folder and folder.split(":", 1)[-1].lstrip("/").startswith(base.split(":", 1)[-1].lstrip("/")):
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
-
-
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df, max_rows: int = MAX_BROADCAST_ROWS):
-    """Broadcast ``df`` only after checking its size.
-
-    For side tables built from configuration (pause intervals, resets):
-    their row count is measured (a cheap action on a small table) and the
-    broadcast hint is added only below ``max_rows``; larger tables are left
-    to AQE's runtime size check and a shuffle join.
-    """
-    from pyspark.sql import functions as F
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

@@ -84,6 +84,7 @@ def read_flags_jsonl(spark: SparkSession, path: str):
            .json(path))
     bad = (F.col("_corrupt_record").isNotNull() | F.col("entry").isNull() | F.col("level").isNull()
            | F.col("flagged_at").isNull() | F.col("pattern_key").isNull() | F.col("hit_count").isNull()
+           | F.col("entry.timestamp_ns").isNull() | F.col("entry.source").isNull() | F.col("entry.raw").isNull()
            | ~F.col("level").isin("PATTERN_WATCH", "CORRELATION", "TRIAGE", "AGGREGATE"))
     tagged = raw.withColumn("_bad", bad)
     good = flatten_entry(tagged.filter(~F.col("_bad")))
@@ -175,20 +176,24 @@ def read_buffer(spark: SparkSession, path: str, as_of_ns: int, hours: int = ROLL
 # --- baseline (S7) --------------------------------------------------------------------
 
 def save_baseline(path: str, baseline: DataFrame, keywords: DataFrame, boots: DataFrame,
-                  meta: DataFrame) -> None:
-    """The four state tables, each in its own folder of a version ``path``."""
-    baseline.write.mode("overwrite").parquet(os.path.join(path, "baseline"))
-    keywords.write.mode("overwrite").parquet(os.path.join(path, "keyword_stats"))
-    boots.write.mode("overwrite").parquet(os.path.join(path, "boot_stats"))
-    meta.write.mode("overwrite").parquet(os.path.join(path, "meta"))
+                  meta: DataFrame, hourly: DataFrame | None = None) -> None:
+    """The state tables, each in its own folder of a version ``path``: the four
+    that readers use, and the hourly counts that a later seeding goes on from."""
+    for name, df in (("baseline", baseline), ("keyword_stats", keywords), ("boot_stats", boots), ("meta", meta), ("hourly", hourly)):
+        if df is not None:
+            df.write.mode("overwrite").parquet(os.path.join(path, name))
 
 
 def load_baseline(spark: SparkSession, path: str) -> dict:
+    keyword_first = _plus(KEYWORD_STATS, "first_seen_ns", T.LongType())
+    hourly = os.path.join(path, "hourly")
     return {
         "baseline": spark.read.schema(BASELINE).parquet(os.path.join(path, "baseline")),
         "keyword_stats": spark.read.schema(KEYWORD_STATS).parquet(os.path.join(path, "keyword_stats")),
+        "keyword_first": spark.read.schema(keyword_first).parquet(os.path.join(path, "keyword_stats")),
         "boot_stats": spark.read.schema(BOOT_STATS).parquet(os.path.join(path, "boot_stats")),
         "meta": spark.read.parquet(os.path.join(path, "meta")),
+        "hourly": spark.read.parquet(hourly) if _exists(spark, hourly) else None,
     }
 
 
@@ -250,36 +255,49 @@ def _exists(spark: SparkSession, path: str) -> bool:
             return False
 
 
+#: What every source gives: the entry, its place in arrival order, and where it comes from, null where unknown.
+ENTRY_CONTRACT = ["timestamp_ns", "seq", "source", "raw", "priority", "unit", "boot_id", "monotonic_us"]
+
+
+def as_entries(frame: DataFrame) -> DataFrame:
+    """``frame`` with all columns of the contract; those it lacks are null."""
+    kinds = {"priority": "int", "monotonic_us": "string", "seq": "long", "timestamp_ns": "long"}
+    return frame.select(*[(F.col(c) if c in frame.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c)
+                          for c in ENTRY_CONTRACT])
+
+
+def _text_lines(lines: DataFrame, timestamp_ns) -> DataFrame:
+    """Lines with their file: arrival order is the order of files and of blocks in them.
+
+    Lines of one block share that order; the row id that the alert pipeline
+    gives each stored hit tells them apart.
+    """
+    path, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    return as_entries(lines.select(
+        timestamp_ns.alias("timestamp_ns"), F.element_at(F.split(path, "/"), -1).alias("source"), F.col("value").alias("raw"),
+        block.alias("seq")))
+
+
 def text_log(spark: SparkSession, path: str) -> DataFrame:
     """S3: flat log files -> entries; one row per line, source = file base
     name, priority unknown, timestamp = the file's modification time (a
     deterministic stand-in for the ingest time of a batch read)."""
-    lines = spark.read.option("wholetext", "false").text(path).select(
-        "value", F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_modification_time").alias("_mtime"))
-    return lines.select(
-        (F.unix_micros("_mtime") * F.lit(1000)).alias("timestamp_ns"),
-        F.element_at(F.split("_path", "/"), -1).alias("source"),
-        F.col("value").alias("raw"),
-        F.lit(None).cast("int").alias("priority"))
+    lines = spark.read.option("wholetext", "false").text(path)
+    return _text_lines(lines, F.unix_micros(F.col("_metadata.file_modification_time")) * F.lit(1000))
 
 
-def text_log_stream(spark: SparkSession, path: str) -> DataFrame:
+def text_log_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """S3 live: new files in a folder (rotation = a new file); ingest time is
     the micro-batch time."""
-    lines = spark.readStream.format("text").load(path).select(
-        "value", F.col("_metadata.file_path").alias("_path"))
-    return lines.select(
-        (F.unix_micros(F.current_timestamp()) * F.lit(1000)).alias("timestamp_ns"),
-        F.element_at(F.split("_path", "/"), -1).alias("source"),
-        F.col("value").alias("raw"),
-        F.lit(None).cast("int").alias("priority"))
+    reader = spark.readStream.format("text")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    return _text_lines(reader.load(path), F.unix_micros(F.current_timestamp()) * F.lit(1000))
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
-    """All sources as one stream of log entries."""
-    cols = LOG_ENTRY.fieldNames()
-    out = frames[0].select(*cols)
+    """All sources as one table of log entries, with every column of the contract."""
+    out = as_entries(frames[0])
     for f in frames[1:]:
-        out = out.unionByName(f.select(*cols))
+        out = out.unionByName(as_entries(f))
     return out

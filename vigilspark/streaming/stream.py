@@ -1,34 +1,44 @@
-"""Structured Streaming forms of the operators.
-
-The same DataFrame functions run over ``readStream``; the only operator with
-its own streaming state is the threshold fold, written with
-``applyInPandasWithState`` keyed by (pattern_key, level): its state is the
-bounded hit history (at most ``samples`` timestamps) and the last fired
-timestamp, and it expires by event-time timeout ``W`` after the last hit.
-Inside a micro-batch hits are processed in (timestamp_ns, seq) order; across
-micro-batches arrival order applies, as in the original tool.
+"""Structured Streaming forms of the operators.
+
+Alerts keep state per (pattern_key, level) in ``applyInPandasWithState``: the
+hits counted since the last fire, at most ``samples``, and the times that
+fired lately.  Inside a micro-batch hits are taken in (timestamp_ns, seq)
+order; across micro-batches arrival order applies, and every arriving row
+counts: there is no watermark, so neither a late row nor one whose bad
+timestamp was replaced by the ingest time makes others be dropped.  State of
+a silent key goes by processing time.
+
+Counts (hourly, keyword, boot window, rollup, observation) need no streaming
+state: each micro-batch writes its own sums to a folder named after the
+batch, so a replay overwrites what it wrote, and readers add them up.
 """
 
 from __future__ import annotations
 
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from vigilspark.config import AlertRules, NS_PER_SECOND, Threshold
-from vigilspark.functions.columns import ns_to_ts, slot_key_ns
-from vigilspark.operators.match import aggregate_hits
+from vigilspark.config import AlertRules, NS_PER_DAY, Threshold
+from vigilspark.functions.columns import slot_key_ns
+from vigilspark.operators import baseline, boot, match, rollup
+from vigilspark.operators.retention import pause_filtered
+from vigilspark.schemas import BOOT_STATS, KEYWORD_STATS
 from vigilspark.sources.tables import events_as_entries
 
 _STATE = T.StructType([
-    T.StructField("hits", T.ArrayType(T.LongType())),
-    T.StructField("last_fired", T.LongType()),
+    T.StructField("held", T.ArrayType(T.LongType())),
+    T.StructField("fired", T.ArrayType(T.LongType())),
 ])
 
+#: How much longer than its window a key's fired times and state are remembered.
+MEMORY_NS = NS_PER_DAY
+
 
 def entries_stream(spark: SparkSession, events_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Log entries from a folder of ``events`` parquet files, as a stream."""
@@ -39,32 +49,52 @@ def entries_stream(spark: SparkSession, events_dir: str, max_files_per_trigger:
     return events_as_entries(reader.load(events_dir))
 
 
-def _fold_rows(rows, k: int, n: int, w_ns: int, hist: list, last_fired):
-    """The original tracker's per-key logic over rows sorted by (t, seq):
-    yields (row index, hit_count) of fired rows and returns the new state."""
-    fired = []
-    for i, t in rows:
-        if last_fired is not None and t == last_fired:
-            continue                          # T5: already flagged
-        if w_ns == 0:
-            fired.append((i, 1))
-            last_fired = t
-            continue
-        cutoff = t - w_ns
-        while hist and hist[0] < cutoff:
-            hist.pop(0)
-        hist.append(t)
-        hist = hist[-n:] if n > 0 else []
-        in_window = sum(1 for h in hist if h >= cutoff)
-        if n > 0 and in_window >= k:
-            fired.append((i, in_window))
-            last_fired = t
-            hist = []
-    return fired, hist, last_fired
+def fires_in(times: np.ndarray, held: np.ndarray, fired: np.ndarray, k: int, n: int, w_ns: int):
+    """([(number in ``times``, hits counted)], hits held after, times fired).
+
+    ``held`` are the hits counted since the last fire, in arrival order.  Hits
+    whose time has fired don't count; one fires when ``k`` of the last ``n``
+    counted ones, itself included, lie within ``w_ns`` up to it.
+    """
+    if w_ns == 0 or (k <= 1 <= n):
+        new, first = np.unique(times, return_index=True)
+        rows = np.sort(first[~np.isin(new, fired)])
+        return [(int(i), 1) for i in rows], held[:0], np.concatenate([fired, times[rows]])
+    counted = np.flatnonzero(~np.isin(times, fired))
+    seq = np.concatenate([held, times[counted]])
+    out, done, start = [], list(fired), 0
+    if n < k:
+        return out, seq[len(seq) - n:] if n else seq[:0], fired
+    if (np.diff(seq) >= 0).all():
+        # in order: a hit can fire if the k-th newest up to it is in the window
+        near = np.flatnonzero(seq[k - 1:] - seq[:max(0, len(seq) - k + 1)] <= w_ns) + k - 1
+        at = np.searchsorted(near, len(held))
+        while at < len(near):
+            j = int(near[at])
+            out.append((int(counted[j - len(held)]), k))
+            done.append(int(seq[j]))
+            start = int(np.searchsorted(seq, seq[j], side="right"))  # the rest of its time is skipped
+            at = int(np.searchsorted(near, start + k - 1))
+    else:
+        skip = set()
+        for j in range(len(held), len(seq)):
+            if int(seq[j]) in skip:
+                continue
+            window = [i for i in range(start, j + 1) if int(seq[i]) not in skip][-n:]
+            inside = int(np.count_nonzero((seq[window] >= seq[j] - w_ns) & (seq[window] <= max(seq[j], seq[window].max()))))
+            if inside >= k:
+                out.append((int(counted[j - len(held)]), inside))
+                done.append(int(seq[j]))
+                skip.add(int(seq[j]))
+                start = j + 1
+        seq = np.array([x for i, x in enumerate(seq.tolist()) if i < start or x not in skip], dtype=np.int64)
+        start = min(start, len(seq))
+    left = seq[start:]
+    return out, left[max(0, len(left) - n):], np.array(done, dtype=np.int64)
 
 
 def stream_threshold(hits: DataFrame, threshold: Threshold | None = None, keys=("pattern_key", "level"),
-                     watermark: str = "1 hour", payload=()) -> DataFrame:
+                     payload=()) -> DataFrame:
     """T2/T3 over a stream: fired hits ``keys + (timestamp_ns, seq, hit_count)``
     plus the ``payload`` columns of the fired rows.
 
@@ -73,8 +103,7 @@ def stream_threshold(hits: DataFrame, threshold: Threshold | None = None, keys=(
     """
     keys = list(keys)
     payload = [c for c in payload if c not in keys and c not in ("timestamp_ns", "seq")]
-    key_fields = [hits.schema[c] for c in keys]
-    out_schema = T.StructType(key_fields + [
+    out_schema = T.StructType([hits.schema[c] for c in keys] + [
         T.StructField("timestamp_ns", T.LongType()),
         T.StructField("seq", T.LongType()),
         T.StructField("hit_count", T.IntegerType()),
@@ -88,35 +117,30 @@ def stream_threshold(hits: DataFrame, threshold: Threshold | None = None, keys=(
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["timestamp_ns", "seq"])
-        pdf = pdf.reset_index(drop=True)
-        k, n, w_ns = int(pdf["k"].iloc[0]), int(pdf["n"].iloc[0]), int(pdf["w_ns"].iloc[0])
-        hist, last_fired = (list(state.get[0] or []), state.get[1]) if state.exists else ([], None)
-        fired, hist, last_fired = _fold_rows(enumerate(pdf["timestamp_ns"].tolist()), k, n, w_ns,
-                                             hist, last_fired)
-        state.update((hist, last_fired))
-        newest_ms = int(pdf["timestamp_ns"].max()) // 1_000_000
-        state.setTimeoutTimestamp(newest_ms + max(w_ns // 1_000_000, 1000))
-        if fired:
-            idx = [i for i, _ in fired]
-            out = pdf.loc[idx, keys + ["timestamp_ns", "seq"] + payload].copy()
-            out["hit_count"] = [c for _, c in fired]
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["timestamp_ns", "seq"], kind="stable").reset_index(drop=True)
+        k, n, w_ns = (int(pdf[c].iloc[0]) for c in ("k", "n", "w_ns"))
+        held, fired = (np.array(x or [], dtype=np.int64) for x in (state.get if state.exists else ([], [])))
+        times = pdf["timestamp_ns"].to_numpy(dtype=np.int64)
+        new, held, fired = fires_in(times, held, fired, k, n, w_ns)
+        newest = max(times.max(), *(x.max() for x in (held, fired) if len(x))) if len(held) or len(fired) else times.max()
+        state.update((held.tolist(), fired[fired >= newest - w_ns - MEMORY_NS].tolist()))
+        state.setTimeoutDuration((w_ns + MEMORY_NS) // 1_000_000)
+        if new:
+            out = pdf.loc[[i for i, _ in new], keys + ["timestamp_ns", "seq"] + payload].copy()
+            out["hit_count"] = [c for _, c in new]
             yield out[[f.name for f in out_schema.fields]]
 
-    src = hits.withColumn("_ts", ns_to_ts("timestamp_ns")).withWatermark("_ts", watermark)
-    return (src.groupBy(*keys)
-            .applyInPandasWithState(fold, out_schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    return hits.groupBy(*keys).applyInPandasWithState(fold, out_schema, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def stream_alert_pipeline(entries: DataFrame, rules: AlertRules, watermark: str = "1 hour",
-                          prior_flags: DataFrame | None = None) -> DataFrame:
+def stream_alert_pipeline(entries: DataFrame, rules: AlertRules, prior_flags: DataFrame | None = None) -> DataFrame:
     """T9 over a stream: keyword match, exclusions, tiers and every threshold
     in one stateful operator keyed by (pattern_key, level).  ``flagged_at`` is
     the entry's timestamp, as in batch, so batch and stream agree.
 
-    ``prior_flags`` (a static table, e.g. the flag store read at start) is
-    anti-joined before counting: a hit flagged in an earlier run is skipped,
-    not counted again (T5 across restarts)."""
+    ``prior_flags`` (a static table that doesn't change while the checkpoint
+    lives) is anti-joined before counting: a hit flagged in an earlier run is
+    skipped, not counted again."""
     from vigilspark.operators.alerts import PAYLOAD, _case, dedup, tiered_hits
     hits, _ = tiered_hits(entries, rules, keep=PAYLOAD)
     hits = dedup(hits, prior_flags)
@@ -125,128 +149,93 @@ def stream_alert_pipeline(entries: DataFrame, rules: AlertRules, watermark: str
     hits = (hits.withColumn("k", _case(kw, {t[0]: int(t[2].required) for t in tiers}).cast("int"))
             .withColumn("n", _case(kw, {t[0]: int(t[2].samples) for t in tiers}).cast("int"))
             .withColumn("w_ns", _case(kw, {t[0]: int(t[2].window_ns) for t in tiers}).cast("long")))
-    fired = stream_threshold(hits, None, ("pattern_key", "level", "note"), watermark,
-                             payload=["source", "raw", "priority"])
+    fired = stream_threshold(hits, None, ("pattern_key", "level", "note"), payload=["source", "raw", "priority"])
     return fired.select("timestamp_ns", "source", "raw", "priority", "level",
                         F.col("timestamp_ns").alias("flagged_at"), "pattern_key", "hit_count", "note")
 
 
-def stream_hourly_counts(entries: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """A1 over a stream: one row per (source, hour) once the hour is closed."""
-    ts = ns_to_ts("timestamp_ns")
-    out = (entries.withColumn("_ts", ts).withWatermark("_ts", watermark)
-           .groupBy("source", F.window("_ts", "1 hour").alias("w"))
-           .agg(F.count(F.lit(1)).alias("n")))
-    return (out.select("source", (F.unix_micros(F.col("w.start")) * F.lit(1000)).alias("hour_ns"), "n")
-            .withColumn("slot_key", slot_key_ns("hour_ns")))
-
-
-def stream_rollup(entries: DataFrame, rules: AlertRules, anchor_ns: int, watermark: str = "1 hour") -> DataFrame:
-    """A9 over a stream: tumbling event-time windows per aggregate keyword,
-    anchored at ``anchor_ns``; closed windows are emitted once (append)."""
-    hits = aggregate_hits(entries, rules, keep=["timestamp_ns"]).withColumn("_ts", ns_to_ts("timestamp_ns"))
-    hits = hits.withWatermark("_ts", watermark)
-    parts = []
-    for interval in sorted(set(rules.aggregate.values())):
-        words = [k for k, v in rules.aggregate.items() if v == interval]
-        offset_s = (int(anchor_ns) // NS_PER_SECOND) % interval
-        agg = (hits.filter(F.col("keyword").isin(words))
-               .groupBy("keyword", F.window("_ts", f"{interval} seconds", f"{interval} seconds",
-                                            f"{offset_s} seconds").alias("w"))
-               .agg(F.count(F.lit(1)).alias("n")))
-        end_ns = F.unix_micros(F.col("w.end")) * F.lit(1000)
-        parts.append(agg.select(
-            end_ns.alias("timestamp_ns"), F.lit("aggregate").alias("source"), F.col("keyword").alias("raw"),
-            F.lit(None).cast("int").alias("priority"), F.lit("AGGREGATE").alias("level"),
-            end_ns.alias("flagged_at"), F.concat(F.lit("aggregate:"), "keyword").alias("pattern_key"),
-            F.col("n").cast("int").alias("hit_count"),
-            F.format_string("%d hits aggregated over the last %ds (quarantined keyword)",
-                            F.col("n"), F.lit(interval)).alias("note")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def flag_sink(path: str):
     """S5 for streams: a ``foreachBatch`` writer that appends each micro-batch's
     flags once.  Rows whose (timestamp_ns, pattern_key, level) already sit in
     the table are dropped first, so a replayed batch (after a failure, from
-    the checkpoint) does not duplicate flags."""
+    the checkpoint) does not duplicate flags.  The batch is computed once."""
     from vigilspark.sources.store import read_flags, write_flags
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earliest = batch.agg(F.min("flagged_at")).first()[0]
-        if earliest is None:
-            return
-        # only flags at or after the batch's earliest flag can collide with
-        # it: read just those date partitions, not the whole growing table
-        seen = read_flags(spark, path, since_ns=earliest).select("timestamp_ns", "pattern_key", "level")
-        fresh = batch.join(seen, ["timestamp_ns", "pattern_key", "level"], "left_anti")
-        write_flags(fresh, path, "append")
+        batch.persist()
+        try:
+            earliest = batch.agg(F.min("flagged_at")).first()[0]
+            if earliest is not None:
+                # only flags at or after the batch's earliest flag can collide with
+                # it: read just those date partitions, not the whole growing table
+                seen = read_flags(spark, path, since_ns=earliest).select("timestamp_ns", "pattern_key", "level")
+                write_flags(batch.join(seen, ["timestamp_ns", "pattern_key", "level"], "left_anti"), path, "append")
+        finally:
+            batch.unpersist()
 
     return write
 
 
-def stream_boot_window_stats(entries: DataFrame, rules: AlertRules, window_seconds: int) -> DataFrame:
-    """A7 on the live path: keyword hits inside the boot window, counted per
-    (boot, keyword) as a streaming aggregation (state = one row per pair;
-    run it in ``update`` mode and merge with :func:`boot_stats_sink`)."""
-    from vigilspark.operators.boot import in_boot_window
-    from vigilspark.operators.match import keyword_hits
-    hits = keyword_hits(in_boot_window(entries, window_seconds), rules, keep=["boot_id", "timestamp_ns"])
-    return (hits.groupBy("boot_id", "keyword")
-            .agg(F.count(F.lit(1)).alias("hits"),
-                 F.min("timestamp_ns").alias("first_seen_ns"),
-                 F.max("timestamp_ns").alias("last_seen_ns")))
-
-
-def boot_stats_sink(path: str):
-    """``foreachBatch`` writer for update-mode boot stats: each micro-batch's
-    updated rows replace the stored rows of the same (boot, keyword); the
-    table is rewritten into a new version folder per batch (``path/v<id>``)
-    and never over the folder being read."""
+# ------------------------------------------------------------------ state sums
+
+def state_sink(state_dir: str, rules: AlertRules, anchor_ns: int, boot_window_seconds: int, pauses: DataFrame | None = None):
+    """``foreachBatch`` writer of a micro-batch's sums: hourly counts, keyword
+    stats, boot-window stats, rollups and the observed stretch of time.
+
+    Each goes to ``<state_dir>/<name>/batch_id=<id>``, overwritten by a replay.
+    Entries in a pause are left out of all but the boot stats."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        versions = _versions(spark, path)
-        out = f"{path.rstrip('/')}/v{batch_id:012d}"
-        if versions:
-            old = spark.read.parquet(versions[-1])
-            merged = old.join(batch.select("boot_id", "keyword"), ["boot_id", "keyword"], "left_anti") \
-                .unionByName(batch.select(*old.columns))
-        else:
-            merged = batch
-        merged.write.mode("overwrite").parquet(out)
+        batch.persist()
+        try:
+            heard = batch if pauses is None else pause_filtered(batch, pauses)
+            sums = {
+                "hourly": baseline.hourly_counts(heard).select("source", "hour_ns", "n"),
+                "keyword_stats": match.keyword_stats(match.keyword_hits(heard, rules, keep=["source", "timestamp_ns"])),
+                "boot_stats": boot.boot_window_stats(batch, rules, boot_window_seconds),
+                "observed": heard.agg(F.min("timestamp_ns").alias("start_ns"), F.max("timestamp_ns").alias("end_ns")).where("start_ns is not null"),
+            }
+            if rules.aggregate:
+                sums["rollup"] = rollup.rollup_counts(heard, rules, anchor_ns)
+            for name, df in sums.items():
+                df.write.mode("overwrite").parquet(f"{state_dir.rstrip('/')}/{name}/batch_id={batch_id:012d}")
+        finally:
+            batch.unpersist()
 
     return write
 
 
-def _versions(spark: SparkSession, path: str) -> list:
-    """Complete version folders (with ``_SUCCESS``) under ``path``, oldest
-    first, listed through Hadoop's FileSystem so shared storage works."""
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(conf)
-        if not fs.exists(root):
-            return []
-        out = []
-        for st in fs.listStatus(root):
-            name = st.getPath().getName()
-            if st.isDirectory() and name.startswith("v") and fs.exists(
-                    jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(st.getPath().toString())
-        return sorted(out)
-    except Exception:  # noqa: BLE001 - sessions without a JVM gateway: local paths
-        import os
-        if not os.path.isdir(path):
-            return []
-        return sorted(os.path.join(path, d) for d in os.listdir(path)
-                      if d.startswith("v") and os.path.exists(os.path.join(path, d, "_SUCCESS")))
-
-
-def latest_boot_stats(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version written by :func:`boot_stats_sink`."""
-    return spark.read.parquet(_versions(spark, path)[-1])
+def _sums(spark: SparkSession, state_dir: str, name: str, schema) -> DataFrame:
+    from vigilspark.sources.store import _exists
+    path = f"{state_dir.rstrip('/')}/{name}"
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def hourly_state(spark: SparkSession, state_dir: str) -> DataFrame:
+    """A1: entries per (source, hour) so far."""
+    parts = _sums(spark, state_dir, "hourly", "source string, hour_ns long, n long")
+    return parts.groupBy("source", "hour_ns").agg(F.sum("n").alias("n")).withColumn("slot_key", slot_key_ns("hour_ns"))
+
+
+def keyword_state(spark: SparkSession, state_dir: str) -> DataFrame:
+    """A4: keyword stats so far."""
+    return _sums(spark, state_dir, "keyword_stats", KEYWORD_STATS).groupBy("source", "keyword").agg(
+        F.sum("hits").alias("hits"), F.max("last_seen_ns").alias("last_seen_ns"))
+
+
+def boot_state(spark: SparkSession, state_dir: str) -> DataFrame:
+    """Boot-window stats so far."""
+    parts = _sums(spark, state_dir, "boot_stats", BOOT_STATS)
+    return boot.merge_boot_stats(parts, parts.limit(0))
+
+
+def observation_log(spark: SparkSession, state_dir: str) -> DataFrame:
+    """(start_ns, end_ns) of every micro-batch."""
+    return _sums(spark, state_dir, "observed", "start_ns long, end_ns long")
+
+
+def closed_rollups(spark: SparkSession, state_dir: str, as_of_ns: int) -> DataFrame:
+    """AGGREGATE flags of the intervals that ended by ``as_of_ns``."""
+    parts = _sums(spark, state_dir, "rollup", "keyword string, interval_s long, end_ns long, n long")
+    counts = parts.where(F.col("end_ns") <= int(as_of_ns)).groupBy("keyword", "interval_s", "end_ns").agg(F.sum("n").alias("n"))
+    return rollup.rollup_flags(counts)
