@@ -5,8 +5,8 @@ hits counted since the last fire, at most ``samples``, and the times that
 fired lately.  Inside a micro-batch hits are taken in (timestamp_ns, seq)
 order; across micro-batches arrival order applies, and every arriving row
 counts: there is no watermark, so neither a late row nor one whose bad
-timestamp was replaced by the ingest time makes others be dropped.  State of
-a silent key goes by processing time.
+timestamp was replaced by the ingest time makes others be dropped.  There is
+one small row of state for each key, that is for each source and keyword.
 
 Counts (hourly, keyword, boot window, rollup, observation) need no streaming
 state: each micro-batch writes its own sums to a folder named after the
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from vigilspark.config import AlertRules, NS_PER_DAY, Threshold
+from vigilspark.config import AlertRules, NS_PER_SECOND, Threshold
 from vigilspark.functions.columns import slot_key_ns
 from vigilspark.operators import baseline, boot, match, rollup
 from vigilspark.operators.retention import pause_filtered
@@ -36,8 +36,8 @@ _STATE = T.StructType([
     T.StructField("fired", T.ArrayType(T.LongType())),
 ])
 
-#: How much longer than its window a key's fired times and state are remembered.
-MEMORY_NS = NS_PER_DAY
+#: How much longer than its window a key's fired times are remembered; the sink holds later repeats against the table.
+MEMORY_NS = 3600 * NS_PER_SECOND
 
 
 def entries_stream(spark: SparkSession, events_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -114,9 +114,6 @@ def stream_threshold(hits: DataFrame, threshold: Threshold | None = None, keys=(
                 .withColumn("w_ns", F.lit(int(threshold.window_ns))))
 
     def fold(key, batches: Iterator[pd.DataFrame], state):
-        if state.hasTimedOut:
-            state.remove()
-            return
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["timestamp_ns", "seq"], kind="stable").reset_index(drop=True)
         k, n, w_ns = (int(pdf[c].iloc[0]) for c in ("k", "n", "w_ns"))
         held, fired = (np.array(x or [], dtype=np.int64) for x in (state.get if state.exists else ([], [])))
@@ -124,13 +121,12 @@ def stream_threshold(hits: DataFrame, threshold: Threshold | None = None, keys=(
         new, held, fired = fires_in(times, held, fired, k, n, w_ns)
         newest = max(times.max(), *(x.max() for x in (held, fired) if len(x))) if len(held) or len(fired) else times.max()
         state.update((held.tolist(), fired[fired >= newest - w_ns - MEMORY_NS].tolist()))
-        state.setTimeoutDuration((w_ns + MEMORY_NS) // 1_000_000)
         if new:
             out = pdf.loc[[i for i, _ in new], keys + ["timestamp_ns", "seq"] + payload].copy()
             out["hit_count"] = [c for _, c in new]
             yield out[[f.name for f in out_schema.fields]]
 
-    return hits.groupBy(*keys).applyInPandasWithState(fold, out_schema, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hits.groupBy(*keys).applyInPandasWithState(fold, out_schema, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_alert_pipeline(entries: DataFrame, rules: AlertRules, prior_flags: DataFrame | None = None) -> DataFrame:
