@@ -35,7 +35,7 @@ LOOKUP_RATE = 2.5e-7
 SWEEPS = 6
 DISCOUNT = 0.5
 SHAPES = 32
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 300_000
 MERGE_AT = 4_000_000
 
 #: A key that no word has: the end of a text, which is also what stands before its first token.

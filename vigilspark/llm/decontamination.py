@@ -27,8 +27,8 @@ from vigilspark.session import store
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.5
-BLOOM_BITS = 1 << 26
-HASH_WORDS = 400_000
+BLOOM_BITS = 1 << 24
+HASH_WORDS = 200_000
 
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -32,8 +32,8 @@ MIN_SHARE = 0.1
 POSITIONS = 1 << 20
 HASHES = 3
 UNKNOWN = "und"
-CHUNK_CHARS = 2_000_000
-CACHE_WORDS = 300_000
+CHUNK_CHARS = 500_000
+CACHE_WORDS = 200_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)

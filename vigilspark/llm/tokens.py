@@ -16,9 +16,9 @@ from itertools import chain
 
 import numpy as np
 
-CHUNK_CHARS = 2_000_000
-MEMORY_WORDS = 800_000
-MEMORY_IDS = 8_000_000
+CHUNK_CHARS = 1_000_000
+MEMORY_WORDS = 500_000
+MEMORY_IDS = 5_000_000
 
 #: Characters of the property White_Space, which is what the tokenizers' patterns call white space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
