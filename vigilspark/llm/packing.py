@@ -168,7 +168,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         end = np.array([end_id], dtype=np.int32)
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"], encoder.encode(batch["text"].tolist())):
+            for doc_id, ids in zip(batch["doc_id"], encoder.encode_each(batch["text"].tolist())):
                 ids = np.concatenate([ids, end]).astype("<u4")
                 for piece, a in enumerate(range(0, len(ids), capacity)):
                     own = ids[a:a + capacity]

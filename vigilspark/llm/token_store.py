@@ -38,7 +38,7 @@ LEVEL = 3
 
 def _encoded(encoder: WordEncoder, texts: list, end_id: int, dtype: str):
     end = np.array([end_id], dtype=dtype)
-    for ids in encoder.encode(texts):
+    for ids in encoder.encode_each(texts):
         yield np.concatenate([ids.astype(dtype), end])
 
 

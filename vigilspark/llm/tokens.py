@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -163,7 +164,10 @@ class Encoder:
 
     def encode(self, texts: list) -> list[np.ndarray]:
         """Ids of every text, int32; none for a null text."""
-        out: list[np.ndarray] = []
+        return list(self.encode_each(texts))
+
+    def encode_each(self, texts: list) -> Iterator[np.ndarray]:
+        """The same one after another, holding the ids of about CHUNK_CHARS characters at a time."""
         for a, b in chunks(texts):
             if len(self.number) > MEMORY_WORDS or len(self.ids) > MEMORY_IDS:
                 self._shrink()
@@ -176,8 +180,8 @@ class Encoder:
             size = self.size[word]
             ids = self.ids[ragged(self.start[word], size)]
             ends = np.concatenate(([0], np.cumsum(size)))
-            out += [ids[ends[x]:ends[y]] for x, y in zip(edge[:-1], edge[1:])]
-        return out
+            for x, y in zip(edge[:-1], edge[1:]):
+                yield ids[ends[x]:ends[y]]
 
 
 class WordEncoder(Encoder):
