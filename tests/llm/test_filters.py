@@ -123,6 +123,22 @@ def test_sample_is_bounded_and_free_of_copies(spark):
     assert 350 < toxicity.training_table(df, labels, sample_rows=500).count() < 550
 
 
+def test_only_checked_copies_of_one_label_merge(spark):
+    """A passage that many rows share makes none of them a copy; near copies go, rows of another label stay."""
+    rng = random.Random(11)
+    noise = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    passage, base = [f"p{i}" for i in range(60)], noise(200)
+    texts = {i: " ".join(noise(30) + passage + noise(30)) for i in range(200)}
+    texts |= {1000: " ".join(base), 1001: " ".join(base + ["more"]), 1002: " ".join(["odd", *base]), 1003: " ".join(base), 1004: " ".join(base).upper()}
+    texts |= {2000 + i: None for i in range(4)}
+    toxic = {i: int(i % 4 == 0) for i in texts} | {1001: 0, 1002: 1, 1003: 1, 1004: 0, 1000: 0}
+    df = spark.createDataFrame(list(texts.items()) + [(1, " ".join(base))], "doc_id long, text string")
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    got = [(r.doc_id, r.toxic) for r in toxicity.training_table(df, labels).collect()]
+    # the second text of id 1 is a copy of 1000, with the smaller id
+    assert sorted(got) == sorted([(i, toxic[i]) for i in range(200)] + [(1, 0), (1002, 1), (2000, 1), (2001, 0)])
+
+
 # ------------------------------------------------------------ decontamination
 
 def plain_tiles(text, item, least):

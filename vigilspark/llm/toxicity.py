@@ -36,6 +36,8 @@ LEVELS = len(GRADE_FROM) + 1
 RIDGE = 1e-3
 STEPS = 400
 TOXIC_FROM = 0.5
+NEAR = 0.8
+MARKS, MARK_ROWS = 20, 3
 
 _WORD = re.compile(r"\w+")
 
@@ -46,17 +48,53 @@ def words_of(text: str | None) -> list[str]:
 
 # ------------------------------------------------------------- training table
 
+def _shingles(words: list[str]) -> np.ndarray:
+    """Sorted hashes of the distinct 5-word shingles (of all words where they are fewer)."""
+    grams = {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+    return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, grams), dtype=np.uint64, count=len(grams)))
+
+
+def _marks(shingles: np.ndarray) -> list[int]:
+    """MARKS hashes of MARK_ROWS min-hashes each; rows at a Jaccard of 0.8 share none with a chance of 6e-7."""
+    rng = np.random.default_rng(1)
+    times, plus = rng.integers(1, 1 << 63, (2, MARKS * MARK_ROWS), dtype=np.uint64)
+    least = np.array([(shingles * (t | np.uint64(1)) + p).min() for t, p in zip(times, plus)], dtype=np.uint64)
+    return [xxhash.xxh64_intdigest(rows.tobytes(), i) >> 1 for i, rows in enumerate(least.reshape(MARKS, MARK_ROWS))]
+
+
 def _sample_rows(batches):
-    """Word counts, and two min-hashes of the 5-word shingles to tell copies by."""
+    """Word counts, a hash of the words in order, and shingles and marks to tell near copies by."""
     for batch in batches:
         rows = []
         for doc_id, toxic, text in zip(batch["doc_id"], batch["toxic"], batch["text"]):
             words = words_of(text)
-            grams = {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
-            marks = [min(xxhash.xxh64_intdigest(g, seed) for g in grams) >> 1 for seed in (1, 2)]
+            shingles = _shingles(words)
             seen = Counter(words)
-            rows.append((doc_id, toxic, *marks, list(seen), list(seen.values())))
-        yield pd.DataFrame(rows, columns=["doc_id", "toxic", "mark1", "mark2", "words", "times"])
+            rows.append((doc_id, toxic, xxhash.xxh64_intdigest(" ".join(words)) >> 1, _marks(shingles),
+                         shingles.view(np.int64), list(seen), list(seen.values())))
+        yield pd.DataFrame(rows, columns=["doc_id", "toxic", "whole", "marks", "shingles", "words", "times"])
+
+
+def _near_copies(rows) -> list[tuple]:
+    """(doc_id, whole) of rows (doc_id, whole, label, marks, shingles; by rising id) at NEAR or more to a kept row of their label that shares a mark."""
+    kept, gone = {}, []
+    for row in rows:
+        own = np.array(row.shingles)
+        groups = [kept.setdefault((row.label, i, m), []) for i, m in enumerate(row.marks)]
+        others = {id(x): x for g in groups for x in g}
+        if any(_jaccard(own, x) >= NEAR for x in others.values()):
+            gone.append((row.doc_id, row.whole))
+        else:
+            for g in groups:
+                g.append(own)
+    return gone
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    if min(len(a), len(b)) < NEAR * max(len(a), len(b)):
+        return 0.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
 def training_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -64,7 +102,8 @@ def training_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(doc_id, toxic, words, times) of about ``sample_rows`` labelled documents.
 
     Labels with a null id or grade are ignored; an id labelled twice is toxic
-    if one label says so.  Copies of a text count once.
+    if one label says so.  Of rows with equal words, and of rows whose shingle
+    Jaccard is ``NEAR`` or more, one counts, unless their labels differ.
     """
     known = labels.select(F.col("doc_id").alias("__id"), "toxic").dropna().groupBy("__id").agg(F.max("toxic").alias("toxic"))
     rows = known.count()
@@ -74,10 +113,19 @@ def training_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     # at most about sample_rows rows of 12 bytes, whatever the size of labels
     picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(known), "__id")
     made = picked.select(F.col("__id").alias("doc_id"), "toxic", "text").mapInPandas(
-        _sample_rows, "doc_id long, toxic int, mark1 long, mark2 long, words array<string>, times array<int>")
-    for mark in ("mark1", "mark2"):
-        made = made.groupBy(mark).agg(F.min_by(F.struct(*made.columns), "doc_id").alias("row")).select("row.*")
-    return made.select("doc_id", "toxic", "words", "times")
+        _sample_rows, "doc_id long, toxic int, whole long, marks array<long>, shingles array<long>, words array<string>, times array<int>")
+    made = made.groupBy("whole", (F.col("toxic") > 0).alias("label")).agg(
+        F.min_by(F.struct(*made.columns), "doc_id").alias("row")).select("label", "row.*")
+    made = store(made)
+    marks = made.select("doc_id", "whole", "label", F.posexplode("marks").alias("i", "mark"))
+    # at most MARKS times sample_rows / 2 rows
+    shared = marks.groupBy("i", "mark", "label").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    some = marks.join(F.broadcast(shared), ["i", "mark", "label"], "left_semi").select("doc_id", "whole").distinct()
+    # of about sample_rows rows at most, those that share a mark; only kept ones stay in memory
+    near = made.join(some, ["doc_id", "whole"], "left_semi").select("doc_id", "whole", "label", "marks", "shingles")
+    gone = _near_copies(near.orderBy("doc_id", "whole").toLocalIterator())
+    copies = made.sparkSession.createDataFrame(gone, "doc_id long, whole long")
+    return made.join(F.broadcast(copies), ["doc_id", "whole"], "left_anti").select("doc_id", "toxic", "words", "times")
 
 
 def _g2(a, b, n1, n0):
