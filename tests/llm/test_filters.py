@@ -296,6 +296,25 @@ def test_links_carry_trust_and_distrust(spark):
     assert urlfilter.judge(df.where("false")).count() == 0
 
 
+def test_mass_goes_any_number_of_links(spark):
+    """A chain of 25 hosts that feeds a blocked one, and a cycle against its exact solution."""
+    link = lambda h: f'<a href="https://{h}/">y</a>'
+    rows = [(i, f"https://farm{i}.org/", link(f"farm{i + 1}.org" if i < 24 else "bad.net")) for i in range(25)]
+    rows += [(100, "https://bad.net/es/1", ""), (101, "https://other.org/", ""), (102, "https://good.com/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    verdict = {r.page_id: r.verdict for r in urlfilter.judge(df).collect()}
+    assert all(verdict[i] == "block" for i in range(25))
+    assert all(verdict[i] == "allow" for i in (101, 102))
+    links = spark.createDataFrame([(f"ring{i}", f"ring{(i + 1) % 3}", 1) for i in range(3)] + [("a", "ring0", 2)], "src string, dst string, links long")
+    seeds = spark.createDataFrame([("a", 1.0)], "host string, weight double")
+    got = {r.host: r.mass for r in urlfilter.spread(seeds, links, "src", "dst", tolerance=1e-2).collect()}
+    names = ["a", "ring0", "ring1", "ring2"]
+    move = np.zeros((4, 4))
+    move[1, 0] = move[2, 1] = move[3, 2] = move[1, 3] = 0.85
+    exact = np.linalg.solve(np.eye(4) - move, [0.15, 0, 0, 0])
+    assert np.allclose([got[n] for n in names], exact, atol=1e-2 / 0.15)
+
+
 def test_no_python_in_the_url_plan(spark):
     plan = queries.op6_url_filter(spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

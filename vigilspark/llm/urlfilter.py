@@ -4,7 +4,8 @@ Trust starts at the hosts of pages that a rule allows and follows links by
 personalised PageRank; distrust starts at the hosts of blocked pages and
 follows links backwards, to the hosts that link there.  A host is blocked
 where distrust exceeds ``bias`` times trust.  All of it is DataFrame
-operations; vectors hold only the hosts that mass has reached.
+operations; vectors hold only the hosts that mass has reached.  Mass is passed
+on until a round reaches no new host and moves less than ``TOLERANCE``.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from vigilspark.session import discard, store
 
 DAMPING = 0.85
-ROUNDS = 10
+#: Of a total of 1: mass that a round moves at most when spreading ends; what would still come is 1 / (1 - DAMPING) times that.
+TOLERANCE = 1e-6
 BIAS = 1.0
 
 
@@ -72,27 +74,32 @@ def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
         .withColumn("dst", ascii_lower(F.col("dst"))).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, source: str, target: str, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(seeds: DataFrame, links: DataFrame, source: str, target: str, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, mass): personalised PageRank of ``seeds`` (host, weight summing to 1) along ``links``.
 
     A host passes ``damping`` of its mass on by its links' shares; what has no
-    link to follow is lost.
+    link to follow is lost.  Every host that links lead to from a seed gets
+    mass, however many links away (until a double can't hold it).
     """
     total = links.groupBy(source).agg(F.sum("links").alias("total"))
     flow = store(links.join(total, source).select(F.col(source).alias("host"), F.col(target).alias("to"),
                                                   (F.lit(damping) * F.col("links") / F.col("total")).alias("share")))
     start = seeds.select("host", ((1 - damping) * F.col("weight")).alias("mass"))
-    now = store(start)
-    for _ in range(rounds if not flow.isEmpty() else 0):
-        moved = now.join(flow, "host").groupBy("to").agg(F.sum(F.col("mass") * F.col("share")).alias("mass"))
-        after = store(start.union(moved).groupBy("host").agg(F.sum("mass").alias("mass")))
+    now = store(start.withColumn("moving", F.col("mass")))  # moving: what came in the last round
+    hosts, more = now.count(), not flow.isEmpty()
+    while more:
+        moved = now.where("moving > 0").join(flow, "host").groupBy("to").agg(F.sum(F.col("moving") * F.col("share")).alias("moving"))
+        after = store(now.select("host", "mass", F.lit(0.0).alias("moving")).union(moved.select("to", "moving", "moving"))
+                      .groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("moving").alias("moving")))
         discard(now)
         now = after
-    return now
+        moving, reached = now.agg(F.coalesce(F.sum("moving"), F.lit(0.0)), F.count("*")).first()
+        more, hosts = reached > hosts or moving >= tolerance, reached
+    return now.select("host", "mass")
 
 
 def judge(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: str = "html", id_col: str = "page_id",
-          damping: float = DAMPING, rounds: int = ROUNDS, bias: float = BIAS) -> DataFrame:
+          damping: float = DAMPING, tolerance: float = TOLERANCE, bias: float = BIAS) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every page.
 
     Pages without host (null url or none with ``://``) have empty host and
@@ -111,7 +118,7 @@ def judge(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: str = "
 
     def mass(kind, source, target):
         seeds = ruled.where(F.col(kind) > 0).select("host", (F.col(kind) / F.lit(max(sums[kind], 1))).alias("weight"))
-        return spread(seeds, links, source, target, damping, rounds)
+        return spread(seeds, links, source, target, damping, tolerance)
 
     trust = mass("allow", "src", "dst").withColumnRenamed("mass", "trust")
     distrust = mass("block", "dst", "src").withColumnRenamed("mass", "distrust")
