@@ -155,6 +155,30 @@ def test_exchange_raises_the_likelihood():
     assert values[-1] > values[0] and values[-1] >= 0.95 * likelihood(member) if likelihood(member) > 0 else values[-1] >= likelihood(member) * 1.05
 
 
+def test_every_word_has_a_class_of_its_own(spark, monkeypatch):
+    """Rare words of one shape that stand at different places end in different classes."""
+    monkeypatch.setattr(classlm, "CLASS_RATE", 0.02)
+    rng = np.random.default_rng(4)
+    rows = [(" ".join(w for _ in range(8) for w in ("the", f"n{rng.integers(100, 300)}x", "will", f"v{rng.integers(100, 300)}x")),) for _ in range(150)]
+    model, words = classlm.fit(spark.createDataFrame(rows, "text string"), classes=5)
+    got = {r.key: r.c for r in words.collect()}
+    assert len(got) == len({w for t, in rows for w in t.split()}) + 1
+    keys = classlm._Keys()
+    of = {kind: Counter(got[keys[f"{kind}{i}x".encode()]] for i in range(100, 300) if keys[f"{kind}{i}x".encode()] in got) for kind in "nv"}
+    tops = {kind: c.most_common(1)[0] for kind, c in of.items()}
+    assert tops["n"][0] != tops["v"][0] and all(tops[k][1] >= 0.9 * sum(of[k].values()) for k in "nv")
+
+
+def test_best_class_is_that_of_the_full_likelihood():
+    rng = np.random.default_rng(6)
+    pair, cls = rng.poisson(0.7, (14, 14)).astype(float), rng.integers(0, 4, 14)
+    one = np.eye(4)[cls]
+    got = classlm._best(pair.T @ one, pair @ one, np.diag(pair).copy(), cls, one.T @ pair @ one)
+    for w in range(14):
+        values = [classlm._likelihood(np.eye(4)[x].T @ pair @ np.eye(4)[x]) for x in (np.where(np.arange(14) == w, k, cls) for k in range(4))]
+        assert values[got[w]] == pytest.approx(max(values))
+
+
 def test_scores_of_odd_rows(spark):
     rows = [(0, "a b c"), (1, None), (2, ""), (3, " \n"), (None, "a b"), (4, "A B é"), (4, "A B é"), (5, "long " * 60_000), (23, "zzz a")]
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, n long, score string")

@@ -2,16 +2,19 @@
 
 P(w_i | w_i-1) = P(class_i | class_i-1) * P(w_i | class_i).
 
-Words that make up at least ``CLASS_RATE`` of all tokens, the end token, and
-32 word shapes standing for all rarer words are the items that exchange
-clustering puts into classes.  A rarer word is emitted by its shape, from its
-own corpus count with absolute discounting; the discounted mass belongs to
-words that training never saw.
-
-Counts cover all training tokens: a word's count is a grouped sum, a bigram's
-too.  What is broadcast has a bound that doesn't depend on the corpus: 1 /
-CLASS_RATE items and 1 / LOOKUP_RATE counts of the words above that rate; the
-counts of all rarer words are joined.
+Every training word has a class.  Words that make up at least ``CLASS_RATE``
+of all tokens, the end token, and 32 word shapes standing for all rarer words
+are put into classes by exchange clustering on the driver; rarer words start in
+the class of their shape.  Then sweeps over all words follow, in Spark: a
+half of the words (by a hash) moves to the class that raises the bigram
+likelihood most, until a sweep raises it by less than ``RISE`` per token.
+Words emit by their corpus count with absolute discounting; the discounted
+mass belongs to words that training never saw, by shape.
+
+A bigram's count is a grouped sum over all training tokens, a word's count one
+over its bigrams.  What is broadcast has a bound that doesn't depend on the
+corpus: the class table, and 1 / LOOKUP_RATE counts and classes of the words
+above that rate; those of all rarer words are joined.
 
 A word is told by 59 bits of its XXH64, with its shape in the other 5.
 """
@@ -27,16 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.llm.tokens import chunks
-from vigilspark.session import store
+from vigilspark.session import discard, store
 
 CLASSES = 64
 CLASS_RATE = 2e-5
 LOOKUP_RATE = 2.5e-7
 SWEEPS = 6
+RISE = 1e-3
 DISCOUNT = 0.5
 SHAPES = 32
 MEMORY_WORDS = 300_000
-MERGE_AT = 4_000_000
+FLUSH_AT = 2_000_000
 
 #: A key that no word has: the end of a text, which is also what stands before its first token.
 END = np.int64(-1)
@@ -73,51 +77,50 @@ def keys_of(texts: list, memory: dict) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
-class _Counts:
-    """Sums by key, merged when they have grown."""
-
-    def __init__(self):
-        self.parts, self.rows = [], 0
-
-    def add(self, keys: np.ndarray):
-        found = np.unique(keys, return_counts=True)
-        self.parts.append(found)
-        self.rows += len(found[0])
-        if self.rows > MERGE_AT:
-            self._merge()
-
-    def _merge(self):
-        keys, back = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-        n = np.bincount(back, weights=np.concatenate([n for _, n in self.parts])).astype(np.int64)
-        self.parts, self.rows = [(keys, n)], 0  # counted anew from here, so that merging stays rare
+# -------------------------------------------------------------------- counting
 
-    def result(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self._merge()
-        return self.parts[0]
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n) of the distinct pairs."""
+    words, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    code, n = np.unique(at[:len(a)] * len(words) + at[len(a):], return_counts=True)
+    return words[code // max(len(words), 1)], words[code % max(len(words), 1)], n
 
 
-# -------------------------------------------------------------------- counting
+def bigram_counts(texts: DataFrame) -> DataFrame:
+    """(a, b, n): how often word b follows word a in ``texts`` (column text); END stands before the first and after the last."""
+    def frames(parts):
+        a, b, n = _pairs(*(np.concatenate(x) for x in zip(*parts)))
+        for x in range(0, len(n), 100_000):
+            yield pd.DataFrame({"a": a[x:x + 100_000], "b": b[x:x + 100_000], "n": n[x:x + 100_000]})
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(key, n) of every token of ``texts`` (column text), END included."""
     def run(batches):
-        memory, counts = _Keys(), _Counts()
+        memory, parts, size = _Keys(), [], 0
         for batch in batches:
             own = batch["text"].tolist()
-            for a, b in chunks(own):
-                counts.add(keys_of(own[a:b], memory)[0])
-        key, n = counts.result()
-        for a in range(0, len(key), 100_000):
-            yield pd.DataFrame({"key": key[a:a + 100_000], "n": n[a:a + 100_000]})
-
-    return texts.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            for x, y in chunks(own):
+                keys, edges = keys_of(own[x:y], memory)
+                parts.append((_before(keys, edges), keys))
+                size += len(keys)
+                if size > FLUSH_AT:
+                    yield from frames(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from frames(parts)
+
+    return texts.select("text").mapInPandas(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _before(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The word before each token; END before a text's first."""
+    prev = np.empty_like(keys)
+    prev[1:] = keys[:-1]
+    prev[edges[:-1]] = END
+    return prev
 
 
 @dataclass
 class Items:
-    """What classes are made of: sorted keys of common words and END, then the shapes."""
+    """Sorted keys of common words and END, then the shapes, which stand for all others."""
 
     keys: np.ndarray
 
@@ -129,33 +132,6 @@ class Items:
         return np.where(self.keys[at] == keys, at, len(self.keys) + (keys & (SHAPES - 1)))
 
 
-def bigram_counts(texts: DataFrame, items: Items) -> DataFrame:
-    """(a, b, n): how often item b follows item a."""
-    shared, width = texts.sparkSession.sparkContext.broadcast(items), len(items)
-
-    def run(batches):
-        memory, counts = _Keys(), _Counts()
-        for batch in batches:
-            own = batch["text"].tolist()
-            for x, y in chunks(own):
-                keys, edges = keys_of(own[x:y], memory)
-                item = shared.value.of(keys)
-                counts.add(_before(item, edges, shared.value) * width + item)
-        pair, n = counts.result()
-        for x in range(0, len(pair), 100_000):
-            yield pd.DataFrame({"a": pair[x:x + 100_000] // width, "b": pair[x:x + 100_000] % width, "n": n[x:x + 100_000]})
-
-    return texts.select("text").mapInPandas(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def _before(item: np.ndarray, edges: np.ndarray, items: Items) -> np.ndarray:
-    """The item before each token; END before a text's first."""
-    prev = np.empty_like(item)
-    prev[1:] = item[:-1]
-    prev[edges[:-1]] = items.of(np.array([END]))[0]
-    return prev
-
-
 # ------------------------------------------------------------------ clustering
 
 def _xlogx(x):
@@ -226,67 +202,170 @@ def cluster(bigrams: DataFrame, n: np.ndarray, classes: int = CLASSES, sweeps: i
     return cls
 
 
+def _best(left: np.ndarray, right: np.ndarray, own: np.ndarray, cls: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class that raises the bigram likelihood most for each word alone, all others staying; arguments as in ``_exchange``."""
+    pick = np.arange(len(cls))
+    cell = np.repeat(np.diag(table)[None, :], len(cls), axis=0)
+    cell[pick, cls] += own - left[pick, cls] - right[pick, cls]
+    cell = np.maximum(cell, 0)
+    gain, outs = np.zeros_like(left), []
+    for mine, other, t in ((right, left, table), (left, right, table.T)):
+        out = mine.copy()
+        out[pick, cls] -= own
+        w, j = np.nonzero(out > 0)
+        base, n = t.T[j], out[w, j][:, None]  # base[e, k]: class k beside class j, without the word
+        at = np.flatnonzero(j == cls[w])
+        base[at] -= other[w[at]]
+        base[np.arange(len(w)), cls[w]] -= mine[w, j]
+        base[at, cls[w[at]]] += own[w[at]]
+        base = np.maximum(base, 0)
+        np.add.at(gain, w, _xlogx(base + n) - _xlogx(base))
+        outs.append(out)
+    r, l = outs
+    gain += _xlogx(cell + r + l + own[:, None]) - _xlogx(cell + r) - _xlogx(cell + l) + _xlogx(cell)
+    for sums, n in ((table.sum(axis=1), right.sum(axis=1)), (table.sum(axis=0), left.sum(axis=1))):
+        total = np.repeat(sums[None, :], len(cls), axis=0)
+        total[pick, cls] = np.maximum(total[pick, cls] - n, 0)
+        gain -= _xlogx(total + n[:, None]) - _xlogx(total)
+    best = gain.argmax(axis=1)
+    return np.where(gain[pick, best] > gain[pick, cls] + 1e-9, best, cls)
+
+
+def _likelihood(table: np.ndarray) -> float:
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+
+
+def refine(bigrams: DataFrame, words: DataFrame, tokens: int, classes: int) -> tuple[DataFrame, np.ndarray]:
+    """((key, n, c) of every word, class bigrams) from first classes ``words``, by sweeps until the likelihood stops rising."""
+    spark, kept, sweep = words.sparkSession, None, 0
+    own = bigrams.where("a = b").select(F.col("a").alias("key"), F.col("n").alias("own"))
+    while True:
+        sides = bigrams.join(words.select(F.col("key").alias("b"), "c"), "b").select(F.col("a").alias("key"), F.col("c").alias("code"), "n").unionAll(
+            bigrams.join(words.select(F.col("key").alias("a"), "c"), "a").select(F.col("b").alias("key"), (F.col("c") + classes).alias("code"), "n"))
+        # at most 2 * classes rows a word
+        sides = sides.groupBy("key", "code").agg(F.sum("n").alias("n")).groupBy("key").agg(
+            F.collect_list("code").alias("codes"), F.collect_list("n").alias("times"))
+        near = store(words.join(sides, "key").join(own, "key", "left").select("key", "n", "c", F.coalesce("own", F.lit(0)).alias("own"), "codes", "times"))
+        table = np.zeros((classes, classes))
+        for r in near.select("c", F.explode(F.arrays_zip("codes", "times")).alias("x")).where(F.col("x.codes") < classes) \
+                .groupBy("c", "x.codes").agg(F.sum("x.times").alias("n")).collect():
+            table[r.c, r.codes] = r.n
+        value = _likelihood(table)
+        if kept and value <= kept[0]:
+            discard(near)
+            return kept[1:]
+        if kept and value - kept[0] < RISE * tokens or not tokens:
+            discard(near)
+            return words, table
+        kept, sweep = (value, words, table), sweep + 1
+        words = store(_moved(near, spark.sparkContext.broadcast(table), classes, sweep))
+        discard(near)
+
+
+def _moved(near: DataFrame, shared, classes: int, sweep: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for x in range(0, len(batch), 2_000):
+                rows = batch.iloc[x:x + 2_000]
+                cls = rows["c"].to_numpy(dtype=np.int64).copy()
+                at = np.flatnonzero(rows["moves"].to_numpy())
+                size = rows["codes"].iloc[at].map(len).to_numpy(dtype=np.int64)
+                both = np.zeros((len(at), 2 * classes))
+                if len(at):
+                    both[np.repeat(np.arange(len(at)), size), np.concatenate(rows["codes"].iloc[at].tolist())] = np.concatenate(rows["times"].iloc[at].tolist())
+                    cls[at] = _best(both[:, classes:], both[:, :classes], rows["own"].to_numpy(dtype=float)[at], cls[at], shared.value)
+                yield pd.DataFrame({"key": rows["key"], "n": rows["n"], "c": cls})
+
+    moves = F.pmod(F.xxhash64("key", F.lit(sweep)), F.lit(2)) == 0
+    return near.withColumn("moves", moves).select("key", "n", "c", "own", "codes", "times", "moves").mapInPandas(run, "key long, n long, c int")
+
+
 # ----------------------------------------------------------------------- model
 
 @dataclass
 class Model:
-    items: Items
+    items: Items            # the words above LOOKUP_RATE, END and the shapes
     cls: np.ndarray
     transition: np.ndarray  # log10 P(class | class before)
-    emission: np.ndarray    # log10 P(item | class)
-    lookup: np.ndarray      # sorted keys of the words above LOOKUP_RATE
-    count: np.ndarray       # their counts
+    emission: np.ndarray    # log10 P(item | class); behind the words, (class by class) unseen words by shape
+    steps: np.ndarray       # transition with the shapes as classes of unseen words behind the others
+    count: np.ndarray       # counts of items.keys
     tokens: int             # N
     types: int              # V
-    shape_tokens: np.ndarray
+    size: np.ndarray        # tokens of each class
+    discount: np.ndarray    # taken off each word's count in its class
     shape_types: np.ndarray
 
-    def rare(self, count, shape):
-        """log10 P(word | its shape) for words of ``count`` training tokens (0: never seen)."""
-        n, v = self.shape_tokens[shape], self.shape_types[shape]
-        seen = np.maximum(count - DISCOUNT, DISCOUNT) / np.maximum(n, 1)
-        return np.log10(np.where(count > 0, seen, self.unseen()[shape]))
-
     def unseen(self) -> np.ndarray:
-        n, v = self.shape_tokens, self.shape_types
-        return np.where(n > 0, DISCOUNT * v / np.maximum(n, 1) / (v + 1), 1.0 / (self.types + 1))
+        """log10 P(word | unseen and of its shape) of one word."""
+        return -np.log10(self.shape_types + 1)
 
     def base(self, count):
         return np.log10((count + 1) / (self.tokens + self.types + 1))
 
 
 def fit(texts: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[Model, DataFrame]:
-    """(model, counts of all words) from the column text of all rows."""
-    counts = store(word_counts(texts))
+    """(model, (key, n, c) of all words) from the column text of all rows; ``sweeps`` bounds the first clustering only."""
+    spark = texts.sparkSession
+    bigrams = store(bigram_counts(texts))
+    counts = store(bigrams.groupBy(F.col("b").alias("key")).agg(F.sum("n").alias("n")))
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, types = int(sums[0]), int(sums[1])
-    known = counts.where(F.col("n") >= LOOKUP_RATE * tokens).orderBy("key").toPandas()  # at most 1 / LOOKUP_RATE rows
-    lookup, count = known["key"].to_numpy(dtype=np.int64), known["n"].to_numpy(dtype=np.int64)
-    common = lookup[count >= CLASS_RATE * tokens]
-    items = Items(np.unique(np.append(common, END)))
-    is_rare = (F.col("n") < CLASS_RATE * tokens) & (F.col("key") != int(END))
-    shape_tokens, shape_types = np.zeros(SHAPES), np.zeros(SHAPES)
-    for r in counts.where(is_rare).groupBy((F.col("key").bitwiseAND(SHAPES - 1)).alias("s")).agg(
-            F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        shape_tokens[r.s], shape_types[r.s] = r.n, r.v
-    n = np.zeros(len(items))
-    n[items.of(lookup)[np.isin(lookup, items.keys)]] = count[np.isin(lookup, items.keys)]
-    n[len(items.keys):] = shape_tokens
-    bigrams = store(bigram_counts(texts, items))
-    cls = cluster(bigrams, n, classes, sweeps)
-    of = texts.sparkSession.createDataFrame(pd.DataFrame({"item": np.arange(len(items), dtype=np.int32), "c": cls.astype(np.int32)}))
-    table = np.zeros((classes, classes))
-    for r in bigrams.join(F.broadcast(of.toDF("a", "ca")), "a").join(F.broadcast(of.toDF("b", "cb")), "b") \
-            .groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
-        table[r.ca, r.cb] = r.n
-    size, members = np.bincount(cls, weights=n + 1, minlength=classes), np.bincount(cls, minlength=classes)
+    common = counts.where(F.col("n") >= CLASS_RATE * tokens).toPandas()  # at most 1 / CLASS_RATE rows
+    first = Items(np.unique(np.append(common["key"].to_numpy(dtype=np.int64), END)))
+    n = np.zeros(len(first))
+    n[first.of(common["key"].to_numpy(dtype=np.int64))] = common["n"]
+    table = spark.createDataFrame(pd.DataFrame({"key": first.keys, "item": np.arange(len(first.keys), dtype=np.int32)}))
+    shape = F.col("key").bitwiseAND(SHAPES - 1).cast("int")
+    item = lambda df, name: df.withColumnRenamed(name, "key").join(F.broadcast(table), "key", "left").withColumn(
+        name, F.coalesce("item", shape + len(first.keys))).drop("key", "item")
+    for r in item(counts.select(F.col("key").alias("i"), "n"), "i").where(F.col("i") >= len(first.keys)).groupBy("i").agg(F.sum("n").alias("n")).collect():
+        n[r.i] = r.n
+    few = store(item(item(bigrams, "a"), "b").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    start = cluster(few, n, classes, sweeps)
+    of = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(first), dtype=np.int32), "c": start.astype(np.int32)}))
+    words = store(item(counts.withColumn("i", F.col("key")).withColumn("own", F.col("key")).drop("key"), "i").join(F.broadcast(of), "i")
+                  .select(F.col("own").alias("key"), "n", "c"))
+    words, table = refine(bigrams, words, tokens, classes)
+    discard(few)
+    discard(bigrams)
+
+    size, types_of = np.zeros(classes), np.zeros(classes)
+    once, all_of = np.zeros((SHAPES, classes)), np.zeros((SHAPES, classes))
+    for r in words.where(F.col("key") != int(END)).groupBy(shape.alias("s"), "c").agg(
+            F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).collect():
+        size[r.c] += r.n
+        types_of[r.c] += r.v
+        once[r.s, r.c], all_of[r.s, r.c] = r.once, r.v
+    known = words.where(F.col("n") >= LOOKUP_RATE * tokens).orderBy("key").toPandas()  # at most 1 / LOOKUP_RATE rows
+    if not (known["key"] == END).any():  # in training each text has one
+        known = pd.concat([pd.DataFrame({"key": [END], "n": [0], "c": [start[first.of(np.array([END]))[0]]]}), known])
+    known = known.sort_values("key")
+    lookup, count, cls = (known[c].to_numpy(dtype=np.int64) for c in ("key", "n", "c"))
+    end = int(np.searchsorted(lookup, END))
+    size[cls[end]] += max(count[end], 1)
+    types_of[cls[end]] += 1
+    # unseen words are most like those seen once: their classes are likely ones, their shapes share what a class has left
+    shape_types = all_of.sum(axis=1)
+    like = np.where(once.any(axis=1, keepdims=True), once, all_of) + np.eye(classes)[start[len(first.keys):]] * 1e-3
+    like /= like.sum(axis=1, keepdims=True)
+    share = like * (shape_types + 1)[:, None]
+    weight = share.sum(axis=0)
+    discount = np.where(weight > 0, DISCOUNT, 0.0)
+    left = np.where(size > 0, discount * types_of / np.maximum(size, 1), 1.0)
+    share = share / np.where(weight > 0, weight, 1) * left  # P(unseen word of the shape | class)
+    members = types_of + (weight > 0)
     after, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
     prior = (table.sum(axis=0) + members) / (table.sum() + members.sum())
     # Witten-Bell: a class followed by many kinds of classes leans on the prior
     moved = (table + np.maximum(kinds, 1) * prior) / (after + np.maximum(kinds, 1))
     with np.errstate(divide="ignore"):
-        model = Model(items, cls, np.log10(moved), np.log10((n + 1) / size[cls]), lookup, count, tokens, types, shape_tokens, shape_types)
-    return model, counts
+        rows = np.concatenate([moved, like @ moved])
+        steps = np.log10(np.concatenate([rows, rows @ share.T], axis=1))
+        emission = np.log10(np.concatenate([(np.maximum(count, 1) - discount[cls]) / size[cls], share.T.ravel()]))
+        model = Model(Items(lookup), np.concatenate([cls, np.repeat(np.arange(classes), SHAPES)]), np.log10(moved), emission, steps,
+                      count, tokens, types, size, discount, shape_types)
+    return model, words
 
 
 # ------------------------------------------------------------------- operators
@@ -305,7 +384,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn(
         "held_out", F.coalesce(fold == held_out, F.lit(False)))
-    model, counts = fit(own.where(~F.col("held_out") & F.col("doc_id").isNotNull()), classes, sweeps)
+    model, words = fit(own.where(~F.col("held_out") & F.col("doc_id").isNotNull()), classes, sweeps)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -314,41 +393,45 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             texts = batch["text"].tolist()
             for x, y in chunks(texts):
                 keys, edges = keys_of(texts[x:y], memory)
-                item = m.items.of(keys)
-                c = m.cls[item]
-                value = m.transition[m.cls[_before(item, edges, m.items)], c] + m.emission[item]
-                at = np.minimum(np.searchsorted(m.lookup, keys), max(len(m.lookup) - 1, 0))
-                found = m.lookup[at] == keys if len(m.lookup) else np.zeros(len(keys), dtype=bool)
-                count = np.where(found, m.count[at], 0) if len(m.lookup) else np.zeros(len(keys))
-                by_shape = item >= len(m.items.keys)
-                here = by_shape & found
-                value[here] += m.rare(count[here], keys[here] & (SHAPES - 1))
+                item, prev = m.items.of(keys), _before(keys, edges)
+                before, words = m.items.of(prev), len(m.items.keys)
+                found, whole = item < words, (item < words) & (before < words)
+                value = np.where(whole, m.transition[m.cls[before], m.cls[item]] + m.emission[item], 0.0)
+                count = np.where(found, m.count[np.minimum(item, words - 1)], 0)
                 start = edges[:-1]
                 base = np.where(found, m.base(count), 0.0)
-                rare = [np.unique(keys[a:b][~found[a:b]], return_counts=True) for a, b in zip(edges[:-1], edges[1:])]
+                rest = [_pairs(prev[a:b][~whole[a:b]], keys[a:b][~whole[a:b]]) for a, b in zip(edges[:-1], edges[1:])]
                 yield pd.DataFrame({
                     "doc_id": batch["doc_id"].iloc[x:y].to_numpy(), "held_out": batch["held_out"].iloc[x:y].to_numpy(),
-                    "n_tokens": np.diff(edges), "known": np.add.reduceat(found.astype(np.int64), start),
+                    "n_tokens": np.diff(edges), "known": np.add.reduceat((count > 0).astype(np.int64), start),
                     "base": np.add.reduceat(base, start), "value": np.add.reduceat(value, start),
-                    "rare": [k for k, _ in rare], "times": [n for _, n in rare]})
+                    "a": [a for a, _, _ in rest], "b": [b for _, b, _ in rest], "times": [n for _, _, n in rest],
+                    "here": [m.items.of(b) < words for _, b, _ in rest]})
 
     kind = docs.schema[id_col].dataType.simpleString()
     local = own.mapInPandas(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, value double, "
-                                 "rare array<long>, times array<long>")
+                                 "a array<long>, b array<long>, times array<long>, here array<boolean>")
     local = store(local.withColumn("row", F.monotonically_increasing_id()))
-    shape = F.col("key").bitwiseAND(SHAPES - 1).cast("int")
-    by_shape = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), shape)
-    n = F.coalesce("n", F.lit(0))
-    # words of a doubtful rate are joined as well: a common word may miss the lookup only if it was never seen
-    chance = F.when(n > 0, F.greatest(n - DISCOUNT, F.lit(DISCOUNT)) / by_shape(np.maximum(model.shape_tokens, 1))) \
-        .otherwise(by_shape(model.unseen()))
-    rest = local.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
-        "row", F.col("x.rare").alias("key"), F.col("x.times").alias("times")).join(counts, "key", "left")
-    rest = rest.groupBy("row").agg(
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10((n + 1) / F.lit(float(model.tokens + model.types + 1)))).alias("more_base"),
-        # END is an item of its own even where training has none
-        F.sum(F.when(F.col("key") == int(END), 0.0).otherwise(F.col("times") * F.log10(chance))).alias("more_value"))
+    word = words.select("key", F.col("n").alias("count"), "c")
+    end = int(np.searchsorted(model.items.keys, END))
+    listed = lambda values, at: F.get(F.array(*[F.lit(float(v)) for v in values]), at)
+    shape = lambda key: F.col(key).bitwiseAND(SHAPES - 1).cast("int")
+    # END is a word of its own even where training has none
+    c = lambda key, found: F.when(F.col(key) == int(END), F.lit(int(model.cls[end]))).otherwise(
+        F.coalesce(F.col(found), shape(key) + len(model.size)))
+    rest = local.select("row", F.explode(F.arrays_zip("a", "b", "times", "here")).alias("x")).select("row", "x.*")
+    rest = rest.join(word.withColumnsRenamed({"key": "b", "c": "cb"}), "b", "left").join(
+        word.drop("count").withColumnsRenamed({"key": "a", "c": "ca"}), "a", "left")
+    n, at = F.coalesce("count", F.lit(0)), F.col("to")
+    rest = rest.withColumn("from", c("a", "ca")).withColumn("to", c("b", "cb"))
+    emitted = F.when(F.col("b") == int(END), F.lit(float(model.emission[end]))).when(
+        n > 0, F.log10((n - listed(model.discount, at)) / listed(model.size, at))).otherwise(listed(model.unseen(), shape("b")))
+    steps = docs.sparkSession.createDataFrame(
+        [(i, j, float(v)) for (i, j), v in np.ndenumerate(model.steps) if np.isfinite(v)], "from int, to int, step double")
+    rest = rest.withColumn("emitted", emitted).join(F.broadcast(steps), ["from", "to"], "left").groupBy("row").agg(
+        F.sum(F.when((n > 0) & ~F.col("here"), F.col("times")).otherwise(0)).alias("more_known"),
+        F.sum(F.when(F.col("here"), 0.0).otherwise(F.col("times") * F.log10((n + 1) / F.lit(float(model.tokens + model.types + 1))))).alias("more_base"),
+        F.sum(F.col("times") * (F.col("emitted") + F.col("step"))).alias("more_value"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     scored = local.join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + zero("more_known")).alias("n_known"),
