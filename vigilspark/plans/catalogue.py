@@ -407,12 +407,13 @@ def q_clear_rewrite(spark, sf_dir):
 
 
 def q_seed_in_two_parts(spark, sf_dir):
-    """The journal seeded up to a day, then from there on; the contents of all state tables."""
+    """The journal seeded up to a day with a third of the later rows, then all of it, so that many of the
+    second part's rows are late or tied; the contents of all state tables."""
     from vigilspark.plans.jobs import journal_export, seed_job
     events, version = read_table(spark, sf_dir, "events"), None
     whole = _scratch(spark, "journal")
     until = F.timestamp_micros(F.lit(P.MERGE_SPLIT_NS // 1000)).cast("timestamp_ntz")
-    journal_export(events.where(F.col("ts") < until)).write.text(whole)
+    journal_export(events.where((F.col("ts") < until) | (F.pmod(F.xxhash64(*events.columns), F.lit(3)) == 0))).write.text(whole)
     for part in range(2):
         if part:  # the second export holds everything, the part seen before included
             whole = _scratch(spark, "journal")

@@ -31,18 +31,26 @@ def seed_job(spark: SparkSession, journal_path: str, out_path: str, rules: Alert
              previous: str | None = None, observed: DataFrame | None = None) -> DataFrame:
     """Seed (or continue) the baseline from a journal export.
 
-    With ``previous`` (an earlier version folder) only entries after its last
-    one are added, so that seeding an export in parts equals seeding it
-    whole and seeding it again changes nothing.  ``observed`` (start_ns, end_ns)
+    With ``previous`` (an earlier version folder) only records that it doesn't
+    hold yet are added, whatever their time: seeding an export in parts, in
+    any order, equals seeding it whole, and seeding it again changes nothing.
+    A record that an export holds n times counts n times; of several exports,
+    the one that holds it most often counts.  ``observed`` (start_ns, end_ns)
     adds to the time of direct observation.  Returns the one-row meta table.
     """
     good, _ = journal.split_rejects(journal.parse_lines(spark.read.text(journal_path)))
     entries = journal.journal_entries(good)
     old = store.load_baseline(spark, previous) if previous else None
-    since = old["meta"].select("newest_ns").first()[0] if old else None
-    if since is not None:
-        entries = entries.where(F.col("timestamp_ns") > F.lit(int(since)))
-    entries = materialize(entries)  # parsed once for the aggregates below
+    entries = materialize(entries.groupBy(*entries.columns).agg(F.count(F.lit(1)).alias("n")))  # parsed once
+    held = entries.select(*store.SEEN_KEYS, "n")
+    if old:
+        if old["seen"] is None:
+            raise ValueError(f"{previous} doesn't tell which records it holds; seed again from the whole export")
+        entries = entries.join(old["seen"].withColumnRenamed("n", "before"), store.SEEN_KEYS, "left") \
+            .withColumn("n", F.col("n") - F.coalesce("before", F.lit(0))).where("n > 0").drop("before")
+        held = held.unionByName(old["seen"])
+    held = held.groupBy(*store.SEEN_KEYS).agg(F.max("n").alias("n"))
+    entries = materialize(entries.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n", "copy"))
     hourly = entries.groupBy("source", F.expr("timestamp_ns - pmod(timestamp_ns, 3600000000000L)").alias("hour_ns")).agg(
         F.count(F.lit(1)).alias("n"), F.min("timestamp_ns").alias("earliest_ns"), F.max("timestamp_ns").alias("newest_ns"))
     hits = match.keyword_hits(entries, rules, keep=["source", "timestamp_ns"])
@@ -68,7 +76,7 @@ def seed_job(spark: SparkSession, journal_path: str, out_path: str, rules: Alert
         kw.agg(F.coalesce(F.min("first_seen_ns"), F.lit(0)).alias("v")).scalar().alias("first_seen_ns"),
         "seed_days", "direct_days", "confidence", confidence_pct("confidence").alias("confidence_pct"),
         monitoring_active("confidence").alias("monitoring_active"), "earliest_ns", "newest_ns", "observed_ns")
-    store.save_baseline(out_path, base, kw, boot.retained_boot_stats(boots, boots_kept), meta, hourly)
+    store.save_baseline(out_path, base, kw, boot.retained_boot_stats(boots, boots_kept), meta, hourly, held)
     return spark.read.parquet(os.path.join(out_path, "meta"))
 
 

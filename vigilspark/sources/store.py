@@ -175,18 +175,23 @@ def read_buffer(spark: SparkSession, path: str, as_of_ns: int, hours: int = ROLL
 
 # --- baseline (S7) --------------------------------------------------------------------
 
+#: A journal record: its time and the hash of all its fields.
+SEEN_KEYS = ["source", "timestamp_ns", "seq"]
+
+
 def save_baseline(path: str, baseline: DataFrame, keywords: DataFrame, boots: DataFrame,
-                  meta: DataFrame, hourly: DataFrame | None = None) -> None:
+                  meta: DataFrame, hourly: DataFrame | None = None, seen: DataFrame | None = None) -> None:
     """The state tables, each in its own folder of a version ``path``: the four
-    that readers use, and the hourly counts that a later seeding goes on from."""
-    for name, df in (("baseline", baseline), ("keyword_stats", keywords), ("boot_stats", boots), ("meta", meta), ("hourly", hourly)):
+    that readers use, and the hourly counts and the records (by SEEN_KEYS, with
+    their number) that a later seeding goes on from."""
+    for name, df in (("baseline", baseline), ("keyword_stats", keywords), ("boot_stats", boots), ("meta", meta), ("hourly", hourly), ("seen", seen)):
         if df is not None:
             df.write.mode("overwrite").parquet(os.path.join(path, name))
 
 
 def load_baseline(spark: SparkSession, path: str) -> dict:
     keyword_first = _plus(KEYWORD_STATS, "first_seen_ns", T.LongType())
-    hourly = os.path.join(path, "hourly")
+    hourly, seen = os.path.join(path, "hourly"), os.path.join(path, "seen")
     return {
         "baseline": spark.read.schema(BASELINE).parquet(os.path.join(path, "baseline")),
         "keyword_stats": spark.read.schema(KEYWORD_STATS).parquet(os.path.join(path, "keyword_stats")),
@@ -194,6 +199,7 @@ def load_baseline(spark: SparkSession, path: str) -> dict:
         "boot_stats": spark.read.schema(BOOT_STATS).parquet(os.path.join(path, "boot_stats")),
         "meta": spark.read.parquet(os.path.join(path, "meta")),
         "hourly": spark.read.parquet(hourly) if _exists(spark, hourly) else None,
+        "seen": spark.read.parquet(seen) if _exists(spark, seen) else None,
     }
 
 
