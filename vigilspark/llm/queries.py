@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilspark.llm import attribution, classlm, decontamination, embedding_join, langid, packing, simhash, token_store, toxicity, urlfilter
+from vigilspark.llm import (attribution, classlm, decontamination, embedding_join, langid, packing, quality, simhash, sql, term_scan,
+                            token_store, toxicity, urlfilter)
 from vigilspark.session import checkpoint_dir
 
 
@@ -67,6 +68,16 @@ def op7_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.count_sections(table(spark, sf_dir, "documents"), rule="majority")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item."""
+    return term_scan.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of the quality rules for every document."""
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_store": op2_token_store,
@@ -78,7 +89,12 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_ranked_search": op11_ranked_search,
+    "op13_quality_rules": op13_quality_rules,
 }
 
-#: None of these results can be had from SQL over the tables alone; each query is tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The others can't be had from SQL over the tables alone; they are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op11_ranked_search": sql.TERM_SCAN,
+    "op13_quality_rules": sql.quality_rules(),
+}
