@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilspark.llm import (attribution, classlm, decontamination, embedding_join, langid, packing, quality, simhash, sql, term_scan,
-                            token_store, toxicity, urlfilter)
+from vigilspark.llm import (attribution, classlm, conversation_trie, decontamination, embedding_join, langid, packing, quality, simhash, sql,
+                            term_scan, token_store, toxicity, urlfilter)
 from vigilspark.session import checkpoint_dir
 
 
@@ -73,6 +73,11 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_scan.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations."""
+    return conversation_trie.node_table(table(spark, sf_dir, "conversations"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of the quality rules for every document."""
     return quality.judge(table(spark, sf_dir, "documents"))
@@ -90,11 +95,13 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
     "op11_ranked_search": op11_ranked_search,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_quality_rules": op13_quality_rules,
 }
 
 #: The others can't be had from SQL over the tables alone; they are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op11_ranked_search": sql.TERM_SCAN,
+    "op12_prefix_trie": sql.conversation_trie(),
     "op13_quality_rules": sql.quality_rules(),
 }
