@@ -137,7 +137,7 @@ def _bloom_positions(s: np.ndarray, bits: int) -> list[np.ndarray]:
 # ------------------------------------------------------------------ operators
 
 def _benchmark_words(benchmark: DataFrame, min_match: int) -> DataFrame:
-    """(item_id, words, seeds) of every benchmark row of at least ``min_match`` words."""
+    """(item_key, item_id, words, seeds) of every benchmark row of at least ``min_match`` words; item_key tells words apart."""
     def run(batches):
         memory = _WordHash()
         for batch in batches:
@@ -145,12 +145,13 @@ def _benchmark_words(benchmark: DataFrame, min_match: int) -> DataFrame:
             for item, text in zip(batch["item_id"], batch["text"]):
                 h = word_hashes(text, memory)
                 if len(h) >= min_match:
-                    rows.append((item, h.view(np.int64), seeds(h, min_match).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["item_id", "words", "seeds"])
+                    key = xxhash.xxh64_intdigest(h.tobytes()) >> 1
+                    rows.append((key, item, h.view(np.int64), seeds(h, min_match).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["item_key", "item_id", "words", "seeds"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
     return benchmark.select("item_id", "text").dropna().mapInPandas(
-        run, f"item_id {kind}, words array<long>, seeds array<long>")
+        run, f"item_key long, item_id {kind}, words array<long>, seeds array<long>")
 
 
 def _bloom(items: DataFrame, bits: int) -> np.ndarray:
@@ -184,10 +185,13 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """(text_key, item_id, covered, item_words, coverage): texts, told by xxhash64, and the items that they hold.
 
     Items with a null id or text, or of fewer than ``min_match`` words, match
-    nothing.  Null, empty and short texts hold nothing.  Repeated items
-    and texts give one row each pair.
+    nothing.  Null, empty and short texts hold nothing.  Every text that an
+    item id has is matched for itself; a text and an item give one row, that
+    of the largest coverage (of the longest item text where equal).
     """
-    items = store(_benchmark_words(benchmark, min_match))
+    listed = store(_benchmark_words(benchmark, min_match))
+    named = listed.select("item_key", "item_id").distinct()
+    items = store(listed.groupBy("item_key").agg(F.first("words").alias("words"), F.first("seeds").alias("seeds")))
     table = docs.sparkSession.sparkContext.broadcast(_bloom(items, bloom_bits))
 
     def survivors(batches):
@@ -218,23 +222,25 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
     # tiles of min_match words or more covering c words hold c / min_match of the item's seeds at least
     need = F.ceil(F.size("words") * F.lit(min_coverage / min_match))
-    item_seeds = items.select("item_id", need.alias("need"), F.explode("seeds").alias("seed"))
+    item_seeds = items.select("item_key", need.alias("need"), F.explode("seeds").alias("seed"))
     pairs = found.select("text_key", F.explode("seeds").alias("seed")).join(item_seeds, "seed") \
-        .groupBy("text_key", "item_id").agg(F.count("*").alias("shared"), F.max("need").alias("need")) \
-        .where("shared >= need").select("text_key", "item_id")
+        .groupBy("text_key", "item_key").agg(F.count("*").alias("shared"), F.max("need").alias("need")) \
+        .where("shared >= need").select("text_key", "item_key")
     sides = pairs.join(found.select("text_key", "words"), "text_key").join(
-        items.groupBy("item_id").agg(F.max("words").alias("item")), "item_id")
+        items.select("item_key", F.col("words").alias("item")), "item_key")
 
     def tiles(batches):
         for batch in batches:
             covered = [tile(np.asarray(t, dtype=np.int64).view(np.uint64), np.asarray(i, dtype=np.int64).view(np.uint64), min_match)
                        for t, i in zip(batch["words"], batch["item"])]
-            yield pd.DataFrame({"text_key": batch["text_key"], "item_id": batch["item_id"],
+            yield pd.DataFrame({"text_key": batch["text_key"], "item_key": batch["item_key"],
                                 "covered": covered, "item_words": batch["item"].map(len)})
 
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    done = sides.mapInPandas(tiles, f"text_key long, item_id {kind}, covered int, item_words int")
-    return done.withColumn("coverage", F.col("covered") / F.col("item_words")).where(F.col("coverage") >= min_coverage)
+    done = sides.mapInPandas(tiles, "text_key long, item_key long, covered int, item_words int")
+    done = done.withColumn("coverage", F.col("covered") / F.col("item_words")).where(F.col("coverage") >= min_coverage)
+    best = F.max(F.struct("coverage", "item_words", "covered")).alias("best")
+    return done.join(named, "item_key").groupBy("text_key", "item_id").agg(best).select(
+        "text_key", "item_id", "best.covered", "best.item_words", "best.coverage")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,6 +259,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that hold no benchmark item, all columns kept."""
+    """Rows of ``docs`` that hold no benchmark item, all columns kept; null and empty texts hold none, repeated rows go or stay alike."""
     bad = store(contaminated_texts(docs, benchmark, text_col).select(F.col("text_key").alias("__bad")).distinct())
     return docs.join(bad, F.xxhash64(docs[text_col]) == bad["__bad"], "left_anti")

@@ -176,6 +176,15 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 # ------------------------------------------------------------------ operators
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, fp) of every row, (fp, first_id, root) of every fingerprint, root naming its group)."""
+    marked = store(with_fingerprint(docs, id_col, text_col, words))
+    by_fp = store(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    linked = components(links(by_fp, max_bits), "a", "b")
+    return marked, by_fp.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
@@ -188,11 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component of its fingerprint.  Repeated rows stay repeated.  Other
     columns are ignored; an empty table gives an empty result.
     """
-    marked = store(with_fingerprint(docs, id_col, text_col, words))
-    by_fp = store(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    linked = components(links(by_fp, max_bits), "a", "b")
-    placed = by_fp.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    marked, placed = _grouped(docs, id_col, text_col, words, max_bits)
     root_id = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     class_of = placed.join(root_id, "root").select("fp", "component_id")
     return marked.join(class_of, "fp").select(
@@ -201,13 +206,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document per group: the one of smallest id.
+    """``docs`` with one row per group: one of its smallest id.
 
-    All columns stay.  Rows sharing an id are one document and leave one
-    row.  Rows without an id can't be named as a group's keeper; all stay.
+    All columns stay.  A row belongs to the group of its own text, so an id
+    that stands for several texts can keep a row in several groups; repeated
+    rows leave one.  Rows without an id can't be named as a group's keeper;
+    all stay.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    groups = near_duplicates(named, id_col, text_col, words, max_bits)
-    gone = store(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    kept = named.join(gone, named[id_col] == gone["__gone"], "left_anti").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    marked, placed = _grouped(named, id_col, text_col, words, max_bits)
+    keepers = store(placed.groupBy("root").agg(F.min(F.struct("first_id", "fp")).alias("kept")).select(
+        F.col("kept.first_id").alias("__id"), F.col("kept.fp").alias("__fp")))
+    # an id of one row is told by itself; only rows of repeated ids need their text looked at again
+    repeated = store(marked.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("rows")).where("rows > 1").select("__id"))
+    by_id = lambda df, other, how: df.join(other, df[id_col] == other["__id"], how)
+    alone = by_id(named, keepers.join(repeated, "__id", "left_anti"), "left_semi")
+
+    @F.pandas_udf("long")
+    def fp_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+
+    again = by_id(named, repeated, "left_semi")
+    again = again.withColumn("__fp_own", fp_of(F.col(text_col)))
+    again = again.join(keepers, (again[id_col] == keepers["__id"]) & (again["__fp_own"] == keepers["__fp"]), "left_semi")
+    again = again.dropDuplicates([id_col, "__fp_own"]).drop("__fp_own")
+    return alone.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
