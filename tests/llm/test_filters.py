@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from vigilspark.llm import decontamination, langid, queries, toxicity, urlfilter
 
@@ -72,8 +73,64 @@ def test_language_of_odd_rows(spark):
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
 
 
+def test_numeric_signs_are_no_letters(spark):
+    df = spark.createDataFrame([(1, "½ ² Ⅷ", None), (2, "½ der ²", None), (3, "der und die " * 9, "de"), (5, "the of and " * 9, "en")],
+                               "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(df, folds=3, held_out=9).collect()}
+    assert got[1].lang_pred == "und" and got[1].score == 0 and got[2].lang_pred == "de"
+
+
+def test_verdict_against_plain_gram_sets(spark):
+    """Bloom filters and their correction against exact sets of n-grams."""
+    rng = random.Random(8)
+    texts = {"xa": ["".join(rng.choice("abcdef") for _ in range(rng.randint(2, 7))) for _ in range(400)],
+             "xb": ["".join(rng.choice("efghij") for _ in range(rng.randint(2, 7))) for _ in range(400)]}
+    held_sets = {lang: {w[i:i + n] for word in words for w in [f" {word} "] for n in langid.ORDERS for i in range(len(w) - n + 1)}
+                   for lang, words in texts.items()}
+    filters = langid.learn(spark.createDataFrame([(lang, " ".join(words)) for lang, words in texts.items()], "lang string, text string"))
+    asked = [" ".join(rng.choice(texts[lang]) for _ in range(6)) for lang in ("xa", "xb") for _ in range(40)]
+    names, scores = langid.Predictor(filters)(asked)
+    for text, name, score in zip(asked, names, scores):
+        share = {lang: sum(w[i:i + n] in held for word in text.split() for w in [f" {word} "] for n in langid.ORDERS for i in range(len(w) - n + 1))
+                 for lang, held in held_sets.items()}
+        assert name == max(share, key=share.get) and 0 < score <= 1
+
+
 # ------------------------------------------------------------------- toxicity
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_held_out_toxic_labels_are_found_by_language(spark, seed):
+    """Stems that only toxic rows have, under endings never seen in training."""
+    rng = random.Random(seed)
+    plain = {lang: ["".join(rng.choice(part) for _ in range(rng.randint(2, 5))) for _ in range(300)]
+             for lang, part in (("en", ["ha", "th", "on", "er"]), ("de", ["ei", "sch", "un", "ge"]), ("fr", ["eau", "oi", "qu", "le"]))}
+    stems = {"en": ["zorg", "blick"], "de": ["lowei", "kropf"], "fr": ["vejux", "nazul"]}
+    rows = []
+    for i in range(1500):
+        lang = ("en", "de", "fr")[i % 3]
+        words, toxic = rng.choices(plain[lang], k=rng.randint(20, 80)), i % 10 == 0
+        if toxic:
+            for _ in range(rng.randint(1, 6)):
+                words.insert(rng.randrange(len(words)), rng.choice(stems[lang]) + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 3))))
+        rows.append((i, " ".join(words), lang, int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.fit(df, df.where("doc_id < 900").select("doc_id", "toxic"))
+    got = toxicity.severity(df.drop("toxic"), model).join(df.select("doc_id", "lang", F.col("toxic").alias("label")), "doc_id").where("doc_id >= 900").collect()
+    for lang in stems:
+        found = [r.toxic for r in got if r.lang == lang and r.label]
+        assert sum(found) >= 0.9 * len(found), lang
+    clean = [r.toxic for r in got if not r.label]
+    assert sum(clean) <= 0.05 * len(clean)
+
+
+def test_the_cut_lies_in_the_best_gap():
+    p = np.array([0.01, 0.01, 0.02, 0.02, 0.3, 0.4, 0.01])
+    toxic = np.array([False, False, False, False, True, True, True])
+    assert 0.02 < toxicity._toxic_from(p, toxic) < 0.3
+    assert toxicity._toxic_from(p, toxic | True) == toxicity._toxic_from(p[:1], toxic[:1]) == toxicity.TOXIC_FROM
+    assert toxicity._toxic_from(np.array([0.7, 0.9]), np.array([False, True])) == toxicity.TOXIC_FROM
+
+
 def test_toxic_labels_are_found(spark):
     got = {r.doc_id: r for r in queries.op1_toxicity(spark, SF_LARGER).collect()}
     words = {"trash", "pathetic", "idiot", "disgusting", "worthless", "stupid", "clown", "loser", "scum", "moron"}

@@ -1,6 +1,7 @@
 """Vector join, class language model and the pipeline against plain versions."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ import corpus_pipeline
 from tests.llm.test_filters import plain_contamination
 from tests.llm.test_simhash import plain_groups
 from tests.llm.test_tokens_store_packing import check_pack
-from vigilspark.llm import classlm, embedding_join, langid, queries, toxicity
+from vigilspark.llm import classlm, decontamination, embedding_join, langid, queries, simhash, toxicity
 from vigilspark.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -201,7 +202,7 @@ def test_pipeline_against_plain_stages(spark):
     left = {d: t for (d, t), n, s in zip(rows.items(), names, scores) if n != "und" and s >= 0.3}
     kept = docs.where(docs.doc_id.isin(list(left)))
     model = toxicity.fit(kept, spark.read.parquet(f"{SF}/labels.parquet"))
-    left = {d: t for d, t in left.items() if model.above(model.scores([t]))[0, 0] < 0.5}
+    left = {d: t for d, t in left.items() if not model.is_toxic([t])[0]}
     heads = {c for _, _, c in plain_groups(list(left.items()))}
     left = {d: t for d, t in left.items() if d in heads}
     bench = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
@@ -223,5 +224,47 @@ def test_pipeline_keeps_clean_documents(spark):
     kept = {r.doc_id for r in corpus_pipeline.recognised_language(spark, docs, SF_LARGER).select("doc_id").collect()}
     assert kept == set(rows)
     kept = {r.doc_id for r in corpus_pipeline.not_toxic(spark, docs, SF_LARGER).select("doc_id").collect()}
+    marks = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{SF_LARGER}/labels.parquet").to_pylist()}
+    clean = {d for d, toxic in marks.items() if not toxic}
+    assert len(clean & kept) >= 0.97 * len(clean)
     insults = re.compile(r"\b(trash|pathetic|idiot|disgusting|worthless|stupid|clown|loser|scum|moron)\b", re.I)
-    assert {d for d, t in rows.items() if not insults.search(t)} - kept == set()
+    found = {d for d, t in rows.items() if insults.search(t)}
+    assert len(found - kept) >= 0.9 * len(found)
+
+
+def test_toxicity_stage_finds_labelled_rows_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    marks = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
+    lang = {r["doc_id"]: r["lang"] for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "lang"]).to_pylist()}
+    kept = {r.doc_id for r in corpus_pipeline.not_toxic(spark, docs, sf).select("doc_id").collect()}
+    clean = {d for d, t in marks.items() if not t}
+    assert len(clean & kept) >= 0.95 * len(clean)
+    for name in ("en", "de", "fr", "es"):
+        toxic = {d for d, t in marks.items() if t and lang[d] == name}
+        assert len(toxic - kept) >= 0.85 * len(toxic), name
+
+
+def test_an_id_with_several_texts_loses_none(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (5, b, 4), (7, b, 5), (9, c, 6), (9, c, 7), (5, c, 8), (None, a, 9)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row int, fp string")
+    got = sorted((r.doc_id or 0, r.text) for r in simhash.drop_near_duplicates(df).collect())
+    assert got == sorted([(1, a), (5, b), (5, c), (0, a)])
+    assert simhash.drop_near_duplicates(df).columns == df.columns
+
+
+def test_an_item_id_with_several_texts_is_found_by_each(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    one, two = text(40), text(60)
+    bench = spark.createDataFrame([(3, one), (3, two), (4, two), (4, two), (None, text(20)), (5, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{text(30)} {one} {text(9)}"), (2, f"{two} {text(30)}"), (3, text(80)), (4, one), (4, one), (5, None)],
+                                 "doc_id long, text string")
+    got = sorted(decontamination.contamination(docs, bench).collect())
+    assert [(r.doc_id, r.contaminated, r.n_items, r.item_id) for r in got] == [
+        (1, True, 1, 3), (2, True, 2, 3), (3, False, 0, None), (4, True, 1, 3), (4, True, 1, 3), (5, False, 0, None)]
+    kept = decontamination.drop_contaminated(docs, bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 5]

@@ -1,24 +1,30 @@
-"""Toxicity as cumulative-link ordinal regression on sparse word counts.
+"""Toxicity as cumulative-link ordinal regression on sparse counts of words and their parts.
 
 Grades are ordered: 0 not toxic, then toxic with few, several and many
 marker words.  One weight vector serves all thresholds:
 P(grade > k) = sigmoid(w.x - cut_k) with increasing cuts, and the expected
 severity is the sum of these probabilities.
 
-Labels only say toxic or not.  The grade of a toxic label comes from the
-words that toxic labels favour (signed G2 test on document counts): fewer
-than 3 occurrences are grade 1, fewer than 6 grade 2, else 3.
+A text's features are the whole words and the runs of 3 to 6 characters in
+them (ends marked, told by 64-bit hashes) that a signed G2 test on document
+counts picks, so that a known stem counts under an ending never seen.  Labels
+only say toxic or not; the grade of a toxic label comes from its marker
+words, those with a feature that toxic labels favour: fewer than 3
+occurrences are grade 1, fewer than 6 grade 2, else 3.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``,
 chosen by a hash of the id); the sample's documents are read, tokenised,
 freed of copies and counted in Spark, and only the vectors over the selected
-words reach the driver.  Scoring reads every text whole.
+features reach the driver.  One fold in ``FOLDS``, by another hash, teaches no
+weights: there the probability from which a text is called toxic is chosen.
+Scoring reads every text whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,9 +41,17 @@ GRADE_FROM = (3, 6)
 LEVELS = len(GRADE_FROM) + 1
 RIDGE = 1e-3
 STEPS = 400
-TOXIC_FROM = 0.5
 NEAR = 0.8
 MARKS, MARK_ROWS = 20, 3
+PIECE_CHARS = range(3, 7)
+FEATURES = 4096
+FOLDS = 5
+#: Called toxic from here where the held-out fold lacks toxic or other rows; never above.
+TOXIC_FROM = 0.5
+#: What the share of clean rows called toxic weighs against the share of toxic rows found.
+CLEAN_WEIGHT = 3.0
+MEMORY_WORDS = 200_000
+FLUSH_PIECES = 2_000_000
 
 _WORD = re.compile(r"\w+")
 
@@ -46,6 +60,31 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def pieces_of(word: str) -> np.ndarray:
+    """Sorted hashes of the marked word and of its runs of PIECE_CHARS characters."""
+    marked = f"^{word}$"
+    found = {marked}
+    for n in PIECE_CHARS:
+        found.update(marked[i:i + n] for i in range(len(marked) - n + 1))
+    return np.sort(np.array([xxhash.xxh64_intdigest(p) for p in found], dtype=np.uint64)).view(np.int64)
+
+
+class _Memory(dict):
+    """Word -> what ``make`` gives for it; remembers up to MEMORY_WORDS words."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word):
+        if len(self) > MEMORY_WORDS:
+            self.clear()
+        found = self.make(word)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
 # ------------------------------------------------------------- training table
 
 def _shingles(words: list[str]) -> np.ndarray:
@@ -75,35 +114,15 @@ def _sample_rows(batches):
         yield pd.DataFrame(rows, columns=["doc_id", "toxic", "whole", "marks", "shingles", "words", "times"])
 
 
-def _near_copies(rows) -> list[tuple]:
-    """(doc_id, whole) of rows (doc_id, whole, label, marks, shingles; by rising id) at NEAR or more to a kept row of their label that shares a mark."""
-    kept, gone = {}, []
-    for row in rows:
-        own = np.array(row.shingles)
-        groups = [kept.setdefault((row.label, i, m), []) for i, m in enumerate(row.marks)]
-        others = {id(x): x for g in groups for x in g}
-        if any(_jaccard(own, x) >= NEAR for x in others.values()):
-            gone.append((row.doc_id, row.whole))
-        else:
-            for g in groups:
-                g.append(own)
-    return gone
-
-
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    if min(len(a), len(b)) < NEAR * max(len(a), len(b)):
-        return 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
 def training_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, toxic, words, times) of about ``sample_rows`` labelled documents.
 
     Labels with a null id or grade are ignored; an id labelled twice is toxic
-    if one label says so.  Of rows with equal words, and of rows whose shingle
-    Jaccard is ``NEAR`` or more, one counts, unless their labels differ.
+    if one label says so.  Of rows with equal words of one label the smallest
+    id counts.  Rows that share a mark with a label are a group; a row whose
+    shingle Jaccard with the smallest id of one of its groups is ``NEAR`` or
+    more doesn't count either.
     """
     known = labels.select(F.col("doc_id").alias("__id"), "toxic").dropna().groupBy("__id").agg(F.max("toxic").alias("toxic"))
     rows = known.count()
@@ -118,14 +137,15 @@ def training_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         F.min_by(F.struct(*made.columns), "doc_id").alias("row")).select("label", "row.*")
     made = store(made)
     marks = made.select("doc_id", "whole", "label", F.posexplode("marks").alias("i", "mark"))
-    # at most MARKS times sample_rows / 2 rows
-    shared = marks.groupBy("i", "mark", "label").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    some = marks.join(F.broadcast(shared), ["i", "mark", "label"], "left_semi").select("doc_id", "whole").distinct()
-    # of about sample_rows rows at most, those that share a mark; only kept ones stay in memory
-    near = made.join(some, ["doc_id", "whole"], "left_semi").select("doc_id", "whole", "label", "marks", "shingles")
-    gone = _near_copies(near.orderBy("doc_id", "whole").toLocalIterator())
-    copies = made.sparkSession.createDataFrame(gone, "doc_id long, whole long")
-    return made.join(F.broadcast(copies), ["doc_id", "whole"], "left_anti").select("doc_id", "toxic", "words", "times")
+    # every row meets the first one of each of its MARKS groups: MARKS pairs a row at most, however large a group
+    first = marks.groupBy("i", "mark", "label").agg(F.min(F.struct("doc_id", "whole")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    pairs = marks.join(first, ["i", "mark", "label"]).select("doc_id", "whole", "first.doc_id", "first.whole").toDF(
+        "doc_id", "whole", "first_id", "first_whole").where("doc_id <> first_id or whole <> first_whole").distinct()
+    own = made.select("doc_id", "whole", "shingles")
+    both = pairs.join(own, ["doc_id", "whole"]).join(own.toDF("first_id", "first_whole", "others"), ["first_id", "first_whole"])
+    shared = F.size(F.array_intersect("shingles", "others"))
+    copies = both.where(shared >= NEAR * (F.size("shingles") + F.size("others") - shared)).select("doc_id", "whole").distinct()
+    return made.join(copies, ["doc_id", "whole"], "left_anti").select("doc_id", "toxic", "words", "times")
 
 
 def _g2(a, b, n1, n0):
@@ -142,24 +162,37 @@ def _g2(a, b, n1, n0):
 
 @dataclass
 class Model:
-    """word -> column, shared weights, increasing cuts."""
+    """Hash of a piece -> column, shared weights, increasing cuts, the probability from which a text is toxic."""
 
-    column: dict[str, int]
+    column: dict[int, int]
     weight: np.ndarray
     cuts: np.ndarray
+    toxic_from: float = TOXIC_FROM
 
     def above(self, scores: np.ndarray) -> np.ndarray:
         """(rows, LEVELS): P(grade > k)."""
         return _sigmoid(scores[:, None] - self.cuts[None, :])
 
-    def scores(self, texts) -> np.ndarray:
-        column, weight = self.column, self.weight
+    def columns_of(self, word: str) -> tuple:
+        """Columns of the word's pieces."""
+        column = self.column
+        return tuple(column[p] for p in pieces_of(word).tolist() if p in column)
+
+    def scores(self, texts, memory: dict | None = None) -> np.ndarray:
+        memory = _Memory(self.columns_of) if memory is None else memory
         out = np.zeros(len(texts))
         for i, text in enumerate(texts):
-            seen = Counter(w for w in words_of(text) if w in column)
-            out[i] = sum(weight[column[w]] * np.log1p(n) for w, n in seen.items())
+            seen: dict[int, int] = {}
+            for word, n in Counter(words_of(text)).items():
+                for c in memory[word]:
+                    seen[c] = seen.get(c, 0) + n
+            if seen:
+                out[i] = self.weight[list(seen)] @ np.log1p(list(seen.values()))
         return out
 
+    def is_toxic(self, texts, memory: dict | None = None) -> np.ndarray:
+        return self.above(self.scores(texts, memory))[:, 0] >= self.toxic_from
+
 
 def _sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * np.clip(x, -60, 60)))
@@ -192,50 +225,118 @@ def _descend(rows, cols, values, grade, width) -> tuple[np.ndarray, np.ndarray]:
     return theta[:width], np.concatenate([theta[width:width + 1], theta[width] + np.cumsum(np.exp(theta[width + 1:]))])
 
 
+def _piece_counts(sample: DataFrame) -> DataFrame:
+    """(piece, a, b): toxic and other rows that have the piece in some word."""
+    def run(batches):
+        memory, held, size = _Memory(pieces_of), {True: [], False: []}, 0
+
+        def frame():
+            piece, at = np.unique(np.concatenate(held[True] + held[False]), return_inverse=True)
+            toxic = np.arange(len(at)) < sum(map(len, held[True]))
+            return pd.DataFrame({"piece": piece, "a": np.bincount(at[toxic], minlength=len(piece)),
+                                 "b": np.bincount(at[~toxic], minlength=len(piece))})
+
+        for batch in batches:
+            for words, toxic in zip(batch["words"], batch["toxic"]):
+                if len(words):
+                    own = np.unique(np.concatenate([memory[w] for w in words]))
+                    held[toxic > 0].append(own)
+                    size += len(own)
+                if size > FLUSH_PIECES:
+                    yield frame()
+                    held, size = {True: [], False: []}, 0
+        if held[True] or held[False]:
+            yield frame()
+
+    return sample.select("words", "toxic").mapInPandas(run, "piece long, a long, b long").groupBy("piece").agg(
+        F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
+
+
+def _vectors(sample: DataFrame, column: dict[int, int], marker: np.ndarray) -> pd.DataFrame:
+    """Rows (toxic, held, columns, times, marks) of the sample: counts of the chosen pieces, and how many words have a marker piece."""
+    shared = sample.sparkSession.sparkContext.broadcast((column, marker))
+
+    def run(batches):
+        of, favoured = shared.value
+        memory = _Memory(Model(of, marker, marker).columns_of)
+        for batch in batches:
+            rows = []
+            for toxic, held, words, times in zip(batch["toxic"], batch["held"], batch["words"], batch["times"]):
+                seen, marks = {}, 0
+                for word, n in zip(words, times):
+                    found = memory[word]
+                    marks += int(n) * any(favoured[c] for c in found)
+                    for c in found:
+                        seen[c] = seen.get(c, 0) + int(n)
+                rows.append((toxic, held, list(seen), list(seen.values()), marks))
+            yield pd.DataFrame(rows, columns=["toxic", "held", "columns", "times", "marks"])
+
+    return sample.mapInPandas(run, "toxic int, held boolean, columns array<int>, times array<int>, marks long").toPandas()
+
+
+def _toxic_from(p: np.ndarray, toxic: np.ndarray) -> float:
+    """The probability that parts held-out toxic rows from others best: a third up, in log odds, of the best gap between them."""
+    if toxic.all() or not toxic.any():
+        return TOXIC_FROM
+    at = np.unique(p)
+    found = 1 - np.searchsorted(np.sort(p[toxic]), at[1:]) / toxic.sum()
+    lost = 1 - np.searchsorted(np.sort(p[~toxic]), at[1:]) / (~toxic).sum()
+    if not len(found):
+        return TOXIC_FROM
+    gain = found - CLEAN_WEIGHT * lost
+    odds = np.log(np.clip(at, 1e-12, 1 - 1e-12) / (1 - np.clip(at, 1e-12, 1 - 1e-12)))
+    best = np.flatnonzero(gain >= gain.max() - 1e-12)
+    gap = best[np.argmax(np.diff(odds)[best])]
+    return min(TOXIC_FROM, float(_sigmoid((2 * odds[gap] + odds[gap + 1]) / 3)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sample_rows: int = SAMPLE_ROWS) -> Model:
     """Model of the labelled sample; without toxic or without other labels, one that calls nothing toxic."""
     sample = store(training_table(docs, labels, id_col, text_col, sample_rows))
-    sizes = sample.agg(F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0)), F.count("*")).first()
+    sample = sample.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)) == 0)
+    sizes = sample.where("not held").agg(F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0)), F.count("*")).first()
     n1, n0 = int(sizes[0]), int(sizes[1] - sizes[0])
     none = Model({}, np.zeros(0), np.full(LEVELS, 60.0))
     if not n1 or not n0:
         return none
-    seen = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
-        F.sum((F.col("toxic") > 0).cast("double")).alias("a"), F.sum((F.col("toxic") <= 0).cast("double")).alias("b"))
-    chosen = seen.withColumn("g2", _g2(F.col("a"), F.col("b"), F.lit(float(n1)), F.lit(float(n0)))).where(F.abs("g2") >= MIN_G2)
-    words = {r.word: r.g2 for r in chosen.select("word", "g2").collect()}
-    if not any(g > 0 for g in words.values()):
+    counts = _piece_counts(sample.where("not held"))
+    chosen = counts.withColumn("g2", _g2(F.col("a"), F.col("b"), F.lit(float(n1)), F.lit(float(n0)))).where(F.abs("g2") >= MIN_G2)
+    picked = chosen.orderBy(F.desc(F.abs("g2")), "piece").limit(FEATURES).select("piece", "g2").collect()
+    if not any(r.g2 > 0 for r in picked):
         return none
-    column = {w: i for i, w in enumerate(sorted(words))}
-    marker = np.array([words[w] > 0 for w in sorted(words)])
-    picked = sample.select(
-        "toxic", F.filter(F.arrays_zip("words", "times"), lambda x: x["words"].isin(list(column))).alias("x")
-    ).selectExpr("toxic", "x.words as words", "x.times as times").toPandas()
-    size = picked["words"].map(len).to_numpy()
-    rows = np.repeat(np.arange(len(picked)), size)
-    cols = np.array([column[w] for ws in picked["words"] for w in ws], dtype=np.int64)
-    times = np.array([t for ts in picked["times"] for t in ts], dtype=np.float64)
-    marks = np.bincount(rows, weights=times * marker[cols], minlength=len(picked))
-    grade = np.where(picked["toxic"].to_numpy() > 0, 1 + np.searchsorted(GRADE_FROM, marks, side="right"), 0)
-    weight, cuts = _descend(rows, cols, np.log1p(times), grade, len(column))
-    return Model(column, weight, cuts)
+    column, marker = {r.piece: i for i, r in enumerate(picked)}, np.array([r.g2 > 0 for r in picked])
+    rows = _vectors(sample.select("toxic", "held", "words", "times"), column, marker)
+    toxic, held = rows["toxic"].to_numpy() > 0, rows["held"].to_numpy(dtype=bool)
+    learned = rows[~held]
+    size = learned["columns"].map(len).to_numpy(dtype=np.int64)
+    at = np.repeat(np.arange(len(learned)), size)
+    cols = np.concatenate([*learned["columns"], []]).astype(np.int64)
+    times = np.log1p(np.concatenate([*learned["times"], []]).astype(np.float64))
+    grade = np.where(toxic[~held], 1 + np.searchsorted(GRADE_FROM, learned["marks"], side="right"), 0)
+    weight, cuts = _descend(at, cols, times, grade, len(column))
+    model = Model(column, weight, cuts)
+    score = np.array([weight[np.asarray(c, dtype=np.int64)] @ np.log1p(np.asarray(t, dtype=np.float64))
+                      for c, t in zip(rows["columns"][held], rows["times"][held])], dtype=np.float64)
+    model.toxic_from = _toxic_from(model.above(score)[:, 0], toxic[held])
+    return model
 
 
 def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, expected_severity, grade, p_toxic, toxic) for every row.
 
-    ``grade`` is the highest grade reached with probability 0.5 or more, and
-    ``toxic`` whether that is above 0.  Null, empty and wordless texts have no
+    ``grade`` is the highest grade reached with the model's ``toxic_from`` or
+    more, and ``toxic`` whether that is above 0.  Null, empty and wordless texts have no
     features and get the model's base rate.  Repeated rows stay repeated;
     other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        memory = _Memory(shared.value.columns_of)
         for batch in batches:
-            above = shared.value.above(shared.value.scores(batch["text"].tolist()))
-            grade = (above >= TOXIC_FROM).sum(axis=1).astype(np.int32)
+            above = shared.value.above(shared.value.scores(batch["text"].tolist(), memory))
+            grade = (above >= shared.value.toxic_from).sum(axis=1).astype(np.int32)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "expected_severity": above.sum(axis=1),
                                 "grade": grade, "p_toxic": above[:, 0], "toxic": grade > 0})
 
@@ -245,11 +346,17 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that the model doesn't call toxic, all columns kept."""
+    """Rows of ``docs`` that the model doesn't call toxic, all columns kept.
+
+    Null, empty and wordless texts have the base rate, repeated rows the same
+    verdict each.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.above(shared.value.scores(texts.tolist()))[:, 0] < TOXIC_FROM)
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memory = _Memory(shared.value.columns_of)
+        for texts in parts:
+            yield pd.Series(~shared.value.is_toxic(texts.tolist(), memory))
 
     return docs.where(clean(F.col(text_col)))
