@@ -103,31 +103,86 @@ def test_counts_and_base_score_against_plain(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lookup_and_joined_counts_agree(spark, monkeypatch):
+def test_numbered_and_joined_words_score_alike(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
-    monkeypatch.setattr(classlm, "CLASS_RATE", 1e-3)
-    with_lookup = {r.doc_id: r for r in classlm.score(df, classes=8, sweeps=2).collect()}
-    monkeypatch.setattr(classlm, "LOOKUP_RATE", 1e-3)
+    monkeypatch.setattr(classlm, "FIRST_WORDS", 40)
+    numbered = {r.doc_id: r for r in classlm.score(df, classes=8, sweeps=2).collect()}
+    monkeypatch.setattr(classlm, "LOOKUP_WORDS", 300)
+    monkeypatch.setattr(classlm, "HOT_TOKENS", 50)
     for r in classlm.score(df, classes=8, sweeps=2).collect():
-        other = with_lookup[r.doc_id]
+        other = numbered[r.doc_id]
         assert r.n_known == other.n_known
         assert r.base_score == pytest.approx(other.base_score) and r.score == pytest.approx(other.score)
 
 
-def test_the_model_is_a_distribution(spark, monkeypatch):
-    monkeypatch.setattr(classlm, "CLASS_RATE", 0.05)
+@pytest.mark.parametrize("numbered", [1 << 22, 2])
+def test_the_model_is_a_distribution(spark, monkeypatch, numbered):
+    monkeypatch.setattr(classlm, "FIRST_WORDS", 2)
+    monkeypatch.setattr(classlm, "LOOKUP_WORDS", numbered)
     texts = spark.createDataFrame([("a b a b a c",), ("a b d",), ("b a b e ffffffff",)], "text string")
-    model, counts = classlm.fit(texts, classes=3, sweeps=3)
+    model, rare = classlm.fit(texts, classes=3, sweeps=3)
     assert np.allclose((10.0 ** model.transition).sum(axis=1), 1)
-    for c in range(3):
-        mine = model.cls == c
-        assert not mine.any() or (10.0 ** model.emission[mine]).sum() == pytest.approx(1)
-    seen = {r.key: r.n for r in counts.collect()}
-    for shape in range(classlm.SHAPES):
-        words = [n for k, n in seen.items() if k != int(classlm.END) and k & 31 == shape and k not in model.items.keys]
-        if words:
-            known = sum(10 ** float(model.rare(np.array([n]), np.array([shape]))[0]) for n in words)
-            assert known < 1 and known + (len(words) + 1) * model.unseen()[shape] <= 1 + 1e-9
+    assert (rare is None) == (numbered > 2)
+    count, cls = model.lookup.count, model.cls
+    emitted = 10.0 ** model.emission
+    if rare is not None:
+        more = rare.toPandas()
+        assert len(more) + len(count) == 7  # a b c d e ffffffff and END
+        cls = np.append(cls, more["c"])
+        emitted = np.append(emitted, 10.0 ** model.emitted(more["n"].to_numpy(), more["c"].to_numpy()))
+    for c in set(cls.tolist()):
+        assert emitted[cls == c].sum() + model.share[:, c].sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("numbered", [1 << 22, 9])
+def test_scores_are_those_of_a_plain_class_bigram(spark, monkeypatch, numbered):
+    """Scores worked out from the fitted classes and plain counts."""
+    monkeypatch.setattr(classlm, "FIRST_WORDS", 5)
+    monkeypatch.setattr(classlm, "LOOKUP_WORDS", numbered)
+    rng = np.random.default_rng(12)
+    texts = {i: " ".join(f"w{min(int(x), 30)}" for x in rng.geometric(0.15, rng.integers(0, 12))) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    train = [t.split() for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    model, rare = classlm.fit(df.where("crc32(cast(doc_id as string)) % 7 <> 2"), classes=4, sweeps=3)
+    keys = classlm._Keys()
+    more = {} if rare is None else {r.code: r.c for r in rare.collect()}
+    of = lambda key: int(model.cls[c]) if (c := int(model.lookup.codes(np.array([key], dtype=np.int64))[0])) >= 0 else more.get(c)
+    cls = {w: of(keys[w.encode()]) for t in train for w in t}
+    cls[None] = of(classlm.END)
+    seqs = [[None, *t, None] for t in train]
+    n = Counter(w for s in seqs for w in s[1:])
+    pair = Counter((cls[a], cls[b]) for s in seqs for a, b in zip(s, s[1:]))
+    k, members = 4, Counter(cls[w] for w in n)
+    shape = {w: classlm.shape_of(w.encode()) for w in n if w is not None}
+    types = Counter(shape.values())
+    unseen_in = model.share.sum(axis=0) > 0
+    total = sum(pair.values()) + sum(members[c] + unseen_in[c] for c in range(k))
+
+    def step(a, b):
+        kinds = max(1, sum(pair[a, c] > 0 for c in range(k)))
+        prior = (sum(pair[c, b] for c in range(k)) + members[b] + unseen_in[b]) / total
+        return (pair[a, b] + kinds * prior) / (sum(pair[a, c] for c in range(k)) + kinds)
+
+    tokens = Counter()
+    for w, m in n.items():
+        tokens[cls[w]] += m
+    off = [classlm.DISCOUNT if unseen_in[c] else 0 for c in range(k)]
+    for r in classlm.score(df, classes=4, sweeps=3).collect():
+        words, want, before = [*texts[r.doc_id].split(), None], 0.0, [float(c == cls[None]) for c in range(k)]
+        for w in words:
+            if w in n:
+                want += math.log10(sum(before[c] * step(c, cls[w]) for c in range(k)) * (n[w] - off[cls[w]]) / tokens[cls[w]])
+                before = [float(c == cls[w]) for c in range(k)]
+            else:
+                s = classlm.shape_of(w.encode())
+                want += math.log10(sum(before[a] * step(a, c) * model.share[s, c] for a in range(k) for c in range(k)) / (types[s] + 1))
+                once = [sum(shape[x] == s and cls[x] == c and n[x] == 1 for x in shape) for c in range(k)]
+                held = once if any(once) else [sum(shape[x] == s and cls[x] == c for x in shape) for c in range(k)]
+                if not any(held):
+                    break  # a shape that training never saw has the class of its start
+                before = [x / sum(held) for x in held]
+        else:
+            assert r.score == pytest.approx(want, abs=0.02 * len(words))
 
 
 def test_exchange_raises_the_likelihood():
@@ -158,12 +213,13 @@ def test_exchange_raises_the_likelihood():
 
 def test_every_word_has_a_class_of_its_own(spark, monkeypatch):
     """Rare words of one shape that stand at different places end in different classes."""
-    monkeypatch.setattr(classlm, "CLASS_RATE", 0.02)
+    monkeypatch.setattr(classlm, "FIRST_WORDS", 2)
     rng = np.random.default_rng(4)
     rows = [(" ".join(w for _ in range(8) for w in ("the", f"n{rng.integers(100, 300)}x", "will", f"v{rng.integers(100, 300)}x")),) for _ in range(150)]
-    model, words = classlm.fit(spark.createDataFrame(rows, "text string"), classes=5)
-    got = {r.key: r.c for r in words.collect()}
-    assert len(got) == len({w for t, in rows for w in t.split()}) + 1
+    model, rare = classlm.fit(spark.createDataFrame(rows, "text string"), classes=5)
+    assert rare is None and len(model.lookup) == len({w for t, in rows for w in t.split()}) + 1
+    number = dict(zip(model.lookup.keys.tolist(), model.lookup.number.tolist()))
+    got = {key: int(model.cls[i]) for key, i in number.items()}
     keys = classlm._Keys()
     of = {kind: Counter(got[keys[f"{kind}{i}x".encode()]] for i in range(100, 300) if keys[f"{kind}{i}x".encode()] in got) for kind in "nv"}
     tops = {kind: c.most_common(1)[0] for kind, c in of.items()}
@@ -175,6 +231,9 @@ def test_best_class_is_that_of_the_full_likelihood():
     pair, cls = rng.poisson(0.7, (14, 14)).astype(float), rng.integers(0, 4, 14)
     one = np.eye(4)[cls]
     got = classlm._best(pair.T @ one, pair @ one, np.diag(pair).copy(), cls, one.T @ pair @ one)
+    for scale in (1, 5):
+        sides = (scale * pair.T @ one, scale * pair @ one, scale * np.diag(pair), cls, scale * one.T @ pair @ one)
+        assert (classlm._best_of_many(*sides) == classlm._best(*sides)).all()
     for w in range(14):
         values = [classlm._likelihood(np.eye(4)[x].T @ pair @ np.eye(4)[x]) for x in (np.where(np.arange(14) == w, k, cls) for k in range(4))]
         assert values[got[w]] == pytest.approx(max(values))

@@ -2,21 +2,23 @@
 
 P(w_i | w_i-1) = P(class_i | class_i-1) * P(w_i | class_i).
 
-Every training word has a class.  Words that make up at least ``CLASS_RATE``
-of all tokens, the end token, and 32 word shapes standing for all rarer words
-are put into classes by exchange clustering on the driver; rarer words start in
-the class of their shape.  Then sweeps over all words follow, in Spark: a
-half of the words (by a hash) moves to the class that raises the bigram
-likelihood most, until a sweep raises it by less than ``RISE`` per token.
-Words emit by their corpus count with absolute discounting; the discounted
-mass belongs to words that training never saw, by shape.
-
-A bigram's count is a grouped sum over all training tokens, a word's count one
-over its bigrams.  What is broadcast has a bound that doesn't depend on the
-corpus: the class table, and 1 / LOOKUP_RATE counts and classes of the words
-above that rate; those of all rarer words are joined.
-
-A word is told by 59 bits of its XXH64, with its shape in the other 5.
+Every training word has a class.  The ``FIRST_WORDS`` commonest words, the end
+token, and 32 word shapes standing for all other words are put into classes by
+exchange clustering on the driver; the other words start in the class of
+their shape.  Then sweeps over all words follow, in Spark: a half of the words
+(by a hash) moves to the class that raises the bigram likelihood most, until
+two sweeps in a row raise it by less than ``RISE`` per token.  Words emit by their corpus
+count with absolute discounting; the discounted mass belongs to words that
+training never saw, by shape.
+
+The ``LOOKUP_WORDS`` commonest words (or fewer, where counts tie) have numbers.
+Their keys, counts and classes are broadcast, a bound that doesn't depend on
+the corpus; a rarer word is told by its key, and its class and count are joined.
+Bigrams are stored once, as the neighbours of every word, all rows of a word
+together; a sweep scans that table and shuffles only what a word
+has in several places or beside rarer words.
+
+A word is told by 58 bits of its XXH64, with its shape in 5 more.
 """
 
 from __future__ import annotations
@@ -33,14 +35,19 @@ from vigilspark.llm.tokens import chunks
 from vigilspark.session import discard, store
 
 CLASSES = 64
-CLASS_RATE = 2e-5
-LOOKUP_RATE = 2.5e-7
+FIRST_WORDS = 1_000
+LOOKUP_WORDS = 1 << 22
 SWEEPS = 6
 RISE = 1e-3
 DISCOUNT = 0.5
 SHAPES = 32
 MEMORY_WORDS = 300_000
 FLUSH_AT = 2_000_000
+#: Words of so many tokens have their neighbours dealt over HOT_PARTS places.
+HOT_TOKENS = 500_000
+HOT_PARTS = 64
+#: Counts of neighbours up to here go through one table each in a sweep.
+SMALL = 8
 
 #: A key that no word has: the end of a text, which is also what stands before its first token.
 END = np.int64(-1)
@@ -79,35 +86,34 @@ def keys_of(texts: list, memory: dict) -> tuple[np.ndarray, np.ndarray]:
 
 # -------------------------------------------------------------------- counting
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, n) of the distinct pairs."""
-    words, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    code, n = np.unique(at[:len(a)] * len(words) + at[len(a):], return_counts=True)
-    return words[code // max(len(words), 1)], words[code % max(len(words), 1)], n
-
-
-def bigram_counts(texts: DataFrame) -> DataFrame:
-    """(a, b, n): how often word b follows word a in ``texts`` (column text); END stands before the first and after the last."""
-    def frames(parts):
-        a, b, n = _pairs(*(np.concatenate(x) for x in zip(*parts)))
-        for x in range(0, len(n), 100_000):
-            yield pd.DataFrame({"a": a[x:x + 100_000], "b": b[x:x + 100_000], "n": n[x:x + 100_000]})
-
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(key, n) of every token of ``texts`` (column text)."""
     def run(batches):
         memory, parts, size = _Keys(), [], 0
         for batch in batches:
             own = batch["text"].tolist()
             for x, y in chunks(own):
-                keys, edges = keys_of(own[x:y], memory)
-                parts.append((_before(keys, edges), keys))
-                size += len(keys)
+                parts.append(keys_of(own[x:y], memory)[0])
+                size += len(parts[-1])
                 if size > FLUSH_AT:
-                    yield from frames(parts)
+                    yield from _frames(*np.unique(np.concatenate(parts), return_counts=True), names=("key", "n"))
                     parts, size = [], 0
         if parts:
-            yield from frames(parts)
+            yield from _frames(*np.unique(np.concatenate(parts), return_counts=True), names=("key", "n"))
+
+    return texts.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _frames(*columns, names):
+    for x in range(0, len(columns[0]), 100_000):
+        yield pd.DataFrame({c: v[x:x + 100_000] for c, v in zip(names, columns)})
+
 
-    return texts.select("text").mapInPandas(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n) of the distinct pairs."""
+    words, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    code, n = np.unique(at[:len(a)] * len(words) + at[len(a):], return_counts=True)
+    return words[code // max(len(words), 1)], words[code % max(len(words), 1)], n
 
 
 def _before(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -119,17 +125,85 @@ def _before(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Items:
-    """Sorted keys of common words and END, then the shapes, which stand for all others."""
+class Lookup:
+    """Sorted keys of the numbered words with their numbers, from 0 by falling count; END always has one."""
 
     keys: np.ndarray
+    number: np.ndarray
+    count: np.ndarray   # by number
+    shape: np.ndarray   # by number
+    byte: np.ndarray    # by number
+    least: int          # all words of so many tokens are here
+    whole: bool         # there are no other words
 
     def __len__(self):
-        return len(self.keys) + SHAPES
+        return len(self.keys)
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
+    @property
+    def hot(self) -> int:
+        """Words of HOT_TOKENS and more: those of numbers below this."""
+        return int(np.searchsorted(-self.count, -HOT_TOKENS, side="right"))
+
+    @property
+    def end(self) -> int:
+        return int(self.number[np.searchsorted(self.keys, END)])
+
+    def codes(self, keys: np.ndarray) -> np.ndarray:
+        """Number of a numbered word, else the key's complement, below 0."""
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, len(self.keys) + (keys & (SHAPES - 1)))
+        return np.where(self.keys[at] == keys, self.number[at], ~keys)
+
+
+def _lookup(counts: DataFrame) -> Lookup:
+    # distinct counts are few: they add up to the number of tokens at most
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()
+    least, held = 1 << 62, 0
+    for r in sizes:
+        if held + r.words > LOOKUP_WORDS:
+            break
+        least, held = r.n, held + r.words
+    known = counts.where(F.col("n") >= least).toPandas()  # at most LOOKUP_WORDS rows
+    keys, n = known["key"].to_numpy(dtype=np.int64), known["n"].to_numpy(dtype=np.int64)
+    if not (keys == END).any():
+        held_end = counts.where(F.col("key") == int(END)).first()
+        keys, n = np.append(keys, END), np.append(n, held_end.n if held_end else 0)
+    order = np.lexsort((keys, -n))
+    by_key = np.argsort(keys[order])
+    return Lookup(keys[order][by_key], by_key, n[order], (keys[order] & (SHAPES - 1)).astype(np.uint8), _byte(keys[order]), least,
+                  held == sum(r.words for r in sizes))
+
+
+def neighbours(texts: DataFrame, lookup) -> DataFrame:
+    """(w, after, o, n): how often word o stands behind (``after``) or before word w; END stands before a text's first word and after its last.
+
+    Words are told by their codes.  All rows of a word lie together, sorted,
+    but for words of HOT_TOKENS and more, which are dealt out by the neighbour.
+    """
+    def run(batches):
+        look, memory, parts, size = lookup.value, _Keys(), [], 0
+
+        def rows():
+            a, b, n = _pairs(*(np.concatenate(x) for x in zip(*parts)))
+            a, b = look.codes(a), look.codes(b)
+            w, o = np.append(a, b), np.append(b, a)
+            hot = (w >= 0) & (w < look.hot)
+            return _frames(w, np.arange(len(w)) < len(a), o, np.append(n, n), np.where(hot, o % HOT_PARTS, 0), names=("w", "after", "o", "n", "part"))
+
+        for batch in batches:
+            own = batch["text"].tolist()
+            for x, y in chunks(own):
+                keys, edges = keys_of(own[x:y], memory)
+                parts.append((_before(keys, edges), keys))
+                size += len(keys)
+                if size > FLUSH_AT:
+                    yield from rows()
+                    parts, size = [], 0
+        if parts:
+            yield from rows()
+
+    made = texts.select("text").mapInPandas(run, "w long, after boolean, o long, n int, part int").repartition("w", "part")
+    made = made.groupBy("w", "part", "after", "o").agg(F.sum("n").alias("n"))
+    return made.sortWithinPartitions("w", "after", "o").select("w", "after", "o", "n")
 
 
 # ------------------------------------------------------------------ clustering
@@ -180,28 +254,45 @@ def _exchange(left: np.ndarray, right: np.ndarray, own: np.ndarray, cls: np.ndar
     return moves
 
 
-def cluster(bigrams: DataFrame, n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Class of every item: frequent items start alone, the rest in turn; every sweep sums the bigrams by class in Spark."""
-    spark, items = bigrams.sparkSession, len(n)
+def cluster(pair: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+    """Class of every item from the counts of one item before another: frequent items start alone, the rest in turn."""
+    items = len(pair)
+    n = np.maximum(pair.sum(axis=1), pair.sum(axis=0))
     order = np.lexsort((np.arange(items), -n))
     cls = np.empty(items, dtype=np.int64)
     cls[order] = np.arange(items) % classes
-    own = np.zeros(items)
-    for r in bigrams.where("a = b").toLocalIterator():
-        own[r.a] = r.n
     for _ in range(sweeps):
-        of = spark.createDataFrame(pd.DataFrame({"item": np.arange(items, dtype=np.int32), "c": cls.astype(np.int32)}))
-        # at most items * classes rows a side
-        right = bigrams.join(F.broadcast(of.toDF("b", "c")), "b").groupBy("a", "c").agg(F.sum("n").alias("n")).toPandas()
-        left = bigrams.join(F.broadcast(of.toDF("a", "c")), "a").groupBy("b", "c").agg(F.sum("n").alias("n")).toPandas()
-        sides = np.zeros((2, items, classes))
-        sides[0, left["b"], left["c"]] = left["n"]
-        sides[1, right["a"], right["c"]] = right["n"]
-        if not _exchange(sides[0], sides[1], own, cls, order):
+        one = np.eye(classes)[cls]
+        if not _exchange(pair.T @ one, pair @ one, np.diag(pair).copy(), cls, order):
             break
     return cls
 
 
+def _first_classes(near: DataFrame, lookup: Lookup, shared, classes: int, sweeps: int) -> np.ndarray:
+    """Classes of the FIRST_WORDS commonest words, of END and of the shapes."""
+    first, end = min(FIRST_WORDS, len(lookup)), lookup.end
+    items = first + 1 + SHAPES
+
+    def item(codes, look):
+        known = codes >= 0
+        shape = np.where(known, look.shape[np.maximum(codes, 0)], ~codes & (SHAPES - 1)).astype(np.int64)
+        return np.where(codes == end, first, np.where(known & (codes < first), codes, first + 1 + shape))
+
+    def run(batches):
+        table = np.zeros(items * items)
+        for batch in batches:
+            a, b = item(batch["w"].to_numpy(), shared.value), item(batch["o"].to_numpy(), shared.value)
+            np.add.at(table, a * items + b, batch["n"].to_numpy())
+        at = np.flatnonzero(table)
+        yield from _frames(at, table[at].astype(np.int64), names=("at", "n"))
+
+    pair = np.zeros(items * items)
+    # at most (FIRST_WORDS + 33) squared rows
+    got = near.where("after").select("w", "o", "n").mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    pair[got["at"].to_numpy()] = got["n"]
+    return cluster(pair.reshape(items, items), classes, sweeps)
+
+
 def _best(left: np.ndarray, right: np.ndarray, own: np.ndarray, cls: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The class that raises the bigram likelihood most for each word alone, all others staying; arguments as in ``_exchange``."""
     pick = np.arange(len(cls))
@@ -231,129 +322,287 @@ def _best(left: np.ndarray, right: np.ndarray, own: np.ndarray, cls: np.ndarray,
     return np.where(gain[pick, best] > gain[pick, cls] + 1e-9, best, cls)
 
 
-def _likelihood(table: np.ndarray) -> float:
-    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+def _best_of_many(left: np.ndarray, right: np.ndarray, own: np.ndarray, cls: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """What ``_best`` gives, for many words of mostly small counts.
 
+    A neighbour's class j with count n adds f(table[k, j] + n) - f(table[k, j])
+    to the gain of class k, f(x) = x log x, where neither j nor k is the word's
+    own class; for small n that is one table per n, so these sums are matrix
+    products.  Own classes are worked out apart.
+    """
+    pick, classes = np.arange(len(cls)), table.shape[0]
+    gain, outs = np.zeros_like(left), []
+    for mine, other, t in ((right, left, table), (left, right, table.T)):
+        out = mine.copy()
+        out[pick, cls] -= own
+        outs.append(out)
+        rest = out.copy()
+        rest[pick, cls] = 0
+        for n in range(1, SMALL + 1):
+            has = rest == n
+            if has.any():
+                gain += has.astype(np.float64) @ (_xlogx(t + n) - _xlogx(t)).T
+        w, j = np.nonzero(rest > SMALL)
+        if len(w):
+            n = rest[w, j][:, None]
+            np.add.at(gain, w, _xlogx(t.T[j] + n) - _xlogx(t.T[j]))
+        # joining its own class k = c anew, beside classes other than c
+        w, j = np.nonzero(rest > 0)
+        n, full = rest[w, j], t[cls[w], j]
+        base = np.maximum(full - mine[w, j], 0)
+        fresh = (_xlogx(base + n) - _xlogx(base)) - (_xlogx(full + n) - _xlogx(full))
+        gain[pick, cls] += np.bincount(w, weights=fresh, minlength=len(cls))
+        # beside its own class, j = c, which the word has left
+        n = out[pick, cls]
+        at = np.flatnonzero(n > 0)
+        base = t[:, cls[at]].T - other[at]
+        base[np.arange(len(at)), cls[at]] -= mine[at, cls[at]] - own[at]
+        base = np.maximum(base, 0)
+        gain[at] += _xlogx(base + n[at, None]) - _xlogx(base)
+    r, l = outs
+    at = np.flatnonzero((own > 0) | ((r > 0) & (l > 0)).any(axis=1))
+    cell = np.repeat(np.diag(table)[None, :], len(at), axis=0)
+    cell[np.arange(len(at)), cls[at]] += own[at] - left[at, cls[at]] - right[at, cls[at]]
+    cell, r, l, o = np.maximum(cell, 0), r[at], l[at], own[at, None]
+    gain[at] += _xlogx(cell + r + l + o) - _xlogx(cell + r) - _xlogx(cell + l) + _xlogx(cell)
+    for sums, n in ((table.sum(axis=1), right.sum(axis=1)), (table.sum(axis=0), left.sum(axis=1))):
+        value, which = np.unique(n, return_inverse=True)
+        gain -= (_xlogx(sums[None, :] + value[:, None]) - _xlogx(sums)[None, :])[which]
+        total = sums[cls]
+        without = np.maximum(total - n, 0)
+        gain[pick, cls] += (_xlogx(total + n) - _xlogx(total)) - (_xlogx(without + n) - _xlogx(without))
+    best = gain.argmax(axis=1)
+    return np.where(gain[pick, best] > gain[pick, cls] + 1e-9, best, cls)
+
+
+def _byte(keys: np.ndarray) -> np.ndarray:
+    """Eight random bits of each word; one of them says whether it moves in a sweep."""
+    x = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(56)).astype(np.uint8)
+
+
+def _runs(batches):
+    """The batches of a neighbour table again, cut so that a run of rows of one word stays together (but for those longer than FLUSH_AT rows)."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        w = held["w"].to_numpy()
+        cut = int(np.argmax(w == w[-1])) if len(w) else 0
+        if len(w) - cut > FLUSH_AT:
+            cut = len(w)
+        if cut >= 20_000 or cut == len(w):
+            yield held.iloc[:cut]
+            held = held.iloc[cut:]
+    if held is not None and len(held):
+        yield held
+
+
+def _class_table(near: DataFrame, classes: int, cls: np.ndarray, rare: DataFrame | None) -> np.ndarray:
+    """Tokens of each class behind each class."""
+    spark = near.sparkSession
+    shared = spark.sparkContext.broadcast(cls)
+
+    def run(batches):
+        table = np.zeros(classes * classes)
+        for batch in batches:
+            w, o = batch["w"].to_numpy(), batch["o"].to_numpy()
+            table += np.bincount(shared.value[w].astype(np.int64) * classes + shared.value[o], weights=batch["n"].to_numpy(), minlength=classes * classes)
+        yield pd.DataFrame({"at": np.arange(classes * classes), "n": table.astype(np.int64)})
+
+    after = near.where("after")
+    cells = after.where("w >= 0 and o >= 0").select("w", "o", "n").mapInPandas(run, "at int, n long")
+    if rare is not None:
+        numbered = spark.createDataFrame(pd.DataFrame({"code": np.arange(len(cls)), "c": cls.astype(np.int32)}))
+        of = numbered.unionByName(rare.select("code", "c"))
+        far = after.where("w < 0 or o < 0").join(of.toDF("w", "cw"), "w").join(of.toDF("o", "co"), "o")
+        cells = cells.unionByName(far.select((F.col("cw") * classes + F.col("co")).alias("at"), F.col("n").cast("long").alias("n")))
+    table = np.zeros(classes * classes)
+    for r in cells.groupBy("at").agg(F.sum("n").alias("n")).collect():
+        table[r["at"]] = r["n"]
+    return table.reshape(classes, classes)
+
+
+def _sweep(near: DataFrame, classes: int, cls: np.ndarray, byte: np.ndarray, hot: int, rare: DataFrame | None, table: np.ndarray,
+           sweep: int) -> DataFrame:
+    """(code, c): new classes of the words that move to another one."""
+    spark = near.sparkSession
+    shared = spark.sparkContext.broadcast((cls, table, byte >> (sweep % 8) & 1))
+
+    def histograms(batches):
+        """Per run (code, c, own, whole, counts by class before and after); rows of unnumbered neighbours are left to a join."""
+        for rows in _runs(batches):
+            cls = shared.value[0]
+            w = rows["w"].to_numpy()
+            moves, known = shared.value[2], w >= 0
+            keep = np.empty(len(w), dtype=bool)
+            keep[known], keep[~known] = moves[w[known]], _byte(~w[~known]) >> (sweep % 8) & 1
+            rows, w = rows[keep], w[keep]
+            if not len(w):
+                continue
+            o, n, after = rows["o"].to_numpy(), rows["n"].to_numpy(dtype=np.float64), rows["after"].to_numpy(dtype=bool)
+            start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            at = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(w))))
+            code = w[start]
+            side = np.where(after, 1, 0)
+            met = np.bincount(at * 2 + side, weights=n, minlength=2 * len(start)).reshape(-1, 2)
+            near_o = o >= 0
+            hist = np.bincount(at[near_o] * 2 * classes + side[near_o] * classes + cls[o[near_o]], weights=n[near_o], minlength=2 * classes * len(start))
+            own = np.bincount(at, weights=np.where(after & (o == w), n, 0.0), minlength=len(start))
+            numbered = code >= 0
+            # a run cut in two has not as many words before as behind it
+            whole = (code >= hot) & (met[:, 0] == met[:, 1]) & (np.bincount(at, weights=~near_o, minlength=len(start)) == 0) & numbered
+            yield code, hist.reshape(-1, 2 * classes), own, whole
+
+    def decide(code, hist, own, now):
+        for x in range(0, len(code), 2_000):
+            h, c = hist[x:x + 2_000], now[x:x + 2_000]
+            new = _best_of_many(h[:, :classes], h[:, classes:], own[x:x + 2_000], c, shared.value[1])
+            moved = new != c
+            yield pd.DataFrame({"code": code[x:x + 2_000][moved], "c": new[moved].astype(np.int32), "at": np.int32(-1), "n": 0})
 
-def refine(bigrams: DataFrame, words: DataFrame, tokens: int, classes: int) -> tuple[DataFrame, np.ndarray]:
-    """((key, n, c) of every word, class bigrams) from first classes ``words``, by sweeps until the likelihood stops rising."""
-    spark, kept, sweep = words.sparkSession, None, 0
-    own = bigrams.where("a = b").select(F.col("a").alias("key"), F.col("n").alias("own"))
-    while True:
-        sides = bigrams.join(words.select(F.col("key").alias("b"), "c"), "b").select(F.col("a").alias("key"), F.col("c").alias("code"), "n").unionAll(
-            bigrams.join(words.select(F.col("key").alias("a"), "c"), "a").select(F.col("b").alias("key"), (F.col("c") + classes).alias("code"), "n"))
-        # at most 2 * classes rows a word
-        sides = sides.groupBy("key", "code").agg(F.sum("n").alias("n")).groupBy("key").agg(
-            F.collect_list("code").alias("codes"), F.collect_list("n").alias("times"))
-        near = store(words.join(sides, "key").join(own, "key", "left").select("key", "n", "c", F.coalesce("own", F.lit(0)).alias("own"), "codes", "times"))
-        table = np.zeros((classes, classes))
-        for r in near.select("c", F.explode(F.arrays_zip("codes", "times")).alias("x")).where(F.col("x.codes") < classes) \
-                .groupBy("c", "x.codes").agg(F.sum("x.times").alias("n")).collect():
-            table[r.c, r.codes] = r.n
-        value = _likelihood(table)
-        if kept and value <= kept[0]:
-            discard(near)
-            return kept[1:]
-        if kept and value - kept[0] < RISE * tokens or not tokens:
-            discard(near)
-            return words, table
-        kept, sweep = (value, words, table), sweep + 1
-        words = store(_moved(near, spark.sparkContext.broadcast(table), classes, sweep))
-        discard(near)
-
-
-def _moved(near: DataFrame, shared, classes: int, sweep: int) -> DataFrame:
     def run(batches):
+        for code, hist, own, whole in histograms(batches):
+            yield from decide(code[whole], hist[whole], own[whole], shared.value[0][code[whole]].astype(np.int64))
+            # the others: their parts, to be added up
+            part = np.flatnonzero(~whole)
+            i, at = np.nonzero(hist[part])
+            yield pd.DataFrame({"code": code[part[i]], "c": np.int32(0), "at": at.astype(np.int32), "n": hist[part[i], at].astype(np.int64)})
+            i = part[own[part] > 0]
+            yield pd.DataFrame({"code": code[i], "c": np.int32(0), "at": np.int32(2 * classes), "n": own[i].astype(np.int64)})
+            yield pd.DataFrame({"code": code[part], "c": np.int32(0), "at": np.int32(0), "n": 0})
+
+    def settle(batches):
         for batch in batches:
-            for x in range(0, len(batch), 2_000):
-                rows = batch.iloc[x:x + 2_000]
-                cls = rows["c"].to_numpy(dtype=np.int64).copy()
-                at = np.flatnonzero(rows["moves"].to_numpy())
-                size = rows["codes"].iloc[at].map(len).to_numpy(dtype=np.int64)
-                both = np.zeros((len(at), 2 * classes))
-                if len(at):
-                    both[np.repeat(np.arange(len(at)), size), np.concatenate(rows["codes"].iloc[at].tolist())] = np.concatenate(rows["times"].iloc[at].tolist())
-                    cls[at] = _best(both[:, classes:], both[:, :classes], rows["own"].to_numpy(dtype=float)[at], cls[at], shared.value)
-                yield pd.DataFrame({"key": rows["key"], "n": rows["n"], "c": cls})
+            code = batch["code"].to_numpy()
+            size = batch["at"].map(len).to_numpy()
+            hist = np.zeros((len(code), 2 * classes + 1))
+            hist[np.repeat(np.arange(len(code)), size), np.concatenate([*batch["at"], []]).astype(np.int64)] = np.concatenate([*batch["n"], []])
+            now = batch["c"].to_numpy(dtype=np.int64, copy=True)
+            now[code >= 0] = shared.value[0][code[code >= 0]]
+            for frame in decide(code, hist[:, :-1], hist[:, -1], now):
+                yield frame[["code", "c"]]
+
+    out = store(near.mapInPandas(run, "code long, c int, at int, n long"))
+    parts = out.where("at >= 0").select("code", "at", "n")
+    if rare is not None:
+        far = near.where("o < 0").join(rare.select(F.col("code").alias("o"), "c"), "o").select(
+            F.col("w").alias("code"), (F.when(F.col("after"), classes).otherwise(0) + F.col("c")).alias("at"), F.col("n").cast("long").alias("n"))
+        # every word that may move and has such a neighbour has a part above
+        parts = parts.unionByName(far.join(parts.select("code").distinct(), "code", "left_semi"))
+    parts = parts.groupBy("code", "at").agg(F.sum("n").alias("n")).groupBy("code").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+    if rare is not None:
+        parts = parts.join(rare.select("code", "c"), "code", "left").select("code", F.coalesce("c", F.lit(0)).alias("c"), "at", "n")
+    else:
+        parts = parts.select("code", F.lit(0).alias("c"), "at", "n")
+    return out.where("at < 0").select("code", "c").unionByName(parts.mapInPandas(settle, "code long, c int"))
+
+
+def refine(near: DataFrame, lookup: Lookup, cls: np.ndarray, rare: DataFrame | None, classes: int, tokens: int):
+    """(classes of numbered words, (code, n, c) of the others, class bigrams) of the best likelihood, by sweeps until two in a row don't raise it by RISE."""
+    best, sweep, idle = None, 0, 0
+    while True:
+        table = _class_table(near, classes, cls, rare)
+        value = _likelihood(table)
+        idle = 0 if best is None or value >= best[0] + RISE * tokens else idle + 1
+        if best is None or value > best[0]:
+            best = (value, cls, rare, table)
+        if idle == 2 or not tokens:
+            return best[1:]
+        sweep += 1
+        moved = store(_sweep(near, classes, cls, lookup.byte, lookup.hot, rare, table, sweep))
+        numbered = moved.where("code >= 0").toPandas()  # at most LOOKUP_WORDS rows
+        cls = cls.copy()
+        cls[numbered["code"].to_numpy()] = numbered["c"]
+        if rare is not None:
+            before = rare
+            to = moved.where("code < 0").select("code", F.col("c").alias("to"))
+            rare = store(rare.join(to, "code", "left").select("code", "n", F.coalesce("to", "c").alias("c")))
+            if before is not best[2]:
+                discard(before)
+        discard(moved)
 
-    moves = F.pmod(F.xxhash64("key", F.lit(sweep)), F.lit(2)) == 0
-    return near.withColumn("moves", moves).select("key", "n", "c", "own", "codes", "times", "moves").mapInPandas(run, "key long, n long, c int")
 
+def _likelihood(table: np.ndarray) -> float:
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
 
 # ----------------------------------------------------------------------- model
 
 @dataclass
 class Model:
-    items: Items            # the words above LOOKUP_RATE, END and the shapes
-    cls: np.ndarray
+    lookup: Lookup
+    cls: np.ndarray         # class by number
     transition: np.ndarray  # log10 P(class | class before)
-    emission: np.ndarray    # log10 P(item | class); behind the words, (class by class) unseen words by shape
+    emission: np.ndarray    # log10 P(word | class) by number
     steps: np.ndarray       # transition with the shapes as classes of unseen words behind the others
-    count: np.ndarray       # counts of items.keys
     tokens: int             # N
     types: int              # V
     size: np.ndarray        # tokens of each class
     discount: np.ndarray    # taken off each word's count in its class
+    share: np.ndarray       # P(unseen word of the shape | class)
     shape_types: np.ndarray
 
     def unseen(self) -> np.ndarray:
         """log10 P(word | unseen and of its shape) of one word."""
         return -np.log10(self.shape_types + 1)
 
+    def emitted(self, count: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """log10 P(word | class) of words by their counts."""
+        return np.log10((count - self.discount[cls]) / self.size[cls])
+
     def base(self, count):
         return np.log10((count + 1) / (self.tokens + self.types + 1))
 
 
-def fit(texts: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[Model, DataFrame]:
-    """(model, (key, n, c) of all words) from the column text of all rows; ``sweeps`` bounds the first clustering only."""
+def fit(texts: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[Model, DataFrame | None]:
+    """(model, (code, n, c) of words without a number) from the column text of all rows; ``sweeps`` bounds the first clustering only."""
     spark = texts.sparkSession
-    bigrams = store(bigram_counts(texts))
-    counts = store(bigrams.groupBy(F.col("b").alias("key")).agg(F.sum("n").alias("n")))
+    counts = store(word_counts(texts))
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, types = int(sums[0]), int(sums[1])
-    common = counts.where(F.col("n") >= CLASS_RATE * tokens).toPandas()  # at most 1 / CLASS_RATE rows
-    first = Items(np.unique(np.append(common["key"].to_numpy(dtype=np.int64), END)))
-    n = np.zeros(len(first))
-    n[first.of(common["key"].to_numpy(dtype=np.int64))] = common["n"]
-    table = spark.createDataFrame(pd.DataFrame({"key": first.keys, "item": np.arange(len(first.keys), dtype=np.int32)}))
-    shape = F.col("key").bitwiseAND(SHAPES - 1).cast("int")
-    item = lambda df, name: df.withColumnRenamed(name, "key").join(F.broadcast(table), "key", "left").withColumn(
-        name, F.coalesce("item", shape + len(first.keys))).drop("key", "item")
-    for r in item(counts.select(F.col("key").alias("i"), "n"), "i").where(F.col("i") >= len(first.keys)).groupBy("i").agg(F.sum("n").alias("n")).collect():
-        n[r.i] = r.n
-    few = store(item(item(bigrams, "a"), "b").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    start = cluster(few, n, classes, sweeps)
-    of = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(first), dtype=np.int32), "c": start.astype(np.int32)}))
-    words = store(item(counts.withColumn("i", F.col("key")).withColumn("own", F.col("key")).drop("key"), "i").join(F.broadcast(of), "i")
-                  .select(F.col("own").alias("key"), "n", "c"))
-    words, table = refine(bigrams, words, tokens, classes)
-    discard(few)
-    discard(bigrams)
-
+    lookup = _lookup(counts)
+    shared = spark.sparkContext.broadcast(lookup)
+    near = store(neighbours(texts, shared))
+    start = _first_classes(near, lookup, shared, classes, sweeps)
+    first, end = len(start) - 1 - SHAPES, lookup.end
+    cls = start[first + 1 + lookup.shape.astype(np.int64)]
+    cls[:first] = start[:first]
+    cls[end] = start[first]
+    of_shape = F.get(F.array(*[F.lit(int(c)) for c in start[first + 1:]]), F.col("key").bitwiseAND(SHAPES - 1).cast("int"))
+    rare = None
+    if not lookup.whole:
+        rare = counts.where((F.col("n") < lookup.least) & (F.col("key") != int(END)))
+        rare = store(rare.select(F.bitwise_not("key").alias("code"), "n", of_shape.alias("c")))
+    cls, rare, table = refine(near, lookup, cls.astype(np.uint8), rare, classes, tokens)
+    discard(near)
+    discard(counts)
+
+    cls = cls.astype(np.int64)
     size, types_of = np.zeros(classes), np.zeros(classes)
     once, all_of = np.zeros((SHAPES, classes)), np.zeros((SHAPES, classes))
-    for r in words.where(F.col("key") != int(END)).groupBy(shape.alias("s"), "c").agg(
-            F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).collect():
-        size[r.c] += r.n
-        types_of[r.c] += r.v
-        once[r.s, r.c], all_of[r.s, r.c] = r.once, r.v
-    known = words.where(F.col("n") >= LOOKUP_RATE * tokens).orderBy("key").toPandas()  # at most 1 / LOOKUP_RATE rows
-    if not (known["key"] == END).any():  # in training each text has one
-        known = pd.concat([pd.DataFrame({"key": [END], "n": [0], "c": [start[first.of(np.array([END]))[0]]]}), known])
-    known = known.sort_values("key")
-    lookup, count, cls = (known[c].to_numpy(dtype=np.int64) for c in ("key", "n", "c"))
-    end = int(np.searchsorted(lookup, END))
-    size[cls[end]] += max(count[end], 1)
+    words = np.flatnonzero((np.arange(len(lookup)) != end) & (lookup.count > 0))
+    size += np.bincount(cls[words], weights=lookup.count[words], minlength=classes)
+    types_of += np.bincount(cls[words], minlength=classes)
+    np.add.at(all_of, (lookup.shape[words], cls[words]), 1)
+    single = words[lookup.count[words] == 1]
+    np.add.at(once, (lookup.shape[single], cls[single]), 1)
+    if rare is not None:
+        shape = F.bitwise_not("code").bitwiseAND(SHAPES - 1).cast("int")
+        for r in rare.groupBy(shape.alias("s"), "c").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).collect():
+            size[r.c] += r.n
+            types_of[r.c] += r.v
+            once[r.s, r.c] += r.once
+            all_of[r.s, r.c] += r.v
+    size[cls[end]] += max(lookup.count[end], 1)
     types_of[cls[end]] += 1
     # unseen words are most like those seen once: their classes are likely ones, their shapes share what a class has left
     shape_types = all_of.sum(axis=1)
-    like = np.where(once.any(axis=1, keepdims=True), once, all_of) + np.eye(classes)[start[len(first.keys):]] * 1e-3
+    like = np.where(once.any(axis=1, keepdims=True), once, all_of) + np.eye(classes)[start[first + 1:]] * 1e-3
     like /= like.sum(axis=1, keepdims=True)
     share = like * (shape_types + 1)[:, None]
     weight = share.sum(axis=0)
     discount = np.where(weight > 0, DISCOUNT, 0.0)
     left = np.where(size > 0, discount * types_of / np.maximum(size, 1), 1.0)
-    share = share / np.where(weight > 0, weight, 1) * left  # P(unseen word of the shape | class)
+    share = share / np.where(weight > 0, weight, 1) * left
     members = types_of + (weight > 0)
     after, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
     prior = (table.sum(axis=0) + members) / (table.sum() + members.sum())
@@ -362,10 +611,9 @@ def fit(texts: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple
     with np.errstate(divide="ignore"):
         rows = np.concatenate([moved, like @ moved])
         steps = np.log10(np.concatenate([rows, rows @ share.T], axis=1))
-        emission = np.log10(np.concatenate([(np.maximum(count, 1) - discount[cls]) / size[cls], share.T.ravel()]))
-        model = Model(Items(lookup), np.concatenate([cls, np.repeat(np.arange(classes), SHAPES)]), np.log10(moved), emission, steps,
-                      count, tokens, types, size, discount, shape_types)
-    return model, words
+        emission = np.log10((np.maximum(lookup.count, 1) - discount[cls]) / size[cls])
+        model = Model(lookup, cls, np.log10(moved), emission, steps, tokens, types, size, discount, share, shape_types)
+    return model, rare
 
 
 # ------------------------------------------------------------------- operators
@@ -381,60 +629,74 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     teach nothing.  Repeated rows stay repeated and count each time.  Without
     training rows every word is unknown.
     """
+    spark = docs.sparkSession
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn(
         "held_out", F.coalesce(fold == held_out, F.lit(False)))
-    model, words = fit(own.where(~F.col("held_out") & F.col("doc_id").isNotNull()), classes, sweeps)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model, rare = fit(own.where(~F.col("held_out") & F.col("doc_id").isNotNull()), classes, sweeps)
+    shared = spark.sparkContext.broadcast(model)
+    joined = rare is not None
 
     def run(batches):
         m, memory = shared.value, _Keys()
+        unseen, end = m.unseen(), m.lookup.end
         for batch in batches:
             texts = batch["text"].tolist()
             for x, y in chunks(texts):
                 keys, edges = keys_of(texts[x:y], memory)
-                item, prev = m.items.of(keys), _before(keys, edges)
-                before, words = m.items.of(prev), len(m.items.keys)
-                found, whole = item < words, (item < words) & (before < words)
-                value = np.where(whole, m.transition[m.cls[before], m.cls[item]] + m.emission[item], 0.0)
-                count = np.where(found, m.count[np.minimum(item, words - 1)], 0)
+                code = m.lookup.codes(keys)
+                known = code >= 0
+                at, shape = np.maximum(code, 0), (~code & (SHAPES - 1)).astype(np.int64)
+                cls = np.where(known, m.cls[at], len(m.size) + shape)  # an unnumbered word: as if unseen
+                count = np.where(known, m.lookup.count[at], 0)
+                emitted = np.where(known, m.emission[at], unseen[shape])
+                before = np.empty_like(cls)
+                before[1:] = cls[:-1]
+                before[edges[:-1]] = m.cls[end]
+                behind = np.empty_like(code)
+                behind[1:] = code[:-1]
+                behind[edges[:-1]] = end
+                step, base = m.steps[before, cls], m.base(count)
+                out = {"doc_id": batch["doc_id"].iloc[x:y].to_numpy(), "held_out": batch["held_out"].iloc[x:y].to_numpy(), "n_tokens": np.diff(edges)}
+                if joined:  # what hangs on an unnumbered word is left to the join
+                    far = ~known | (behind < 0)
+                    emitted, base, step = np.where(known, emitted, 0.0), np.where(known, base, 0.0), np.where(far, 0.0, step)
+                    rest = [_pairs(behind[a:b][far[a:b]], code[a:b][far[a:b]]) for a, b in zip(edges[:-1], edges[1:])]
+                    out |= {"a": [a for a, _, _ in rest], "b": [b for _, b, _ in rest], "times": [n for _, _, n in rest],
+                            "ca": [np.where(a >= 0, m.cls[np.maximum(a, 0)], -1) for a, _, _ in rest],
+                            "cb": [np.where(b >= 0, m.cls[np.maximum(b, 0)], -1) for _, b, _ in rest]}
                 start = edges[:-1]
-                base = np.where(found, m.base(count), 0.0)
-                rest = [_pairs(prev[a:b][~whole[a:b]], keys[a:b][~whole[a:b]]) for a, b in zip(edges[:-1], edges[1:])]
-                yield pd.DataFrame({
-                    "doc_id": batch["doc_id"].iloc[x:y].to_numpy(), "held_out": batch["held_out"].iloc[x:y].to_numpy(),
-                    "n_tokens": np.diff(edges), "known": np.add.reduceat((count > 0).astype(np.int64), start),
-                    "base": np.add.reduceat(base, start), "value": np.add.reduceat(value, start),
-                    "a": [a for a, _, _ in rest], "b": [b for _, b, _ in rest], "times": [n for _, _, n in rest],
-                    "here": [m.items.of(b) < words for _, b, _ in rest]})
+                yield pd.DataFrame(out | {"known": np.add.reduceat((count > 0).astype(np.int64), start), "base": np.add.reduceat(base, start),
+                                          "value": np.add.reduceat(step + emitted, start)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    local = own.mapInPandas(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, value double, "
-                                 "a array<long>, b array<long>, times array<long>, here array<boolean>")
-    local = store(local.withColumn("row", F.monotonically_increasing_id()))
-    word = words.select("key", F.col("n").alias("count"), "c")
-    end = int(np.searchsorted(model.items.keys, END))
+    far = "a array<long>, b array<long>, times array<long>, ca array<int>, cb array<int>, " if joined else ""
+    local = own.mapInPandas(run, f"doc_id {kind}, held_out boolean, n_tokens long, {far}known long, base double, value double")
+    if joined:
+        local = _joined_scores(store(local.withColumn("row", F.monotonically_increasing_id())), model, rare)
+    scored = local.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+                          F.col("base").alias("base_score"), F.col("value").alias("score"))
+    return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+
+
+def _joined_scores(local: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
+    """``local`` with what its pairs beside unnumbered words add: their classes and counts come from ``rare``."""
+    classes = len(model.size)
     listed = lambda values, at: F.get(F.array(*[F.lit(float(v)) for v in values]), at)
-    shape = lambda key: F.col(key).bitwiseAND(SHAPES - 1).cast("int")
-    # END is a word of its own even where training has none
-    c = lambda key, found: F.when(F.col(key) == int(END), F.lit(int(model.cls[end]))).otherwise(
-        F.coalesce(F.col(found), shape(key) + len(model.size)))
-    rest = local.select("row", F.explode(F.arrays_zip("a", "b", "times", "here")).alias("x")).select("row", "x.*")
-    rest = rest.join(word.withColumnsRenamed({"key": "b", "c": "cb"}), "b", "left").join(
-        word.drop("count").withColumnsRenamed({"key": "a", "c": "ca"}), "a", "left")
-    n, at = F.coalesce("count", F.lit(0)), F.col("to")
-    rest = rest.withColumn("from", c("a", "ca")).withColumn("to", c("b", "cb"))
-    emitted = F.when(F.col("b") == int(END), F.lit(float(model.emission[end]))).when(
-        n > 0, F.log10((n - listed(model.discount, at)) / listed(model.size, at))).otherwise(listed(model.unseen(), shape("b")))
-    steps = docs.sparkSession.createDataFrame(
+    shape = lambda code: F.bitwise_not(code).bitwiseAND(SHAPES - 1).cast("int")
+    rest = local.select("row", F.explode(F.arrays_zip("a", "b", "times", "ca", "cb")).alias("x")).select("row", "x.*")
+    rest = rest.join(rare.toDF("b", "nb", "rb"), "b", "left").join(rare.select(F.col("code").alias("a"), F.col("c").alias("ra")), "a", "left")
+    of = lambda code, own, found: F.when(F.col(own) >= 0, F.col(own)).otherwise(F.coalesce(F.col(found), shape(code) + classes))
+    rest = rest.withColumn("from", of("a", "ca", "ra")).withColumn("to", of("b", "cb", "rb"))
+    n, at = F.coalesce("nb", F.lit(0)), F.col("to")
+    emitted = F.when(F.col("b") >= 0, F.lit(0.0)).when(n > 0, F.log10((n - listed(model.discount, at)) / listed(model.size, at))).otherwise(
+        listed(model.unseen(), shape("b")))
+    base = F.when(F.col("b") >= 0, F.lit(0.0)).otherwise(F.log10((n + 1) / F.lit(float(model.tokens + model.types + 1))))
+    steps = local.sparkSession.createDataFrame(
         [(i, j, float(v)) for (i, j), v in np.ndenumerate(model.steps) if np.isfinite(v)], "from int, to int, step double")
-    rest = rest.withColumn("emitted", emitted).join(F.broadcast(steps), ["from", "to"], "left").groupBy("row").agg(
-        F.sum(F.when((n > 0) & ~F.col("here"), F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.when(F.col("here"), 0.0).otherwise(F.col("times") * F.log10((n + 1) / F.lit(float(model.tokens + model.types + 1))))).alias("more_base"),
+    rest = rest.withColumn("emitted", emitted).withColumn("based", base).join(F.broadcast(steps), ["from", "to"], "left").groupBy("row").agg(
+        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.col("based")).alias("more_base"),
         F.sum(F.col("times") * (F.col("emitted") + F.col("step"))).alias("more_value"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    scored = local.join(rest, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + zero("more_known")).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + zero("more_base")).alias("base_score"),
-        (F.col("value") + zero("more_value")).alias("score"))
-    return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    return local.join(rest, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("more_known")).alias("known"),
+                                                  (F.col("base") + zero("more_base")).alias("base"), (F.col("value") + zero("more_value")).alias("value"))
