@@ -5,7 +5,7 @@ Every "now" is an explicit ``as_of`` argument; nothing reads the clock.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilspark.config import MAX_ENTRIES, NS_PER_SECOND, ROLLING_WINDOW_HOURS
@@ -21,35 +21,48 @@ def rolling_window(entries: DataFrame, as_of_ns: int, hours: int = ROLLING_WINDO
     return entries.filter(F.col("timestamp_ns") >= F.lit(cutoff))
 
 
-#: Arrival numbers are counted in ranges of this many bits.
-RANGE_BITS = 16
+#: Arrival numbers are counted in at most about 2 to this power ranges at a time.
+RANGE_BITS = 14
+#: A range of so many rows is sorted, not cut again.
+EDGE_ROWS = 100_000
 
 
 def capped_buffer(entries: DataFrame, cap: int = MAX_ENTRIES, order_col: str = "seq") -> DataFrame:
     """R2: the newest ``cap`` entries by arrival.
 
-    Entries are counted by range of arrival numbers (at most one row per
-    range and task is shuffled).  Ranges newer than the one that holds the
-    cap-th newest entry are kept whole; only that one is sorted.  Equal
-    arrival numbers at the edge are kept in no fixed order.
+    Entries are counted by range of arrival numbers; the range that holds the
+    cap-th newest entry is cut into ranges again until it is small, which takes
+    one pass for dense numbers and at most five for any.  Newer ranges are kept
+    whole, and only the last one is sorted.  Rows without a number are the oldest;
+    equal numbers at the edge are kept in no fixed order.
     """
-    cap = int(cap)
-    part = F.expr(f"shiftright(`{order_col}`, {RANGE_BITS})")
-    ranges = entries.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    newer = F.coalesce(F.sum("n").over(Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = ranges.withColumn("newer", newer).where((F.col("newer") < cap) & (F.col("newer") + F.col("n") >= cap)).first()
-    if edge is None:  # fewer rows than the cap
-        return entries if cap > 0 else entries.limit(0)
-    whole = entries.where(part > F.lit(edge["part"]))
-    cut = entries.where(part == F.lit(edge["part"])).orderBy(F.col(order_col).desc()).limit(cap - edge["newer"])
-    return whole.unionByName(cut)
+    order, need = F.coalesce(F.col(order_col), F.lit(-(1 << 63))), int(cap)
+    low, high = entries.agg(F.min(order), F.max(order)).first()
+    if need <= 0 or low is None:
+        return entries.limit(0)
+    while True:
+        shift = max(0, (high - low).bit_length() - RANGE_BITS)
+        inside = entries.where(order.between(low, high))
+        ranges = inside.groupBy(F.shiftright(order, shift).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+        newer = 0
+        for part, n in sorted(map(tuple, ranges), reverse=True):
+            if newer + n >= need:
+                break
+            newer += n
+        else:  # fewer rows than the cap
+            return entries
+        low, high, need = max(low, part << shift), min(high, (part + 1 << shift) - 1), need - newer
+        if n <= EDGE_ROWS or shift == 0:
+            cut = entries.where(order.between(low, high)).orderBy(F.desc(order_col)).limit(need)
+            return entries.where(order > high).unionByName(cut)
 
 
 def incremental_batch(entries: DataFrame, high_water_mark, order_col: str = "seq") -> DataFrame:
     """Rows not processed yet — strictly above the high-water mark.
 
     ``high_water_mark`` is a literal or a one-row DataFrame (evaluated as a
-    scalar subquery).
+    scalar subquery).  The order must be that of arrival: of sources without
+    one, ``ArrivalCursor`` gives the rows that are new, with numbers.
     """
     hwm = high_water_mark.scalar() if isinstance(high_water_mark, DataFrame) else F.lit(high_water_mark)
     return entries.filter(F.col(order_col) > F.coalesce(hwm, F.lit(-1)))

@@ -19,6 +19,7 @@ from vigilspark.operators.rules import rule_coverage
 from vigilspark.session import checkpoint_dir, materialize
 from vigilspark.plans import params as P
 from vigilspark.sources import journal, store
+from vigilspark.sources.arrival import ArrivalCursor
 from vigilspark.sources.tables import document_lines, events_as_entries, load_entries, read_table
 
 
@@ -421,7 +422,11 @@ def q_seed_in_two_parts(spark, sf_dir):
         out = _scratch(spark, "seed")
         seed_job(spark, whole, out, P.RULES, P.AS_OF_NS, boot_window_seconds=P.BOOT_WINDOW_SECONDS, previous=version)
         version = out
-    state = store.load_baseline(spark, version)
+    return _state_rows(store.load_baseline(spark, version))
+
+
+def _state_rows(state: dict) -> DataFrame:
+    """Contents of all state tables in one layout."""
     long0, none = F.lit(0).cast("long"), F.lit(0.0)
     return (state["baseline"].select(F.lit("baseline").alias("kind"), F.col("slot_key").alias("a"), F.col("source").alias("b"),
                                      F.col("count").alias("n"), F.round("mean", 6).alias("x"), long0.alias("t"))
@@ -433,6 +438,89 @@ def q_seed_in_two_parts(spark, sf_dir):
                                               F.round("seed_days", 6).alias("x"), F.col("first_seen_ns").alias("t"))))
 
 
+# --- arrival, versions, live tables ------------------------------------------------
+
+def _journal_files(spark, lines: DataFrame, path: str, at_s: int) -> None:
+    """Write journal lines in order of ``seq`` to files whose times rise with their names, as a log shipper leaves them."""
+    lines.repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.mode("append").text(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    found = sorted((f.getPath().getName(), f.getModificationTime(), f.getPath()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    for i, (_, at_ms, file) in enumerate(f for f in found if f[1] >= P.FIXTURE_FILES_BEFORE_MS):
+        fs.setTimes(file, (at_s + i) * 1000, -1)
+
+
+def _split_journal(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Journal lines of events before and from MERGE_SPLIT on."""
+    events = read_table(spark, sf_dir, "events")
+    until = F.timestamp_micros(F.lit(P.MERGE_SPLIT_NS // 1000)).cast("timestamp_ntz")
+    return journal_fixture(events.where(F.col("ts") < until)), journal_fixture(events.where(F.col("ts") >= until))
+
+
+def _two_passes(spark, sf_dir):
+    """The journal taken in two passes, files added in between: the entries of both."""
+    path, cursor = _scratch(spark, "journal"), ArrivalCursor(spark, _scratch(spark, "cursor"))
+    passes = []
+    for lines, at_s in zip(_split_journal(spark, sf_dir), (1_000_000, 2_000_000)):
+        _journal_files(spark, lines, path, at_s)
+        fresh, _, commit = journal.new_entries(spark, path, cursor)
+        passes.append(fresh)
+        commit()
+    fresh, _, _ = journal.new_entries(spark, path, cursor)
+    return passes[0], passes[1].unionByName(fresh)
+
+
+def q_journal_incremental(spark, sf_dir):
+    """S1 + R4: what a second pass over a journal folder takes, files added since, and a third one (nothing), numbered by arrival."""
+    return _two_passes(spark, sf_dir)[1]
+
+
+def q_journal_capped(spark, sf_dir):
+    """R2 over journal files: the newest entries by arrival of both passes."""
+    first, second = _two_passes(spark, sf_dir)
+    return retention.capped_buffer(first.unionByName(second), P.BUFFER_CAP)
+
+
+def q_archive_live(spark, sf_dir):
+    """M3 on the live table: its folders appended as micro-batches, one of them replayed, two archive passes."""
+    live, archive = _scratch(spark, "flags"), _scratch(spark, "archive")
+    rows = materialize(_pipeline(_entries(spark, sf_dir)))
+    for batch in (0, 1, 1):
+        store.append_flags(rows.where(F.pmod(F.hash("pattern_key", "timestamp_ns"), F.lit(2)) == batch), live, "alerts", batch)
+    moved = sum(store.archive_live(spark, live, archive, P.AS_OF_NS, P.ARCHIVE_DAYS) for _ in range(2))
+    both = store.read_flags(spark, archive).withColumn("destination", F.lit("archive")).unionByName(
+        store.read_flags(spark, live).withColumn("destination", F.lit("live")))
+    return both.withColumn("moved", F.lit(moved).cast("long"))
+
+
+def q_live_baseline_merge(spark, sf_dir):
+    """A baseline seeded from the journal up to a day, and the live sums of two later stretches folded into it:
+    the contents of all state tables, and the time observed."""
+    from vigilspark.plans.jobs import merge_live_job, seed_job
+    from vigilspark.streaming.stream import compact_sums, state_sink
+    before, later = _split_journal(spark, sf_dir)
+    src, version, state, folder = (_scratch(spark, n) for n in ("journal", "seed", "live", "incoming"))
+    before.select("value").write.text(src)
+    seed_job(spark, src, version, P.RULES, P.AS_OF_NS, boot_window_seconds=P.BOOT_WINDOW_SECONDS)
+    # a live row of bad time would get the time of this run
+    timed = later.where(~F.col("value").contains('"__REALTIME_TIMESTAMP":"x'))
+    cut = F.expr(f"get_json_object(value, '$.__REALTIME_TIMESTAMP') >= '{P.TRAIN_END_NS // 1000}'")
+    late = F.coalesce(cut, F.lit(False))
+    for part in (timed.where(~late), timed.where(late)):
+        part.select("value").write.mode("append").text(folder)
+        (journal.read_journal_stream(spark, folder).writeStream.foreachBatch(state_sink(state, P.RULES, P.AGG_ANCHOR_NS, P.BOOT_WINDOW_SECONDS))
+         .option("checkpointLocation", state + "/_ck").trigger(availableNow=True).start().awaitTermination())
+        merged = _scratch(spark, "seed")
+        merge_live_job(spark, state, version, merged, P.AS_OF_NS)
+        version = merged
+    compact_sums(spark, state, at_least=2)
+    tables = store.load_baseline(spark, version)
+    return _state_rows(tables).unionByName(tables["meta"].select(
+        F.lit("observed").alias("kind"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0).cast("long").alias("n"),
+        F.round("confidence", 6).alias("x"), F.col("observed_ns").alias("t")))
+
+
 # --- rules --------------------------------------------------------------------------
 
 def q_rule_coverage(spark, sf_dir):
@@ -488,4 +576,8 @@ QUERIES = {
     "archive_move": q_archive_move,
     "clear_rewrite": q_clear_rewrite,
     "seed_in_two_parts": q_seed_in_two_parts,
+    "journal_incremental": q_journal_incremental,
+    "journal_capped": q_journal_capped,
+    "archive_live": q_archive_live,
+    "live_baseline_merge": q_live_baseline_merge,
 }

@@ -4,8 +4,9 @@
 boot-window stats and confidence -> the state tables, written as one new
 version folder; with an earlier version it goes on from there.
 ``monitor_job``: journal folder stream -> flags, and the sums that the same
-tables are made of.  ``close_job`` turns closed rollups into flags and moves
-old flags to the archive.
+tables are made of.  ``merge_live_job`` adds these sums to a version of the
+tables.  ``close_job`` turns closed rollups into flags, moves old flags to the
+archive and adds up the sums of many batches.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from vigilspark.functions.columns import confidence, confidence_pct, monitoring_
 from vigilspark.operators import baseline, boot, match
 from vigilspark.session import materialize
 from vigilspark.sources import journal, store
+from vigilspark.sources.versions import VersionedTable
 from vigilspark.streaming import stream
 
 #: Micro-batches read at most so many new files.
@@ -68,6 +70,18 @@ def seed_job(spark: SparkSession, journal_path: str, out_path: str, rules: Alert
         observed_ns += old["meta"].select("observed_ns").first()[0]
     hourly, kw = materialize(hourly), materialize(kw)  # small: sources by hours, sources by keywords
     base = baseline.slot_baseline(hourly.select("source", "hour_ns", "n").withColumn("slot_key", slot_key_ns("hour_ns")))
+    return _save(spark, out_path, base, hourly, kw, boot.retained_boot_stats(boots, boots_kept), held, observed_ns, as_of_ns,
+                 _live_batch(old) if old else -1)
+
+
+def _live_batch(old: dict) -> int:
+    """The last live batch that a version holds."""
+    return old["meta"].first()["live_batch"] if "live_batch" in old["meta"].columns else -1
+
+
+def _save(spark: SparkSession, out_path: str, base: DataFrame, hourly: DataFrame, kw: DataFrame, boots: DataFrame, held: DataFrame,
+          observed_ns: int, as_of_ns: int, live_batch: int) -> DataFrame:
+    """Write a version of the state tables; its one-row meta table."""
     ends = hourly.agg(F.min("earliest_ns").alias("earliest_ns"), F.max("newest_ns").alias("newest_ns"))
     days = ends.select("earliest_ns", "newest_ns", F.lit(int(observed_ns)).cast("long").alias("observed_ns"),
                        F.coalesce((F.lit(int(as_of_ns)) - F.col("earliest_ns")) / F.lit(float(NS_PER_DAY)), F.lit(0.0)).alias("seed_days"),
@@ -75,11 +89,47 @@ def seed_job(spark: SparkSession, journal_path: str, out_path: str, rules: Alert
     meta = days.withColumn("confidence", confidence("seed_days", "direct_days")).select(
         kw.agg(F.coalesce(F.min("first_seen_ns"), F.lit(0)).alias("v")).scalar().alias("first_seen_ns"),
         "seed_days", "direct_days", "confidence", confidence_pct("confidence").alias("confidence_pct"),
-        monitoring_active("confidence").alias("monitoring_active"), "earliest_ns", "newest_ns", "observed_ns")
-    store.save_baseline(out_path, base, kw, boot.retained_boot_stats(boots, boots_kept), meta, hourly, held)
+        monitoring_active("confidence").alias("monitoring_active"), "earliest_ns", "newest_ns", "observed_ns",
+        F.lit(int(live_batch)).cast("long").alias("live_batch"))
+    store.save_baseline(out_path, base, kw, boots, meta, hourly, held)
     return spark.read.parquet(os.path.join(out_path, "meta"))
 
 
+def merge_live_job(spark: SparkSession, state_dir: str, previous: str, out_path: str, as_of_ns: int,
+                   boots_kept: int = MAX_TRACKED_BOOTS) -> DataFrame:
+    """A version of the state tables that also holds what the live job counted since ``previous``.
+
+    ``previous`` names the last batch that it holds; the batches behind it that
+    all tables of sums have are added, each once, however often this runs.
+    Hours are summed anew, so a late row changes its hour's sample, and only the
+    (source, slot) pairs with new rows get their mean and spread worked out
+    again.  Observed time and confidence grow with the batches.
+    """
+    names = ("hourly", "keyword_stats", "boot_stats", "observed", "seen")
+    old = store.load_baseline(spark, previous)
+    after = _live_batch(old)
+    tables = {n: VersionedTable(spark, os.path.join(state_dir, n)) for n in names}
+    upto = min(t.current().marks.get("batch", -1) for t in tables.values())
+    new = {}
+    for name, table in tables.items():
+        folders = [f for f in stream.batch_folders(table, after)[0] if stream.folder_batches(f)[0] <= upto]
+        if any(stream.folder_batches(f)[1] > upto for f in folders):
+            raise ValueError(f"{table.path}: a folder goes over batch {upto}, which other tables don't have yet")
+        new[name] = stream.added_up(table.read(stream.schema_of(name), folders=folders), name)
+    fresh = materialize(new["hourly"])
+    hourly = materialize(stream.added_up(old["hourly"].unionByName(fresh), "hourly"))
+    kw = materialize(stream.added_up(old["keyword_first"].unionByName(new["keyword_stats"]), "keyword_stats"))
+    boots = boot.retained_boot_stats(boot.merge_boot_stats(old["boot_stats"], new["boot_stats"]), boots_kept)
+    held = stream.added_up(old["seen"].select(*store.SEEN_KEYS, "n").unionByName(new["seen"]), "seen")
+    touched = fresh.select("source", slot_key_ns("hour_ns").alias("slot_key")).distinct()
+    again = hourly.select("source", "hour_ns", "n").withColumn("slot_key", slot_key_ns("hour_ns")).join(touched, ["source", "slot_key"], "left_semi")
+    base = old["baseline"].join(touched, ["source", "slot_key"], "left_anti").unionByName(
+        baseline.slot_baseline(again).select(*old["baseline"].columns))
+    observed_ns = old["meta"].first()["observed_ns"] + new["observed"].agg(
+        F.coalesce(F.sum(F.col("end_ns") - F.col("start_ns")), F.lit(0)).cast("long")).first()[0]
+    return _save(spark, out_path, base, hourly, kw, boots, held, observed_ns, as_of_ns, max(upto, after))
+
+
 def monitor_job(spark: SparkSession, journal_dir: str, state_dir: str, rules: AlertRules, anchor_ns: int,
                 trigger: dict | None = None, boot_window_seconds: int = MAX_BOOT_WINDOW_SECONDS,
                 pauses: DataFrame | None = None, files_per_trigger: int = FILES_PER_TRIGGER):
@@ -110,18 +160,23 @@ def monitor_job(spark: SparkSession, journal_dir: str, state_dir: str, rules: Al
     return [alerts, sums]
 
 
-def close_job(spark: SparkSession, state_dir: str, as_of_ns: int, retention_days: int = DEFAULT_RETENTION_DAYS) -> dict:
+def close_job(spark: SparkSession, state_dir: str, as_of_ns: int, retention_days: int = DEFAULT_RETENTION_DAYS,
+              folded_upto: int = -1) -> dict:
     """The periodic pass: rollups that ended become flags of the same table
-    (once each), and flags older than ``retention_days`` move to the archive.
+    (once each), flags older than ``retention_days`` move to the archive, and
+    the sums of many batches become one folder.
 
-    The live table is replaced by its new version's folder name in the result;
-    nothing is overwritten."""
+    The live table goes on under its name with a new version, so the live job
+    and the next pass see what this one did; flags appended meanwhile stay.
+    ``folded_upto`` is the last batch that a stored baseline holds: sums aren't
+    added up over it."""
     live, archive = os.path.join(state_dir, "flags"), os.path.join(state_dir, "archive")
     known = store.dedup_keys(spark, live, archive, os.path.join(state_dir, "cleared"))
-    fresh = stream.closed_rollups(spark, state_dir, as_of_ns).join(known, ["timestamp_ns", "pattern_key"], "left_anti")
-    store.write_flags(fresh, live, "append")
-    new_live = os.path.join(state_dir, f"flags_{int(as_of_ns)}")
-    return {"live": new_live, "archived": store.archive_flags(spark, live, archive, new_live, as_of_ns, retention_days)}
+    fresh = materialize(stream.closed_rollups(spark, state_dir, as_of_ns).join(known, ["timestamp_ns", "pattern_key"], "left_anti"))
+    if not fresh.isEmpty():
+        store.append_flags(fresh, live)
+    archived = store.archive_live(spark, live, archive, as_of_ns, retention_days)
+    return {"live": live, "archived": archived, "compacted": stream.compact_sums(spark, state_dir, folded_upto)}
 
 
 def journal_export(events: DataFrame) -> DataFrame:

@@ -610,6 +610,44 @@ UNION ALL SELECT 'meta', '', '', CAST(0 AS BIGINT), round(({P.AS_OF_NS} - min(ti
                  (SELECT min(timestamp_ns) FROM hits) FROM good""")
 
 
+def _arrival_ctes():
+    return _journal_ctes() + [f"""arrived AS (
+  SELECT p.*, e.timestamp_ns >= {P.MERGE_SPLIT_NS} AS second,
+         row_number() OVER (ORDER BY e.timestamp_ns >= {P.MERGE_SPLIT_NS}, p.seq) - 1 AS arrival
+  FROM parsed p JOIN entries e USING (seq))""", """jentries AS (
+  SELECT arrival AS seq, TRY_CAST(value->>'__REALTIME_TIMESTAMP' AS BIGINT) * 1000 AS timestamp_ns,
+         'journalctl' AS source,
+         coalesce(value->>'_SYSTEMD_UNIT', value->>'SYSLOG_IDENTIFIER', 'unknown') || ': ' || coalesce(value->>'MESSAGE', '') AS raw,
+         TRY_CAST(value->>'PRIORITY' AS INTEGER) AS priority,
+         coalesce(value->>'_SYSTEMD_UNIT', value->>'SYSLOG_IDENTIFIER', 'unknown') AS unit,
+         value->>'_BOOT_ID' AS boot_id,
+         value->>'__MONOTONIC_TIMESTAMP' AS monotonic_us, second
+  FROM arrived WHERE reject_reason IS NULL)"""]
+
+
+def sql_journal_incremental():
+    return _with(_arrival_ctes(), "SELECT * EXCLUDE (second) FROM jentries WHERE second")
+
+
+def sql_journal_capped():
+    return _with(_arrival_ctes(), f"SELECT * EXCLUDE (second) FROM jentries ORDER BY seq DESC LIMIT {P.BUFFER_CAP}")
+
+
+def sql_archive_live():
+    return sql_archive_move()
+
+
+def sql_live_baseline_merge():
+    stretches = f"""SELECT coalesce(sum(t1 - t0), 0) AS ns FROM (
+  SELECT max(timestamp_ns) - min(timestamp_ns) AS d, max(timestamp_ns) AS t1, min(timestamp_ns) AS t0 FROM good
+  WHERE timestamp_ns >= {P.MERGE_SPLIT_NS} GROUP BY timestamp_ns >= {P.TRAIN_END_NS}) x"""
+    days = float(NS_PER_DAY)
+    return sql_seed_in_two_parts() + f"""
+UNION ALL SELECT 'observed', '', '', CAST(0 AS BIGINT),
+  round(0.4 * least((({P.AS_OF_NS} - (SELECT min(timestamp_ns) FROM good)) / {days}) / 14, 1.0) + 0.6 * least((s.ns / {days}) / 14, 1.0), 6),
+  CAST(s.ns AS BIGINT) FROM ({stretches}) s"""
+
+
 SQL = {name[4:]: fn for name, fn in list(globals().items()) if name.startswith("sql_") and callable(fn)}
 
 

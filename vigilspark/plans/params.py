@@ -37,6 +37,8 @@ HIT_WINDOW_SECONDS = 3600
 SNAPSHOT_LOAD_DELAY_NS = 24 * 3600 * NS_PER_SECOND
 EXTRA_THRESHOLD = Threshold(3, 5, 3600)
 THREE_SOURCES = CorrelationGroup("wide", "error", ("svc_0", "svc_1", "svc_2"), Threshold(3, 6, 14400), 3)
+# files of the journal fixtures get times before this, so that those written last are told by theirs
+FIXTURE_FILES_BEFORE_MS = 1_000_000_000_000
 # journal and text files together: text lines share the time of their file
 MIXED_RULES = AlertRules(watched=["error", "purchase", "license"], critical=["purchase"],
                          thresholds={"PATTERN_WATCH": Threshold(3, 5, 600), "CORRELATION": Threshold(2, 3, 300), "TRIAGE": Threshold(1, 1, 0)})

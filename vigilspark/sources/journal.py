@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilspark.schemas import JOURNAL_RECORD
+from vigilspark.sources.arrival import ArrivalCursor, placed_lines
 
 _PARSE_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
@@ -45,7 +46,7 @@ def journal_entries(parsed: DataFrame, ingest_ns: Column | None = None, keep=())
     if ingest_ns is not None:
         ts = F.coalesce(ts, ingest_ns)
     unit = F.coalesce(F.col("_SYSTEMD_UNIT"), F.col("SYSLOG_IDENTIFIER"), F.lit("unknown"))
-    # order key for equal timestamps when the source has none: a hash of the
+    # without an arrival number ``seq`` only breaks ties of time: a hash of the
     # record (identical records are identical entries)
     fields = [f.name for f in JOURNAL_RECORD.fields if f.name != "_corrupt_record"]
     seq = [] if "seq" in keep else [F.xxhash64(*fields).alias("seq")]
@@ -95,6 +96,17 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     return journal_entries(good)
 
 
+def new_entries(spark: SparkSession, path: str, cursor: ArrivalCursor):
+    """S1 + R4: (entries, outcome counts, commit) of the lines that no pass of ``cursor`` took yet.
+
+    ``seq`` is the arrival number of the line.  Counts are those of S9 over
+    the new lines; ``commit`` keeps the cursor, once the entries are kept.
+    """
+    fresh, commit = cursor.number(parse_lines(placed_lines(spark, path)))
+    good, _ = split_rejects(fresh)
+    return journal_entries(good, keep=["seq"]), reject_counts(fresh), commit
+
+
 def read_journal_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The same over a growing folder with Structured Streaming; bad
     timestamps get the micro-batch time."""

@@ -2,8 +2,10 @@
 (S5–S8, M2–M4).
 
 Tables are parquet folders; flags are partitioned by ``flagged_date`` so
-time filters prune whole partitions.  Rewrites (clear, archive) always go
-to a new version folder — a job never overwrites the path it reads, so a
+time filters prune whole partitions.  Tables that live jobs share have
+versions (``versions.py``): readers and writers resolve the current one, and a
+rewrite keeps what others appended meanwhile.  Rewrites of plain folders go
+to a new folder — a job never overwrites the path it reads, so a
 lost executor or a rerun cannot destroy the input.  JSON-lines interchange
 (one nested object per line, as the original tool writes) is read with an
 explicit schema; malformed lines are counted, never fatal.
@@ -20,6 +22,8 @@ from pyspark.sql import types as T
 from vigilspark.config import NS_PER_DAY, ROLLING_WINDOW_HOURS
 from vigilspark.operators.flags import flatten_entry, nest_entry, with_flag_date
 from vigilspark.schemas import BASELINE, BOOT_STATS, FLAGGED, KEYWORD_STATS, LOG_ENTRY
+from vigilspark.session import materialize
+from vigilspark.sources.versions import Version, VersionedTable
 
 FLAT_FLAGS = T.StructType([
     T.StructField("timestamp_ns", T.LongType()),
@@ -42,22 +46,44 @@ def _plus(schema: T.StructType, name: str, dtype) -> T.StructType:
 # --- flags (S5, S8, M2–M4) -------------------------------------------------------
 
 def write_flags(flags: DataFrame, path: str, mode: str = "append") -> None:
-    """Append flags, partitioned by UTC flag date."""
+    """Append flags, partitioned by UTC flag date.  A table with versions gets a new one."""
+    table = VersionedTable(flags.sparkSession, path)
+    if table.exists():
+        if mode != "append":
+            raise ValueError(f"{path} has versions; replace folders by a commit")
+        return append_flags(flags, path)
     with_flag_date(flags.select(*FLAT_FLAGS.fieldNames())).write.mode(mode) \
         .partitionBy("flagged_date").parquet(path)
 
 
+def append_flags(flags: DataFrame, path: str, stream: str | None = None, batch_id: int = 0) -> None:
+    """S5 for tables that live jobs share: a new version with these flags; a micro-batch of a ``stream`` is appended once."""
+    table = VersionedTable(flags.sparkSession, path)
+    rows = with_flag_date(flags.select(*FLAT_FLAGS.fieldNames()))
+    if stream is None:
+        table.append(rows, partition_by=["flagged_date"])
+    else:
+        table.append_batch(rows, stream, batch_id, ["flagged_date"])
+
+
 def read_flags(spark: SparkSession, path: str, since_ns: int | None = None,
-               level: str | None = None) -> DataFrame:
+               level: str | None = None, version: Version | None = None) -> DataFrame:
     """Flags of a stored table; an absent table is empty, not an error.
 
+    Of a table with versions the current one is read, or ``version``.
+
     ``since_ns`` also filters the ``flagged_date`` partition column, so whole
     day folders before it are never listed or read (partition pruning);
     ``level`` is pushed into the parquet scan.
     """
-    if not _exists(spark, path):
+    schema = _plus(FLAT_FLAGS, "flagged_date", T.DateType())
+    table = VersionedTable(spark, path)
+    if version is not None or table.exists():
+        df = table.read(schema, version)
+    elif _exists(spark, path):
+        df = spark.read.schema(schema).parquet(path)
+    else:
         return spark.createDataFrame([], FLAT_FLAGS)
-    df = spark.read.schema(_plus(FLAT_FLAGS, "flagged_date", T.DateType())).parquet(path)
     if since_ns is not None:
         day = F.lit(_utc_date(since_ns)).cast("date")
         df = df.filter((F.col("flagged_date") >= day) & (F.col("flagged_at") >= F.lit(int(since_ns))))
@@ -119,6 +145,50 @@ def archive_flags(spark: SparkSession, live_path: str, archive_path: str, new_li
     return n
 
 
+def archive_live(spark: SparkSession, live_path: str, archive_path: str, as_of_ns: int, days: int) -> int:
+    """M3 on a table that live jobs append to: old flags go to the archive, the table's next version holds the rest.
+
+    Only folders that hold old flags are written anew; a flag appended
+    meanwhile lies in a folder of its own and stays.  The archive is
+    appended first and takes nothing twice, so a pass that failed in between is
+    simply run again.  Returns the number of flags moved.
+    """
+    cutoff = int(as_of_ns) - int(days) * NS_PER_DAY
+    live = VersionedTable(spark, live_path)
+    version = live.current()
+    schema = _plus(FLAT_FLAGS, "flagged_date", T.DateType())
+    old_in = [f for f in version.folders if not live.read(schema, folders=[f]).where(F.col("flagged_at") < F.lit(cutoff)).isEmpty()]
+    if not old_in:
+        return 0
+    rows = live.read(schema, folders=old_in).drop("flagged_date")
+    old = rows.where(F.col("flagged_at") < F.lit(cutoff))
+    have = read_flags(spark, archive_path, since_ns=old.agg(F.min("flagged_at")).first()[0]).select("timestamp_ns", "pattern_key", "level")
+    fresh = materialize(old.join(have, ["timestamp_ns", "pattern_key", "level"], "left_anti"))
+    moved = fresh.count()
+    if moved:
+        append_flags(fresh, archive_path)
+    rest = live.write(with_flag_date(rows.where(F.col("flagged_at") >= F.lit(cutoff))), partition_by=["flagged_date"])
+    live.commit([rest], old_in)
+    return moved
+
+
+def clear_live(spark: SparkSession, live_path: str, level: str | None = None, memory_path: str | None = None) -> int:
+    """M2 on a table that live jobs append to: the number of flags removed.  Flags appended meanwhile stay."""
+    live = VersionedTable(spark, live_path)
+    version = live.current()
+    if not version.folders:
+        return 0
+    rows = read_flags(spark, live_path, version=version)
+    gone = F.lit(True) if level is None else F.col("level") == F.lit(level)
+    removed = materialize(rows.where(gone))
+    count = removed.count()
+    if memory_path is not None and count:
+        append_flags(removed, memory_path)
+    keep = live.write(with_flag_date(rows.where(~gone)), partition_by=["flagged_date"])
+    live.commit([keep], version.folders)
+    return count
+
+
 def clear_flags(spark: SparkSession, live_path: str, new_live_path: str, level: str | None = None,
                 memory_path: str | None = None) -> int:
     """M2: write the flags that remain as a new version; return the count removed.

@@ -8,9 +8,10 @@ counts: there is no watermark, so neither a late row nor one whose bad
 timestamp was replaced by the ingest time makes others be dropped.  There is
 one small row of state for each key, that is for each source and keyword.
 
-Counts (hourly, keyword, boot window, rollup, observation) need no streaming
-state: each micro-batch writes its own sums to a folder named after the
-batch, so a replay overwrites what it wrote, and readers add them up.
+Counts (hourly, keyword, boot window, rollup, records, observation) need no
+streaming state: each micro-batch adds one folder of its own sums to a table
+with versions, a replay adds nothing, readers add them up, and
+``compact_sums`` makes one folder of many.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from vigilspark.config import AlertRules, NS_PER_SECOND, Threshold
 from vigilspark.functions.columns import slot_key_ns
-from vigilspark.operators import baseline, boot, match, rollup
+from vigilspark.operators import boot, match, rollup
 from vigilspark.operators.retention import pause_filtered
-from vigilspark.schemas import BOOT_STATS, KEYWORD_STATS
+from vigilspark.schemas import BOOT_STATS
 from vigilspark.sources.tables import events_as_entries
+from vigilspark.sources.versions import Superseded, VersionedTable
 
 _STATE = T.StructType([
     T.StructField("held", T.ArrayType(T.LongType())),
@@ -150,12 +152,12 @@ def stream_alert_pipeline(entries: DataFrame, rules: AlertRules, prior_flags: Da
                         F.col("timestamp_ns").alias("flagged_at"), "pattern_key", "hit_count", "note")
 
 
-def flag_sink(path: str):
+def flag_sink(path: str, stream: str = "alerts"):
     """S5 for streams: a ``foreachBatch`` writer that appends each micro-batch's
-    flags once.  Rows whose (timestamp_ns, pattern_key, level) already sit in
-    the table are dropped first, so a replayed batch (after a failure, from
-    the checkpoint) does not duplicate flags.  The batch is computed once."""
-    from vigilspark.sources.store import read_flags, write_flags
+    flags once, as a new version of the table.  A replayed batch (after a
+    failure, from the checkpoint) is told by its number.  Rows whose
+    (timestamp_ns, pattern_key, level) already sit in the table are dropped."""
+    from vigilspark.sources.store import append_flags, read_flags
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -166,7 +168,7 @@ def flag_sink(path: str):
                 # only flags at or after the batch's earliest flag can collide with
                 # it: read just those date partitions, not the whole growing table
                 seen = read_flags(spark, path, since_ns=earliest).select("timestamp_ns", "pattern_key", "level")
-                write_flags(batch.join(seen, ["timestamp_ns", "pattern_key", "level"], "left_anti"), path, "append")
+                append_flags(batch.join(seen, ["timestamp_ns", "pattern_key", "level"], "left_anti"), path, stream, batch_id)
         finally:
             batch.unpersist()
 
@@ -175,63 +177,129 @@ def flag_sink(path: str):
 
 # ------------------------------------------------------------------ state sums
 
+#: Name -> (columns, how the sums of several folders become one: group columns and aggregates; without them rows are kept).
+SUMS = {
+    "hourly": ("source string, hour_ns long, n long, earliest_ns long, newest_ns long", ["source", "hour_ns"],
+               ["sum(n) as n", "min(earliest_ns) as earliest_ns", "max(newest_ns) as newest_ns"]),
+    "keyword_stats": ("source string, keyword string, hits long, last_seen_ns long, first_seen_ns long", ["source", "keyword"],
+                      ["sum(hits) as hits", "max(last_seen_ns) as last_seen_ns", "min(first_seen_ns) as first_seen_ns"]),
+    "boot_stats": (BOOT_STATS, ["boot_id", "keyword"],
+                   ["sum(hits) as hits", "max(last_seen_ns) as last_seen_ns", "min(first_seen_ns) as first_seen_ns"]),
+    "observed": ("start_ns long, end_ns long", [], []),
+    "rollup": ("keyword string, interval_s long, end_ns long, n long", ["keyword", "interval_s", "end_ns"], ["sum(n) as n"]),
+    "seen": ("source string, timestamp_ns long, seq long, n long", ["source", "timestamp_ns", "seq"], ["sum(n) as n"]),
+}
+
+
+def batch_sums(entries: DataFrame, rules: AlertRules, boot_window_seconds: int, heard: DataFrame | None = None) -> dict:
+    """Name -> sums of ``entries``, but for the rollup; those in a pause (not in ``heard``) count for the boot stats and as seen only."""
+    heard = entries if heard is None else heard
+    hits = match.keyword_hits(heard, rules, keep=["source", "timestamp_ns"])
+    return {
+        "hourly": heard.groupBy("source", F.expr("timestamp_ns - pmod(timestamp_ns, 3600000000000L)").alias("hour_ns")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("timestamp_ns").alias("earliest_ns"), F.max("timestamp_ns").alias("newest_ns")),
+        "keyword_stats": hits.groupBy("source", "keyword").agg(
+            F.count(F.lit(1)).alias("hits"), F.max("timestamp_ns").alias("last_seen_ns"), F.min("timestamp_ns").alias("first_seen_ns")),
+        "boot_stats": boot.boot_window_stats(entries, rules, boot_window_seconds),
+        "seen": entries.groupBy("source", "timestamp_ns", "seq").agg(F.count(F.lit(1)).alias("n")),
+    }
+
+
 def state_sink(state_dir: str, rules: AlertRules, anchor_ns: int, boot_window_seconds: int, pauses: DataFrame | None = None):
     """``foreachBatch`` writer of a micro-batch's sums: hourly counts, keyword
-    stats, boot-window stats, rollups and the observed stretch of time.
+    stats, boot-window stats, rollups, records and the observed stretch of time.
 
-    Each goes to ``<state_dir>/<name>/batch_id=<id>``, overwritten by a replay.
-    Entries in a pause are left out of all but the boot stats."""
+    Each is a table with versions, to which a batch adds one folder, once.
+    Entries in a pause are left out of all but the boot stats and the records."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             heard = batch if pauses is None else pause_filtered(batch, pauses)
-            sums = {
-                "hourly": baseline.hourly_counts(heard).select("source", "hour_ns", "n"),
-                "keyword_stats": match.keyword_stats(match.keyword_hits(heard, rules, keep=["source", "timestamp_ns"])),
-                "boot_stats": boot.boot_window_stats(batch, rules, boot_window_seconds),
-                "observed": heard.agg(F.min("timestamp_ns").alias("start_ns"), F.max("timestamp_ns").alias("end_ns")).where("start_ns is not null"),
-            }
+            sums = batch_sums(batch, rules, boot_window_seconds, heard)
+            sums["observed"] = heard.agg(F.min("timestamp_ns").alias("start_ns"), F.max("timestamp_ns").alias("end_ns")).where("start_ns is not null")
             if rules.aggregate:
                 sums["rollup"] = rollup.rollup_counts(heard, rules, anchor_ns)
             for name, df in sums.items():
-                df.write.mode("overwrite").parquet(f"{state_dir.rstrip('/')}/{name}/batch_id={batch_id:012d}")
+                VersionedTable(batch.sparkSession, f"{state_dir.rstrip('/')}/{name}").append_batch(df, "batch", batch_id)
         finally:
             batch.unpersist()
 
     return write
 
 
-def _sums(spark: SparkSession, state_dir: str, name: str, schema) -> DataFrame:
-    from vigilspark.sources.store import _exists
-    path = f"{state_dir.rstrip('/')}/{name}"
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+def schema_of(name: str) -> T.StructType:
+    found = SUMS[name][0]
+    return T.StructType.fromDDL(found) if isinstance(found, str) else found
+
+
+def folder_batches(folder: str) -> tuple[int, int]:
+    """First and last batch of a folder of sums: ``batch-<n>``, or ``batches-<a>-<b>`` where several were added up."""
+    numbers = [int(x) for x in folder.split("-")[1:]]
+    return numbers[0], numbers[-1]
+
+
+def batch_folders(table: VersionedTable, after: int = -1) -> tuple[list[str], int]:
+    """(folders of batches behind ``after``, the last batch in them)."""
+    found = [f for f in table.current().folders if folder_batches(f)[1] > after]
+    if any(folder_batches(f)[0] <= after for f in found):
+        raise ValueError(f"{table.path}: a folder goes over batch {after}")
+    return found, max([after, *(folder_batches(f)[1] for f in found)])
+
+
+def added_up(rows: DataFrame, name: str) -> DataFrame:
+    _, keys, sums = SUMS[name]
+    return rows.groupBy(*keys).agg(*[F.expr(s) for s in sums]).select(*schema_of(name).fieldNames()) if keys else rows
+
+
+def compact_sums(spark: SparkSession, state_dir: str, after: int = -1, at_least: int = 8) -> dict:
+    """Add up the folders of batches behind ``after`` in each table of sums that has ``at_least`` of them; name -> folders replaced.
+
+    A table that another pass changed meanwhile is left as it is.
+    """
+    done = {}
+    for name in SUMS:
+        table = VersionedTable(spark, f"{state_dir.rstrip('/')}/{name}")
+        folders, last = batch_folders(table, after)
+        if len(folders) < max(2, at_least):
+            continue
+        first = min(folder_batches(f)[0] for f in folders)
+        made = table.write(added_up(table.read(schema_of(name), folders=folders), name), f"batches-{first:012d}-{last:012d}")
+        try:
+            table.commit([made], folders)
+        except Superseded:
+            continue
+        table.prune()
+        done[name] = len(folders)
+    return done
+
+
+def _sums(spark: SparkSession, state_dir: str, name: str) -> DataFrame:
+    return VersionedTable(spark, f"{state_dir.rstrip('/')}/{name}").read(schema_of(name))
 
 
 def hourly_state(spark: SparkSession, state_dir: str) -> DataFrame:
     """A1: entries per (source, hour) so far."""
-    parts = _sums(spark, state_dir, "hourly", "source string, hour_ns long, n long")
-    return parts.groupBy("source", "hour_ns").agg(F.sum("n").alias("n")).withColumn("slot_key", slot_key_ns("hour_ns"))
+    return added_up(_sums(spark, state_dir, "hourly"), "hourly").select("source", "hour_ns", "n").withColumn("slot_key", slot_key_ns("hour_ns"))
 
 
 def keyword_state(spark: SparkSession, state_dir: str) -> DataFrame:
     """A4: keyword stats so far."""
-    return _sums(spark, state_dir, "keyword_stats", KEYWORD_STATS).groupBy("source", "keyword").agg(
-        F.sum("hits").alias("hits"), F.max("last_seen_ns").alias("last_seen_ns"))
+    return added_up(_sums(spark, state_dir, "keyword_stats"), "keyword_stats").select("source", "keyword", "hits", "last_seen_ns")
 
 
-def boot_state(spark: SparkSession, state_dir: str) -> DataFrame:
-    """Boot-window stats so far."""
-    parts = _sums(spark, state_dir, "boot_stats", BOOT_STATS)
-    return boot.merge_boot_stats(parts, parts.limit(0))
+def boot_state(spark: SparkSession, state_dir: str, boots_kept: int | None = None) -> DataFrame:
+    """Boot-window stats so far; R5: of the newest ``boots_kept`` boots."""
+    stats = added_up(_sums(spark, state_dir, "boot_stats"), "boot_stats")
+    return stats if boots_kept is None else boot.retained_boot_stats(stats, boots_kept)
 
 
 def observation_log(spark: SparkSession, state_dir: str) -> DataFrame:
     """(start_ns, end_ns) of every micro-batch."""
-    return _sums(spark, state_dir, "observed", "start_ns long, end_ns long")
+    return _sums(spark, state_dir, "observed")
 
 
 def closed_rollups(spark: SparkSession, state_dir: str, as_of_ns: int) -> DataFrame:
     """AGGREGATE flags of the intervals that ended by ``as_of_ns``."""
-    parts = _sums(spark, state_dir, "rollup", "keyword string, interval_s long, end_ns long, n long")
+    parts = _sums(spark, state_dir, "rollup")
     counts = parts.where(F.col("end_ns") <= int(as_of_ns)).groupBy("keyword", "interval_s", "end_ns").agg(F.sum("n").alias("n"))
     return rollup.rollup_flags(counts)
