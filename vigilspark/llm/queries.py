@@ -101,6 +101,8 @@ QUERIES = {
 
 #: The others can't be had from SQL over the tables alone; they are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op5_embedding_join": sql.EMBEDDING_JOIN,
+    "op6_url_filter": sql.URL_FILTER,
     "op11_ranked_search": sql.TERM_SCAN,
     "op12_prefix_trie": sql.conversation_trie(),
     "op13_quality_rules": sql.quality_rules(),

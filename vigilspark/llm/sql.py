@@ -100,3 +100,55 @@ under AS (
 SELECT f.conv_id::BIGINT AS conv_id, f.d::BIGINT AS depth, p.conv_id::BIGINT AS parent_conv_id, f.n_convs::BIGINT AS n_convs,
        f.n_children::BIGINT AS n_children, u.leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(coalesce(f.ended, '')) AS ends_sha256
 FROM flat f JOIN under u ON u.node = f.node AND u.d = f.d LEFT JOIN nodes p ON p.node = f.parent AND p.d = f.d - 1"""
+
+
+EMBEDDING_JOIN = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+         label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fit
+  FROM embeddings),
+links AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.e) = len(q.e)
+  WHERE p.fit AND q.fit AND list_cosine_similarity(p.e, q.e) >= 0.98),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+direct AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+least_of AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id))::BIGINT AS component_id,
+       vec_id <= coalesce(low, vec_id) AS kept
+FROM v LEFT JOIN direct d ON d.a = vec_id LEFT JOIN least_of m ON m.a = vec_id"""
+
+
+URL_FILTER = r"""
+WITH RECURSIVE rules(name, verdict, host, path) AS (VALUES
+  ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'),
+  ('www.example.com/en/', 'allow', 'www.example.com', '/en/'), ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')),
+cut AS (
+  SELECT row_number() OVER () AS r, page_id, html,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+own AS (
+  SELECT r, page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fits AS (
+  SELECT o.r, arg_max(u.name, length(u.name)) AS rule, arg_max(u.verdict, length(u.name)) AS verdict
+  FROM own o JOIN rules u ON (o.host = u.host OR ends_with(o.host, '.' || u.host)) AND starts_with(o.path, u.path) GROUP BY o.r),
+judged AS (SELECT o.*, f.rule, f.verdict AS ruled FROM own o LEFT JOIN fits f USING (r)),
+hrefs AS (
+  SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^"''\s<>/?#]+)', 1)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM own WHERE host <> ''),
+links AS (SELECT src, dst, count(*) AS n FROM hrefs WHERE src <> dst GROUP BY ALL),
+ahead AS (SELECT src, dst, 0.85 * n / sum(n) OVER (PARTITION BY src) AS share FROM links),
+back AS (SELECT dst, src, 0.85 * n / sum(n) OVER (PARTITION BY dst) AS share FROM links),
+seeds AS (SELECT host, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad FROM judged WHERE ruled IS NOT NULL GROUP BY host),
+trust AS (
+  SELECT host, 0.15 * good / (SELECT sum(good) FROM seeds) AS mass, 0 AS round FROM seeds WHERE good > 0
+  UNION ALL SELECT a.dst, sum(t.mass * a.share), any_value(t.round) + 1 FROM trust t JOIN ahead a ON a.src = t.host WHERE t.round < 200 GROUP BY a.dst),
+distrust AS (
+  SELECT host, 0.15 * bad / (SELECT sum(bad) FROM seeds) AS mass, 0 AS round FROM seeds WHERE bad > 0
+  UNION ALL SELECT a.src, sum(t.mass * a.share), any_value(t.round) + 1 FROM distrust t JOIN back a ON a.dst = t.host WHERE t.round < 200 GROUP BY a.src),
+spread AS (
+  SELECT host, sum(bad) > sum(good) AS worse
+  FROM (SELECT host, mass AS good, 0 AS bad FROM trust UNION ALL SELECT host, 0, mass FROM distrust) GROUP BY host)
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.ruled, CASE WHEN s.worse THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN spread s ON s.host = j.host"""
