@@ -1,6 +1,7 @@
 """Threshold fold (T2/T3/T5/T7/T8): the original tool's alert scenarios as
 DataFrame tests, plus property tests against a plain Python fold."""
 
+import bisect
 import random
 
 import pytest
@@ -196,3 +197,24 @@ def test_window_hit_count_matches_brute_force(spark, raw, w, bucket):
     got = {r.seq: r.hits_in_window for r in window_hit_count(df, w, ("pattern_key",)).collect()}
     expect = {s: sum(1 for k2, t2, _ in rows if k2 == k and t - w * SEC <= t2 <= t) for k, t, s in rows}
     assert got == expect
+
+
+def test_hits_and_resets_in_one_window_make_no_product(spark):
+    """3 000 hits and 3 000 resets of one key within one window; partitions cut the key."""
+    rng = random.Random(9)
+    times = sorted(rng.randrange(10**6) for _ in range(3000))
+    marks = sorted(rng.randrange(10**6) for _ in range(3000))
+    rows = spark.createDataFrame([(1, t) for t in times] + [(2, t) for t in times[:50]], "kh long, t long").withColumn("pattern_key", F.concat(F.lit("k"), "kh"))
+    resets = spark.createDataFrame([("k1", m) for m in marks] + [("k2", times[7]), ("k9", 0)], "pattern_key string, at_ns long")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.kh, r.t): r.reset for r in TH._last_resets(rows, resets, ["pattern_key"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = {}
+    for t in times:
+        if (i := bisect.bisect_right(marks, t)):
+            want[1, t] = marks[i - 1]
+    want |= {(2, t): times[7] for t in times[:50] if t >= times[7]}
+    assert got == want

@@ -226,18 +226,45 @@ def _entry_states(tables: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ operators
 
 def _last_resets(rows: DataFrame, resets: DataFrame, keys: list[str]) -> DataFrame:
-    """(kh, t, reset): the last reset of the key in (t - w, t]; a reset without level is one of every level.
+    """(kh, t, reset): the last reset of the key up to t, for hits that have one; a reset without level is one of every level.
 
-    Resets meet only the hits of their own and the next stretch of W.
+    Hits and resets are sorted together by (key, time) over range partitions,
+    where the last reset is carried along; what a key that goes on over
+    partitions had before comes from a table of one row a task.  So a hit meets
+    one reset, however many lie in its window.
     """
     cut = [c for c in keys if c in resets.columns]
-    known = rows.select("kh", "w", *keys).distinct()
+    known = rows.select("kh", *keys).distinct()
     tests = [(known[c] == resets[c]) if c != "level" else (resets[c].isNull() | (known[c] == resets[c])) for c in cut]
-    marks = known.join(resets, reduce(lambda a, b: a & b, tests)).select(known["kh"], known["w"], "at_ns").distinct()
-    marks = marks.select("kh", "at_ns", F.explode(F.array(F.expr("(at_ns - pmod(at_ns, w)) div w"),
-                                                          F.expr("(at_ns - pmod(at_ns, w)) div w + 1"))).alias("stretch"))
-    times = rows.select("kh", F.col("timestamp_ns").alias("t"), "w").distinct().withColumn("stretch", F.expr("(t - pmod(t, w)) div w"))
-    return times.join(marks, ["kh", "stretch"]).where("at_ns <= t").groupBy("kh", "t").agg(F.max("at_ns").alias("reset"))
+    none = F.lit(None).cast("long")
+    marks = known.join(resets, reduce(lambda a, b: a & b, tests)).select(
+        known["kh"], F.col("at_ns").alias("t"), F.lit(0).alias("hit"), F.col("at_ns").alias("reset")).distinct()
+    times = rows.select("kh", "t").distinct().select("kh", "t", F.lit(1).alias("hit"), none.alias("reset"))
+    order = ["kh", "t", "hit"]  # a reset counts for the hits of its own time
+
+    def carry(batches):
+        last_key, last = None, pd.NA
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            reset = pdf["reset"].astype("Int64").groupby(pdf["kh"]).ffill()
+            first = (pdf["kh"] == last_key) & reset.isna() if last_key is not None else pd.Series(False, index=pdf.index)
+            reset = reset.mask(first, last)
+            last_key, last = pdf["kh"].iloc[-1], reset.iloc[-1]
+            yield pdf.assign(reset=reset)
+
+    placed = store(times.unionByName(marks).repartitionByRange(*order).sortWithinPartitions(*order)
+                   .withColumn("_at", F.monotonically_increasing_id()).mapInPandas(carry, "kh long, t long, hit int, reset long, _at long"))
+    part = F.shiftright("_at", 33).alias("_part")
+    tails = placed.groupBy(part).agg(F.min("kh").alias("first"), F.max_by(F.struct("kh", "reset"), "_at").alias("tail")).orderBy("_part").collect()
+    before, held = [], (None, None)
+    for r in tails:
+        mine = held[1] if held[0] == r["first"] else None
+        before.append((r["_part"], r["first"], mine))
+        held = (r["tail"]["kh"], r["tail"]["reset"] if r["tail"]["reset"] is not None or r["tail"]["kh"] != r["first"] else mine)
+    given = F.broadcast(placed.sparkSession.createDataFrame(before, "_part long, _first long, _given long"))
+    last = F.coalesce("reset", F.when(F.col("kh") == F.col("_first"), F.col("_given")))
+    return placed.where("hit = 1").join(given, F.shiftright("_at", 33) == F.col("_part")).select("kh", "t", last.alias("reset")).where("reset is not null")
 
 
 def windowed_fires(hits: DataFrame, groups: dict, keys=("pattern_key", "level"), resets: DataFrame | None = None,

@@ -16,6 +16,7 @@ from vigilspark.config import AlertRules, NS_PER_DAY, NS_PER_SECOND
 from vigilspark.functions.columns import floor_div
 from vigilspark.operators import alerts, baseline, boot, flags, match, report, retention, rollup, threshold
 from vigilspark.operators.rules import rule_coverage
+from vigilspark.operators.rules_table import table_hits
 from vigilspark.session import checkpoint_dir, materialize
 from vigilspark.plans import params as P
 from vigilspark.sources import journal, store
@@ -523,6 +524,15 @@ def q_live_baseline_merge(spark, sf_dir):
 
 # --- rules --------------------------------------------------------------------------
 
+def q_rules_table_hits(spark, sf_dir):
+    """F2 + F3 with a rules table: every word of ``benchmark`` is a keyword, long ones barred by a shorter one, over all lines of ``documents``."""
+    words = read_table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("keyword")).where("length(keyword) > 2")
+    rules = words.distinct().withColumn("exclusion", F.when(F.length("keyword") > 6, F.substring("keyword", 3, 4)).otherwise(
+        F.when(F.length("keyword") == 4, F.lit("license"))))
+    hits = table_hits(document_lines(read_table(spark, sf_dir, "documents")), rules, keep=["doc_id", "source"])
+    return hits.groupBy("source", "keyword").agg(F.count(F.lit(1)).alias("line_hits"), F.countDistinct("doc_id").alias("doc_hits"))
+
+
 def q_rule_coverage(spark, sf_dir):
     return rule_coverage(spark, _entries(spark, sf_dir), P.RULES)
 
@@ -566,6 +576,7 @@ QUERIES = {
     "flag_archive_split": q_flag_archive_split,
     "flag_clear": q_flag_clear,
     "rule_coverage": q_rule_coverage,
+    "rules_table_hits": q_rules_table_hits,
     "flag_store_roundtrip": q_flag_store_roundtrip,
     "buffer_snapshot_load": q_buffer_snapshot_load,
     "history_seed": q_history_seed,

@@ -610,6 +610,16 @@ UNION ALL SELECT 'meta', '', '', CAST(0 AS BIGINT), round(({P.AS_OF_NS} - min(ti
                  (SELECT min(timestamp_ns) FROM hits) FROM good""")
 
 
+def sql_rules_table_hits():
+    return """WITH words AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS keyword FROM benchmark),
+rules AS (
+  SELECT keyword, CASE WHEN length(keyword) > 6 THEN substr(keyword, 3, 4) WHEN length(keyword) = 4 THEN 'license' END AS exclusion
+  FROM words WHERE length(keyword) > 2),
+lines AS (SELECT doc_id, source, lower(unnest(string_split(text, chr(10)))) AS low FROM documents)
+SELECT source, keyword, count(*) AS line_hits, count(DISTINCT doc_id) AS doc_hits
+FROM lines JOIN rules ON contains(low, keyword) AND (exclusion IS NULL OR NOT contains(low, exclusion)) GROUP BY 1, 2"""
+
+
 def _arrival_ctes():
     return _journal_ctes() + [f"""arrived AS (
   SELECT p.*, e.timestamp_ns >= {P.MERGE_SPLIT_NS} AS second,
