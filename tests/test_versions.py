@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from tests.conftest import BASE_NS, SEC, entries_df
 from vigilspark.config import AlertRules
 from vigilspark.operators.retention import capped_buffer
-from vigilspark.plans.jobs import close_job, merge_live_job, seed_job
+from vigilspark.operators import baseline
+from vigilspark.plans.jobs import close_job, merge_live_job, score_job, seed_job
 from vigilspark.sources import journal, store
 from vigilspark.sources.arrival import ArrivalCursor
 from vigilspark.sources.versions import Superseded, VersionedTable
@@ -287,3 +288,39 @@ def test_close_job_twice(spark, tmpdir_path):
     time.sleep(0.01)
     assert close_job(spark, state, BASE_NS + 10 * 86400 * SEC)["archived"] == 0
     assert days(store.read_flags(spark, f"{state}/archive")) == [0]
+
+
+def test_hours_are_scored_once_when_they_close(spark, tmpdir_path):
+    src, state, hour = f"{tmpdir_path}/src", f"{tmpdir_path}/state", 3600
+    week = 7 * 24 * hour
+    # four weeks with 2, 3, 2, 3 rows in the first hour of Monday, then a week with 9
+    lines_file(f"{src}/x.json", [record(w * week + i, "view") for w, n in enumerate([2, 3, 2, 3]) for i in range(n)], 1000)
+    seed_job(spark, src, f"{tmpdir_path}/v", RULES, BASE_NS + 30 * 86400 * SEC)
+    sink, at = stream.state_sink(state, RULES, BASE_NS, 300), 4 * week
+    sink(entry_rows(spark, [(at + i, "view", "b") for i in range(5)] + [(at + hour + 5, "view", "b")]), 0)
+
+    def score(s):
+        return {(r.hour_ns - BASE_NS) // SEC - at: (r.n, r.anomalous) for r in
+                score_job(spark, state, f"{tmpdir_path}/v", BASE_NS + s * SEC, 600, min_samples=3).collect()}
+
+    assert score(at + hour + 599) == {}                       # not closed yet
+    sink(entry_rows(spark, [(at + 50 + i, "view", "b") for i in range(4)]), 1)  # late, but in time
+    assert score(at + hour + 600) == {0: (9, True)}
+    sink(entry_rows(spark, [(at + 60, "view", "b")]), 2)      # too late
+    assert score(at + hour + 700) == {0: (9, True)}
+    assert score(at + 2 * hour + 600) == {0: (9, True), hour: (1, False)}
+
+
+def test_scoring_in_parts_equals_scoring_the_whole(spark):
+    rows = [("s" if i % 3 else "t", i * 3600 * SEC * 24 * 7, f"0_{i % 2}", (i * 37) % 11) for i in range(40)]
+    hours = spark.createDataFrame(rows, "source string, hour_ns long, slot_key string, n long")
+    whole = sorted(map(tuple, baseline.anomaly_online(hours, 3, 1.0).collect()))
+    state, got = baseline.slot_baseline(hours.limit(0)), []
+    for a, b in ((0, 7), (7, 7), (7, 31), (31, 40)):
+        part = spark.createDataFrame(rows[a:b], hours.schema)
+        got += map(tuple, baseline.anomaly_continued(part, state, 3, 1.0).collect())
+        state = baseline.merge_baselines(state, baseline.slot_baseline(part))
+    assert len(got) == len(whole) and any(r[-1] for r in whole)
+    for mine, other in zip(sorted(got), whole):
+        assert mine[:5] == other[:5] and mine[7] == other[7]
+        assert mine[5] == (None if other[5] is None else pytest.approx(other[5])) and mine[6] == pytest.approx(other[6], abs=1e-9)

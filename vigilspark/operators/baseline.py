@@ -120,6 +120,32 @@ def anomaly_online(hourly: DataFrame, min_samples: int = DEFAULT_MIN_SAMPLES,
                                     min_samples, sensitivity), F.lit(False)))
 
 
+def anomaly_continued(hourly: DataFrame, state: DataFrame, min_samples: int = DEFAULT_MIN_SAMPLES,
+                      sensitivity: float = DEFAULT_SENSITIVITY) -> DataFrame:
+    """D3 over an export that goes on where ``state`` (count, mean, m2 per source and slot) ends.
+
+    Each hour is tested against the state and the new hours before it, added
+    up by Chan's formula, so earlier hours are not read again.  Passes over
+    the parts of a history, each from ``merge_baselines`` of the last state and
+    the last part's ``slot_baseline``, give what one pass over the whole gives,
+    as long as no part has hours before those of an earlier one.
+    """
+    w = (Window.partitionBy("source", "slot_key").orderBy("hour_ns")
+         .rowsBetween(Window.unboundedPreceding, -1))
+    held = state.select("source", "slot_key", F.col("count").alias("_n0"), F.col("mean").alias("_m0"), F.col("m2").alias("_s0"))
+    own = hourly.select(*hourly.columns, F.count(F.lit(1)).over(w).alias("_n1"), F.coalesce(F.avg("n").over(w), F.lit(0.0)).alias("_m1"),
+                        F.coalesce(F.var_pop("n").over(w), F.lit(0.0)).alias("_v1"))
+    n0, m0, s0 = (F.coalesce(F.col(c), F.lit(0)) for c in ("_n0", "_m0", "_s0"))
+    n = n0 + F.col("_n1")
+    delta = F.col("_m1") - m0
+    out = own.join(held, ["source", "slot_key"], "left").select(
+        *hourly.columns, n.alias("prior_samples"), F.when(n > 0, m0 + delta * F.col("_n1") / n).alias("prior_mean"),
+        F.when(n < 2, F.lit(0.0)).otherwise(
+            F.sqrt((s0 + F.col("_v1") * F.col("_n1") + delta * delta * n0 * F.col("_n1") / n) / (n - 1))).alias("prior_stddev"))
+    return out.withColumn("anomalous", F.coalesce(
+        bucket_anomalous("n", "prior_samples", "prior_mean", "prior_stddev", min_samples, sensitivity), F.lit(False)))
+
+
 def seed_days(entries: DataFrame, as_of_ns: int) -> DataFrame:
     """Days between the earliest parsed entry and ``as_of``; 0.0 when empty."""
     return entries.agg(

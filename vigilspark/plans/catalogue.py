@@ -495,6 +495,36 @@ def q_archive_live(spark, sf_dir):
     return both.withColumn("moved", F.lit(moved).cast("long"))
 
 
+def q_anomaly_two_parts(spark, sf_dir):
+    """D3 over runs: the hours before a day scored from nothing, those after it from the state that the first left."""
+    first = baseline.hourly_counts(load_entries(spark, sf_dir, until_ns=P.MERGE_SPLIT_NS))
+    second = baseline.hourly_counts(load_entries(spark, sf_dir, since_ns=P.MERGE_SPLIT_NS))
+    kept = materialize(baseline.slot_baseline(first))
+    args = (P.ANOMALY_MIN_SAMPLES, P.ANOMALY_SENSITIVITY)
+    both = baseline.anomaly_continued(first, kept.limit(0), *args).unionByName(baseline.anomaly_continued(second, kept, *args))
+    return both.select("source", "hour_ns", "slot_key", "n", "prior_samples", _r6("prior_mean"), _r6("prior_stddev"), "anomalous")
+
+
+def q_live_anomalies(spark, sf_dir):
+    """D2 live: hours of two live stretches scored in two passes against a seeded baseline; the second stretch brings late rows
+    of hours that the first pass left open."""
+    from vigilspark.plans.jobs import score_job, seed_job
+    from vigilspark.streaming.stream import state_sink
+    before, later = _split_journal(spark, sf_dir)
+    src, version, state = (_scratch(spark, n) for n in ("journal", "seed", "live"))
+    before.select("value").write.text(src)
+    seed_job(spark, src, version, P.RULES, P.AS_OF_NS, boot_window_seconds=P.BOOT_WINDOW_SECONDS)
+    good, _ = journal.split_rejects(journal.parse_lines(later))
+    rows = materialize(journal.journal_entries(good))
+    at, day = F.col("timestamp_ns"), P.TRAIN_END_NS - NS_PER_DAY
+    early = (at < day) | ((at < P.TRAIN_END_NS) & (F.pmod(F.xxhash64("seq"), F.lit(3)) > 0))
+    sink = state_sink(state, P.RULES, P.AGG_ANCHOR_NS, P.BOOT_WINDOW_SECONDS)
+    for batch, (part, as_of) in enumerate(((early, day), (~early, P.AS_OF_NS + NS_PER_DAY))):
+        sink(rows.where(part), batch)
+        scored = score_job(spark, state, version, as_of, 0, P.ANOMALY_MIN_SAMPLES, P.ANOMALY_SENSITIVITY)
+    return scored.select("source", "hour_ns", "slot_key", "n", "samples", _r6("mean"), _r6("stddev"), "anomalous")
+
+
 def q_live_baseline_merge(spark, sf_dir):
     """A baseline seeded from the journal up to a day, and the live sums of two later stretches folded into it:
     the contents of all state tables, and the time observed."""
@@ -591,4 +621,6 @@ QUERIES = {
     "journal_capped": q_journal_capped,
     "archive_live": q_archive_live,
     "live_baseline_merge": q_live_baseline_merge,
+    "anomaly_two_parts": q_anomaly_two_parts,
+    "live_anomalies": q_live_anomalies,
 }

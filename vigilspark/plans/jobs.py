@@ -5,7 +5,7 @@ boot-window stats and confidence -> the state tables, written as one new
 version folder; with an earlier version it goes on from there.
 ``monitor_job``: journal folder stream -> flags, and the sums that the same
 tables are made of.  ``merge_live_job`` adds these sums to a version of the
-tables.  ``close_job`` turns closed rollups into flags, moves old flags to the
+tables, ``score_job`` scores the hours that closed.  ``close_job`` turns closed rollups into flags, moves old flags to the
 archive and adds up the sums of many batches.
 """
 
@@ -15,8 +15,10 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vigilspark.config import AlertRules, DEFAULT_RETENTION_DAYS, MAX_BOOT_WINDOW_SECONDS, MAX_TRACKED_BOOTS, NS_PER_DAY
+from vigilspark.config import (AlertRules, DEFAULT_MIN_SAMPLES, DEFAULT_RETENTION_DAYS, DEFAULT_SENSITIVITY, MAX_BOOT_WINDOW_SECONDS,
+                               MAX_TRACKED_BOOTS, NS_PER_DAY, NS_PER_SECOND)
 from vigilspark.functions.columns import confidence, confidence_pct, monitoring_active, slot_key_ns
 from vigilspark.operators import baseline, boot, match
 from vigilspark.session import materialize
@@ -130,6 +132,34 @@ def merge_live_job(spark: SparkSession, state_dir: str, previous: str, out_path:
     return _save(spark, out_path, base, hourly, kw, boots, held, observed_ns, as_of_ns, max(upto, after))
 
 
+#: What ``score_job`` keeps of an hour.
+SCORED = "source string, hour_ns long, slot_key string, n long, samples long, mean double, stddev double, anomalous boolean"
+
+
+def score_job(spark: SparkSession, state_dir: str, baseline_path: str, as_of_ns: int, grace_seconds: int = 3600,
+              min_samples: int = DEFAULT_MIN_SAMPLES, sensitivity: float = DEFAULT_SENSITIVITY) -> DataFrame:
+    """D2 live: score the hours that closed since the last pass against the baseline version in force; all scored hours.
+
+    An hour closes ``grace_seconds`` after its end, and is scored once, with
+    all its rows that came until then; a later row no longer changes it.
+    Scored hours lie in a table with versions, whose mark says up to where
+    they go, so a pass that failed is simply run again.
+    """
+    table = VersionedTable(spark, os.path.join(state_dir, "scored"))
+    schema = T.StructType.fromDDL(SCORED)
+    hour = 3600 * NS_PER_SECOND
+    closing = (int(as_of_ns) - int(grace_seconds) * NS_PER_SECOND) // hour * hour
+    upto = table.current().marks.get("upto")
+    if upto is None or closing > upto:
+        hours = stream.hourly_state(spark, state_dir).where(F.col("hour_ns") < closing)
+        hours = hours if upto is None else hours.where(F.col("hour_ns") >= upto)
+        state = store.load_baseline(spark, baseline_path)
+        scored = baseline.anomaly_scored(hours, state["baseline"], state["meta"], min_samples, sensitivity)
+        scored = scored.withColumn("samples", F.coalesce("samples", F.lit(0)).cast("long")).select(*schema.fieldNames())
+        table.append(scored, marks={"upto": closing})
+    return table.read(schema)
+
+
 def monitor_job(spark: SparkSession, journal_dir: str, state_dir: str, rules: AlertRules, anchor_ns: int,
                 trigger: dict | None = None, boot_window_seconds: int = MAX_BOOT_WINDOW_SECONDS,
                 pauses: DataFrame | None = None, files_per_trigger: int = FILES_PER_TRIGGER):

@@ -610,6 +610,24 @@ UNION ALL SELECT 'meta', '', '', CAST(0 AS BIGINT), round(({P.AS_OF_NS} - min(ti
                  (SELECT min(timestamp_ns) FROM hits) FROM good""")
 
 
+def sql_anomaly_two_parts():
+    return sql_anomaly_online()
+
+
+def sql_live_anomalies():
+    ms, sens, split = P.ANOMALY_MIN_SAMPLES, P.ANOMALY_SENSITIVITY, P.MERGE_SPLIT_NS
+    return _with(_journal_ctes() + [f"""hours AS (
+  SELECT hour_ns, CAST(isodow(make_timestamp(hour_ns // 1000)) - 1 AS VARCHAR) || '_' ||
+           lpad(CAST(hour(make_timestamp(hour_ns // 1000)) AS VARCHAR), 2, '0') AS slot_key, n
+  FROM (SELECT t - (t % {HOUR_NS}) AS hour_ns, count(*) AS n
+        FROM (SELECT TRY_CAST(value->>'__REALTIME_TIMESTAMP' AS BIGINT) * 1000 AS t FROM parsed WHERE reject_reason IS NULL) x GROUP BY 1) y)""",
+        f"""base AS (
+  SELECT slot_key, count(*) AS samples, avg(n) AS mean, coalesce(stddev_samp(n), 0.0) AS stddev FROM hours WHERE hour_ns < {split} GROUP BY 1)"""],
+        f"""SELECT 'journalctl' AS source, hour_ns, h.slot_key, n, coalesce(samples, 0) AS samples, round(mean, 6) AS mean, round(stddev, 6) AS stddev,
+       coalesce(samples >= {ms} AND n > mean + {sens} * stddev, false) AS anomalous
+FROM hours h LEFT JOIN base b USING (slot_key) WHERE hour_ns >= {split}""")
+
+
 def sql_rules_table_hits():
     return """WITH words AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS keyword FROM benchmark),
 rules AS (
