@@ -324,3 +324,31 @@ def test_scoring_in_parts_equals_scoring_the_whole(spark):
     for mine, other in zip(sorted(got), whole):
         assert mine[:5] == other[:5] and mine[7] == other[7]
         assert mine[5] == (None if other[5] is None else pytest.approx(other[5])) and mine[6] == pytest.approx(other[6], abs=1e-9)
+
+
+def test_a_small_export_reads_and_writes_only_its_days(spark, tmpdir_path):
+    day = 86400
+    lines_file(f"{tmpdir_path}/a/x.json", [record(d * day + i, f"error {i}") for d in range(5) for i in range(4)], 1000)
+    lines_file(f"{tmpdir_path}/b/x.json", [record(2 * day + i, f"error {i}") for i in range(6)] + [record(9 * day, "error")], 1000)
+    v1, v2 = f"{tmpdir_path}/v1", f"{tmpdir_path}/v2"
+    seed_job(spark, f"{tmpdir_path}/a", v1, RULES, BASE_NS + 30 * day * SEC)
+    seed_job(spark, f"{tmpdir_path}/b", v2, RULES, BASE_NS + 30 * day * SEC, previous=v1)
+    first = BASE_NS // (day * SEC)
+    assert sorted(n for n in os.listdir(f"{v2}/seen") if n.startswith("day=")) == [f"day={first + 2}", f"day={first + 9}"]
+    assert store.load_baseline(spark, v2)["seen"].agg(F.sum("n")).first()[0] == 23
+    assert store.read_seen(spark, v2, {first + 2}).count() == 6 and store.read_seen(spark, v2, {first}).count() == 4
+    assert store.load_baseline(spark, v2)["hourly"].agg(F.sum("n")).first()[0] == 23
+    # a day replaced in a folder leaves the version before as it was
+    assert store.load_baseline(spark, v1)["seen"].agg(F.sum("n")).first()[0] == 20
+
+
+def test_live_outcomes_count_each_line_once(spark, tmpdir_path):
+    lines = [record(1, "error"), "", "{cut", record(2, "view"), record(3, "view").replace('"17', '"x17'), "[1]"]
+    parsed = journal.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    sink, state = stream.state_sink(f"{tmpdir_path}/s", RULES, BASE_NS, 300), f"{tmpdir_path}/s"
+    for batch in (0, 0, 1, 1):  # both replayed
+        sink(parsed, batch)
+    got = {r.outcome: r.n for r in stream.outcome_counts(spark, state).collect()}
+    want = {r.outcome: 2 * r.n for r in journal.reject_counts(parsed).collect()}
+    assert got == want and got["blank"] == 2 and got["bad_timestamp"] == 2 and got["loaded"] >= 4
+    assert stream.hourly_state(spark, state).agg(F.sum("n")).first()[0] == got["loaded"] + got["bad_timestamp"]

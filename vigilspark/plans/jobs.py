@@ -46,14 +46,15 @@ def seed_job(spark: SparkSession, journal_path: str, out_path: str, rules: Alert
     entries = journal.journal_entries(good)
     old = store.load_baseline(spark, previous) if previous else None
     entries = materialize(entries.groupBy(*entries.columns).agg(F.count(F.lit(1)).alias("n")))  # parsed once
-    held = entries.select(*store.SEEN_KEYS, "n")
+    held, days = entries.select(*store.SEEN_KEYS, "n"), store.seen_days(entries)
     if old:
-        if old["seen"] is None:
+        before = store.read_seen(spark, previous, days)  # only the days of this export
+        if before is None:
             raise ValueError(f"{previous} doesn't tell which records it holds; seed again from the whole export")
-        entries = entries.join(old["seen"].withColumnRenamed("n", "before"), store.SEEN_KEYS, "left") \
+        entries = entries.join(before.withColumnRenamed("n", "before"), store.SEEN_KEYS, "left") \
             .withColumn("n", F.col("n") - F.coalesce("before", F.lit(0))).where("n > 0").drop("before")
-        held = held.unionByName(old["seen"])
-    held = held.groupBy(*store.SEEN_KEYS).agg(F.max("n").alias("n"))
+        held = held.unionByName(before)
+    store.write_seen(spark, out_path, held.groupBy(*store.SEEN_KEYS).agg(F.max("n").alias("n")), days, previous)
     entries = materialize(entries.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n", "copy"))
     hourly = entries.groupBy("source", F.expr("timestamp_ns - pmod(timestamp_ns, 3600000000000L)").alias("hour_ns")).agg(
         F.count(F.lit(1)).alias("n"), F.min("timestamp_ns").alias("earliest_ns"), F.max("timestamp_ns").alias("newest_ns"))
@@ -72,7 +73,7 @@ def seed_job(spark: SparkSession, journal_path: str, out_path: str, rules: Alert
         observed_ns += old["meta"].select("observed_ns").first()[0]
     hourly, kw = materialize(hourly), materialize(kw)  # small: sources by hours, sources by keywords
     base = baseline.slot_baseline(hourly.select("source", "hour_ns", "n").withColumn("slot_key", slot_key_ns("hour_ns")))
-    return _save(spark, out_path, base, hourly, kw, boot.retained_boot_stats(boots, boots_kept), held, observed_ns, as_of_ns,
+    return _save(spark, out_path, base, hourly, kw, boot.retained_boot_stats(boots, boots_kept), observed_ns, as_of_ns,
                  _live_batch(old) if old else -1)
 
 
@@ -81,7 +82,7 @@ def _live_batch(old: dict) -> int:
     return old["meta"].first()["live_batch"] if "live_batch" in old["meta"].columns else -1
 
 
-def _save(spark: SparkSession, out_path: str, base: DataFrame, hourly: DataFrame, kw: DataFrame, boots: DataFrame, held: DataFrame,
+def _save(spark: SparkSession, out_path: str, base: DataFrame, hourly: DataFrame, kw: DataFrame, boots: DataFrame,
           observed_ns: int, as_of_ns: int, live_batch: int) -> DataFrame:
     """Write a version of the state tables; its one-row meta table."""
     ends = hourly.agg(F.min("earliest_ns").alias("earliest_ns"), F.max("newest_ns").alias("newest_ns"))
@@ -93,7 +94,7 @@ def _save(spark: SparkSession, out_path: str, base: DataFrame, hourly: DataFrame
         "seed_days", "direct_days", "confidence", confidence_pct("confidence").alias("confidence_pct"),
         monitoring_active("confidence").alias("monitoring_active"), "earliest_ns", "newest_ns", "observed_ns",
         F.lit(int(live_batch)).cast("long").alias("live_batch"))
-    store.save_baseline(out_path, base, kw, boots, meta, hourly, held)
+    store.save_baseline(out_path, base, kw, boots, meta, hourly)
     return spark.read.parquet(os.path.join(out_path, "meta"))
 
 
@@ -122,14 +123,16 @@ def merge_live_job(spark: SparkSession, state_dir: str, previous: str, out_path:
     hourly = materialize(stream.added_up(old["hourly"].unionByName(fresh), "hourly"))
     kw = materialize(stream.added_up(old["keyword_first"].unionByName(new["keyword_stats"]), "keyword_stats"))
     boots = boot.retained_boot_stats(boot.merge_boot_stats(old["boot_stats"], new["boot_stats"]), boots_kept)
-    held = stream.added_up(old["seen"].select(*store.SEEN_KEYS, "n").unionByName(new["seen"]), "seen")
+    records = materialize(new["seen"])
+    days = store.seen_days(records)
+    store.write_seen(spark, out_path, stream.added_up(records.unionByName(store.read_seen(spark, previous, days)), "seen"), days, previous)
     touched = fresh.select("source", slot_key_ns("hour_ns").alias("slot_key")).distinct()
     again = hourly.select("source", "hour_ns", "n").withColumn("slot_key", slot_key_ns("hour_ns")).join(touched, ["source", "slot_key"], "left_semi")
     base = old["baseline"].join(touched, ["source", "slot_key"], "left_anti").unionByName(
         baseline.slot_baseline(again).select(*old["baseline"].columns))
     observed_ns = old["meta"].first()["observed_ns"] + new["observed"].agg(
         F.coalesce(F.sum(F.col("end_ns") - F.col("start_ns")), F.lit(0)).cast("long")).first()[0]
-    return _save(spark, out_path, base, hourly, kw, boots, held, observed_ns, as_of_ns, max(upto, after))
+    return _save(spark, out_path, base, hourly, kw, boots, observed_ns, as_of_ns, max(upto, after))
 
 
 #: What ``score_job`` keeps of an hour.
@@ -179,12 +182,13 @@ def monitor_job(spark: SparkSession, journal_dir: str, state_dir: str, rules: Al
         store.dedup_keys(spark, flags_path, os.path.join(state_dir, "archive"), os.path.join(state_dir, "cleared")) \
             .write.parquet(prior_path)
     prior = spark.read.schema("timestamp_ns long, pattern_key string").parquet(prior_path)
-    entries = journal.read_journal_stream(spark, journal_dir, files_per_trigger)
+    parsed = journal.read_parsed_stream(spark, journal_dir, files_per_trigger)
+    entries = journal.live_entries(parsed)
     heard = entries if pauses is None else pause_filtered(entries, pauses)
     alerts = (stream.stream_alert_pipeline(heard, rules, prior_flags=prior).writeStream.outputMode("append")
               .foreachBatch(stream.flag_sink(flags_path))
               .option("checkpointLocation", os.path.join(state_dir, "_ck_flags")).trigger(**trigger).start())
-    sums = (entries.writeStream.outputMode("append")
+    sums = (parsed.writeStream.outputMode("append")
             .foreachBatch(stream.state_sink(state_dir, rules, anchor_ns, boot_window_seconds, pauses))
             .option("checkpointLocation", os.path.join(state_dir, "_ck_state")).trigger(**trigger).start())
     return [alerts, sums]

@@ -107,12 +107,20 @@ def new_entries(spark: SparkSession, path: str, cursor: ArrivalCursor):
     return journal_entries(good, keep=["seq"]), reject_counts(fresh), commit
 
 
-def read_journal_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """The same over a growing folder with Structured Streaming; bad
-    timestamps get the micro-batch time."""
+def read_parsed_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Journal lines of a growing folder, parsed, the rejects among them."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    lines = reader.load(path)
-    good, _ = split_rejects(parse_lines(lines), drop_bad_timestamp=False)
+    return parse_lines(reader.load(path))
+
+
+def live_entries(parsed: DataFrame) -> DataFrame:
+    """Entries of parsed lines as the live job takes them: bad timestamps get the micro-batch time."""
+    good, _ = split_rejects(parsed, drop_bad_timestamp=False)
     return journal_entries(good, ingest_ns=F.unix_micros(F.current_timestamp()) * F.lit(1000))
+
+
+def read_journal_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The entries of a growing folder with Structured Streaming."""
+    return live_entries(read_parsed_stream(spark, path, max_files_per_trigger))

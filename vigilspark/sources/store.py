@@ -249,19 +249,58 @@ def read_buffer(spark: SparkSession, path: str, as_of_ns: int, hours: int = ROLL
 SEEN_KEYS = ["source", "timestamp_ns", "seq"]
 
 
+#: The UTC day of a record, by which records are kept.
+SEEN_DAY = f"(timestamp_ns - pmod(timestamp_ns, {NS_PER_DAY}L)) div {NS_PER_DAY}L"
+_SEEN = T.StructType([T.StructField("source", T.StringType()), T.StructField("timestamp_ns", T.LongType()),
+                      T.StructField("seq", T.LongType()), T.StructField("n", T.LongType())])
+
+
+def _seen_index(spark: SparkSession, path: str) -> dict[int, str]:
+    """Day -> folder of its records, for a version ``path``; one row a day."""
+    index = os.path.join(path, "seen_index")
+    if not _exists(spark, index):
+        return {}
+    return {r["day"]: r["folder"] for r in spark.read.schema("day long, folder string").parquet(index).collect()}
+
+
+def read_seen(spark: SparkSession, path: str, days=None) -> DataFrame | None:
+    """Records that a version holds (SEEN_KEYS and n), of some days only; None if the version doesn't tell."""
+    if not _exists(spark, os.path.join(path, "seen_index")):
+        return None
+    index = _seen_index(spark, path)
+    folders = [f"{folder}/day={day}" for day, folder in sorted(index.items()) if days is None or day in days]
+    if not folders:
+        return spark.createDataFrame([], _SEEN)
+    return spark.read.schema(_SEEN).parquet(*folders)
+
+
+def seen_days(records: DataFrame) -> set:
+    """Days of records; as many as the records have days."""
+    return {r[0] for r in records.select(F.expr(SEEN_DAY).alias("day")).distinct().collect()}
+
+
+def write_seen(spark: SparkSession, path: str, records: DataFrame, days: set, previous: str | None = None) -> None:
+    """Keep ``records``, all those of ``days``, in a version; the other days stay in the folders that ``previous`` names."""
+    folder = os.path.join(path, "seen")
+    if days:
+        records.withColumn("day", F.expr(SEEN_DAY)).repartition("day", F.pmod(F.xxhash64(*SEEN_KEYS), F.lit(8))) \
+            .write.mode("overwrite").partitionBy("day").parquet(folder)
+    index = (_seen_index(spark, previous) if previous else {}) | {day: folder for day in days}
+    spark.createDataFrame(sorted(index.items()), "day long, folder string").coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "seen_index"))
+
+
 def save_baseline(path: str, baseline: DataFrame, keywords: DataFrame, boots: DataFrame,
-                  meta: DataFrame, hourly: DataFrame | None = None, seen: DataFrame | None = None) -> None:
+                  meta: DataFrame, hourly: DataFrame | None = None) -> None:
     """The state tables, each in its own folder of a version ``path``: the four
-    that readers use, and the hourly counts and the records (by SEEN_KEYS, with
-    their number) that a later seeding goes on from."""
-    for name, df in (("baseline", baseline), ("keyword_stats", keywords), ("boot_stats", boots), ("meta", meta), ("hourly", hourly), ("seen", seen)):
+    that readers use, and the hourly counts that a later seeding goes on from."""
+    for name, df in (("baseline", baseline), ("keyword_stats", keywords), ("boot_stats", boots), ("meta", meta), ("hourly", hourly)):
         if df is not None:
             df.write.mode("overwrite").parquet(os.path.join(path, name))
 
 
 def load_baseline(spark: SparkSession, path: str) -> dict:
     keyword_first = _plus(KEYWORD_STATS, "first_seen_ns", T.LongType())
-    hourly, seen = os.path.join(path, "hourly"), os.path.join(path, "seen")
+    hourly = os.path.join(path, "hourly")
     return {
         "baseline": spark.read.schema(BASELINE).parquet(os.path.join(path, "baseline")),
         "keyword_stats": spark.read.schema(KEYWORD_STATS).parquet(os.path.join(path, "keyword_stats")),
@@ -269,7 +308,7 @@ def load_baseline(spark: SparkSession, path: str) -> dict:
         "boot_stats": spark.read.schema(BOOT_STATS).parquet(os.path.join(path, "boot_stats")),
         "meta": spark.read.parquet(os.path.join(path, "meta")),
         "hourly": spark.read.parquet(hourly) if _exists(spark, hourly) else None,
-        "seen": spark.read.parquet(seen) if _exists(spark, seen) else None,
+        "seen": read_seen(spark, path),
     }
 
 

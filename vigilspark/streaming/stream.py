@@ -30,6 +30,7 @@ from vigilspark.functions.columns import slot_key_ns
 from vigilspark.operators import boot, match, rollup
 from vigilspark.operators.retention import pause_filtered
 from vigilspark.schemas import BOOT_STATS
+from vigilspark.sources.journal import live_entries, reject_counts
 from vigilspark.sources.tables import events_as_entries
 from vigilspark.sources.versions import Superseded, VersionedTable
 
@@ -187,6 +188,7 @@ SUMS = {
                    ["sum(hits) as hits", "max(last_seen_ns) as last_seen_ns", "min(first_seen_ns) as first_seen_ns"]),
     "observed": ("start_ns long, end_ns long", [], []),
     "rollup": ("keyword string, interval_s long, end_ns long, n long", ["keyword", "interval_s", "end_ns"], ["sum(n) as n"]),
+    "outcomes": ("outcome string, n long", ["outcome"], ["sum(n) as n"]),
     "seen": ("source string, timestamp_ns long, seq long, n long", ["source", "timestamp_ns", "seq"], ["sum(n) as n"]),
 }
 
@@ -209,9 +211,14 @@ def state_sink(state_dir: str, rules: AlertRules, anchor_ns: int, boot_window_se
     """``foreachBatch`` writer of a micro-batch's sums: hourly counts, keyword
     stats, boot-window stats, rollups, records and the observed stretch of time.
 
-    Each is a table with versions, to which a batch adds one folder, once.
-    Entries in a pause are left out of all but the boot stats and the records."""
+    A batch is of entries, or of parsed journal lines: then how many were
+    loaded, and rejected for which reason, is kept too.  Each is a table with
+    versions, to which a batch adds one folder, once.  Entries in a pause are
+    left out of all but the boot stats and the records."""
     def write(batch: DataFrame, batch_id: int) -> None:
+        if "reject_reason" in batch.columns:
+            VersionedTable(batch.sparkSession, f"{state_dir.rstrip('/')}/outcomes").append_batch(reject_counts(batch), "batch", batch_id)
+            batch = live_entries(batch)
         batch.persist()
         try:
             heard = batch if pauses is None else pause_filtered(batch, pauses)
@@ -293,6 +300,11 @@ def boot_state(spark: SparkSession, state_dir: str, boots_kept: int | None = Non
     return stats if boots_kept is None else boot.retained_boot_stats(stats, boots_kept)
 
 
+def outcome_counts(spark: SparkSession, state_dir: str) -> DataFrame:
+    """Journal lines loaded, and rejected by reason, so far; a bad timestamp is loaded with the micro-batch time."""
+    return added_up(_sums(spark, state_dir, "outcomes"), "outcomes")
+
+
 def observation_log(spark: SparkSession, state_dir: str) -> DataFrame:
     """(start_ns, end_ns) of every micro-batch."""
     return _sums(spark, state_dir, "observed")
