@@ -27,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import xxhash
@@ -60,13 +61,23 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def pieces_of(word: str) -> np.ndarray:
-    """Sorted hashes of the marked word and of its runs of PIECE_CHARS characters."""
-    marked = f"^{word}$"
-    found = {marked}
+def marked(word: str) -> str:
+    return f"^{word}$"
+
+
+def pieces_of(word: str) -> set[str]:
+    """The marked word and its runs of PIECE_CHARS characters."""
+    whole = marked(word)
+    found = {whole}
     for n in PIECE_CHARS:
-        found.update(marked[i:i + n] for i in range(len(marked) - n + 1))
-    return np.sort(np.array([xxhash.xxh64_intdigest(p) for p in found], dtype=np.uint64)).view(np.int64)
+        found.update(whole[i:i + n] for i in range(len(whole) - n + 1))
+    return found
+
+
+def piece_hashes(word: str) -> np.ndarray:
+    """Hashes of its pieces, in no order."""
+    pieces = pieces_of(word)
+    return np.fromiter(map(xxhash.xxh64_intdigest, pieces), dtype=np.uint64, count=len(pieces)).view(np.int64)
 
 
 class _Memory(dict):
@@ -162,9 +173,9 @@ def _g2(a, b, n1, n0):
 
 @dataclass
 class Model:
-    """Hash of a piece -> column, shared weights, increasing cuts, the probability from which a text is toxic."""
+    """Piece -> column, shared weights, increasing cuts, the probability from which a text is toxic."""
 
-    column: dict[int, int]
+    column: dict[str, int]
     weight: np.ndarray
     cuts: np.ndarray
     toxic_from: float = TOXIC_FROM
@@ -173,13 +184,18 @@ class Model:
         """(rows, LEVELS): P(grade > k)."""
         return _sigmoid(scores[:, None] - self.cuts[None, :])
 
-    def columns_of(self, word: str) -> tuple:
-        """Columns of the word's pieces."""
-        column = self.column
-        return tuple(column[p] for p in pieces_of(word).tolist() if p in column)
+    def memory(self) -> _Memory:
+        """Word -> columns of its pieces, which an automaton finds."""
+        if not self.column:
+            return _Memory(lambda word: ())
+        find = ahocorasick.Automaton()
+        for piece, c in self.column.items():
+            find.add_word(piece, c)
+        find.make_automaton()
+        return _Memory(lambda word: tuple({c for _, c in find.iter(marked(word))}))
 
     def scores(self, texts, memory: dict | None = None) -> np.ndarray:
-        memory = _Memory(self.columns_of) if memory is None else memory
+        memory = self.memory() if memory is None else memory
         out = np.zeros(len(texts))
         for i, text in enumerate(texts):
             seen: dict[int, int] = {}
@@ -228,7 +244,7 @@ def _descend(rows, cols, values, grade, width) -> tuple[np.ndarray, np.ndarray]:
 def _piece_counts(sample: DataFrame) -> DataFrame:
     """(piece, a, b): toxic and other rows that have the piece in some word."""
     def run(batches):
-        memory, held, size = _Memory(pieces_of), {True: [], False: []}, 0
+        memory, held, size = _Memory(piece_hashes), {True: [], False: []}, 0
 
         def frame():
             piece, at = np.unique(np.concatenate(held[True] + held[False]), return_inverse=True)
@@ -252,26 +268,31 @@ def _piece_counts(sample: DataFrame) -> DataFrame:
         F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
 
 
-def _vectors(sample: DataFrame, column: dict[int, int], marker: np.ndarray) -> pd.DataFrame:
-    """Rows (toxic, held, columns, times, marks) of the sample: counts of the chosen pieces, and how many words have a marker piece."""
+def _vectors(sample: DataFrame, column: dict[int, int], marker: np.ndarray) -> tuple[pd.DataFrame, dict[str, int]]:
+    """(rows (toxic, held, columns, times, marks), piece -> column): counts of the chosen pieces (by hash) in the sample's rows, how many words have a marker piece, and the pieces themselves."""
     shared = sample.sparkSession.sparkContext.broadcast((column, marker))
 
     def run(batches):
         of, favoured = shared.value
-        memory = _Memory(Model(of, marker, marker).columns_of)
+        memory, named = _Memory(lambda word: tuple(of[h] for h in piece_hashes(word).tolist() if h in of)), set()
         for batch in batches:
             rows = []
             for toxic, held, words, times in zip(batch["toxic"], batch["held"], batch["words"], batch["times"]):
-                seen, marks = {}, 0
+                seen, marks, names = {}, 0, {}
                 for word, n in zip(words, times):
                     found = memory[word]
                     marks += int(n) * any(favoured[c] for c in found)
                     for c in found:
                         seen[c] = seen.get(c, 0) + int(n)
-                rows.append((toxic, held, list(seen), list(seen.values()), marks))
-            yield pd.DataFrame(rows, columns=["toxic", "held", "columns", "times", "marks"])
+                    if not named.issuperset(found):
+                        names |= {p: of[h] for p in pieces_of(word) if (h := np.uint64(xxhash.xxh64_intdigest(p)).astype(np.int64).item()) in of}
+                        named.update(found)
+                rows.append((toxic, held, list(seen), list(seen.values()), marks, list(names), list(names.values())))
+            yield pd.DataFrame(rows, columns=["toxic", "held", "columns", "times", "marks", "pieces", "piece_columns"])
 
-    return sample.mapInPandas(run, "toxic int, held boolean, columns array<int>, times array<int>, marks long").toPandas()
+    got = sample.mapInPandas(run, "toxic int, held boolean, columns array<int>, times array<int>, marks long, "
+                                  "pieces array<string>, piece_columns array<int>").toPandas()
+    return got, {p: int(c) for ps, cs in zip(got["pieces"], got["piece_columns"]) for p, c in zip(ps, cs)}
 
 
 def _toxic_from(p: np.ndarray, toxic: np.ndarray) -> float:
@@ -306,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not any(r.g2 > 0 for r in picked):
         return none
     column, marker = {r.piece: i for i, r in enumerate(picked)}, np.array([r.g2 > 0 for r in picked])
-    rows = _vectors(sample.select("toxic", "held", "words", "times"), column, marker)
+    rows, pieces = _vectors(sample.select("toxic", "held", "words", "times"), column, marker)
     toxic, held = rows["toxic"].to_numpy() > 0, rows["held"].to_numpy(dtype=bool)
     learned = rows[~held]
     size = learned["columns"].map(len).to_numpy(dtype=np.int64)
@@ -315,7 +336,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     times = np.log1p(np.concatenate([*learned["times"], []]).astype(np.float64))
     grade = np.where(toxic[~held], 1 + np.searchsorted(GRADE_FROM, learned["marks"], side="right"), 0)
     weight, cuts = _descend(at, cols, times, grade, len(column))
-    model = Model(column, weight, cuts)
+    model = Model(pieces, weight, cuts)
     score = np.array([weight[np.asarray(c, dtype=np.int64)] @ np.log1p(np.asarray(t, dtype=np.float64))
                       for c, t in zip(rows["columns"][held], rows["times"][held])], dtype=np.float64)
     model.toxic_from = _toxic_from(model.above(score)[:, 0], toxic[held])
@@ -333,7 +354,7 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        memory = _Memory(shared.value.columns_of)
+        memory = shared.value.memory()
         for batch in batches:
             above = shared.value.above(shared.value.scores(batch["text"].tolist(), memory))
             grade = (above >= shared.value.toxic_from).sum(axis=1).astype(np.int32)
@@ -355,7 +376,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     @F.pandas_udf("boolean")
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memory = _Memory(shared.value.columns_of)
+        memory = shared.value.memory()
         for texts in parts:
             yield pd.Series(~shared.value.is_toxic(texts.tolist(), memory))
 
