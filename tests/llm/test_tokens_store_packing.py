@@ -136,6 +136,21 @@ def test_reduction_fixes_what_dominates():
     assert len(made.slots) < 2000
 
 
+def test_reduction_never_costs_a_sequence():
+    """What is fixed, and the best packing of the rest, take as few sequences as the best packing of all; triples are among it."""
+    rng, triples = random.Random(9), 0
+    for _ in range(400):
+        low = rng.choice([1, 4, 6])
+        items = [rng.randint(low, 20) for _ in range(rng.randint(3, 9))]
+        planner = packing._Planner(Counter(items), 24)
+        planner.reduce()
+        rest = [x for x, c in planner.left.items() for _ in range(c)]
+        assert planner.plan.sequences == planner.plan.fixed
+        assert planner.plan.fixed + fewest(rest, 24) == fewest(items, 24), items
+        triples += sum(len(slots) == 3 for slots in layout(planner.plan)[0].values())
+    assert triples > 20
+
+
 def check_pack(rows, got, end=1, capacity=4096):
     tok = tokens.load_tokenizer(tokens.word_bpe_path())
     want = Counter()
@@ -226,6 +241,21 @@ def test_fields(spark):
     assert got[(1, 0)] == 3 and got[(1, 2)] >= 1 and (1, 1) not in got
 
 
+def test_fields_of_odd_rows(spark):
+    long = "word " * 50_000
+    df = spark.createDataFrame([(1, "a\x00b", "\x00"), (None, None, None), (2, long, "x"), (2, long, "x"), (3, "", "y")], "k long, a string, doc_id string")
+    got = attribution.count_fields(df, ["a", "doc_id"], "k").collect()
+    plain = tokens.load_tokenizer(tokens.byte_bpe_path())
+    want = Counter()
+    for r in df.collect():
+        want[r.k] += len(plain.encode(f"{r.a or ''}\n{r.doc_id or ''}", add_special_tokens=False).ids)
+    total = Counter()
+    for r in got:
+        total[r.doc_id] += r.n_tokens
+    assert total == want and {r.section for r in got if r.doc_id == 3} <= {-1, 1}
+    assert attribution.count_fields(df.where("false"), ["a"], "k").count() == 0
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert attribution.count_sections(df).count() == 0

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilspark.llm.tokens import ByteEncoder, byte_bpe_path
+from vigilspark.llm.tokens import ByteEncoder, byte_bpe_path, chunks
 
 RULES = ("majority", "first")
 #: What ends a sentence.
@@ -81,9 +81,9 @@ def count_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         encoder = ByteEncoder(path)
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
-            for a in range(0, len(texts), 500):
+            for a, b in chunks(texts):
                 parts = []
-                for text, ids in zip(texts[a:a + 500], encoder.encode(texts[a:a + 500])):
+                for text, ids in zip(texts[a:b], encoder.encode_each(texts[a:b])):
                     own = spans(text) if text else np.zeros((1, 2), dtype=np.int64)
                     number = np.arange(len(own))
                     if len(ids):
@@ -99,7 +99,7 @@ def count_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     parts.append((number, own[:, 0], own[:, 1], n, crossing, np.full(len(own), len(ids))))
                 size = [len(p[0]) for p in parts]
                 columns = [np.concatenate(c) for c in zip(*parts)]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:a + 500].repeat(size).reset_index(drop=True), **dict(zip(
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].repeat(size).reset_index(drop=True), **dict(zip(
                     ("section", "start", "end", "n_tokens", "n_crossing", "doc_tokens"), columns))})
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -111,22 +111,21 @@ def count_fields(rows: DataFrame, fields: list[str], id_col: str, joiner: str =
                  rule: str = "majority") -> DataFrame:
     """``count_sections`` of the text made of ``fields`` joined by ``joiner``, section k being field k.
 
-    A null field is empty; an empty one has no row.  The joiner's tokens are in section -1
-    where the rule doesn't give them to a field.
+    A null or empty field has no row.  The joiner's tokens are in
+    section -1 where the rule doesn't give them to a field.  Repeated rows stay
+    repeated, a null id stays null, an empty table gives an empty result.
     """
-    mark = "\x00"  # fields hold no NUL here: it is stripped before
-    own = [F.translate(F.coalesce(F.col(f).cast("string"), F.lit("")), mark, "") for f in fields]
-    sizes = F.concat_ws(",", *[F.length(c).cast("string") for c in own])
-    made = rows.select(F.col(id_col).alias("doc_id"), F.concat(sizes, F.lit(mark), F.concat_ws(joiner, *own)).alias("text"))
+    own = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    made = rows.select(F.col(id_col).alias("doc_id"), F.array(*[F.length(c).cast("long") for c in own]).alias("sizes"),
+                       F.concat_ws(joiner, *own).alias("text"))
     path, gap = tokenizer_path or byte_bpe_path(), len(joiner)
 
     def run(batches):
         encoder = ByteEncoder(path)
         for batch in batches:
             out = []
-            for doc_id, marked in zip(batch["doc_id"], batch["text"]):
-                sizes, text = marked.split(mark, 1)
-                size = np.array(sizes.split(","), dtype=np.int64)
+            for doc_id, sizes, text in zip(batch["doc_id"], batch["sizes"], batch["text"]):
+                size = np.asarray(sizes, dtype=np.int64)
                 start = np.cumsum(size + gap) - size - gap
                 full = np.flatnonzero(size)
                 ids = encoder.encode([text])[0]

@@ -9,7 +9,11 @@ Reduction: for a length j, with k the longest remaining length that fits
 beside it, a set is fixed for good if no alternative can be better:
   - nothing fits beside j: {j};
   - j and k fill the sequence: {j, k};
-  - only one more piece can ever stand beside j: {j, k}.
+  - only one more piece can ever stand beside j: {j, k};
+  - at most two more can, and k is at least as long as any two that fit
+    together: {j, k};
+  - at most two more can, b is the longest that fits beside j and k, and no two
+    pieces longer than b fit together: {j, k, b}.
 Each fixing shrinks the instance and may allow others, so the rules run until
 none applies.  The remainder is packed best-fit, longest first.  All copies
 of a length are handled at once.
@@ -81,11 +85,11 @@ class _Planner:
             del self.left[length]
             self.lengths.pop(bisect_left(self.lengths, length))
 
-    def _fix(self, j: int, k: int | None, n: int):
-        first = self.plan.sequences
-        self._take(j, n, first, 0)
-        if k is not None:
-            self._take(k, n, first, j)
+    def _fix(self, pieces: list[int], n: int):
+        first, offset = self.plan.sequences, 0
+        for x in pieces:
+            self._take(x, n, first, offset)
+            offset += x
         self.plan.sequences += n
         self.plan.fixed += n
 
@@ -98,6 +102,38 @@ class _Planner:
             at -= 1
         return (self.lengths[at] if at >= 0 else None), (sum(least) if len(least) == 2 else None)
 
+    def _others(self, gone: list[int], longer_than: int = 0):
+        """Pieces left besides those gone, shortest first, each length at most three times."""
+        for x in self.lengths[bisect_right(self.lengths, longer_than):]:
+            yield from [x] * min(3, self.left[x] - gone.count(x))
+
+    def _best_pair(self, j: int, room: int) -> int:
+        """Largest sum of two pieces beside j that is not above ``room``; 0 if there is none."""
+        best, low, high = 0, 0, bisect_right(self.lengths, room) - 1
+        has = lambda x, n: self.left[x] - (x == j) >= n
+        while low <= high:
+            x, y = self.lengths[low], self.lengths[high]
+            if x + y > room:
+                high -= 1
+            else:
+                if has(x, 1 + (low == high)) and has(y, 1 + (low == high)):
+                    best = max(best, x + y)
+                low += 1
+        # equal pieces meet above only where the two ends do
+        return max([best, *(2 * x for x in self.lengths[:bisect_right(self.lengths, room // 2)] if has(x, 2))])
+
+    def _with_two_more(self, j: int, k: int) -> list[int] | None:
+        """What dominates every set of j with at most two more pieces, if more than two never fit and one does."""
+        room = self.capacity - j
+        least = [x for x, _ in zip(self._others([j]), range(3))]
+        if len(least) == 3 and sum(least) <= room:
+            return None
+        beside = [x for x in self.lengths[:bisect_right(self.lengths, room - k)] if self.left[x] > [j, k].count(x)]
+        if not beside:
+            return [j, k] if k >= self._best_pair(j, room) else None
+        longer = [x for x, _ in zip(self._others([j], beside[-1]), range(2))]
+        return [j, k, beside[-1]] if len(longer) < 2 or sum(longer) > room else None
+
     def reduce(self):
         """Fix dominating sets until no rule applies."""
         changed = True
@@ -107,10 +143,12 @@ class _Planner:
                 while j in self.left:
                     k, two = self._beside(j)
                     if k is None:
-                        self._fix(j, None, self.left[j] if 2 * j > self.capacity else 1)
+                        self._fix([j], self.left[j] if 2 * j > self.capacity else 1)
                     elif j + k == self.capacity or two is None or j + two > self.capacity:
                         n = self.left[j] // 2 if j == k else min(self.left[j], self.left[k])
-                        self._fix(j, k, n)
+                        self._fix([j, k], n)
+                    elif pieces := self._with_two_more(j, k):
+                        self._fix(pieces, min(self.left[x] for x in pieces) if len(set(pieces)) == len(pieces) else 1)
                     else:
                         break
                     changed = True
