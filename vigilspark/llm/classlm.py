@@ -36,7 +36,7 @@ from vigilspark.session import discard, store
 
 CLASSES = 64
 FIRST_WORDS = 1_000
-LOOKUP_WORDS = 1 << 22
+LOOKUP_WORDS = 1 << 21
 SWEEPS = 6
 RISE = 1e-3
 DISCOUNT = 0.5
@@ -154,6 +154,12 @@ class Lookup:
         return np.where(self.keys[at] == keys, self.number[at], ~keys)
 
 
+def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
+    """Columns of a frame of bounded size, as Arrow brings them."""
+    table = df.select(*names).toArrow()
+    return [table.column(n).to_numpy() for n in names]
+
+
 def _lookup(counts: DataFrame) -> Lookup:
     # distinct counts are few: they add up to the number of tokens at most
     sizes = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()
@@ -162,14 +168,13 @@ def _lookup(counts: DataFrame) -> Lookup:
         if held + r.words > LOOKUP_WORDS:
             break
         least, held = r.n, held + r.words
-    known = counts.where(F.col("n") >= least).toPandas()  # at most LOOKUP_WORDS rows
-    keys, n = known["key"].to_numpy(dtype=np.int64), known["n"].to_numpy(dtype=np.int64)
+    keys, n = _columns(counts.where(F.col("n") >= least), "key", "n")  # at most LOOKUP_WORDS rows
     if not (keys == END).any():
         held_end = counts.where(F.col("key") == int(END)).first()
         keys, n = np.append(keys, END), np.append(n, held_end.n if held_end else 0)
     order = np.lexsort((keys, -n))
     by_key = np.argsort(keys[order])
-    return Lookup(keys[order][by_key], by_key, n[order], (keys[order] & (SHAPES - 1)).astype(np.uint8), _byte(keys[order]), least,
+    return Lookup(keys[order][by_key], by_key.astype(np.int32), n[order], (keys[order] & (SHAPES - 1)).astype(np.uint8), _byte(keys[order]), least,
                   held == sum(r.words for r in sizes))
 
 
@@ -288,8 +293,8 @@ def _first_classes(near: DataFrame, lookup: Lookup, shared, classes: int, sweeps
 
     pair = np.zeros(items * items)
     # at most (FIRST_WORDS + 33) squared rows
-    got = near.where("after").select("w", "o", "n").mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    pair[got["at"].to_numpy()] = got["n"]
+    at, n = _columns(near.where("after").select("w", "o", "n").mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")), "at", "n")
+    pair[at] = n
     return cluster(pair.reshape(items, items), classes, sweeps)
 
 
@@ -405,17 +410,20 @@ def _class_table(near: DataFrame, classes: int, cls: np.ndarray, rare: DataFrame
     def run(batches):
         table = np.zeros(classes * classes)
         for batch in batches:
-            w, o = batch["w"].to_numpy(), batch["o"].to_numpy()
-            table += np.bincount(shared.value[w].astype(np.int64) * classes + shared.value[o], weights=batch["n"].to_numpy(), minlength=classes * classes)
+            w, o = (batch[c].to_numpy() for c in ("w", "o"))
+            cw, co = shared.value[np.maximum(w, 0)].astype(np.int64), shared.value[np.maximum(o, 0)].astype(np.int64)
+            if "cw" in batch:
+                cw, co = np.where(w < 0, batch["cw"], cw), np.where(o < 0, batch["co"], co)
+            table += np.bincount(cw * classes + co, weights=batch["n"].to_numpy(), minlength=classes * classes)
         yield pd.DataFrame({"at": np.arange(classes * classes), "n": table.astype(np.int64)})
 
-    after = near.where("after")
-    cells = after.where("w >= 0 and o >= 0").select("w", "o", "n").mapInPandas(run, "at int, n long")
+    after = near.where("after").select("w", "o", "n")
+    cells = after.where("w >= 0 and o >= 0").mapInPandas(run, "at int, n long")
     if rare is not None:
-        numbered = spark.createDataFrame(pd.DataFrame({"code": np.arange(len(cls)), "c": cls.astype(np.int32)}))
-        of = numbered.unionByName(rare.select("code", "c"))
-        far = after.where("w < 0 or o < 0").join(of.toDF("w", "cw"), "w").join(of.toDF("o", "co"), "o")
-        cells = cells.unionByName(far.select((F.col("cw") * classes + F.col("co")).alias("at"), F.col("n").cast("long").alias("n")))
+        of, none = rare.select("code", "c"), F.lit(-1)
+        far = after.where("w < 0 or o < 0").join(of.toDF("w", "cw"), "w", "left").join(of.toDF("o", "co"), "o", "left").select(
+            "w", "o", "n", F.coalesce("cw", none).cast("long").alias("cw"), F.coalesce("co", none).cast("long").alias("co"))
+        cells = cells.unionByName(far.mapInPandas(run, "at int, n long"))
     table = np.zeros(classes * classes)
     for r in cells.groupBy("at").agg(F.sum("n").alias("n")).collect():
         table[r["at"]] = r["n"]
@@ -510,9 +518,9 @@ def refine(near: DataFrame, lookup: Lookup, cls: np.ndarray, rare: DataFrame | N
             return best[1:]
         sweep += 1
         moved = store(_sweep(near, classes, cls, lookup.byte, lookup.hot, rare, table, sweep))
-        numbered = moved.where("code >= 0").toPandas()  # at most LOOKUP_WORDS rows
+        code, to = _columns(moved.where("code >= 0"), "code", "c")  # at most LOOKUP_WORDS rows
         cls = cls.copy()
-        cls[numbered["code"].to_numpy()] = numbered["c"]
+        cls[code] = to
         if rare is not None:
             before = rare
             to = moved.where("code < 0").select("code", F.col("c").alias("to"))
