@@ -26,6 +26,7 @@ HEADLINE = [
     "aggregate_rollup", "boot_window_stats", "window_hit_count", "pattern_reset",
     "capped_buffer", "journal_parse", "journal_alerts", "line_keyword_hits", "flag_counts",
     "correlation_span_alerts", "correlation_three_sources", "dedup_rerun", "status_report",
+    "rules_table_hits", "anomaly_two_parts",
 ]
 
 

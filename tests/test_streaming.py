@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import SEC, fires_by_definition
+from tests.conftest import BASE_NS, SEC, entries_df, fires_by_definition
 
 from vigilspark.config import AlertRules, Threshold
 from vigilspark.operators.alerts import single_threshold_alerts
@@ -22,7 +22,7 @@ from vigilspark.plans.jobs import monitor_job
 from vigilspark.sources.journal import read_journal_stream
 from vigilspark.sources.store import read_flags
 from vigilspark.streaming.stream import (
-    boot_state, closed_rollups, entries_stream, fires_in, flag_sink, hourly_state, keyword_state, observation_log, state_sink,
+    block_alert_sink, boot_state, closed_rollups, entries_stream, fires_in, flag_sink, hourly_state, keyword_state, observation_log, state_sink,
     stream_alert_pipeline, stream_threshold)
 
 SF = "/root/testdata/sf0.01"
@@ -215,3 +215,69 @@ def test_stream_skips_hits_flagged_in_an_earlier_run(spark, tmpdir_path):
     # the same as the batch pipeline given the same prior flags
     expect = alert_pipeline(batch_e, P.RULES, prior_flags=dedup_keys(spark, sink))
     assert new == {(r.timestamp_ns, r.pattern_key) for r in expect.collect()}
+
+
+# ------------------------------------------------------------- live block fold
+
+def _flags_of(spark, path):
+    from vigilspark.sources.store import read_flags
+    return sorted(map(tuple, read_flags(spark, path).collect()), key=str)
+
+
+def _in_order(spark, entries, rules, path, cuts, **kw):
+    sink = block_alert_sink(f"{path}/flags", f"{path}/held", rules, (f"{path}/archive",), block_rows=50, **kw)
+    edges = [None, *cuts, None]
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        part = entries if a is None else entries.where(F.col("timestamp_ns") >= a)
+        sink(part if b is None else part.where(F.col("timestamp_ns") < b), i)
+    return sink
+
+
+def test_block_fold_over_batches_equals_the_whole(spark, tmpdir_path):
+    from vigilspark.operators.alerts import alert_pipeline
+    entries = events_as_entries(spark.read.parquet(f"{SF}/events.parquet"))
+    day = 86400 * 10**9
+    cuts = [P.AGG_ANCHOR_NS + d * day for d in (3, 4, 17)]
+    _in_order(spark, entries, P.RULES, tmpdir_path, cuts)
+    whole = alert_pipeline(entries, P.RULES)
+    from vigilspark.sources.store import FLAT_FLAGS
+    assert _flags_of(spark, f"{tmpdir_path}/flags") == sorted(map(tuple, whole.select(*FLAT_FLAGS.fieldNames()).collect()), key=str)
+
+
+def test_block_fold_replays_and_never_flags_twice(spark, tmpdir_path, monkeypatch):
+    from vigilspark.sources.versions import VersionedTable
+    rules = AlertRules(watched=["error"], critical=[], thresholds={"PATTERN_WATCH": Threshold(3, 5, 60), "CORRELATION": Threshold(2, 3, 300),
+                                                                   "TRIAGE": Threshold(1, 1, 0)})
+    at = lambda *seconds: entries_df(spark, [(BASE_NS + s * SEC, "u", f"error {s}", 3, s) for s in seconds])
+    fired = lambda: [(r[0] - BASE_NS) // SEC for r in _flags_of(spark, f"{tmpdir_path}/flags")]
+    sink = block_alert_sink(f"{tmpdir_path}/flags", f"{tmpdir_path}/held", rules, (f"{tmpdir_path}/archive",))
+    sink(at(1, 2), 0)
+    sink(at(1, 2), 0)       # replayed: the two count once
+    sink(at(), 1)
+    assert fired() == []
+    commit = VersionedTable.commit
+    monkeypatch.setattr(VersionedTable, "commit", lambda self, *a, **k: 1 / 0 if self.path.endswith("held") else commit(self, *a, **k))
+    with pytest.raises(ZeroDivisionError):
+        sink(at(3, 40, 50), 2)   # dies between its flags and its state
+    assert fired() == [3]
+    monkeypatch.setattr(VersionedTable, "commit", commit)
+    sink(at(3, 40, 50), 2)
+    assert fired() == [3]
+    sink(at(3, 55, 3), 3)   # 3 was flagged before; 40, 50 and 55 make three
+    assert fired() == [3, 55]
+    sink(at(300, 320), 4)
+    sink(at(310), 5)        # late: counts in its place, the held hit at 320 fires
+    assert fired() == [3, 55, 320]
+
+
+def test_block_fold_of_one_key_out_of_order(spark, tmpdir_path):
+    """All hits of one key in one batch, shuffled, over many blocks."""
+    import random
+    rng = random.Random(3)
+    rules = AlertRules(watched=["error"], critical=[], thresholds={"PATTERN_WATCH": Threshold(4, 6, 30), "CORRELATION": Threshold(2, 3, 300),
+                                                                   "TRIAGE": Threshold(1, 1, 0)})
+    times = [rng.randrange(20_000) for _ in range(3000)]
+    rows = [(BASE_NS + t * SEC, "u", "error", 3, i) for i, t in enumerate(times)]
+    block_alert_sink(f"{tmpdir_path}/flags", f"{tmpdir_path}/held", rules, block_rows=200)(entries_df(spark, rows).repartition(5), 0)
+    want = fires_by_definition([(r[0], r[4], "u") for r in rows], 4, 6, 30)
+    assert sorted((r[0], r[7]) for r in _flags_of(spark, f"{tmpdir_path}/flags")) == sorted((t, n) for t, _, n in want)

@@ -169,24 +169,15 @@ def monitor_job(spark: SparkSession, journal_dir: str, state_dir: str, rules: Al
     """Start the live queries; returns the list of StreamingQuery handles.
 
     ``trigger`` defaults to a 10-second processing-time tick (the original
-    tool's status tick); tests pass ``{"availableNow": True}``.  What counts
-    as flagged before is fixed when the checkpoint is made: flags written
-    since then are remembered by the stream's own state, so a replayed
-    micro-batch counts the same hits again.
+    tool's status tick); tests pass ``{"availableNow": True}``.  Alerts run
+    on the block fold, whose state is a table named by batch: a replayed
+    micro-batch counts the same hits and flags nothing twice.
     """
-    from vigilspark.operators.retention import pause_filtered
     trigger = trigger or {"processingTime": "10 seconds"}
-    flags_path = os.path.join(state_dir, "flags")
-    prior_path = os.path.join(state_dir, "_prior_flags")
-    if not store._exists(spark, prior_path):
-        store.dedup_keys(spark, flags_path, os.path.join(state_dir, "archive"), os.path.join(state_dir, "cleared")) \
-            .write.parquet(prior_path)
-    prior = spark.read.schema("timestamp_ns long, pattern_key string").parquet(prior_path)
+    paths = {name: os.path.join(state_dir, name) for name in ("flags", "held", "archive", "cleared")}
     parsed = journal.read_parsed_stream(spark, journal_dir, files_per_trigger)
-    entries = journal.live_entries(parsed)
-    heard = entries if pauses is None else pause_filtered(entries, pauses)
-    alerts = (stream.stream_alert_pipeline(heard, rules, prior_flags=prior).writeStream.outputMode("append")
-              .foreachBatch(stream.flag_sink(flags_path))
+    sink = stream.block_alert_sink(paths["flags"], paths["held"], rules, (paths["archive"], paths["cleared"]), pauses)
+    alerts = (journal.live_entries(parsed).writeStream.outputMode("append").foreachBatch(sink)
               .option("checkpointLocation", os.path.join(state_dir, "_ck_flags")).trigger(**trigger).start())
     sums = (parsed.writeStream.outputMode("append")
             .foreachBatch(stream.state_sink(state_dir, rules, anchor_ns, boot_window_seconds, pauses))
