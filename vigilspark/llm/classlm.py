@@ -179,10 +179,11 @@ def _lookup(counts: DataFrame) -> Lookup:
 
 
 def neighbours(texts: DataFrame, lookup) -> DataFrame:
-    """(w, after, o, n): how often word o stands behind (``after``) or before word w; END stands before a text's first word and after its last.
+    """(w, half, after, o, n): times that word o stands behind (``after``) or before word w; END stands before a text's first word and after its last.
 
-    Words are told by their codes.  All rows of a word lie together, sorted,
-    but for words of HOT_TOKENS and more, which are dealt out by the neighbour.
+    Words are told by their codes; ``half`` is w's ``_byte``.  All rows of a word
+    lie together, those before it first, but for words of HOT_TOKENS and more,
+    which are dealt out by the neighbour.  A pair has a row for each flush that met it.
     """
     def run(batches):
         look, memory, parts, size = lookup.value, _Keys(), [], 0
@@ -192,7 +193,9 @@ def neighbours(texts: DataFrame, lookup) -> DataFrame:
             a, b = look.codes(a), look.codes(b)
             w, o = np.append(a, b), np.append(b, a)
             hot = (w >= 0) & (w < look.hot)
-            return _frames(w, np.arange(len(w)) < len(a), o, np.append(n, n), np.where(hot, o % HOT_PARTS, 0), names=("w", "after", "o", "n", "part"))
+            half = np.where(w >= 0, look.byte[np.maximum(w, 0)], _byte(~w))
+            return _frames(w, half.astype(np.int16), np.arange(len(w)) < len(a), o, np.append(n, n), np.where(hot, o % HOT_PARTS, 0),
+                           names=("w", "half", "after", "o", "n", "part"))
 
         for batch in batches:
             own = batch["text"].tolist()
@@ -206,15 +209,14 @@ def neighbours(texts: DataFrame, lookup) -> DataFrame:
         if parts:
             yield from rows()
 
-    made = texts.select("text").mapInPandas(run, "w long, after boolean, o long, n int, part int").repartition("w", "part")
-    made = made.groupBy("w", "part", "after", "o").agg(F.sum("n").alias("n"))
-    return made.sortWithinPartitions("w", "after", "o").select("w", "after", "o", "n")
+    made = texts.select("text").mapInPandas(run, "w long, half short, after boolean, o long, n long, part int").repartition("w", "part")
+    return made.sortWithinPartitions("w", "after").drop("part")
 
 
 # ------------------------------------------------------------------ clustering
 
 def _xlogx(x):
-    return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+    return x * np.log(np.maximum(x, 1))
 
 
 def _exchange(left: np.ndarray, right: np.ndarray, own: np.ndarray, cls: np.ndarray, order: np.ndarray) -> int:
@@ -332,8 +334,8 @@ def _best_of_many(left: np.ndarray, right: np.ndarray, own: np.ndarray, cls: np.
 
     A neighbour's class j with count n adds f(table[k, j] + n) - f(table[k, j])
     to the gain of class k, f(x) = x log x, where neither j nor k is the word's
-    own class; for small n that is one table per n, so these sums are matrix
-    products.  Own classes are worked out apart.
+    own class; for small n that is a row of a table, so rows are gathered and
+    added up.  Own classes are worked out apart.
     """
     pick, classes = np.arange(len(cls)), table.shape[0]
     gain, outs = np.zeros_like(left), []
@@ -343,10 +345,11 @@ def _best_of_many(left: np.ndarray, right: np.ndarray, own: np.ndarray, cls: np.
         outs.append(out)
         rest = out.copy()
         rest[pick, cls] = 0
-        for n in range(1, SMALL + 1):
-            has = rest == n
-            if has.any():
-                gain += has.astype(np.float64) @ (_xlogx(t + n) - _xlogx(t)).T
+        tables = np.concatenate([(_xlogx(t + n) - _xlogx(t)).T for n in range(1, SMALL + 1)])
+        w, j = np.nonzero((rest > 0) & (rest <= SMALL))
+        if len(w):
+            start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            gain[w[start]] += np.add.reduceat(tables[(rest[w, j].astype(np.int64) - 1) * classes + j], start)
         w, j = np.nonzero(rest > SMALL)
         if len(w):
             n = rest[w, j][:, None]
@@ -364,12 +367,12 @@ def _best_of_many(left: np.ndarray, right: np.ndarray, own: np.ndarray, cls: np.
         base[np.arange(len(at)), cls[at]] -= mine[at, cls[at]] - own[at]
         base = np.maximum(base, 0)
         gain[at] += _xlogx(base + n[at, None]) - _xlogx(base)
+    # the cell of k beside itself, where the word has neighbours of k on both sides or stands beside itself
     r, l = outs
-    at = np.flatnonzero((own > 0) | ((r > 0) & (l > 0)).any(axis=1))
-    cell = np.repeat(np.diag(table)[None, :], len(at), axis=0)
-    cell[np.arange(len(at)), cls[at]] += own[at] - left[at, cls[at]] - right[at, cls[at]]
-    cell, r, l, o = np.maximum(cell, 0), r[at], l[at], own[at, None]
-    gain[at] += _xlogx(cell + r + l + o) - _xlogx(cell + r) - _xlogx(cell + l) + _xlogx(cell)
+    w, k = np.nonzero(((r > 0) & (l > 0)) | (own > 0)[:, None])
+    cell = np.maximum(np.diag(table)[k] + (k == cls[w]) * (own[w] - left[w, cls[w]] - right[w, cls[w]]), 0)
+    r, l, o = r[w, k], l[w, k], own[w]
+    np.add.at(gain, (w, k), _xlogx(cell + r + l + o) - _xlogx(cell + r) - _xlogx(cell + l) + _xlogx(cell))
     for sums, n in ((table.sum(axis=1), right.sum(axis=1)), (table.sum(axis=0), left.sum(axis=1))):
         value, which = np.unique(n, return_inverse=True)
         gain -= (_xlogx(sums[None, :] + value[:, None]) - _xlogx(sums)[None, :])[which]
@@ -386,20 +389,23 @@ def _byte(keys: np.ndarray) -> np.ndarray:
     return ((x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(56)).astype(np.uint8)
 
 
-def _runs(batches):
-    """The batches of a neighbour table again, cut so that a run of rows of one word stays together (but for those longer than FLUSH_AT rows)."""
-    held = None
+def _runs(batches, columns=("w", "after", "o", "n"), rows: int = 100_000):
+    """Columns of the batches again, ``rows`` at a time or more, cut so that a run of one word stays together (but for those longer than FLUSH_AT rows)."""
+    held, size = [], 0
     for batch in batches:
-        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        w = held["w"].to_numpy()
-        cut = int(np.argmax(w == w[-1])) if len(w) else 0
-        if len(w) - cut > FLUSH_AT:
-            cut = len(w)
-        if cut >= 20_000 or cut == len(w):
-            yield held.iloc[:cut]
-            held = held.iloc[cut:]
-    if held is not None and len(held):
-        yield held
+        held.append([batch[c].to_numpy() for c in columns])
+        size += len(batch)
+        if size < rows:
+            continue
+        whole = [np.concatenate(c) for c in zip(*held)]
+        cut = int(np.argmax(whole[0] == whole[0][-1]))
+        if size - cut > FLUSH_AT:
+            cut = size
+        if cut:
+            yield [c[:cut] for c in whole]
+        held, size = [[c[cut:] for c in whole]], size - cut
+    if size:
+        yield [np.concatenate(c) for c in zip(*held)]
 
 
 def _class_table(near: DataFrame, classes: int, cls: np.ndarray, rare: DataFrame | None) -> np.ndarray:
@@ -430,24 +436,15 @@ def _class_table(near: DataFrame, classes: int, cls: np.ndarray, rare: DataFrame
     return table.reshape(classes, classes)
 
 
-def _sweep(near: DataFrame, classes: int, cls: np.ndarray, byte: np.ndarray, hot: int, rare: DataFrame | None, table: np.ndarray,
-           sweep: int) -> DataFrame:
+def _sweep(near: DataFrame, classes: int, cls: np.ndarray, hot: int, rare: DataFrame | None, table: np.ndarray, sweep: int) -> DataFrame:
     """(code, c): new classes of the words that move to another one."""
     spark = near.sparkSession
-    shared = spark.sparkContext.broadcast((cls, table, byte >> (sweep % 8) & 1))
+    shared = spark.sparkContext.broadcast((cls, table))
 
     def histograms(batches):
         """Per run (code, c, own, whole, counts by class before and after); rows of unnumbered neighbours are left to a join."""
-        for rows in _runs(batches):
-            cls = shared.value[0]
-            w = rows["w"].to_numpy()
-            moves, known = shared.value[2], w >= 0
-            keep = np.empty(len(w), dtype=bool)
-            keep[known], keep[~known] = moves[w[known]], _byte(~w[~known]) >> (sweep % 8) & 1
-            rows, w = rows[keep], w[keep]
-            if not len(w):
-                continue
-            o, n, after = rows["o"].to_numpy(), rows["n"].to_numpy(dtype=np.float64), rows["after"].to_numpy(dtype=bool)
+        for w, after, o, n in _runs(batches):
+            cls, after, n = shared.value[0], after.astype(bool), n.astype(np.float64)
             start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
             at = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(w))))
             code = w[start]
@@ -490,10 +487,11 @@ def _sweep(near: DataFrame, classes: int, cls: np.ndarray, byte: np.ndarray, hot
             for frame in decide(code, hist[:, :-1], hist[:, -1], now):
                 yield frame[["code", "c"]]
 
-    out = store(near.mapInPandas(run, "code long, c int, at int, n long"))
+    moving = near.where(F.shiftright(F.col("half").cast("int"), sweep % 8).bitwiseAND(1) == 1)
+    out = store(moving.select("w", "after", "o", "n").mapInPandas(run, "code long, c int, at int, n long"))
     parts = out.where("at >= 0").select("code", "at", "n")
     if rare is not None:
-        far = near.where("o < 0").join(rare.select(F.col("code").alias("o"), "c"), "o").select(
+        far = moving.where("o < 0").join(rare.select(F.col("code").alias("o"), "c"), "o").select(
             F.col("w").alias("code"), (F.when(F.col("after"), classes).otherwise(0) + F.col("c")).alias("at"), F.col("n").cast("long").alias("n"))
         # every word that may move and has such a neighbour has a part above
         parts = parts.unionByName(far.join(parts.select("code").distinct(), "code", "left_semi"))
@@ -517,7 +515,7 @@ def refine(near: DataFrame, lookup: Lookup, cls: np.ndarray, rare: DataFrame | N
         if idle == 2 or not tokens:
             return best[1:]
         sweep += 1
-        moved = store(_sweep(near, classes, cls, lookup.byte, lookup.hot, rare, table, sweep))
+        moved = store(_sweep(near, classes, cls, lookup.hot, rare, table, sweep))
         code, to = _columns(moved.where("code >= 0"), "code", "c")  # at most LOOKUP_WORDS rows
         cls = cls.copy()
         cls[code] = to
