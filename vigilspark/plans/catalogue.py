@@ -483,6 +483,20 @@ def q_journal_capped(spark, sf_dir):
     return retention.capped_buffer(first.unionByName(second), P.BUFFER_CAP)
 
 
+def q_text_log_lines(spark, sf_dir):
+    """S3: the lines of ``documents`` as flat log files, taken by two passes of a cursor, the second after more files came:
+    every line, how often it is there, and how many numbers its copies got."""
+    path, cursor, parts = _scratch(spark, "text"), ArrivalCursor(spark, _scratch(spark, "cursor")), []
+    lines = document_lines(read_table(spark, sf_dir, "documents"))
+    for rest in range(2):
+        lines.where(F.pmod("doc_id", F.lit(2)) == rest).select("raw").write.mode("append").text(path)
+        fresh, commit = store.new_text_lines(spark, path, cursor)
+        parts.append(fresh)
+        commit()
+    both = parts[0].unionByName(parts[1])
+    return both.groupBy("raw").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("seq").alias("numbers"))
+
+
 def q_archive_live(spark, sf_dir):
     """M3 on the live table: its folders appended as micro-batches, one of them replayed, two archive passes."""
     live, archive = _scratch(spark, "flags"), _scratch(spark, "archive")
@@ -619,6 +633,7 @@ QUERIES = {
     "seed_in_two_parts": q_seed_in_two_parts,
     "journal_incremental": q_journal_incremental,
     "journal_capped": q_journal_capped,
+    "text_log_lines": q_text_log_lines,
     "archive_live": q_archive_live,
     "live_baseline_merge": q_live_baseline_merge,
     "anomaly_two_parts": q_anomaly_two_parts,

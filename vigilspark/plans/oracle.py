@@ -628,6 +628,11 @@ def sql_live_anomalies():
 FROM hours h LEFT JOIN base b USING (slot_key) WHERE hour_ns >= {split}""")
 
 
+def sql_text_log_lines():
+    return """SELECT raw, count(*) AS lines, count(*) AS numbers
+FROM (SELECT unnest(string_split(text, chr(10))) AS raw FROM documents) x GROUP BY raw"""
+
+
 def sql_rules_table_hits():
     return """WITH words AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS keyword FROM benchmark),
 rules AS (

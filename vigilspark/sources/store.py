@@ -23,6 +23,7 @@ from vigilspark.config import NS_PER_DAY, ROLLING_WINDOW_HOURS
 from vigilspark.operators.flags import flatten_entry, nest_entry, with_flag_date
 from vigilspark.schemas import BASELINE, BOOT_STATS, FLAGGED, KEYWORD_STATS, LOG_ENTRY
 from vigilspark.session import materialize
+from vigilspark.sources.arrival import ArrivalCursor, placed_lines
 from vigilspark.sources.versions import Version, VersionedTable
 
 FLAT_FLAGS = T.StructType([
@@ -370,7 +371,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
             return False
 
 
-#: What every source gives: the entry, its place in arrival order, and where it comes from, null where unknown.
+#: What every source gives: the entry, an order key for equal times, and where it comes from, null where unknown.  ``seq``
+#: is the arrival number only where an ``ArrivalCursor`` gave it; R2 and R4 need that one.
 ENTRY_CONTRACT = ["timestamp_ns", "seq", "source", "raw", "priority", "unit", "boot_id", "monotonic_us"]
 
 
@@ -401,6 +403,13 @@ def text_log(spark: SparkSession, path: str) -> DataFrame:
     return _text_lines(lines, F.unix_micros(F.col("_metadata.file_modification_time")) * F.lit(1000))
 
 
+def new_text_lines(spark: SparkSession, path: str, cursor: ArrivalCursor):
+    """S3 + R4: (entries, commit) of the lines of flat log files that no pass of ``cursor`` took yet, numbered by arrival."""
+    fresh, commit = cursor.number(placed_lines(spark, path))
+    return as_entries(fresh.select(F.col("file_ns").alias("timestamp_ns"), F.element_at(F.split("path", "/"), -1).alias("source"),
+                                   F.col("value").alias("raw"), "seq")), commit
+
+
 def text_log_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """S3 live: new files in a folder (rotation = a new file); ingest time is
     the micro-batch time."""
