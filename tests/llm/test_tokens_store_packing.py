@@ -40,6 +40,17 @@ def test_spans_are_the_librarys_offsets():
         assert [tuple(s) for s in spans.tolist()] == plain.encode(text, add_special_tokens=False).offsets
 
 
+def test_fetch_by_id_equals_encoding(spark, tmpdir_path):
+    """Every document whose id is divisible by 10, over many small shards, with null, repeated and unknown ids."""
+    rows = [(i, f"short text {i} " * (i % 7)) for i in range(600)] + [(50, "another of 50"), (None, "no id"), (700, None)]
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmpdir_path}/f", shard_bytes=500)
+    asked = spark.createDataFrame([(i,) for i in range(0, 1000, 10)] + [(50,), (None,), (-1,)], "k long")
+    got = Counter((r.doc_id, tuple(r.ids)) for r in token_store.fetch(spark, f"{tmpdir_path}/f", asked, "k").collect())
+    tok = tokens.load_tokenizer(tokens.word_bpe_path())
+    want = Counter((i, (*tok.encode(t or "", add_special_tokens=False).ids, token_store.END_ID)) for i, t in rows if i is not None and i % 10 == 0)
+    assert got == want
+
+
 # ---------------------------------------------------------------- token store
 
 def plain_store(rows, end=2):

@@ -68,7 +68,12 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, dtype: s
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, id_col: str = "doc_id",
                 text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
-    """Write every row of ``docs`` as one document, in ascending id order (null ids first, equal ids by text)."""
+    """Write every row of ``docs`` as one document, in ascending id order (null ids first, equal ids by text).
+
+    A null or empty text is a document of the end id alone; repeated rows are
+    documents of their own; other columns are ignored; an empty table gives
+    a store without shards.
+    """
     tokenizer_path = tokenizer_path or word_bpe_path()
     dtype = "<u2" if max(load_tokenizer(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -165,20 +170,29 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fetch(spark: SparkSession, path: str, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, ids) of the documents named in ``ids``: only their frames are cut out and decompressed."""
+    """(doc_id, ids) of the documents named in ``ids``: only their frames are cut out and decompressed.
+
+    The offset index gives a row for each document with the two ends of its
+    frame; those wanted are gathered by shard, so a shard's payload goes along
+    once, and shards without a wanted document aren't read past the join.
+    Null and unknown ids find nothing, an id named twice is found once, and
+    every document stored under it gives a row.
+    """
     digest, trained = _dictionary(spark, path)
-    shards = spark.read.parquet(f"{path}/shards")
-    index = shards.where(F.col("dict_hash") == digest).select("part", "shard", "width", F.posexplode("doc_ids").alias("at", "doc_id"), "offsets")
-    wanted = index.join(ids.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id").select(
-        "part", "shard", "doc_id", "width", F.get("offsets", F.col("at")).alias("a"), F.get("offsets", F.col("at") + 1).alias("b"))
-    frames = shards.select("part", "shard", "payload").join(wanted, ["part", "shard"]).select(
-        "doc_id", "width", F.expr("substring(payload, cast(a + 1 as int), cast(b - a as int))").alias("frame"))
+    shards = spark.read.parquet(f"{path}/shards").where(F.col("dict_hash") == digest)
+    n = F.size("doc_ids")
+    ends = F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.slice("offsets", F.lit(1), n).alias("a"), F.slice("offsets", F.lit(2), n).alias("b"))
+    index = shards.select("part", "shard", F.inline(ends))
+    wanted = index.join(ids.select(F.col(id_col).alias("doc_id")).dropna().distinct(), "doc_id").groupBy("part", "shard").agg(
+        F.collect_list("doc_id").alias("doc_ids"), F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    frames = shards.select("part", "shard", "width", "payload").join(wanted, ["part", "shard"])
 
     def run(batches):
         expand = _decompressor(trained)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [
-                np.frombuffer(expand.decompress(f), dtype=f"<u{w}").astype(np.int32) for f, w in zip(batch["frame"], batch["width"])]})
+            for width, payload, doc_ids, starts, ends_of in zip(batch["width"], batch["payload"], batch["doc_ids"], batch["a"], batch["b"]):
+                yield pd.DataFrame({"doc_id": doc_ids, "ids": [
+                    np.frombuffer(expand.decompress(payload[a:b]), dtype=f"<u{width}").astype(np.int32) for a, b in zip(starts, ends_of)]})
 
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
-    return frames.mapInPandas(run, f"doc_id {kind}, ids array<int>")
+    return frames.select("width", "payload", "doc_ids", "a", "b").mapInPandas(run, f"doc_id {kind}, ids array<int>")
