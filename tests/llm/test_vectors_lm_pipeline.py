@@ -226,6 +226,36 @@ def test_every_word_has_a_class_of_its_own(spark, monkeypatch):
     assert tops["n"][0] != tops["v"][0] and all(tops[k][1] >= 0.9 * sum(of[k].values()) for k in "nv")
 
 
+@pytest.mark.parametrize("numbered", [1 << 22, 6])
+def test_neighbours_are_a_packed_row_for_a_bucket(spark, monkeypatch, numbered):
+    """Few rows however many pairs, and all pairs in them, those of hot and of unnumbered words too."""
+    monkeypatch.setattr(classlm, "LOOKUP_WORDS", numbered)
+    monkeypatch.setattr(classlm, "HOT_TOKENS", 100)
+    rng = np.random.default_rng(3)
+    texts = [[f"w{int(x)}" for x in rng.geometric(0.03, 40)] for _ in range(60)]
+    df = spark.createDataFrame([(" ".join(t),) for t in texts], "text string")
+    lookup = classlm._lookup(classlm.word_counts(df))
+    near = classlm.neighbours(df, spark.sparkContext.broadcast(lookup), 60 * 41)
+    rows = near.collect()
+    assert len(rows) <= classlm.LEAST_BUCKETS
+    keys = classlm._Keys()
+    code = lambda w: int(lookup.codes(np.array([classlm.END if w is None else keys[w.encode()]], dtype=np.int64))[0])
+    want = Counter()
+    for t in texts:
+        for a, b in zip([None, *t], [*t, None]):
+            want[code(a), code(b), True] += 1
+            want[code(b), code(a), False] += 1
+    got = Counter()
+    for r in rows:
+        x = {n: classlm._unpacked(r[n], kind) for n, kind in classlm.KINDS.items()}
+        for side in ("before", "after"):
+            for w, o, n in zip(np.repeat(x["words"], x[f"n_{side}"]).tolist(), x[f"o_{side}"].tolist(), x[f"t_{side}"].tolist()):
+                got[w, o, side == "after"] += n
+        for at, o, after, n in zip(x["far_at"], x["far_o"].tolist(), x["far_after"].tolist(), x["far_t"].tolist()):
+            got[int(x["words"][at]), o, after] += n
+    assert got == want and (numbered == 6) == any(o < 0 for _, o, _ in got)
+
+
 def test_best_class_is_that_of_the_full_likelihood():
     rng = np.random.default_rng(6)
     pair, cls = rng.poisson(0.7, (14, 14)).astype(float), rng.integers(0, 4, 14)

@@ -14,9 +14,9 @@ training never saw, by shape.
 The ``LOOKUP_WORDS`` commonest words (or fewer, where counts tie) have numbers.
 Their keys, counts and classes are broadcast, a bound that doesn't depend on
 the corpus; a rarer word is told by its key, and its class and count are joined.
-Bigrams are stored once, as the neighbours of every word, all rows of a word
-together; a sweep scans that table and shuffles only what a word
-has in several places or beside rarer words.
+Bigrams are stored once, as packed buckets of words with their neighbours; a
+sweep scans these and shuffles only what a word has in several places or
+beside rarer words.
 
 A word is told by 58 bits of its XXH64, with its shape in 5 more.
 """
@@ -27,9 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilspark.llm.tokens import chunks
 from vigilspark.session import discard, store
@@ -43,9 +46,12 @@ DISCOUNT = 0.5
 SHAPES = 32
 MEMORY_WORDS = 300_000
 FLUSH_AT = 2_000_000
-#: Words of so many tokens have their neighbours dealt over HOT_PARTS places.
+#: Words of so many tokens have their neighbours dealt over all buckets.
 HOT_TOKENS = 500_000
-HOT_PARTS = 64
+#: Pairs of a bucket of neighbours, about, and how many buckets there are at least.
+BUCKET_ROWS = 2_000_000
+LEAST_BUCKETS = 32
+WORDS_AT_ONCE = 20_000
 #: Counts of neighbours up to here go through one table each in a sweep.
 SMALL = 8
 
@@ -116,14 +122,6 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return words[code // max(len(words), 1)], words[code % max(len(words), 1)], n
 
 
-def _before(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """The word before each token; END before a text's first."""
-    prev = np.empty_like(keys)
-    prev[1:] = keys[:-1]
-    prev[edges[:-1]] = END
-    return prev
-
-
 @dataclass
 class Lookup:
     """Sorted keys of the numbered words with their numbers, from 0 by falling count; END always has one."""
@@ -178,39 +176,118 @@ def _lookup(counts: DataFrame) -> Lookup:
                   held == sum(r.words for r in sizes))
 
 
-def neighbours(texts: DataFrame, lookup) -> DataFrame:
-    """(w, half, after, o, n): times that word o stands behind (``after``) or before word w; END stands before a text's first word and after its last.
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+
+
+def _told(codes: np.ndarray) -> tuple[bytes, bytes]:
+    """Codes packed as numbers, -1 for a word without one, and the codes of those in turn."""
+    return _packed(np.maximum(codes, -1).astype(np.int32)), _packed(codes[codes < 0])
+
+
+def _codes_of(numbers: bytes, others: bytes) -> np.ndarray:
+    codes = _unpacked(numbers, np.int32).astype(np.int64)
+    codes[codes < 0] = _unpacked(others, np.int64)
+    return codes
 
-    Words are told by their codes; ``half`` is w's ``_byte``.  All rows of a word
-    lie together, those before it first, but for words of HOT_TOKENS and more,
-    which are dealt out by the neighbour.  A pair has a row for each flush that met it.
+
+#: A bucket: its words in order of code with their ``_byte``, whether all that a word has is here and numbered, and how often it
+#: follows itself; how many neighbours each has before it and behind it; these neighbours and their counts; and the unnumbered ones.
+NEAR = T.StructType([T.StructField(n, T.BinaryType()) for n in (
+    "words", "half", "whole", "own", "n_before", "n_after", "o_before", "o_after", "t_before", "t_after", "far_at", "far_o", "far_after", "far_t")])
+KINDS = {"words": np.int64, "half": np.uint8, "whole": np.bool_, "own": np.int64, "n_before": np.int32, "n_after": np.int32,
+         "o_before": np.int32, "o_after": np.int32, "t_before": np.int64, "t_after": np.int64,
+         "far_at": np.int32, "far_o": np.int64, "far_after": np.bool_, "far_t": np.int64}
+
+
+def _buckets(near_batches, *names: str):
+    """The named columns of each bucket, unpacked."""
+    for batch in near_batches:
+        columns = [batch.column(n) for n in names]
+        for i in range(batch.num_rows):
+            yield [_unpacked(c[i].as_py(), KINDS[n]) for n, c in zip(names, columns)]
+
+
+def neighbours(texts: DataFrame, lookup, tokens: int) -> DataFrame:
+    """Buckets of words with their neighbours, how often each stands before and behind them (``NEAR``); END stands before a text's first word and after its last.
+
+    Words are told by their codes.  A word lies in one bucket with all its
+    neighbours, but for words of HOT_TOKENS and more, which are dealt out by
+    the neighbour.  Tasks leave the pairs that they met in one packed row for a
+    bucket, so what is shuffled and stored is bytes, not a row for each pair.
     """
+    buckets = max(LEAST_BUCKETS, 2 * tokens // BUCKET_ROWS + 1)
+
     def run(batches):
         look, memory, parts, size = lookup.value, _Keys(), [], 0
 
         def rows():
-            a, b, n = _pairs(*(np.concatenate(x) for x in zip(*parts)))
-            a, b = look.codes(a), look.codes(b)
+            keys, before = (np.concatenate(x) for x in zip(*parts))
+            words, at = np.unique(keys, return_inverse=True)  # END is one of them
+            prev = np.empty_like(at)
+            prev[1:], prev[before] = at[:-1], np.searchsorted(words, END)
+            pair, n = np.unique(prev * len(words) + at, return_counts=True)
+            codes = look.codes(words)
+            a, b = codes[pair // len(words)], codes[pair % len(words)]
             w, o = np.append(a, b), np.append(b, a)
-            hot = (w >= 0) & (w < look.hot)
-            half = np.where(w >= 0, look.byte[np.maximum(w, 0)], _byte(~w))
-            return _frames(w, half.astype(np.int16), np.arange(len(w)) < len(a), o, np.append(n, n), np.where(hot, o % HOT_PARTS, 0),
-                           names=("w", "half", "after", "o", "n", "part"))
+            spread = _mixed(w) + np.where((w >= 0) & (w < look.hot), _mixed(o), 0)
+            bucket = (spread % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            after, n = np.arange(len(w)) < len(a), np.append(n, n)
+            made = []
+            for i in np.flatnonzero(np.diff(edges)).tolist():
+                mine = order[edges[i]:edges[i + 1]]
+                made.append((i, *_told(w[mine]), *_told(o[mine]), _packed(after[mine]), _packed(n[mine])))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), [pa.int32()] + [pa.binary()] * 6)],
+                                              names=["bucket", "w", "w_far", "o", "o_far", "after", "n"])
 
         for batch in batches:
-            own = batch["text"].tolist()
+            own = batch.column("text").to_pylist()
             for x, y in chunks(own):
                 keys, edges = keys_of(own[x:y], memory)
-                parts.append((_before(keys, edges), keys))
+                parts.append((keys, size + edges[:-1]))
                 size += len(keys)
                 if size > FLUSH_AT:
-                    yield from rows()
+                    yield rows()
                     parts, size = [], 0
         if parts:
-            yield from rows()
-
-    made = texts.select("text").mapInPandas(run, "w long, half short, after boolean, o long, n long, part int").repartition("w", "part")
-    return made.sortWithinPartitions("w", "after").drop("part")
+            yield rows()
+
+    def merge(key, table):
+        look, columns = lookup.value, {c: table.column(c).to_pylist() for c in table.column_names}
+        w, o = (np.concatenate([_codes_of(*x) for x in zip(columns[c], columns[f"{c}_far"])]) for c in ("w", "o"))
+        after, n = (np.concatenate([_unpacked(x, kind) for x in columns[c]]) for c, kind in (("after", np.bool_), ("n", np.int64)))
+        # unnumbered words are numbered behind the others, within the bucket
+        far = np.unique(np.append(w[w < 0], o[o < 0]))
+        least = len(look)
+        for codes in (w, o):
+            codes[codes < 0] = least + np.searchsorted(far, codes[codes < 0])
+        code = after.astype(np.int64) << 62 | w << 31 | o
+        order = np.argsort(code)
+        code, n = code[order], n[order]
+        start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        code, n = code[start], np.add.reduceat(n, start)
+        after, w, o = (code >> 62).astype(bool), code >> 31 & (1 << 31) - 1, code & (1 << 31) - 1
+        words, at = np.unique(w, return_inverse=True)
+        own = np.bincount(at, weights=np.where(after & (o == w), n, 0), minlength=len(words)).astype(np.int64)
+        numbered, beyond = words < least, o >= least
+        codes = words.copy()
+        codes[~numbered] = far[words[~numbered] - least]
+        half = np.where(numbered, look.byte[np.minimum(words, least - 1)], _byte(~codes))
+        whole = numbered & (words >= look.hot) & (np.bincount(at, weights=beyond, minlength=len(words)) == 0)
+        out = {"words": codes, "half": half, "whole": whole, "own": own}
+        for side, here in (("before", ~after & ~beyond), ("after", after & ~beyond)):
+            out |= {f"n_{side}": np.bincount(at[here], minlength=len(words)), f"o_{side}": o[here], f"t_{side}": n[here]}
+        out |= {"far_at": at[beyond], "far_o": far[o[beyond] - least], "far_after": after[beyond], "far_t": n[beyond]}
+        return pa.table({c: pa.array([_packed(out[c].astype(KINDS[c]))], pa.binary()) for c in KINDS})
+
+    made = texts.select("text").mapInArrow(run, "bucket int, w binary, w_far binary, o binary, o_far binary, after binary, n binary")
+    return made.groupBy("bucket").applyInArrow(merge, NEAR)
 
 
 # ------------------------------------------------------------------ clustering
@@ -287,15 +364,16 @@ def _first_classes(near: DataFrame, lookup: Lookup, shared, classes: int, sweeps
 
     def run(batches):
         table = np.zeros(items * items)
-        for batch in batches:
-            a, b = item(batch["w"].to_numpy(), shared.value), item(batch["o"].to_numpy(), shared.value)
-            np.add.at(table, a * items + b, batch["n"].to_numpy())
+        for words, n_after, o, t, far_at, far_o, far_after, far_t in _buckets(batches, "words", "n_after", "o_after", "t_after", "far_at", "far_o", "far_after", "far_t"):
+            own = item(words, shared.value)
+            for a, b, n in ((np.repeat(own, n_after), o.astype(np.int64), t), (own[far_at[far_after]], far_o[far_after], far_t[far_after])):
+                table += np.bincount(a * items + item(b, shared.value), weights=n, minlength=items * items)
         at = np.flatnonzero(table)
-        yield from _frames(at, table[at].astype(np.int64), names=("at", "n"))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table[at].astype(np.int64))], names=["at", "n"])
 
     pair = np.zeros(items * items)
     # at most (FIRST_WORDS + 33) squared rows
-    at, n = _columns(near.where("after").select("w", "o", "n").mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")), "at", "n")
+    at, n = _columns(near.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")), "at", "n")
     pair[at] = n
     return cluster(pair.reshape(items, items), classes, sweeps)
 
@@ -385,137 +463,151 @@ def _best_of_many(left: np.ndarray, right: np.ndarray, own: np.ndarray, cls: np.
 
 def _byte(keys: np.ndarray) -> np.ndarray:
     """Eight random bits of each word; one of them says whether it moves in a sweep."""
-    x = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(56)).astype(np.uint8)
-
-
-def _runs(batches, columns=("w", "after", "o", "n"), rows: int = 100_000):
-    """Columns of the batches again, ``rows`` at a time or more, cut so that a run of one word stays together (but for those longer than FLUSH_AT rows)."""
-    held, size = [], 0
-    for batch in batches:
-        held.append([batch[c].to_numpy() for c in columns])
-        size += len(batch)
-        if size < rows:
-            continue
-        whole = [np.concatenate(c) for c in zip(*held)]
-        cut = int(np.argmax(whole[0] == whole[0][-1]))
-        if size - cut > FLUSH_AT:
-            cut = size
-        if cut:
-            yield [c[:cut] for c in whole]
-        held, size = [[c[cut:] for c in whole]], size - cut
-    if size:
-        yield [np.concatenate(c) for c in zip(*held)]
-
-
-def _class_table(near: DataFrame, classes: int, cls: np.ndarray, rare: DataFrame | None) -> np.ndarray:
-    """Tokens of each class behind each class."""
+    return (_mixed(keys) >> np.uint64(56)).astype(np.uint8)
+
+
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    x = codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _far(near: DataFrame) -> DataFrame:
+    """(w, half, after, o, n): how often the unnumbered word o stands behind (``after``) or before word w."""
+    def run(batches):
+        for words, half, at, o, after, n in _buckets(batches, "words", "half", "far_at", "far_o", "far_after", "far_t"):
+            for x in range(0, len(at), 100_000):
+                y = slice(x, x + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(words[at[y]]), pa.array(half[at[y]].astype(np.int16)), pa.array(after[y]), pa.array(o[y]), pa.array(n[y])],
+                                                 names=["w", "half", "after", "o", "n"])
+
+    return near.mapInArrow(run, "w long, half short, after boolean, o long, n long")
+
+
+def _class_table(near: DataFrame, classes: int, cls: np.ndarray, rare: DataFrame | None, far: DataFrame | None) -> np.ndarray:
+    """Tokens of each class behind each class; ``far`` has the class ``co`` of each o."""
     spark = near.sparkSession
     shared = spark.sparkContext.broadcast(cls)
+    size = classes * classes
+
+    def cells_of(table):
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(table.astype(np.int64))], names=["at", "n"])
 
     def run(batches):
-        table = np.zeros(classes * classes)
+        table = np.zeros(size)
+        for words, n_after, o, n in _buckets(batches, "words", "n_after", "o_after", "t_after"):
+            # an unnumbered word is met once more, as the neighbour of a numbered one
+            of = np.where(words >= 0, shared.value[np.maximum(words, 0)].astype(np.int64) * classes, -1)
+            at = np.repeat(of, n_after)
+            here = at >= 0
+            table += np.bincount(at[here] + shared.value[o[here]], weights=n[here], minlength=size)
+        yield cells_of(table)
+
+    def run_far(batches):
+        table = np.zeros(size)
         for batch in batches:
-            w, o = (batch[c].to_numpy() for c in ("w", "o"))
-            cw, co = shared.value[np.maximum(w, 0)].astype(np.int64), shared.value[np.maximum(o, 0)].astype(np.int64)
-            if "cw" in batch:
-                cw, co = np.where(w < 0, batch["cw"], cw), np.where(o < 0, batch["co"], co)
-            table += np.bincount(cw * classes + co, weights=batch["n"].to_numpy(), minlength=classes * classes)
-        yield pd.DataFrame({"at": np.arange(classes * classes), "n": table.astype(np.int64)})
-
-    after = near.where("after").select("w", "o", "n")
-    cells = after.where("w >= 0 and o >= 0").mapInPandas(run, "at int, n long")
-    if rare is not None:
-        of, none = rare.select("code", "c"), F.lit(-1)
-        far = after.where("w < 0 or o < 0").join(of.toDF("w", "cw"), "w", "left").join(of.toDF("o", "co"), "o", "left").select(
-            "w", "o", "n", F.coalesce("cw", none).cast("long").alias("cw"), F.coalesce("co", none).cast("long").alias("co"))
-        cells = cells.unionByName(far.mapInPandas(run, "at int, n long"))
-    table = np.zeros(classes * classes)
+            w, co, n, after, cw = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("w", "co", "n", "after", "cw"))
+            cw, co = np.where(w >= 0, shared.value[np.maximum(w, 0)], cw).astype(np.int64), co.astype(np.int64)
+            table += np.bincount(np.where(after, cw * classes + co, co * classes + cw), weights=n, minlength=size)
+        yield cells_of(table)
+
+    cells = near.select("words", "n_after", "o_after", "t_after").mapInArrow(run, "at int, n long")
+    if far is not None:
+        columns = ["w", "co", "n", "after", "cw"]
+        beside = far.where("w >= 0").withColumn("cw", F.lit(0)).select(*columns).unionByName(
+            far.where("w < 0 and after").join(rare.select(F.col("code").alias("w"), F.col("c").alias("cw")), "w").select(*columns))
+        cells = cells.unionByName(beside.mapInArrow(run_far, "at int, n long"))
+    table = np.zeros(size)
     for r in cells.groupBy("at").agg(F.sum("n").alias("n")).collect():
         table[r["at"]] = r["n"]
     return table.reshape(classes, classes)
 
 
-def _sweep(near: DataFrame, classes: int, cls: np.ndarray, hot: int, rare: DataFrame | None, table: np.ndarray, sweep: int) -> DataFrame:
+def _sweep(near: DataFrame, classes: int, cls: np.ndarray, rare: DataFrame | None, far: DataFrame | None, table: np.ndarray, sweep: int) -> DataFrame:
     """(code, c): new classes of the words that move to another one."""
     spark = near.sparkSession
     shared = spark.sparkContext.broadcast((cls, table))
 
-    def histograms(batches):
-        """Per run (code, c, own, whole, counts by class before and after); rows of unnumbered neighbours are left to a join."""
-        for w, after, o, n in _runs(batches):
-            cls, after, n = shared.value[0], after.astype(bool), n.astype(np.float64)
-            start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            at = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(w))))
-            code = w[start]
-            side = np.where(after, 1, 0)
-            met = np.bincount(at * 2 + side, weights=n, minlength=2 * len(start)).reshape(-1, 2)
-            near_o = o >= 0
-            hist = np.bincount(at[near_o] * 2 * classes + side[near_o] * classes + cls[o[near_o]], weights=n[near_o], minlength=2 * classes * len(start))
-            own = np.bincount(at, weights=np.where(after & (o == w), n, 0.0), minlength=len(start))
-            numbered = code >= 0
-            # a run cut in two has not as many words before as behind it
-            whole = (code >= hot) & (met[:, 0] == met[:, 1]) & (np.bincount(at, weights=~near_o, minlength=len(start)) == 0) & numbered
-            yield code, hist.reshape(-1, 2 * classes), own, whole
-
     def decide(code, hist, own, now):
+        """(code, c) of the words that move."""
+        moved, to = [code[:0]], [code[:0]]
         for x in range(0, len(code), 2_000):
-            h, c = hist[x:x + 2_000], now[x:x + 2_000]
-            new = _best_of_many(h[:, :classes], h[:, classes:], own[x:x + 2_000], c, shared.value[1])
-            moved = new != c
-            yield pd.DataFrame({"code": code[x:x + 2_000][moved], "c": new[moved].astype(np.int32), "at": np.int32(-1), "n": 0})
+            y, c = slice(x, x + 2_000), now[x:x + 2_000]
+            new = _best_of_many(hist[y, :classes], hist[y, classes:], own[y].astype(np.float64), c, shared.value[1])
+            moved.append(code[y][new != c])
+            to.append(new[new != c])
+        return np.concatenate(moved), np.concatenate(to)
 
     def run(batches):
-        for code, hist, own, whole in histograms(batches):
-            yield from decide(code[whole], hist[whole], own[whole], shared.value[0][code[whole]].astype(np.int64))
-            # the others: their parts, to be added up
-            part = np.flatnonzero(~whole)
-            i, at = np.nonzero(hist[part])
-            yield pd.DataFrame({"code": code[part[i]], "c": np.int32(0), "at": at.astype(np.int32), "n": hist[part[i], at].astype(np.int64)})
-            i = part[own[part] > 0]
-            yield pd.DataFrame({"code": code[i], "c": np.int32(0), "at": np.int32(2 * classes), "n": own[i].astype(np.int64)})
-            yield pd.DataFrame({"code": code[part], "c": np.int32(0), "at": np.int32(0), "n": 0})
+        """Words with all they have here: their new class; the others: their counts by class before and behind them, to be added up."""
+        cls = shared.value[0]
+        for words, half, whole, own, *sides in _buckets(batches, "words", "half", "whole", "own", "n_before", "o_before", "t_before", "n_after", "o_after", "t_after"):
+            ends = [np.concatenate([[0], np.cumsum(n, dtype=np.int64)]) for n in sides[::3]]
+            for x in range(0, len(words), WORDS_AT_ONCE):
+                y = min(x + WORDS_AT_ONCE, len(words))
+                moving = np.flatnonzero(half[x:y] >> sweep % 8 & 1)
+                row = np.full(y - x, -1)
+                row[moving] = np.arange(len(moving))
+                hist = np.zeros(len(moving) * 2 * classes)
+                for k, (n, o, t) in enumerate((sides[:3], sides[3:])):
+                    own_rows = slice(ends[k][x], ends[k][y])
+                    at = np.repeat(row, n[x:y])
+                    here = at >= 0
+                    hist += np.bincount(at[here] * 2 * classes + k * classes + cls[o[own_rows][here]], weights=t[own_rows][here], minlength=len(hist))
+                hist, code, self_n, all_here = hist.reshape(-1, 2 * classes), words[x:y][moving], own[x:y][moving], whole[x:y][moving]
+                moved, to = decide(code[all_here], hist[all_here], self_n[all_here], cls[code[all_here]].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(moved), pa.array(to, pa.int32()), pa.nulls(len(moved), pa.list_(pa.int32())), pa.nulls(len(moved), pa.list_(pa.int64()))],
+                                                 names=["code", "c", "at", "n"])
+                hist = np.concatenate([hist[~all_here], self_n[~all_here, None]], axis=1)
+                i, at = np.nonzero(hist)
+                lengths = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(hist)))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(code[~all_here]), pa.nulls(len(hist), pa.int32()), pa.ListArray.from_arrays(lengths, pa.array(at, pa.int32())),
+                                                  pa.ListArray.from_arrays(lengths, pa.array(hist[i, at].astype(np.int64)))], names=["code", "c", "at", "n"])
 
     def settle(batches):
         for batch in batches:
-            code = batch["code"].to_numpy()
-            size = batch["at"].map(len).to_numpy()
-            hist = np.zeros((len(code), 2 * classes + 1))
-            hist[np.repeat(np.arange(len(code)), size), np.concatenate([*batch["at"], []]).astype(np.int64)] = np.concatenate([*batch["n"], []])
-            now = batch["c"].to_numpy(dtype=np.int64, copy=True)
-            now[code >= 0] = shared.value[0][code[code >= 0]]
-            for frame in decide(code, hist[:, :-1], hist[:, -1], now):
-                yield frame[["code", "c"]]
-
-    moving = near.where(F.shiftright(F.col("half").cast("int"), sweep % 8).bitwiseAND(1) == 1)
-    out = store(moving.select("w", "after", "o", "n").mapInPandas(run, "code long, c int, at int, n long"))
-    parts = out.where("at >= 0").select("code", "at", "n")
-    if rare is not None:
-        far = moving.where("o < 0").join(rare.select(F.col("code").alias("o"), "c"), "o").select(
-            F.col("w").alias("code"), (F.when(F.col("after"), classes).otherwise(0) + F.col("c")).alias("at"), F.col("n").cast("long").alias("n"))
+            code, now = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("code", "c"))
+            size, width = np.diff(batch.column("at").offsets.to_numpy()), 2 * classes + 1
+            at, n = (batch.column(c).flatten().to_numpy() for c in ("at", "n"))
+            hist = np.bincount(np.repeat(np.arange(len(code)), size) * width + at, weights=n, minlength=width * len(code)).reshape(-1, width)
+            now = np.where(code >= 0, shared.value[0][np.maximum(code, 0)], now).astype(np.int64)
+            moved, to = decide(code, hist[:, :-1], hist[:, -1], now)
+            yield pa.RecordBatch.from_arrays([pa.array(moved), pa.array(to, pa.int32())], names=["code", "c"])
+
+    out = store(near.select("words", "half", "whole", "own", "n_before", "o_before", "t_before", "n_after", "o_after", "t_after")
+                .mapInArrow(run, "code long, c int, at array<int>, n array<long>"))
+    parts = out.where("at is not null").select("code", "at", "n")
+    if far is not None:
         # every word that may move and has such a neighbour has a part above
-        parts = parts.unionByName(far.join(parts.select("code").distinct(), "code", "left_semi"))
-    parts = parts.groupBy("code", "at").agg(F.sum("n").alias("n")).groupBy("code").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+        beside = far.where(F.shiftright(F.col("half").cast("int"), sweep % 8).bitwiseAND(1) == 1).groupBy(
+            F.col("w").alias("code"), (F.when(F.col("after"), classes).otherwise(0) + F.col("co")).alias("at")).agg(F.sum("n").alias("n"))
+        parts = parts.unionByName(beside.select("code", F.array("at").alias("at"), F.array("n").alias("n")))
+    parts = parts.groupBy("code").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("n")).alias("n"))
     if rare is not None:
         parts = parts.join(rare.select("code", "c"), "code", "left").select("code", F.coalesce("c", F.lit(0)).alias("c"), "at", "n")
     else:
         parts = parts.select("code", F.lit(0).alias("c"), "at", "n")
-    return out.where("at < 0").select("code", "c").unionByName(parts.mapInPandas(settle, "code long, c int"))
+    return out.where("at is null").select("code", "c").unionByName(parts.mapInArrow(settle, "code long, c int"))
 
 
-def refine(near: DataFrame, lookup: Lookup, cls: np.ndarray, rare: DataFrame | None, classes: int, tokens: int):
+def refine(near: DataFrame, cls: np.ndarray, rare: DataFrame | None, classes: int, tokens: int):
     """(classes of numbered words, (code, n, c) of the others, class bigrams) of the best likelihood, by sweeps until two in a row don't raise it by RISE."""
-    best, sweep, idle = None, 0, 0
+    best, sweep, idle, far = None, 0, 0, None
+    beside = None if rare is None else store(_far(near))
     while True:
-        table = _class_table(near, classes, cls, rare)
+        if rare is not None:
+            far = store(beside.join(rare.select(F.col("code").alias("o"), F.col("c").alias("co")), "o").drop("o"))
+        table = _class_table(near, classes, cls, rare, far)
         value = _likelihood(table)
         idle = 0 if best is None or value >= best[0] + RISE * tokens else idle + 1
         if best is None or value > best[0]:
             best = (value, cls, rare, table)
         if idle == 2 or not tokens:
+            for done in (beside, far):
+                if done is not None:
+                    discard(done)
             return best[1:]
         sweep += 1
-        moved = store(_sweep(near, classes, cls, lookup.hot, rare, table, sweep))
+        moved = store(_sweep(near, classes, cls, rare, far, table, sweep))
         code, to = _columns(moved.where("code >= 0"), "code", "c")  # at most LOOKUP_WORDS rows
         cls = cls.copy()
         cls[code] = to
@@ -525,6 +617,7 @@ def refine(near: DataFrame, lookup: Lookup, cls: np.ndarray, rare: DataFrame | N
             rare = store(rare.join(to, "code", "left").select("code", "n", F.coalesce("to", "c").alias("c")))
             if before is not best[2]:
                 discard(before)
+            discard(far)
         discard(moved)
 
 
@@ -567,7 +660,7 @@ def fit(texts: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple
     tokens, types = int(sums[0]), int(sums[1])
     lookup = _lookup(counts)
     shared = spark.sparkContext.broadcast(lookup)
-    near = store(neighbours(texts, shared))
+    near = store(neighbours(texts, shared, tokens))
     start = _first_classes(near, lookup, shared, classes, sweeps)
     first, end = len(start) - 1 - SHAPES, lookup.end
     cls = start[first + 1 + lookup.shape.astype(np.int64)]
@@ -578,7 +671,7 @@ def fit(texts: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple
     if not lookup.whole:
         rare = counts.where((F.col("n") < lookup.least) & (F.col("key") != int(END)))
         rare = store(rare.select(F.bitwise_not("key").alias("code"), "n", of_shape.alias("c")))
-    cls, rare, table = refine(near, lookup, cls.astype(np.uint8), rare, classes, tokens)
+    cls, rare, table = refine(near, cls.astype(np.uint8), rare, classes, tokens)
     discard(near)
     discard(counts)
 
