@@ -37,13 +37,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.config import NS_PER_SECOND, Threshold
 from vigilspark.session import store
 
-BLOCK_ROWS = 200_000
+#: What a task holds at once: four tasks of an executor keep well under a GB of Python.
+BLOCK_ROWS = 50_000
 FAN = 256
 
 
@@ -73,7 +75,9 @@ def _part_offsets(placed: DataFrame, at: str, size: Column) -> DataFrame:
     for r in placed.groupBy(part).agg(size.alias("n")).orderBy("_part").collect():
         rows.append((r["_part"], total))
         total += r["n"]
-    return F.broadcast(placed.sparkSession.createDataFrame(rows, "_part long, _before long"))
+    # an Arrow table needs no Python workers on the executors, as a list of rows does
+    found = pa.table({"_part": pa.array([p for p, _ in rows], pa.int64()), "_before": pa.array([n for _, n in rows], pa.int64())})
+    return F.broadcast(placed.sparkSession.createDataFrame(found))
 
 
 def positioned(rows: DataFrame, order: list[str]) -> DataFrame:
