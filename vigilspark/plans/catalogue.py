@@ -539,6 +539,17 @@ def q_live_anomalies(spark, sf_dir):
     return scored.select("source", "hour_ns", "slot_key", "n", "samples", _r6("mean"), _r6("stddev"), "anomalous")
 
 
+def _timed_lines(lines: DataFrame) -> DataFrame:
+    """(value, late): live lines but for those of bad time, which would get the time of this run, and whether they are of the later stretch.
+
+    A conditional ``explode``, as in ``split_rejects``: a filter would be pushed below the projection that makes the lines, and
+    make each of them several times."""
+    cut = F.expr(f"get_json_object(value, '$.__REALTIME_TIMESTAMP') >= '{P.TRAIN_END_NS // 1000}'")
+    row = F.struct("value", F.coalesce(cut, F.lit(False)).alias("late"))
+    kept = F.when(~F.col("value").contains('"__REALTIME_TIMESTAMP":"x'), row)
+    return lines.select(F.explode(F.array_compact(F.array(kept))).alias("_r")).select("_r.value", "_r.late")
+
+
 def q_live_baseline_merge(spark, sf_dir):
     """A baseline seeded from the journal up to a day, and the live sums of two later stretches folded into it:
     the contents of all state tables, and the time observed."""
@@ -548,11 +559,8 @@ def q_live_baseline_merge(spark, sf_dir):
     src, version, state, folder = (_scratch(spark, n) for n in ("journal", "seed", "live", "incoming"))
     before.select("value").write.text(src)
     seed_job(spark, src, version, P.RULES, P.AS_OF_NS, boot_window_seconds=P.BOOT_WINDOW_SECONDS)
-    # a live row of bad time would get the time of this run
-    timed = later.where(~F.col("value").contains('"__REALTIME_TIMESTAMP":"x'))
-    cut = F.expr(f"get_json_object(value, '$.__REALTIME_TIMESTAMP') >= '{P.TRAIN_END_NS // 1000}'")
-    late = F.coalesce(cut, F.lit(False))
-    for part in (timed.where(~late), timed.where(late)):
+    timed = materialize(_timed_lines(later))
+    for part in (timed.where(~F.col("late")), timed.where("late")):
         part.select("value").write.mode("append").text(folder)
         (journal.read_journal_stream(spark, folder).writeStream.foreachBatch(state_sink(state, P.RULES, P.AGG_ANCHOR_NS, P.BOOT_WINDOW_SECONDS))
          .option("checkpointLocation", state + "/_ck").trigger(availableNow=True).start().awaitTermination())

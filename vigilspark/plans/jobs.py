@@ -45,8 +45,13 @@ def seed_job(spark: SparkSession, journal_path: str, out_path: str, rules: Alert
     good, _ = journal.split_rejects(journal.parse_lines(spark.read.text(journal_path)))
     entries = journal.journal_entries(good)
     old = store.load_baseline(spark, previous) if previous else None
-    entries = materialize(entries.groupBy(*entries.columns).agg(F.count(F.lit(1)).alias("n")))  # parsed once
-    held, days = entries.select(*store.SEEN_KEYS, "n"), store.seen_days(entries)
+    if old:
+        entries = materialize(entries.groupBy(*entries.columns).agg(F.count(F.lit(1)).alias("n")))  # parsed once
+        held = entries.select(*store.SEEN_KEYS, "n")
+    else:
+        entries = materialize(entries)
+        held = _held_records(entries)
+    days = store.seen_days(entries)
     if old:
         before = store.read_seen(spark, previous, days)  # only the days of this export
         if before is None:
@@ -55,7 +60,8 @@ def seed_job(spark: SparkSession, journal_path: str, out_path: str, rules: Alert
             .withColumn("n", F.col("n") - F.coalesce("before", F.lit(0))).where("n > 0").drop("before")
         held = held.unionByName(before)
     store.write_seen(spark, out_path, held.groupBy(*store.SEEN_KEYS).agg(F.max("n").alias("n")), days, previous)
-    entries = materialize(entries.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n", "copy"))
+    if old:
+        entries = materialize(entries.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n", "copy"))
     hourly = entries.groupBy("source", F.expr("timestamp_ns - pmod(timestamp_ns, 3600000000000L)").alias("hour_ns")).agg(
         F.count(F.lit(1)).alias("n"), F.min("timestamp_ns").alias("earliest_ns"), F.max("timestamp_ns").alias("newest_ns"))
     hits = match.keyword_hits(entries, rules, keep=["source", "timestamp_ns"])
@@ -77,6 +83,14 @@ def seed_job(spark: SparkSession, journal_path: str, out_path: str, rules: Alert
                  _live_batch(old) if old else -1)
 
 
+def _held_records(entries: DataFrame) -> DataFrame:
+    """(SEEN_KEYS, n): how often each record is there, told by its keys, a hash of all its columns and which of them are null; texts aren't shuffled."""
+    nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in entries.columns])
+    told = entries.select(*store.SEEN_KEYS, F.xxhash64(*entries.columns).alias("_hash"), nulls.alias("_nulls"))
+    # by SEEN_KEYS, by which they are added up next
+    return told.repartition(*store.SEEN_KEYS).groupBy(*told.columns).agg(F.count(F.lit(1)).alias("n")).select(*store.SEEN_KEYS, "n")
+
+
 def _live_batch(old: dict) -> int:
     """The last live batch that a version holds."""
     return old["meta"].first()["live_batch"] if "live_batch" in old["meta"].columns else -1
