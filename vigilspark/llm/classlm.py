@@ -39,7 +39,7 @@ from vigilspark.session import discard, store
 
 CLASSES = 64
 FIRST_WORDS = 1_000
-LOOKUP_WORDS = 1 << 21
+LOOKUP_WORDS = 1 << 22
 SWEEPS = 6
 RISE = 1e-3
 DISCOUNT = 0.5
@@ -407,23 +407,27 @@ def _best(left: np.ndarray, right: np.ndarray, own: np.ndarray, cls: np.ndarray,
     return np.where(gain[pick, best] > gain[pick, cls] + 1e-9, best, cls)
 
 
-def _best_of_many(left: np.ndarray, right: np.ndarray, own: np.ndarray, cls: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _steps_of(table: np.ndarray) -> list[np.ndarray]:
+    """f(table[k, j] + n) - f(table[k, j]) for n up to SMALL, a row for each n and j; of the table and of its transpose."""
+    return [np.concatenate([(_xlogx(t + n) - _xlogx(t)).T for n in range(1, SMALL + 1)]) for t in (table, table.T)]
+
+
+def _best_of_many(left: np.ndarray, right: np.ndarray, own: np.ndarray, cls: np.ndarray, table: np.ndarray, steps: list | None = None) -> np.ndarray:
     """What ``_best`` gives, for many words of mostly small counts.
 
     A neighbour's class j with count n adds f(table[k, j] + n) - f(table[k, j])
     to the gain of class k, f(x) = x log x, where neither j nor k is the word's
-    own class; for small n that is a row of a table, so rows are gathered and
-    added up.  Own classes are worked out apart.
+    own class; for small n that is a row of a table (``steps``), so rows are
+    gathered and added up.  Own classes are worked out apart.
     """
     pick, classes = np.arange(len(cls)), table.shape[0]
     gain, outs = np.zeros_like(left), []
-    for mine, other, t in ((right, left, table), (left, right, table.T)):
+    for mine, other, t, tables in zip((right, left), (left, right), (table, table.T), steps or _steps_of(table)):
         out = mine.copy()
         out[pick, cls] -= own
         outs.append(out)
         rest = out.copy()
         rest[pick, cls] = 0
-        tables = np.concatenate([(_xlogx(t + n) - _xlogx(t)).T for n in range(1, SMALL + 1)])
         w, j = np.nonzero((rest > 0) & (rest <= SMALL))
         if len(w):
             start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
@@ -527,19 +531,26 @@ def _sweep(near: DataFrame, classes: int, cls: np.ndarray, rare: DataFrame | Non
     spark = near.sparkSession
     shared = spark.sparkContext.broadcast((cls, table))
 
-    def decide(code, hist, own, now):
+    def decide(code, hist, own, now, steps):
         """(code, c) of the words that move."""
-        moved, to = [code[:0]], [code[:0]]
-        for x in range(0, len(code), 2_000):
-            y, c = slice(x, x + 2_000), now[x:x + 2_000]
-            new = _best_of_many(hist[y, :classes], hist[y, classes:], own[y].astype(np.float64), c, shared.value[1])
-            moved.append(code[y][new != c])
-            to.append(new[new != c])
-        return np.concatenate(moved), np.concatenate(to)
+        # words met once between the same classes go the same way
+        same = np.arange(len(code))
+        single = np.flatnonzero((hist[:, :classes].sum(axis=1) == 1) & (hist[:, classes:].sum(axis=1) == 1) & (own == 0))
+        if len(single):
+            sides = hist[single, :classes].argmax(axis=1) * classes + hist[single, classes:].argmax(axis=1)
+            _, first, at = np.unique(sides * classes + now[single], return_index=True, return_inverse=True)
+            same[single] = single[first][at]
+        todo, at = np.unique(same, return_inverse=True)
+        new = np.empty(len(todo), dtype=np.int64)
+        for x in range(0, len(todo), 2_000):
+            y = todo[x:x + 2_000]
+            new[x:x + 2_000] = _best_of_many(hist[y, :classes], hist[y, classes:], own[y].astype(np.float64), now[y], shared.value[1], steps)
+        new = new[at]
+        return code[new != now], new[new != now]
 
     def run(batches):
         """Words with all they have here: their new class; the others: their counts by class before and behind them, to be added up."""
-        cls = shared.value[0]
+        cls, steps = shared.value[0], _steps_of(shared.value[1])
         for words, half, whole, own, *sides in _buckets(batches, "words", "half", "whole", "own", "n_before", "o_before", "t_before", "n_after", "o_after", "t_after"):
             ends = [np.concatenate([[0], np.cumsum(n, dtype=np.int64)]) for n in sides[::3]]
             for x in range(0, len(words), WORDS_AT_ONCE):
@@ -554,7 +565,7 @@ def _sweep(near: DataFrame, classes: int, cls: np.ndarray, rare: DataFrame | Non
                     here = at >= 0
                     hist += np.bincount(at[here] * 2 * classes + k * classes + cls[o[own_rows][here]], weights=t[own_rows][here], minlength=len(hist))
                 hist, code, self_n, all_here = hist.reshape(-1, 2 * classes), words[x:y][moving], own[x:y][moving], whole[x:y][moving]
-                moved, to = decide(code[all_here], hist[all_here], self_n[all_here], cls[code[all_here]].astype(np.int64))
+                moved, to = decide(code[all_here], hist[all_here], self_n[all_here], cls[code[all_here]].astype(np.int64), steps)
                 yield pa.RecordBatch.from_arrays([pa.array(moved), pa.array(to, pa.int32()), pa.nulls(len(moved), pa.list_(pa.int32())), pa.nulls(len(moved), pa.list_(pa.int64()))],
                                                  names=["code", "c", "at", "n"])
                 hist = np.concatenate([hist[~all_here], self_n[~all_here, None]], axis=1)
@@ -564,13 +575,14 @@ def _sweep(near: DataFrame, classes: int, cls: np.ndarray, rare: DataFrame | Non
                                                   pa.ListArray.from_arrays(lengths, pa.array(hist[i, at].astype(np.int64)))], names=["code", "c", "at", "n"])
 
     def settle(batches):
+        steps = _steps_of(shared.value[1])
         for batch in batches:
             code, now = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("code", "c"))
             size, width = np.diff(batch.column("at").offsets.to_numpy()), 2 * classes + 1
             at, n = (batch.column(c).flatten().to_numpy() for c in ("at", "n"))
             hist = np.bincount(np.repeat(np.arange(len(code)), size) * width + at, weights=n, minlength=width * len(code)).reshape(-1, width)
             now = np.where(code >= 0, shared.value[0][np.maximum(code, 0)], now).astype(np.int64)
-            moved, to = decide(code, hist[:, :-1], hist[:, -1], now)
+            moved, to = decide(code, hist[:, :-1], hist[:, -1], now, steps)
             yield pa.RecordBatch.from_arrays([pa.array(moved), pa.array(to, pa.int32())], names=["code", "c"])
 
     out = store(near.select("words", "half", "whole", "own", "n_before", "o_before", "t_before", "n_after", "o_after", "t_after")
